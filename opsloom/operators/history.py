@@ -296,17 +296,17 @@ def cooldown(
         for i in range(n - 1, -1, -1):
             if following[i] < n:
                 end[i] = end[following[i]]
-        # Entry thresholds beyond the first ``seconds`` of the bucket cannot occur after a
-        # fire inside an earlier bucket, but keeping all steps costs little.
+        # A fire in an earlier bucket blocks at most the first ``seconds`` of this one,
+        # so only the steps up to there can matter.
         steps: list[list[float]] = []
         for i in range(n):
             if steps and steps[-1][1] == end[i]:
                 steps[-1][0] = float(at[i])
             else:
                 steps.append([float(at[i]), float(end[i])])
-        first_width = float(at[0]) + seconds
-        cut = next((j for j, s in enumerate(steps) if s[0] >= first_width), len(steps) - 1)
-        return {"steps": steps[: cut + 1] if steps[cut][0] >= first_width or cut == len(steps) - 1 else steps, "last": float(at[-1])}
+        reach = float(at[0]) + seconds
+        needed = next((j for j, step in enumerate(steps) if step[0] >= reach), len(steps) - 1)
+        return {"steps": steps[: needed + 1], "last": float(at[-1])}
 
     def carry(state, effect):
         if state is None:
@@ -394,7 +394,9 @@ def scoped_context(
         target = text[3:].strip().strip("\"'")
         if target in ("~", "$HOME"):
             return [True, home]
-        return [target.startswith("/"), target]
+        if target.startswith("/"):
+            return [True, target.rstrip("/") or "/"]
+        return [False, target]
 
     def join(base: str, path: str) -> str:
         parts = [] if path.startswith("/") else [p for p in base.split("/") if p]
