@@ -19,8 +19,7 @@ def command_hash(c: Column | str) -> Column:
 
 
 def is_code_line(c: Column | str) -> Column:
-    bare = tx.strip(tx.text_or_empty(c))
-    return tx.any_prefix(bare, rules.CODE_PREFIXES) | bare.isin(*rules.HEREDOC_ENDS)
+    return tx.let(tx.strip(tx.text_or_empty(c)), lambda t: tx.any_prefix(t, rules.CODE_PREFIXES) | t.isin(*rules.HEREDOC_ENDS))
 
 
 def tool_word(c: Column | str) -> Column:
@@ -46,13 +45,16 @@ def is_technical(
 def feedback_signal(c: Column | str) -> Column:
     """failure, success or null; failure markers win."""
     raw = tx.text_or_empty(c)
-    low = F.lower(raw)
-    skip = (F.length(raw) > rules.SIGNAL_MAX_CHARS) | is_code_line(raw) | tx.any_contains(low, rules.PROSE_MARKS)
-    return (
-        F.when(skip, F.lit(None).cast("string"))
-        .when(tx.any_contains(low, rules.FAILURE_MARKS), "failure")
-        .when(tx.any_contains(low, rules.SUCCESS_MARKS), "success")
-    )
+
+    def judge(low: Column) -> Column:
+        return (
+            F.when(tx.any_contains(low, rules.PROSE_MARKS), F.lit(None).cast("string"))
+            .when(tx.any_contains(low, rules.FAILURE_MARKS), "failure")
+            .when(tx.any_contains(low, rules.SUCCESS_MARKS), "success")
+        )
+
+    # Length and code lines are checked on the text as written; the words on its lower-case form.
+    return F.when((F.length(raw) <= rules.SIGNAL_MAX_CHARS) & ~is_code_line(raw), tx.let(F.lower(raw), judge))
 
 
 def cd_argument(c: Column | str) -> Column:
@@ -80,21 +82,26 @@ def host_target(c: Column | str) -> Column:
 
 
 def needs_json_hint(c: Column | str) -> Column:
-    low = F.lower(tx.text_or_empty(c))
-    capable = F.lit(False)
-    for tool in rules.JSON_TOOLS:
-        capable = capable | low.startswith(tool) | low.contains(f" {tool} ")
-    return ~tx.any_contains(low, rules.JSON_FLAGS) & capable
+    def judge(low: Column) -> Column:
+        capable = F.lit(False)
+        for tool in rules.JSON_TOOLS:
+            capable = capable | low.startswith(tool) | low.contains(f" {tool} ")
+        return ~tx.any_contains(low, rules.JSON_FLAGS) & capable
+
+    return tx.let(F.lower(tx.text_or_empty(c)), judge)
 
 
 def command_phase(c: Column | str, table: Sequence[tuple[str, Sequence[str]]] = rules.PHASE_RULES) -> Column:
     """Phase of one command, or null when no rule matches."""
-    cmd = tx.text_or_empty(c)
-    out: Column | None = None
-    for phase, patterns in table:
-        hit = tx.any_match(cmd, patterns)
-        out = F.when(hit, phase) if out is None else out.when(hit, phase)
-    return out if out is not None else F.lit(None).cast("string")
+    cases = [(phase, patterns) for phase, patterns in table]
+
+    def judge(cmd: Column) -> Column:
+        out = F.when(F.lit(False), F.lit(None).cast("string"))
+        for phase, patterns in cases:
+            out = out.when(tx.any_match(cmd, patterns), phase)
+        return out
+
+    return tx.let(tx.text_or_empty(c), judge)
 
 
 def phase_bucket(phase: Column | str) -> Column:
@@ -105,11 +112,11 @@ def phase_bucket(phase: Column | str) -> Column:
 
 
 def is_exploit(c: Column | str) -> Column:
-    return tx.any_match(tx.text_or_empty(c), rules.EXPLOIT_PATTERNS)
+    return tx.let(tx.text_or_empty(c), lambda t: tx.any_match(t, rules.EXPLOIT_PATTERNS))
 
 
 def is_recon(c: Column | str) -> Column:
-    return tx.any_match(tx.text_or_empty(c), rules.RECON_PATTERNS)
+    return tx.let(tx.text_or_empty(c), lambda t: tx.any_match(t, rules.RECON_PATTERNS))
 
 
 def similar_key(c: Column | str) -> Column:
@@ -119,23 +126,29 @@ def similar_key(c: Column | str) -> Column:
 
 def tool_suggestion(c: Column | str, table: Sequence[tuple[str, str]] = rules.TOOL_SUGGESTIONS) -> Column:
     """Text of the first tool in list order that occurs in the command."""
-    low = F.lower(tx.text_or_empty(c))
-    out: Column | None = None
-    for tool, text in table:
-        out = F.when(low.contains(tool), text) if out is None else out.when(low.contains(tool), text)
-    return out if out is not None else F.lit(None).cast("string")
+    def judge(low: Column) -> Column:
+        out = F.when(F.lit(False), F.lit(None).cast("string"))
+        for tool, text in table:
+            out = out.when(low.contains(tool), text)
+        return out
+
+    return tx.let(F.lower(tx.text_or_empty(c)), judge)
 
 
 def stuck_status(blob: Column) -> Column:
-    low = F.lower(blob)
-    injection = low.contains("command injection")
     both, only_injection, only_path, other = rules.STUCK_TEXTS
-    return (
-        F.when(injection & (low.contains("/ip") | low.contains(" ip ") | low.contains("ip parameter")), both)
-        .when(injection, only_injection)
-        .when(low.contains("/ip") | low.contains("ip parameter"), only_path)
-        .otherwise(other)
-    )
+
+    def judge(low: Column) -> Column:
+        injection = low.contains("command injection")
+        path = low.contains("/ip") | low.contains("ip parameter")
+        return (
+            F.when(injection & (path | low.contains(" ip ")), both)
+            .when(injection, only_injection)
+            .when(path, only_path)
+            .otherwise(other)
+        )
+
+    return tx.let(F.lower(blob), judge)
 
 
 def is_similar_input(current: Column, previous: Column) -> Column:

@@ -50,11 +50,16 @@ def markdown_url(path: Column | str, prefix: str = "https://book.hacktricks.xyz/
 
 def tag_map(breadcrumb: Column | str) -> Column:
     """Service (first in list order) and category tags of a breadcrumb."""
-    low = F.lower(tx.text_or_empty(breadcrumb))
-    service = tx.first_group(low, [(s, (s,)) for s in rules.SERVICE_TAGS], "")
-    category = tx.first_group(low, rules.CATEGORY_TAGS, rules.CATEGORY_DEFAULT)
-    with_service = F.create_map(F.lit("service"), service, F.lit("category"), category)
-    return F.when(service != "", with_service).otherwise(F.create_map(F.lit("category"), category))
+
+    def tags(low: Column) -> Column:
+        service = tx.first_group(low, [(s, (s,)) for s in rules.SERVICE_TAGS], "")
+        category = tx.first_group(low, rules.CATEGORY_TAGS, rules.CATEGORY_DEFAULT)
+        pairs = F.array(
+            F.struct(F.lit("service").alias("k"), service.alias("v")), F.struct(F.lit("category").alias("k"), category.alias("v"))
+        )
+        return F.map_from_entries(F.filter(pairs, lambda p: p["v"] != ""))
+
+    return tx.let(F.lower(tx.text_or_empty(breadcrumb)), tags)
 
 
 def source_tags(source: Column, source_type: Column, privesc: Sequence[str] = rules.PRIVESC_SOURCES) -> Column:
@@ -257,14 +262,12 @@ def row_windows(
     (group, window) and no group is held as a whole.
     """
     keys = list(keys)
-    numbered = with_position(df, keys, order, bucket)
-    totals = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_total"))
+    numbered = with_position(df, keys, order, bucket, total="_total")
     lowest = F.greatest(F.lit(0), F.ceil((F.col("pos") - window + 1) / stride) * stride).cast("long")
     starts = F.sequence(lowest, F.floor(F.col("pos") / stride).cast("long") * stride, F.lit(stride).cast("long"))
     last_start = F.greatest(F.lit(0), F.ceil((F.col("_total") - window) / stride) * stride).cast("long")
     spread = (
-        numbered.join(totals, keys)
-        .withColumn("_starts", F.filter(F.when(F.col("pos") >= lowest, starts), lambda s: s <= last_start))
+        numbered.withColumn("_starts", F.filter(F.when(F.col("pos") >= lowest, starts), lambda s: s <= last_start))
         .withColumn("window_start", F.explode("_starts"))
     )
     text = tx.strip(tx.text_or_empty(line))

@@ -422,6 +422,8 @@ def findings_report(found: DataFrame, scope: str | None = None, part_rows: int =
     line = F.concat(F.lit("- "), F.coalesce(icon, F.lit("\U0001f4cc")), F.lit(" **"), F.upper("type"), F.lit("**: `"), "value", F.lit("`"))
     keys = ["type"] if scope is None else [scope, "type"]
     counted = found.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    if scope is None:
+        counted = F.broadcast(counted)  # one row per type, and types come from the pattern table
     parts = F.greatest(F.lit(1), F.ceil(F.col("_n") / part_rows)).cast("long")
     tagged = found.join(counted, keys).withColumn("part", F.pmod(F.xxhash64("value"), parts))
     rows = F.array_sort(F.collect_list(F.struct("value", line.alias("line"))))

@@ -36,18 +36,20 @@ def seconds_bucket(seconds: Column | str, width: int = BUCKET_SECONDS) -> Column
 
 
 def with_position(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Column, out: str = "pos"
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Column, out: str = "pos", total: str | None = None
 ) -> DataFrame:
-    """Add the exact 0-based position of each row within its key.
+    """Add the exact 0-based position of each row within its key, and the key's row count as ``total``.
 
     ``bucket`` must rise with the order (a time bucket, or a block of turns) and be
-    fine enough that one bucket of one key fits a task.
+    fine enough that one bucket of one key fits a task.  The join carries the bucket
+    in its key, so rows of a large key stay spread for whatever follows.
     """
     keys = list(keys)
     tagged = df.withColumn("_bkt", bucket)
     counts = tagged.groupBy(*keys, "_bkt").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*keys).orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*keys, "_bkt", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    whole = [F.sum("_n").over(Window.partitionBy(*keys)).alias(total)] if total else []
+    offsets = counts.select(*keys, "_bkt", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"), *whole)
     inside = Window.partitionBy(*keys, "_bkt").orderBy(*order)
     return (
         tagged.join(offsets, [*keys, "_bkt"])

@@ -23,14 +23,17 @@ def snippet_phase(content: Column | str) -> Column:
     """Explicit ``phase:`` line, else the first matching keyword group, else unknown."""
     body = tx.text_or_empty(content)
     explicit = F.lower(tx.extract_or_null(body, r"(?im)^phase:\s*([a-z-]+)$"))
-    return F.coalesce(explicit, tx.first_group(F.lower(body), rules.SNIPPET_PHASES, "unknown"))
+    by_words = tx.let(F.lower(body), lambda low: tx.first_group(low, rules.SNIPPET_PHASES, "unknown"))
+    return F.coalesce(explicit, by_words)
 
 
 def overlap_score(query: Column | str, *fields: Column | str) -> Column:
     """Share of the query's tokens found among the tokens of the fields."""
-    q = tx.long_tokens(query)
-    hay = F.array_distinct(tx.word_tokens(F.concat_ws("\n", *[tx.text_or_empty(f) for f in fields])))
-    return F.when(F.size(q) == 0, 0.0).otherwise(F.size(F.array_intersect(q, hay)) / F.greatest(F.lit(1), F.size(q)))
+    hay = tx.word_tokens(F.concat_ws("\n", *[tx.text_or_empty(f) for f in fields]))
+    return tx.let(
+        tx.long_tokens(query),
+        lambda q: F.when(F.size(q) == 0, 0.0).otherwise(F.size(F.array_intersect(q, hay)) / F.size(q)),
+    )
 
 
 def fingerprint(source: Column | str, machine: Column | str, title: Column | str, content: Column | str) -> Column:
@@ -46,12 +49,16 @@ def phase_bonus(
     crumb = F.lower(tx.text_or_empty(breadcrumb))
     total = F.lit(0.0)
     for name, tag, weight in weights:
-        in_tag = F.when(F.exists(low_tags, lambda t, tag=tag: t.contains(tag)), weight).otherwise(0.0)
+        in_tag = F.when(F.exists(low_tags, _has(tag)), weight).otherwise(0.0)
         in_crumb = F.when(crumb.contains(tag), weight * 0.5).otherwise(0.0)
         total = total + F.when(tx.col(phase) == name, in_tag + in_crumb).otherwise(0.0)
     return F.least(total, F.lit(rules.PHASE_BONUS_CAP))
 
 
+def _has(word: str) -> Callable[[Column], Column]:
+    return lambda t: t.contains(word)
+
+
 def source_bonus(query: Column | str, source: Column | str) -> Column:
     """Extra weight for privilege-escalation phrases and for single short tool names."""
     q, src = F.lower(tx.text_or_empty(query)), F.lower(tx.text_or_empty(source))
@@ -193,14 +200,12 @@ def with_priority(
     want = F.lower(tx.strip(tx.text_or_empty(target)))
     own = F.lower(tx.strip(tx.text_or_empty(machine)))
     hay = F.concat_ws(" ", own, F.lower(tx.text_or_empty(title)), F.lower(tx.text_or_empty(content)))
-    specific = (want != "") & ((own == want) | hay.contains(want))
-    generic = tx.any_contains(hay, rules.GENERIC_HINTS)
-    return hits.withColumns(
-        {
-            "token_cost": token_cost(title, url, content),
-            "priority": (F.when(specific, 2).otherwise(0) - F.when(generic, 1).otherwise(0)).cast("int"),
-        }
-    )
+    def judge(text: Column) -> Column:
+        specific = (want != "") & ((own == want) | text.contains(want))
+        generic = tx.any_contains(text, rules.GENERIC_HINTS)
+        return (F.when(specific, 2).otherwise(0) - F.when(generic, 1).otherwise(0)).cast("int")
+
+    return hits.withColumns({"token_cost": token_cost(title, url, content), "priority": tx.let(hay, judge)})
 
 
 def budget_trim(hits: DataFrame, budget: int = rules.TOKEN_BUDGET, rank: str = "rank") -> DataFrame:
@@ -375,7 +380,7 @@ def hits_by_source(hits: DataFrame, order: str = "rank", max_lines: int = rules.
     shown = F.slice(tx.lines(tx.text_or_empty("content")), 1, max_lines)
     item = F.concat(
         F.lit("] title: "), dash("title"), F.lit("\n    machine: "), dash("machine"), F.lit("\n    url: "), dash("url"),
-        F.lit("\n    score: "), F.format_number("distance", "0.0000"), F.lit("\n    content:"),
+        F.lit("\n    score: "), F.format_string("%.4f", "distance"), F.lit("\n    content:"),
         F.array_join(F.transform(shown, lambda x: F.concat(F.lit("\n      "), x)), ""),
     )
     pairs = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), item.alias("t"))))

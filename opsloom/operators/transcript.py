@@ -34,27 +34,30 @@ def context_tokens(
     """Tokens of the joined transcript plus those of the last commands.
 
     The joined text is never built: its stripped length is the sum of lengths plus the
-    separators, less the blank ends, which lie in the leading and trailing turns.
+    separators, less the blank ends.  Those lie in the first and last turn with text and
+    in blank turns outside them, and only blank turns have to be joined to find out.
     """
-    first = F.struct(*order)
-    size = F.length(tx.text_or_empty(text))
-    solid = tx.strip(tx.text_or_empty(text)) != ""
-    lead = F.struct(*order, (size - F.length(tx.lstrip(tx.text_or_empty(text)))).alias("cut"))
-    tail = F.struct(*order, (size - F.length(tx.rstrip(tx.text_or_empty(text)))).alias("cut"))
-    ends = turns.groupBy(*keys).agg(F.min(F.when(solid, lead)).alias("_lead"), F.max(F.when(solid, tail)).alias("_tail"))
-    inside = (
-        turns.join(ends, list(keys))
-        .filter(F.col("_lead").isNotNull())
-        .filter((first >= F.struct(*[F.col("_lead")[o] for o in order])) & (first <= F.struct(*[F.col("_tail")[o] for o in order])))
+    keys = list(keys)
+    body = tx.text_or_empty(text)
+    size = F.length(body)
+    solid = tx.strip(body) != ""
+    lead = F.struct(*order, (size - F.length(tx.lstrip(body))).alias("cut"))
+    tail = F.struct(*order, (size - F.length(tx.rstrip(body))).alias("cut"))
+    sums = turns.groupBy(*keys).agg(
+        F.sum(size + 1).alias("_chars"), F.min(F.when(solid, lead)).alias("_lead"), F.max(F.when(solid, tail)).alias("_tail")
     )
-    sums = inside.groupBy(*keys).agg(
-        (F.sum(size) + F.count(F.lit(1)) - 1 - F.first("_lead")["cut"] - F.first("_tail")["cut"]).alias("_chars")
+    here = F.struct(*order)
+    outside = (here < F.struct(*[F.col("_lead")[o].alias(o) for o in order])) | (here > F.struct(*[F.col("_tail")[o].alias(o) for o in order]))
+    blank = (
+        turns.filter(~solid).join(sums.filter(F.col("_lead").isNotNull()).select(*keys, "_lead", "_tail"), keys)
+        .filter(outside).groupBy(*keys).agg(F.sum(size + 1).alias("_blank"))
     )
-    out = turns.select(*keys).distinct().join(sums, list(keys), "left").withColumn(
-        "transcript_tokens", F.floor(F.coalesce("_chars", F.lit(0)) / 4).cast("long")
+    chars = F.col("_chars") - 1 - F.coalesce("_blank", F.lit(0)) - F.col("_lead.cut") - F.col("_tail.cut")
+    out = sums.join(blank, keys, "left").select(
+        *keys, F.floor(F.coalesce(chars, F.lit(0)) / 4).cast("long").alias("transcript_tokens")
     )
     if commands is None:
-        return out.drop("_chars").withColumn("context_tokens", F.col("transcript_tokens"))
+        return out.withColumn("context_tokens", F.col("transcript_tokens"))
     w = Window.partitionBy(*keys).orderBy(F.desc("sec"), F.desc("seq"))
     recent = commands.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= last)
     joined = recent.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("_n", command)), asc=False).alias("_l"))
@@ -62,7 +65,7 @@ def context_tokens(
     return (
         out.join(tokens, list(keys), "left")
         .withColumn("context_tokens", F.col("transcript_tokens") + F.coalesce("command_tokens", F.lit(0)))
-        .drop("_chars", "command_tokens")
+        .drop("command_tokens")
     )
 
 
@@ -74,13 +77,15 @@ def condense_flag(turns: DataFrame, keys: Sequence[str] = KEYS, after: int = rul
     return turns.groupBy(*keys).agg(F.count_if(is_spoken("role")).alias("spoken_turns")).withColumn("condense", F.col("spoken_turns") >= after)
 
 
-def _prefix_sum(numbered: DataFrame, keys: Sequence[str], value: Column, out: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Sum of ``value`` over all rows up to and including each row, by blocks."""
+def _prefix_sum(numbered: DataFrame, keys: Sequence[str], value: Column, out: str, total: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Sum of ``value`` over all rows up to and including each row, and over the whole key, by blocks."""
     keys = list(keys)
     tagged = numbered.withColumn("_v", value.cast("long")).withColumn("_blk", F.floor(F.col("pos") / block_rows).cast("long"))
     sums = tagged.groupBy(*keys, "_blk").agg(F.sum("_v").alias("_s"))
     before = Window.partitionBy(*keys).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
-    carry = sums.select(*keys, "_blk", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_c"))
+    carry = sums.select(
+        *keys, "_blk", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_c"), F.sum("_s").over(Window.partitionBy(*keys)).alias(total)
+    )
     inside = Window.partitionBy(*keys, "_blk").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     return tagged.join(carry, [*keys, "_blk"]).withColumn(out, F.col("_c") + F.sum("_v").over(inside)).drop("_v", "_blk", "_c")
 
@@ -88,15 +93,13 @@ def _prefix_sum(numbered: DataFrame, keys: Sequence[str], value: Column, out: st
 def condense_split(numbered: DataFrame, keys: Sequence[str] = KEYS, window: int = rules.CONDENSE_WINDOW, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """part = head for rows up to the one where the spoken turns reach ``window``; else tail.
 
-    Keys with fewer spoken turns have no head.
+    A row is in the head while fewer than ``window`` spoken turns precede it.  Keys with
+    fewer spoken turns have no head.
     """
-    counted = _prefix_sum(numbered, keys, is_spoken("role").cast("int"), "_spoken", block_rows)
-    cut = counted.filter(is_spoken("role") & (F.col("_spoken") == window)).select(*keys, F.col("pos").alias("_cut"))
-    return (
-        counted.join(cut, list(keys), "left")
-        .withColumn("part", F.when(F.col("pos") <= F.col("_cut"), "head").otherwise("tail"))
-        .drop("_spoken", "_cut")
-    )
+    spoken = is_spoken("role").cast("int")
+    counted = _prefix_sum(numbered, keys, spoken, "_spoken", "_all", block_rows)
+    head = (F.col("_all") >= window) & (F.col("_spoken") - spoken < window)
+    return counted.withColumn("part", F.when(head, "head").otherwise("tail")).drop("_spoken", "_all")
 
 
 def prune_limits(max_tokens: int) -> tuple[int, int]:
@@ -110,14 +113,9 @@ def budget_prune(
 ) -> DataFrame:
     """Flag the oldest rows to drop in keys above the threshold: drop until total - target is gone."""
     size = F.length(tx.text_or_empty(text))
-    totals = numbered.groupBy(*keys).agg(F.sum(size).alias("_total"))
-    summed = _prefix_sum(numbered, keys, size, "_upto", block_rows)
-    gone_before = F.col("_upto") - size
-    return (
-        summed.join(totals, list(keys))
-        .withColumn("dropped", (F.col("_total") > threshold) & (gone_before < F.col("_total") - target))
-        .drop("_upto", "_total")
-    )
+    summed = _prefix_sum(numbered, keys, size, "_upto", "_total", block_rows)
+    dropped = (F.col("_total") > threshold) & (F.col("_upto") - size < F.col("_total") - target)
+    return summed.withColumn("dropped", dropped).drop("_upto", "_total")
 
 
 def transcript_blob(numbered: DataFrame, keys: Sequence[str] = KEYS, text: str = "text", part_rows: int = 1000) -> DataFrame:

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from opsloom.plans import corpus
+from opsloom.plans import corpus, history, retrieve
 
-FAMILIES = [corpus]
+FAMILIES = [retrieve, corpus, history]
 
 ALL = {name: pair for family in FAMILIES for name, pair in family.QUERIES.items()}
+flagship = retrieve.flagship
