@@ -13,7 +13,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from opsloom import rules
 from opsloom.functions import commands as cx
@@ -27,6 +26,7 @@ from opsloom.operators.ordered import (
     with_lookback,
     with_position,
 )
+from opsloom.session import settle
 
 KEYS = ("machine",)
 
@@ -145,7 +145,7 @@ def progress_signature(
     lent = with_lookback(numbered, size, block_rows=block_rows)
     signed = lent.withColumn("signature", F.sha2(F.array_join(F.collect_list(command).over(w), "\n"), 256))
     changed = ~F.col("signature").eqNullSafe(F.lag("signature").over(_blocks(keys)))
-    marked = own_rows(signed.withColumn("_change", changed))
+    marked = settle(own_rows(signed.withColumn("_change", changed)))
     traced = running_last(marked, keys, F.when(F.col("_change"), F.col("pos")), "_since", block_rows=block_rows)
     return (
         traced.withColumn("turns_same", (F.col("pos") - F.col("_since")).cast("long"))
@@ -169,7 +169,7 @@ def retry_loop(
     order = _blocks(keys)
     lent = with_lookback(numbered, 1, block_rows=block_rows)
     again = (F.lag(command).over(order) == F.col(command)) & (F.col(sec) - F.lag(sec).over(order) < window)
-    marked = own_rows(lent.withColumn("_again", F.coalesce(again, F.lit(False))))
+    marked = settle(own_rows(lent.withColumn("_again", F.coalesce(again, F.lit(False)))))
     traced = running_last(marked, keys, F.when(~F.col("_again"), F.col("pos")), "_since", block_rows=block_rows)
     return (
         traced.withColumn("retries", (F.col("pos") - F.col("_since")).cast("long"))
@@ -195,7 +195,8 @@ def probe_last(
     carried = F.struct(F.col(sec).alias("at"), *[F.col(f) for f in fields])
     left = events.select(*keys, sec, F.lit(0).alias("_side"), F.col("seq").cast("long").alias("_tie"), F.lit(None).cast("long").alias("probe_id"), carried.alias("_v"))
     right = probes.select(*keys, sec, F.lit(1).alias("_side"), F.col("probe_id").cast("long").alias("_tie"), F.col("probe_id").cast("long").alias("probe_id"), F.lit(None).cast(left.schema["_v"].dataType).alias("_v"))
-    both = with_position(left.unionByName(right), keys, [sec, "_side", "_tie"], seconds_bucket(sec) if bucket is None else bucket)
+    union = settle(left.unionByName(right))
+    both = settle(with_position(union, keys, [sec, "_side", "_tie"], seconds_bucket(sec) if bucket is None else bucket))
     traced = running_last(both, keys, F.col("_v"), "_last", block_rows=block_rows)
     return traced.filter(F.col("probe_id").isNotNull()).select(
         *keys, "probe_id", sec, F.col("_last.at").alias("last_at"), *[F.col("_last")[f].alias(f) for f in fields]
@@ -286,27 +287,28 @@ def cooldown(
     meet.  Returns keys, sec, seq and ``out``.
     """
     rows = df.select(*keys, F.col(sec).cast("double").alias(sec), seq)
-    schema = T.StructType([*rows.schema.fields, T.StructField(out, T.BooleanType())])
 
-    def transfer(pdf: pd.DataFrame):
-        at = pdf[sec].to_numpy()
+    def transfer(g: dict[str, np.ndarray]):
+        at = np.asarray(g[sec], dtype="float64")
         n = len(at)
-        following = np.searchsorted(at, at + seconds, side="left")
-        end = at.copy()
+        following = np.searchsorted(at, at + seconds, side="left").tolist()
+        times = at.tolist()
+        end = list(times)
         for i in range(n - 1, -1, -1):
             if following[i] < n:
                 end[i] = end[following[i]]
         # A fire in an earlier bucket blocks at most the first ``seconds`` of this one,
         # so only the steps up to there can matter.
+        reach = times[0] + seconds
         steps: list[list[float]] = []
         for i in range(n):
             if steps and steps[-1][1] == end[i]:
-                steps[-1][0] = float(at[i])
+                steps[-1][0] = times[i]
+            elif steps and steps[-1][0] >= reach:
+                break
             else:
-                steps.append([float(at[i]), float(end[i])])
-        reach = float(at[0]) + seconds
-        needed = next((j for j, step in enumerate(steps) if step[0] >= reach), len(steps) - 1)
-        return {"steps": steps[: needed + 1], "last": float(at[-1])}
+                steps.append([times[i], end[i]])
+        return {"steps": steps, "last": times[-1]}
 
     def carry(state, effect):
         if state is None:
@@ -314,22 +316,19 @@ def cooldown(
         threshold = state + seconds
         if threshold > effect["last"]:
             return state
-        for upto, end in effect["steps"]:
-            if threshold <= upto:
-                return end
-        raise AssertionError("time went backwards between buckets")
+        return next(end for upto, end in effect["steps"] if threshold <= upto)
 
-    def emit(pdf: pd.DataFrame, state) -> pd.DataFrame:
-        at = pdf[sec].to_numpy()
+    def flag(g: dict[str, np.ndarray], state) -> np.ndarray:
+        at = np.asarray(g[sec], dtype="float64")
         fired = np.zeros(len(at), dtype=bool)
         i = 0 if state is None else int(np.searchsorted(at, state + seconds, side="left"))
         while i < len(at):
             fired[i] = True
             i = int(np.searchsorted(at, at[i] + seconds, side="left"))
-        return pdf.assign(**{out: fired})[schema.names]
+        return fired
 
     width = seconds_bucket(sec) if bucket is None else bucket
-    return blocked_scan(rows, keys, [sec, seq], width, None, transfer, carry, emit, schema)
+    return blocked_scan(rows, keys, [sec, seq], width, None, transfer, carry, flag, out)
 
 
 def guarded_cooldown(
@@ -385,7 +384,6 @@ def scoped_context(
     before), so each bucket is summarised as one move.  ``cwd`` is constant per key.
     """
     rows = df.select(*keys, F.col(sec).cast("double").alias(sec), seq, command, cwd)
-    schema = T.StructType([*rows.schema.fields, T.StructField("in_scope", T.BooleanType())])
 
     def move(text: str):
         """None, or [absolute?, path] of one command."""
@@ -410,9 +408,9 @@ def scoped_context(
         rooted = base.startswith("/") or path.startswith("/")
         return ("/" if rooted else "") + "/".join(parts)
 
-    def transfer(pdf: pd.DataFrame):
+    def transfer(g: dict[str, np.ndarray]):
         absolute, path = False, ""
-        for text in pdf[command]:
+        for text in g[command]:
             step = move(str(text).strip())
             if step is None:
                 continue
@@ -424,22 +422,22 @@ def scoped_context(
             return ["abs", effect[1]]
         return [state[0], join(state[1], effect[1])]
 
-    def emit(pdf: pd.DataFrame, state) -> pd.DataFrame:
-        base = str(pdf[cwd].iloc[0]).rstrip("/") or "/"
+    def flag(g: dict[str, np.ndarray], state) -> np.ndarray:
+        base = str(g[cwd][0]).rstrip("/") or "/"
         name = base.rsplit("/", 1)[-1]
         here = state[1] if state[0] == "abs" else join(base, state[1])
         flags = []
-        for text in pdf[command]:
+        for text in g[command]:
             bare = str(text).strip()
             step = move(bare)
             if step is not None:
                 here = step[1] if step[0] else join(here, step[1])
             parts = ["/"] + [p for p in here.split("/") if p]
             flags.append(here == base or base in bare or (name != "" and name in bare) or any(p in bare for p in parts))
-        return pdf.assign(in_scope=flags)[schema.names]
+        return np.array(flags, dtype=bool)
 
     width = seconds_bucket(sec) if bucket is None else bucket
-    marked = blocked_scan(rows, keys, [sec, seq], width, ["rel", ""], transfer, carry, emit, schema)
+    marked = blocked_scan(rows, keys, [sec, seq], width, ["rel", ""], transfer, carry, flag, "in_scope")
     w = Window.partitionBy(*keys).orderBy(F.desc("in_scope"), F.desc(sec), F.desc(seq))
     # Rows in scope come first; the others only count for keys without any.
     last = marked.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= limit)

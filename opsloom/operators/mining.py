@@ -414,8 +414,8 @@ def findings(
 def findings_report(found: DataFrame, scope: str | None = None, part_rows: int = 1000) -> DataFrame:
     """Markdown lines per type in report order, in parts of bounded length.
 
-    A part is named by a hash of its values, so a type with very many values is spread;
-    together the parts hold every finding.
+    Rows are spread over the parts of their type by hash, so a type with very many findings
+    is no single group; together the parts hold every finding.
     """
     order = F.array_position(F.array(*[F.lit(t) for t in rules.FINDING_REPORT_ORDER]), F.col("type"))
     icon = F.element_at(F.create_map(*[F.lit(x) for kv in rules.FINDING_ICONS.items() for x in kv]), F.col("type"))
@@ -425,7 +425,8 @@ def findings_report(found: DataFrame, scope: str | None = None, part_rows: int =
     if scope is None:
         counted = F.broadcast(counted)  # one row per type, and types come from the pattern table
     parts = F.greatest(F.lit(1), F.ceil(F.col("_n") / part_rows)).cast("long")
-    tagged = found.join(counted, keys).withColumn("part", F.pmod(F.xxhash64("value"), parts))
+    # Spread by the whole row: one value may be found in very many scopes.
+    tagged = found.join(counted, keys).withColumn("part", F.pmod(F.xxhash64(*found.columns), parts))
     rows = F.array_sort(F.collect_list(F.struct("value", line.alias("line"))))
     return (
         tagged.withColumn("type_no", order)

@@ -18,9 +18,10 @@ Keys, order columns and the bucket must not be null.
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -87,14 +88,10 @@ def running_last(
     """Latest non-null ``value`` at or before each row of its key."""
     keys = list(keys)
     tagged = df.withColumn("_val", value).withColumn("_blk", F.floor(F.col(pos) / block_rows).cast("long"))
-    filled = tagged.filter(F.col("_val").isNotNull())
-    # Which blocks exist must come from all rows, so that an empty block still inherits.
-    ends = tagged.groupBy(*keys, "_blk").agg(F.max(F.lit(0)).alias("_z"))
-    lasts = filled.groupBy(*keys, "_blk").agg(F.max_by("_val", pos).alias("_end"))
+    # Blocks without a value give null here and inherit from the blocks before.
+    ends = tagged.groupBy(*keys, "_blk").agg(F.max_by("_val", F.when(F.col("_val").isNotNull(), F.col(pos))).alias("_end"))
     before = Window.partitionBy(*keys).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
-    carry = ends.join(lasts, [*keys, "_blk"], "left").select(
-        *keys, "_blk", F.last("_end", ignorenulls=True).over(before).alias("_carry")
-    )
+    carry = ends.select(*keys, "_blk", F.last("_end", ignorenulls=True).over(before).alias("_carry"))
     inside = Window.partitionBy(*keys, "_blk").orderBy(pos).rowsBetween(Window.unboundedPreceding, 0)
     return (
         tagged.join(carry, [*keys, "_blk"])
@@ -103,47 +100,96 @@ def running_last(
     )
 
 
+def runs(batches: Iterable[pd.DataFrame], cols: Sequence[str]) -> Iterator[dict[str, np.ndarray]]:
+    """Columns of each run of rows with equal ``cols``, across Arrow batch borders.
+
+    The input must be sorted by ``cols``; only the run at hand is held.
+    """
+    held: pd.DataFrame | None = None
+    for pdf in batches:
+        if held is not None:
+            pdf = pd.concat([held, pdf], ignore_index=True)
+        if not len(pdf):
+            continue
+        data = {c: pdf[c].to_numpy() for c in pdf.columns}
+        change = np.zeros(len(pdf), dtype=bool)
+        for c in cols:
+            change[1:] |= data[c][1:] != data[c][:-1]
+        starts = [0, *np.flatnonzero(change).tolist()]
+        for a, b in zip(starts[:-1], starts[1:]):
+            yield {c: x[a:b] for c, x in data.items()}
+        held = pdf.iloc[starts[-1] :]
+    if held is not None and len(held):
+        yield {c: held[c].to_numpy() for c in held.columns}
+
+
 def blocked_scan(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[str],
     bucket: Column,
     start: Any,
-    transfer: Callable[[pd.DataFrame], Any],
+    transfer: Callable[[dict[str, np.ndarray]], Any],
     carry: Callable[[Any, Any], Any],
-    emit: Callable[[pd.DataFrame, Any], pd.DataFrame],
-    schema: T.StructType,
+    flag: Callable[[dict[str, np.ndarray], Any], np.ndarray],
+    out: str,
 ) -> DataFrame:
-    """Sequential fold over each key, run in parallel over its buckets.
+    """Sequential fold over each key, run in parallel over its buckets; adds a boolean column.
 
-    ``transfer`` turns one bucket into a small description of its effect on the
-    state, ``carry`` applies such a description to a state, and ``emit`` runs the
-    rule over one bucket once its entry state is known.  States and descriptions
-    must survive JSON.  The middle step sees one row per bucket of a key.
+    ``transfer`` turns one bucket (columns as arrays, in order) into a small description
+    of its effect on the state, ``carry`` applies a description to a state, and ``flag``
+    runs the rule over one bucket once its entry state is known.  States and
+    descriptions must survive JSON.  The middle step sees one row per bucket of a key.
+    Every task streams sorted rows and holds one bucket of one key at a time.
     """
-    keys, order = list(keys), list(order)
+    keys, order, columns = list(keys), list(order), list(df.columns)
+    place = [*keys, "_bkt"]
     tagged = df.withColumn("_bkt", bucket)
-    key_fields = [tagged.schema[k] for k in keys]
-    desc_schema = T.StructType([*key_fields, T.StructField("_bkt", T.LongType()), T.StructField("_fx", T.StringType())])
-    state_schema = T.StructType([*key_fields, T.StructField("_bkt", T.LongType()), T.StructField("_in", T.StringType())])
-
-    def describe(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable")
-        head = pdf.iloc[0]
-        return pd.DataFrame([[*(head[k] for k in keys), head["_bkt"], json.dumps(transfer(pdf))]], columns=[*keys, "_bkt", "_fx"])
-
-    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_bkt")
-        state, entry = start, []
-        for effect in pdf["_fx"]:
-            entry.append(json.dumps(state))
-            state = carry(state, json.loads(effect))
-        return pdf[[*keys, "_bkt"]].assign(_in=entry)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable").reset_index(drop=True)
-        return emit(pdf.drop(columns=["_bkt", "_in"]), json.loads(pdf["_in"].iloc[0]))
-
-    effects = tagged.groupBy(*keys, "_bkt").applyInPandas(describe, desc_schema)
-    states = effects.groupBy(*keys).applyInPandas(chain, state_schema)
-    return tagged.join(states, [*keys, "_bkt"]).groupBy(*keys, "_bkt").applyInPandas(run, schema)
+    key_fields = [T.StructField(k, tagged.schema[k].dataType) for k in keys]
+    small = [*key_fields, T.StructField("_bkt", T.LongType())]
+    fx_schema = T.StructType([*small, T.StructField("_fx", T.StringType())])
+    in_schema = T.StructType([*small, T.StructField("_in", T.StringType())])
+    out_schema = T.StructType([*df.schema.fields, T.StructField(out, T.BooleanType())])
+
+    def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in _chunks(([*(g[c][0] for c in place), json.dumps(transfer(g))] for g in runs(batches, place)), 5_000):
+            yield pd.DataFrame(part, columns=fx_schema.names)
+
+    def chain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, state = None, start
+        for pdf in batches:
+            entry = []
+            for key, effect in zip(zip(*[pdf[k] for k in keys]), pdf["_fx"]):
+                if key != current:
+                    current, state = key, start
+                entry.append(json.dumps(state))
+                state = carry(state, json.loads(effect))
+            yield pdf[place].assign(_in=entry)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def groups() -> Iterator[pd.DataFrame]:
+            for g in runs(batches, place):
+                # The entry state sorts first in its bucket.
+                body = {c: g[c][1:] for c in columns}
+                yield {**body, out: flag(body, json.loads(g["_in"][0]))}
+
+        for part in _chunks(groups(), 2_000):
+            yield pd.DataFrame({c: np.concatenate([np.asarray(g[c]) for g in part]) for c in out_schema.names})
+
+    effects = tagged.repartition(*place).sortWithinPartitions(*place, *order).mapInPandas(describe, fx_schema)
+    states = effects.repartition(*keys).sortWithinPartitions(*place).mapInPandas(chain, in_schema)
+    rows = tagged.withColumns({"_in": F.lit(None).cast("string"), "_row": F.lit(1)})
+    entry = states.withColumn("_row", F.lit(0))
+    both = rows.unionByName(entry, allowMissingColumns=True)
+    return both.repartition(*place).sortWithinPartitions(*place, "_row", *order).mapInPandas(run, out_schema)
+
+
+def _chunks(items: Iterable[Any], size: int) -> Iterator[list[Any]]:
+    part: list[Any] = []
+    for item in items:
+        part.append(item)
+        if len(part) >= size:
+            yield part
+            part = []
+    if part:
+        yield part

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from opsloom.plans import corpus, history, retrieve
+from opsloom.plans import corpus, history, mine, retrieve, session
 
-FAMILIES = [retrieve, corpus, history]
+FAMILIES = [retrieve, corpus, history, mine, session]
 
 ALL = {name: pair for family in FAMILIES for name, pair in family.QUERIES.items()}
 flagship = retrieve.flagship

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, **conf: str) -> SparkSession:
@@ -40,3 +40,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     target = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="opsloom-ckpt-")
     spark.sparkContext.setCheckpointDir(target)
     return target
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Write an intermediate result to the shared checkpoint folder and go on from there.
+
+    For results that the next step reads more than once and that are costly to compute:
+    chained two-pass operators would otherwise repeat everything below them at each link.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
