@@ -113,13 +113,11 @@ def index_tokens(c: Column | str) -> Column:
     return F.array_distinct(F.filter(found, lambda t: F.length(t) >= 2))
 
 
-def token_prefixes(tokens: Column, max_chars: int) -> Column:
-    """Every distinct prefix (2 to ``max_chars`` characters) of the tokens."""
+def token_prefixes(tokens: Column, lengths: Sequence[int]) -> Column:
+    """Every distinct prefix of the tokens that has one of the lengths."""
+    sizes = F.array(*[F.lit(n) for n in sorted(lengths)])
     prefixes = F.transform(
-        tokens,
-        lambda t: F.transform(
-            F.sequence(F.lit(2), F.least(F.length(t), F.lit(max_chars))), lambda n: F.left(t, n)
-        ),
+        tokens, lambda t: F.transform(F.filter(sizes, lambda n: n <= F.length(t)), lambda n: F.left(t, n))
     )
     return F.array_distinct(F.flatten(prefixes))
 

@@ -411,17 +411,21 @@ def fence_commands(c: Column | str) -> Column:
     pattern = r"^(?:\$\s*)?(?:sudo\s+)?(?:" + "|".join(rules.PROBABLE_COMMANDS) + r")\b"
 
     def step(s: Column, line: Column) -> Column:
+        fence = F.when(line["cmd"] & ~s["open"], F.array(F.lit("```bash"), line["shown"])).when(
+            ~line["cmd"] & s["open"], F.array(F.lit("```"), line["shown"])
+        ).otherwise(F.array(line["shown"]))
+        return F.struct(line["cmd"].alias("open"), F.concat(s["out"], fence).alias("out"))
+
+    def judged(line: Column) -> Column:
         bare = tx.strip(line)
-        is_cmd = (bare != "") & bare.rlike(pattern)
-        shown = F.when(is_cmd & bare.startswith("$ "), F.substring(bare, 3, 1 << 30)).when(is_cmd, bare).otherwise(line)
-        fence = F.when(is_cmd & ~s["open"], F.array(F.lit("```bash"), shown)).when(
-            ~is_cmd & s["open"], F.array(F.lit("```"), shown)
-        ).otherwise(F.array(shown))
-        return F.struct(is_cmd.alias("open"), F.concat(s["out"], fence).alias("out"))
+        shown = F.when(bare.startswith("$ "), F.substring(bare, 3, 1 << 30)).otherwise(bare)
+        yes = F.struct(F.lit(True).alias("cmd"), shown.alias("shown"))
+        no = F.struct(F.lit(False).alias("cmd"), line.alias("shown"))
+        return F.when((bare != "") & bare.rlike(pattern), yes).otherwise(no)
 
     start = F.struct(F.lit(False).alias("open"), F.array().cast("array<string>").alias("out"))
     done = F.aggregate(
-        tx.lines(body), start, step,
+        F.transform(tx.lines(body), judged), start, step,
         lambda s: tx.strip(F.array_join(F.when(s["open"], F.concat(s["out"], F.array(F.lit("```")))).otherwise(s["out"]), "\n")),
     )
     return F.when(body == "", "_No response yet._").when(body.contains("```"), body).otherwise(

@@ -345,9 +345,11 @@ def compact_lines(output: Column | str, command: Column | str | None = None, max
 
 # ---------------------------------------------------------------- rendering
 def render_section(title: Column, items: Column, max_items: int = rules.MAX_ITEMS) -> Column:
-    shown = F.slice(items, 1, max_items)
-    body = F.array_join(F.transform(shown, lambda r: F.concat(F.lit("- "), r)), "\n")
-    return F.concat(F.lit("### Signal Summary: "), title, F.lit("\n"), F.when(F.size(items) > 0, body).otherwise("- " + rules.SUMMARY_EMPTY))
+    def body(rows: Column) -> Column:
+        text = F.array_join(F.transform(rows, lambda r: F.concat(F.lit("- "), r)), "\n")
+        return F.when(F.size(rows) > 0, text).otherwise("- " + rules.SUMMARY_EMPTY)
+
+    return F.concat(F.lit("### Signal Summary: "), title, F.lit("\n"), tx.let(F.slice(items, 1, max_items), body))
 
 
 def signal_summary(outputs: DataFrame, max_items: int = rules.MAX_ITEMS) -> DataFrame:

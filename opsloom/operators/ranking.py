@@ -36,6 +36,34 @@ def overlap_score(query: Column | str, *fields: Column | str) -> Column:
     )
 
 
+def overlap_of_tokens(query: Column | str, tokens: Column | str) -> Column:
+    """``overlap_score`` against token sets made beforehand."""
+    return tx.let(
+        tx.long_tokens(query),
+        lambda q: F.when(F.size(q) == 0, 0.0).otherwise(F.size(F.array_intersect(tx.col(tokens), q)) / F.size(q)),
+    )
+
+
+def hit_features(
+    docs: DataFrame, hits: DataFrame, index: str = "index", phase: Column | None = None
+) -> DataFrame:
+    """What scoring needs of each document that was hit, computed once per document.
+
+    Hits repeat documents (long ones are hit by most queries), so tokens, phase and
+    fingerprint are made before documents and hits meet, and contents stay behind.
+    """
+    hit = hits.select(index, "doc_id").distinct()
+    hay = F.concat_ws("\n", *[tx.text_or_empty(c) for c in ("title", "machine", "content")])
+    return docs.join(hit, [index, "doc_id"], "left_semi").select(
+        index,
+        "doc_id",
+        "machine",
+        F.array_distinct(tx.word_tokens(hay)).alias("tokens"),
+        (snippet_phase("content") if phase is None else phase).alias("phase"),
+        fingerprint(index, "machine", "title", "content").alias("fingerprint"),
+    )
+
+
 def fingerprint(source: Column | str, machine: Column | str, title: Column | str, content: Column | str) -> Column:
     parts = [tx.text_or_empty(source), tx.text_or_empty(machine), tx.text_or_empty(title)]
     return F.sha1(F.concat_ws("|", *parts, F.left(tx.text_or_empty(content), F.lit(rules.FINGERPRINT_CHARS))))

@@ -45,30 +45,21 @@ def lexical_hits(
     title: str = "title",
     content: str = "content",
     index: str = "index",
-    max_term_chars: int = 32,
 ) -> DataFrame:
     """Documents with any query term as a word prefix in title or content.
 
     Prefix match is an equi-join: each document offers the distinct prefixes of its
-    words once.  The documents are spread by doc_id first, so matches are counted in
-    the task that holds the document, and the window's group limit drops all but the
-    best ``k`` per (query, index) before anything is exchanged by query.  Ranked by
-    matched terms, then doc_id.  Words longer than ``max_term_chars`` are joined whole.
+    words once, in the lengths that query terms have.  The documents are spread by
+    doc_id first, so matches are counted in the task that holds the document, and the
+    window's group limit drops all but the best ``k`` per (query, index) before
+    anything is exchanged by query.  Ranked by matched terms, then doc_id.
     """
-    terms = term_rows(queries, text).select("query_id", "term", F.left("term", F.lit(max_term_chars)).alias("key"))
+    terms = term_rows(queries, text).select("query_id", "term")
+    lengths = [r[0] for r in terms.select(F.length("term")).distinct().collect()] or [2]
     indexed = F.concat_ws("\n", F.col(title), F.col(content))
-    spread = docs.select(F.col(index).alias("index"), "doc_id", indexed.alias("_t")).repartition("doc_id")
-    words = spread.select("index", "doc_id", tx.index_tokens("_t").alias("_words"))
-    keys = words.select(
-        "index", "doc_id", F.col("_words"), F.explode(tx.token_prefixes(F.col("_words"), max_term_chars)).alias("key")
-    )
-    long_ok = (F.length("term") <= max_term_chars) | F.exists("_words", lambda w: w.startswith(F.col("term")))
-    counted = (
-        keys.join(terms, "key")
-        .filter(long_ok)
-        .groupBy("doc_id", "index", "query_id")
-        .agg(F.count(F.lit(1)).alias("matched"))
-    )
+    placed = docs.select(F.col(index).alias("index"), "doc_id", indexed.alias("_t")).repartition("doc_id")
+    keys = placed.select("index", "doc_id", F.explode(tx.token_prefixes(tx.index_tokens("_t"), lengths)).alias("term"))
+    counted = keys.join(terms, "term").groupBy("doc_id", "index", "query_id").agg(F.count(F.lit(1)).alias("matched"))
     w = Window.partitionBy("query_id", "index").orderBy(F.desc("matched"), "doc_id")
     return (
         counted.withColumn("rank", F.row_number().over(w))

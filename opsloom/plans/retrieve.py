@@ -12,6 +12,7 @@ from opsloom.operators import knn as nn
 from opsloom.operators import ranking as ra
 from opsloom.operators import retrieval as re_
 from opsloom.plans import views as v
+from opsloom.session import settle
 
 K = 5
 CTX = f"WITH {v.SQL_DOCS}, {v.SQL_QUERIES}, {v.SQL_TERMS}, {v.SQL_DOCWORDS}, {v.sql_lexical(K)}"
@@ -193,12 +194,24 @@ def source_phrase(spark, sf):
     return v.table(spark, sf, "documents").select("doc_id", F.coalesce(re_.source_filter_of(said), F.lit("")).alias("named_source"))
 
 
+def hits(spark, sf) -> DataFrame:
+    """Capped lexical hits with a position over the query; read more than once, so settled."""
+    return settle(re_.federated(lexical(spark, sf), K))
+
+
 def hits_docs(spark, sf) -> DataFrame:
-    """Lexical hits with their documents, query text, target and a position over the query."""
+    """Hits with their documents, query text and target."""
     h = re_.federated(lexical(spark, sf), K)
     return h.join(v.docs(spark, sf), ["index", "doc_id"]).join(v.queries(spark, sf).withColumnRenamed("text", "query"), "query_id")
 
 
+def scored_hits(spark, sf, phase=None) -> DataFrame:
+    """Hits with what scoring needs of their documents and queries."""
+    h = hits(spark, sf)
+    q = v.queries(spark, sf).withColumnRenamed("text", "query").select("query_id", "query", "phase_bucket")
+    return h.join(ra.hit_features(v.docs(spark, sf), h, phase=phase), ["index", "doc_id"]).join(q, "query_id").withColumn("lexical", ra.overlap_of_tokens("query", "tokens"))
+
+
 _HD = """hd AS (SELECT l.query_id, l."index", l.doc_id, l.distance, l.matched, l.rank, row_number() OVER (PARTITION BY l.query_id ORDER BY l."index", l.rank) AS position,
  d.machine, d.title, d.url, d.content, q.text AS query, q.target, q.phase_bucket FROM lexical l JOIN docs d USING (doc_id) JOIN queries q ON q.query_id = l.query_id)"""
 HD = f"{CTX}, {_HD}"
@@ -248,8 +261,7 @@ SQL_SNIP_PHASE = f"SELECT doc_id, {_sql_phase('t')} AS phase FROM (SELECT doc_id
 
 
 def overlap_score(spark, sf):
-    h = hits_docs(spark, sf)
-    return h.select("query_id", "doc_id", F.round(ra.overlap_score("query", "title", "machine", "content"), 6).alias("overlap"))
+    return scored_hits(spark, sf).select("query_id", "doc_id", F.round("lexical", 6).alias("overlap"))
 
 
 _OV_TOK = "list_distinct(list_filter(regexp_extract_all(lower(query), '[a-z0-9_/-]+'), lambda x: length(x) >= 2))"
@@ -266,7 +278,7 @@ def length_scorer():
 
 
 def rerank_udf(spark, sf):
-    h = hits_docs(spark, sf).withColumn("lexical", ra.overlap_score("query", "title", "machine", "content"))
+    h = hits_docs(spark, sf).withColumn("lexical", F.lit(0.0))
     return ra.cross_score(h, length_scorer).select("query_id", "doc_id", F.round("rerank_score", 6).alias("score"))
 
 
@@ -303,8 +315,7 @@ def _shown(spark, sf) -> DataFrame:
 def recent_penalty(spark, sf):
     """Hits whose fingerprint was shown to their machine in its last three turns."""
     recent = ra.recent_fingerprints(_shown(spark, sf))
-    h = hits_docs(spark, sf).withColumn("fingerprint", ra.fingerprint("index", "machine", "title", "content"))
-    flagged = ra.with_shown_flag(h.withColumn("target", F.col("machine")), recent)
+    flagged = ra.with_shown_flag(scored_hits(spark, sf).withColumn("target", F.col("machine")), recent)
     return flagged.select("query_id", "doc_id", "recently_shown")
 
 
@@ -328,10 +339,9 @@ SELECT DISTINCT machine, fingerprint FROM s JOIN rt USING (machine, turn) WHERE
 
 def reranked(spark, sf) -> DataFrame:
     recent = ra.recent_fingerprints(_shown(spark, sf))
-    h = hits_docs(spark, sf).withColumns({"phase": F.when(F.col("doc_id") % 4 == 0, "recon").when(F.col("doc_id") % 4 == 1, "user").otherwise(ra.snippet_phase("content")), "fingerprint": ra.fingerprint("index", "machine", "title", "content")})
-    h = ra.with_shown_flag(h.drop("target").withColumn("target", F.col("machine")), recent)
-    scored = ra.cross_score(h.withColumn("lexical", ra.overlap_score("query", "title", "machine", "content")))
-    return ra.rerank(scored.drop("rank"), shown="recently_shown")
+    phase = F.when(F.col("doc_id") % 4 == 0, "recon").when(F.col("doc_id") % 4 == 1, "user").otherwise(ra.snippet_phase("content"))
+    h = ra.with_shown_flag(scored_hits(spark, sf, phase).withColumn("target", F.col("machine")), recent)
+    return ra.rerank(ra.cross_score(h).drop("rank", "tokens"), shown="recently_shown").drop("machine", "target")
 
 
 def rerank(spark, sf):
@@ -360,7 +370,8 @@ selected AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id O
 
 
 def selected(spark, sf) -> DataFrame:
-    return ra.diverse_topk(reranked(spark, sf), 6)
+    top = ra.diverse_topk(reranked(spark, sf), 6)
+    return top.join(v.docs(spark, sf), ["index", "doc_id"])
 
 
 _SELECTED6 = _DIVERSE.replace("slot <= 30", "slot <= 6")
@@ -379,7 +390,7 @@ SELECT query_id, max(sim) AS best_similarity, string_agg(printf('%.6f', sim), ',
 
 
 def _prioritised(spark, sf) -> DataFrame:
-    s = selected(spark, sf).drop("target").join(v.queries(spark, sf).select("query_id", "target"), "query_id")
+    s = selected(spark, sf).join(v.queries(spark, sf).select("query_id", "target"), "query_id")
     s = s.withColumn("content", F.when(F.col("doc_id") % 5 == 0, F.concat("content", F.lit(" Methodology"))).otherwise(F.col("content")))
     return ra.with_priority(s.withColumn("rank", F.col("slot")))
 
@@ -482,11 +493,10 @@ SELECT query_id, concat('Live Web Results (cite these URLs if you use this infor
 
 
 def solution_block(spark, sf):
-    s = ra.solution_block(selected(spark, sf), order="slot")
+    s = ra.solution_block(selected(spark, sf).withColumn("target", F.lit("box")), order="slot")
     return s.select("query_id", F.sha2("solution_block", 256).alias("block_hash"))
 
 
-# The selected rows carry their machine as target here; a block is headed by one query's first row.
 def hits_by_source(spark, sf):
     h = ra.hits_by_source(selected(spark, sf), order="slot")
     return h.select("query_id", "source", "n_hits", F.sha2("block", 256).alias("block_hash"))
@@ -550,11 +560,12 @@ def flagship(spark, sf):
     keyed = co.with_doc_key(chunks, "index", "title").withColumn("chunk_id", F.col("doc_id") * 1_000_000 + F.col("start"))
     unit = keyed.select(F.col("chunk_id").alias("doc_id"), "index", "machine", "title", "content", "doc_key")
     q = v.queries(spark, sf).select("query_id", "text")
-    hits = re_.lexical_hits(q, unit, 2)
-    full = re_.federated(hits, 2, candidates=2).join(unit, ["index", "doc_id"]).join(q.withColumnRenamed("text", "query"), "query_id")
-    scored = full.withColumns({"rerank_score": ra.overlap_score("query", "title", "machine", "content"), "phase": ra.snippet_phase("content"), "phase_bucket": F.lit("unknown")})
-    top = ra.diverse_topk(ra.rerank(scored.drop("rank")), 5)
-    return top.select("query_id", "slot", F.col("doc_id").alias("chunk_id"), "index", "doc_key", "final_score")
+    found = settle(re_.federated(re_.lexical_hits(q, unit, 2), 2, candidates=2))
+    full = found.join(ra.hit_features(unit, found), ["index", "doc_id"]).join(q.withColumnRenamed("text", "query"), "query_id")
+    scored = full.withColumns({"rerank_score": ra.overlap_of_tokens("query", "tokens"), "phase_bucket": F.lit("unknown")})
+    top = ra.diverse_topk(ra.rerank(scored.drop("rank", "tokens")), 5)
+    out = top.join(unit.select("index", "doc_id", "doc_key"), ["index", "doc_id"])
+    return out.select("query_id", "slot", F.col("doc_id").alias("chunk_id"), "index", "doc_key", "final_score")
 
 
 SQL_FLAGSHIP = f"""WITH queries AS (SELECT item_id AS query_id, text FROM benchmark),

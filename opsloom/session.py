@@ -42,6 +42,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return target
 
 
+def spread(df: DataFrame, small_bytes: int = 1 << 30) -> DataFrame:
+    """Give a small input as many partitions as there are cores.
+
+    A small file is one row group and so one task, however costly the work on its rows.
+    Inputs above ``small_bytes`` (by the scan's own size estimate) have many row
+    groups already and are left alone, so large tables get no extra exchange.
+    """
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df if size > small_bytes else df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Write an intermediate result to the shared checkpoint folder and go on from there.
 
