@@ -93,74 +93,70 @@ def parse_output(df: DataFrame, output: str = "output") -> DataFrame:
 
 
 # ---------------------------------------------------------------- services
-def services_text(outputs: DataFrame) -> DataFrame:
-    """Open ports from ``port/proto open service version`` lines."""
+_PORT = "struct<port:string,state:string,protocol:string,service:string,version:string>"
+_JSON_HOST = f"struct<ip:string,host:string,ports:array<{_PORT}>>"
+_XML_PORT = (
+    "struct<_portid:string,_protocol:string,state:struct<_state:string>,service:struct<_name:string,_version:string>>"
+)
+_XML_HOSTS = f"array<struct<address:array<struct<_addr:string>>,ports:struct<port:array<{_XML_PORT}>>>>"
+_NO_SERVICES = "array<struct<host:string,port:string,protocol:string,service:string,version:string>>"
+
+
+def _service(host: Column, port: Column, protocol: Column, service: Column, version: Column) -> Column:
+    return F.struct(
+        host.alias("host"),
+        F.coalesce(port, F.lit("")).alias("port"),
+        F.coalesce(protocol, F.lit("tcp")).alias("protocol"),
+        F.coalesce(service, F.lit("")).alias("service"),
+        F.coalesce(version, F.lit("")).alias("version"),
+    )
+
+
+def text_services(output: Column | str) -> Column:
+    """Open ports from ``port/proto open service version`` lines, as an array; the host is not known."""
 
     def read(line: Column) -> Column:
-        return F.struct(
-            F.lit(None).cast("string").alias("host"),
-            F.regexp_extract(line, rules.OPEN_PORT, 1).alias("port"),
-            F.lower(F.regexp_extract(line, r"^\d+/(\w+)", 1)).alias("protocol"),
-            F.regexp_extract(line, rules.OPEN_PORT, 2).alias("service"),
-            tx.strip(F.regexp_extract(line, rules.OPEN_PORT, 3)).alias("version"),
+        return _service(
+            F.lit(None).cast("string"),
+            F.regexp_extract(line, rules.OPEN_PORT, 1),
+            F.lower(F.regexp_extract(line, r"^\d+/(\w+)", 1)),
+            F.regexp_extract(line, rules.OPEN_PORT, 2),
+            tx.strip(F.regexp_extract(line, rules.OPEN_PORT, 3)),
         )
 
-    found = F.transform(F.filter(tx.full_lines("output"), lambda r: r.rlike(rules.OPEN_PORT)), read)
-    return _service_rows(outputs, found)
+    return F.transform(F.filter(tx.full_lines(output), lambda r: r.rlike(rules.OPEN_PORT)), read)
 
 
-def services_json(outputs: DataFrame, max_items: int = rules.MAX_ITEMS) -> DataFrame:
-    """Open ports of a JSON scan: one host or a list; ports cut per host and per run."""
-    port = "struct<port:string,state:string,protocol:string,service:string,version:string>"
-    host = f"struct<ip:string,host:string,ports:array<{port}>>"
-    body = tx.strip("output")
-    hosts = F.when(body.startswith("["), F.from_json(body, f"array<{host}>")).otherwise(F.array(F.from_json(body, host)))
+def json_services(output: Column | str, max_items: int = rules.MAX_ITEMS) -> Column:
+    """Open ports of a JSON scan (one host or a list), as an array; ports cut per host and per run."""
+    body = tx.strip(output)
+    hosts = F.when(body.startswith("["), F.from_json(body, f"array<{_JSON_HOST}>")).otherwise(F.array(F.from_json(body, _JSON_HOST)))
 
     def rows_of(h: Column) -> Column:
         open_ports = F.filter(
-            F.slice(F.coalesce(h["ports"], F.array().cast(f"array<{port}>")), 1, max_items),
+            F.slice(F.coalesce(h["ports"], F.array().cast(f"array<{_PORT}>")), 1, max_items),
             lambda p: p.isNotNull() & (F.coalesce(p["state"], F.lit("")).isin("", "open")),
         )
-        return F.transform(
-            open_ports,
-            lambda p: F.struct(
-                F.coalesce(h["ip"], h["host"], F.lit("unknown")).alias("host"),
-                F.coalesce(p["port"], F.lit("")).alias("port"),
-                F.coalesce(p["protocol"], F.lit("tcp")).alias("protocol"),
-                F.coalesce(p["service"], F.lit("")).alias("service"),
-                F.coalesce(p["version"], F.lit("")).alias("version"),
-            ),
-        )
+        name = F.coalesce(h["ip"], h["host"], F.lit("unknown"))
+        return F.transform(open_ports, lambda p: _service(name, p["port"], p["protocol"], p["service"], p["version"]))
 
-    valid = outputs.filter(F.try_parse_json(body).isNotNull())
-    return _service_rows(valid, F.slice(F.flatten(F.transform(hosts, rows_of)), 1, max_items))
+    return F.slice(F.flatten(F.transform(hosts, rows_of)), 1, max_items)
 
 
-def services_xml(outputs: DataFrame, max_items: int = rules.MAX_ITEMS) -> DataFrame:
-    """Open ports of an XML scan."""
-    port = (
-        "struct<_portid:string,_protocol:string,state:struct<_state:string>,"
-        "service:struct<_name:string,_version:string>>"
-    )
-    schema = f"host array<struct<address:array<struct<_addr:string>>,ports:struct<port:array<{port}>>>>"
-    parsed = F.from_xml(tx.strip("output"), schema, {"attributePrefix": "_", "mode": "PERMISSIVE"})
+def xml_services(output: Column | str, max_items: int = rules.MAX_ITEMS) -> Column:
+    """Open ports of an XML scan, as an array."""
+    parsed = F.from_xml(tx.strip(output), f"host {_XML_HOSTS}", {"attributePrefix": "_", "mode": "PERMISSIVE"})
 
     def rows_of(h: Column) -> Column:
-        ports = F.coalesce(h["ports"]["port"], F.array().cast(f"array<{port}>"))
+        ports = F.coalesce(h["ports"]["port"], F.array().cast(f"array<{_XML_PORT}>"))
         open_ports = F.filter(ports, lambda p: p["state"].isNull() | (p["state"]["_state"] == "open"))
+        name = F.coalesce(F.get(h["address"], F.lit(0))["_addr"], F.lit("unknown"))
         return F.transform(
             open_ports,
-            lambda p: F.struct(
-                F.coalesce(F.get(h["address"], F.lit(0))["_addr"], F.lit("unknown")).alias("host"),
-                F.coalesce(p["_portid"], F.lit("")).alias("port"),
-                F.coalesce(p["_protocol"], F.lit("tcp")).alias("protocol"),
-                F.coalesce(p["service"]["_name"], F.lit("")).alias("service"),
-                F.coalesce(p["service"]["_version"], F.lit("")).alias("version"),
-            ),
+            lambda p: _service(name, p["_portid"], p["_protocol"], p["service"]["_name"], p["service"]["_version"]),
         )
 
-    hosts = F.coalesce(parsed["host"], F.from_json(F.lit("[]"), f"array<struct<address:array<struct<_addr:string>>,ports:struct<port:array<{port}>>>>"))
-    return _service_rows(outputs, F.slice(F.flatten(F.transform(hosts, rows_of)), 1, max_items))
+    return F.slice(F.flatten(F.transform(parsed["host"], rows_of)), 1, max_items)
 
 
 def _service_rows(outputs: DataFrame, rows: Column) -> DataFrame:
@@ -168,14 +164,33 @@ def _service_rows(outputs: DataFrame, rows: Column) -> DataFrame:
     return out.select("run_id", (F.col("item") + 1).alias("item"), *[F.col("_s")[c].alias(c) for c in SERVICE_COLUMNS[2:]])
 
 
+def services_text(outputs: DataFrame) -> DataFrame:
+    return _service_rows(outputs, text_services("output"))
+
+
+def services_json(outputs: DataFrame) -> DataFrame:
+    return _service_rows(outputs, json_services("output"))
+
+
+def services_xml(outputs: DataFrame) -> DataFrame:
+    return _service_rows(outputs, xml_services("output"))
+
+
+def service_items(tool: Column, output: Column | str) -> Column:
+    """Service rows by the parser the tool column names; JSON and XML that do not parse are read as text."""
+    text = text_services(output)
+    return (
+        F.when(tool == "services_text", text)
+        .when(tool == "services_json", F.coalesce(json_services(output), text))
+        .when(tool == "services_xml", F.coalesce(xml_services(output), text))
+        .otherwise(F.array().cast(_NO_SERVICES))
+    )
+
+
 def services(outputs: DataFrame) -> DataFrame:
-    """All scan outputs as one table, each by the parser its format asks for."""
+    """All scan outputs as one table in one pass, each by the parser its format asks for."""
     routed = outputs.withColumn("_r", route("command", "output"))
-    parts = [
-        parser(routed.filter(F.col("_r") == name))
-        for name, parser in (("services_text", services_text), ("services_json", services_json), ("services_xml", services_xml))
-    ]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return _service_rows(routed, service_items(F.col("_r"), "output"))
 
 
 def service_summary_items(output: Column | str) -> Column:
@@ -353,29 +368,28 @@ def render_section(title: Column, items: Column, max_items: int = rules.MAX_ITEM
 
 
 def signal_summary(outputs: DataFrame, max_items: int = rules.MAX_ITEMS) -> DataFrame:
-    """Short text per run by tool; JSON and XML scans render their service rows as JSON."""
-    t = rules.SUMMARY_TITLES
-    scan_title = F.when(F.exists(tx.full_lines("output"), lambda r: r.rlike(rules.OPEN_PORT)), t["services"]).otherwise(t["services_rest"])
+    """Short text per run by tool, in one pass; JSON and XML scans render their service rows as JSON."""
+    t, tool = rules.SUMMARY_TITLES, F.col("tool")
+    any_open = F.exists(tx.full_lines("output"), lambda r: r.rlike(rules.OPEN_PORT))
+    scan_title = F.when(any_open, t["services"]).otherwise(t["services_rest"])
     path_title = F.concat(F.initcap(tx.first_word("command")), F.lit(" Paths"))
-    routed = outputs.withColumn("tool", route("command", "output"))
-    structured = routed.filter(F.col("tool").isin("services_json", "services_xml"))
-    rows = services(structured).groupBy("run_id").agg(
-        F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("item", "host", "port", "protocol", "service", "version"))), lambda s: s.dropFields("item"))).alias("_j")
-    )
-    plain = (
-        F.when(F.col("tool") == "services_text", render_section(scan_title, service_summary_items("output"), max_items))
-        .when(F.col("tool") == "paths", render_section(path_title, path_summary_items("output"), max_items))
-        .when(F.col("tool") == "injection", render_section(F.lit(t["injection"]), keyword_items("output"), max_items))
-        .when(F.col("tool") == "edges", render_section(F.lit(t["edges"]), edge_summary_items("output"), max_items))
-        .when(F.col("tool") == "privesc", render_section(F.lit(t["privesc"]), privesc_items("output"), max_items))
-        .when(F.col("tool") == "empty", "")
-        .when(~F.col("tool").isin("services_json", "services_xml"), head_lines("output", max_items))
-    )
-    text = routed.filter(~F.col("tool").isin("services_json", "services_xml")).select("run_id", "tool", plain.alias("summary"))
-    as_json = structured.select("run_id", "tool").join(rows, "run_id", "left").select(
-        "run_id", "tool", F.concat(F.lit('{"nmap_summary":'), F.coalesce("_j", F.lit("[]")), F.lit("}")).alias("summary")
+    as_text = render_section(scan_title, service_summary_items("output"), max_items)
+
+    def as_json(rows: Column) -> Column:
+        return F.concat(F.lit('{"nmap_summary":'), F.to_json(rows), F.lit("}"))
+
+    summary = (
+        F.when(tool == "services_text", as_text)
+        .when(tool == "services_json", F.coalesce(as_json(json_services("output", max_items)), as_text))
+        .when(tool == "services_xml", F.coalesce(as_json(xml_services("output", max_items)), as_text))
+        .when(tool == "paths", render_section(path_title, path_summary_items("output"), max_items))
+        .when(tool == "injection", render_section(F.lit(t["injection"]), keyword_items("output"), max_items))
+        .when(tool == "edges", render_section(F.lit(t["edges"]), edge_summary_items("output"), max_items))
+        .when(tool == "privesc", render_section(F.lit(t["privesc"]), privesc_items("output"), max_items))
+        .when(tool == "empty", "")
+        .otherwise(head_lines("output", max_items))
     )
-    return text.unionByName(as_json)
+    return outputs.withColumn("tool", route("command", "output")).select("run_id", "tool", summary.alias("summary"))
 
 
 # ---------------------------------------------------------------- findings

@@ -14,8 +14,12 @@ from opsloom import rules
 from opsloom.session import spread
 
 
+def scan(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+    return spread(scan(spark, sf_dir, name))
 
 
 def sq(s: str) -> str:
@@ -64,10 +68,11 @@ _K = "CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT)"
 
 def commands(spark: SparkSession, sf_dir: str) -> DataFrame:
     """machine, sec, seq, event_type, k, command.  One "second" is 1,000 s of event time."""
-    ev = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value", "props")
-    return ev.selectExpr(
+    ev = scan(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value", "props")
+    derived = ev.selectExpr(
         "user_id AS machine", f"CAST(floor(({SECONDS}) / 1000) AS BIGINT) AS sec", "event_id AS seq", "event_type", "value", f"{_K} AS k"
     ).withColumn("command", F.expr(_COMMAND_CASE))
+    return spread(derived)
 
 
 SQL_COMMANDS = f"""commands AS (SELECT *, {_COMMAND_CASE} AS command FROM (
@@ -101,11 +106,12 @@ _OUTCMD_CASE = """CASE event_type
 
 def outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """run_id, machine, command, output, exit_code."""
-    ev = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "props")
-    return ev.selectExpr("event_id AS run_id", "user_id AS machine", "event_type", f"{_K} AS k").selectExpr(
+    ev = scan(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "props")
+    derived = ev.selectExpr("event_id AS run_id", "user_id AS machine", "event_type", f"{_K} AS k").selectExpr(
         "run_id", "machine", "event_type", "k", f"{_OUTCMD_CASE} AS command", f"{_OUTPUT_CASE} AS output",
         "CASE WHEN event_type = 'error' THEN 1 ELSE 0 END AS exit_code",
     )
+    return spread(derived)
 
 
 SQL_OUTPUTS = f"""outputs AS (SELECT *, {_OUTCMD_CASE} AS command, {_OUTPUT_CASE} AS output,
@@ -128,7 +134,7 @@ SQL_DOCS = """docs AS (SELECT doc_id, source AS "index", lang AS machine, regexp
 
 def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """query_id, text, target (a machine for every fourth query), phase_bucket."""
-    return table(spark, sf_dir, "benchmark").selectExpr(
+    return scan(spark, sf_dir, "benchmark").selectExpr(
         "item_id AS query_id", "text",
         "CASE item_id % 4 WHEN 1 THEN 'HackTheBox - DE' WHEN 2 THEN '' WHEN 3 THEN 'es ' ELSE 'en' END AS target",
         "CASE item_id % 3 WHEN 0 THEN 'recon' WHEN 1 THEN 'user' ELSE 'unknown' END AS phase_bucket",
