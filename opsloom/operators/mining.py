@@ -128,7 +128,10 @@ def text_services(output: Column | str) -> Column:
 
 
 def json_services(output: Column | str, max_items: int = rules.MAX_ITEMS) -> Column:
-    """Open ports of a JSON scan (one host or a list), as an array; ports cut per host and per run."""
+    """Open ports of a JSON scan (one host or a list), as an array; null for text that is not JSON.
+
+    Ports are cut per host and per run.
+    """
     body = tx.strip(output)
     hosts = F.when(body.startswith("["), F.from_json(body, f"array<{_JSON_HOST}>")).otherwise(F.array(F.from_json(body, _JSON_HOST)))
 
@@ -140,12 +143,14 @@ def json_services(output: Column | str, max_items: int = rules.MAX_ITEMS) -> Col
         name = F.coalesce(h["ip"], h["host"], F.lit("unknown"))
         return F.transform(open_ports, lambda p: _service(name, p["port"], p["protocol"], p["service"], p["version"]))
 
-    return F.slice(F.flatten(F.transform(hosts, rows_of)), 1, max_items)
+    rows = F.slice(F.flatten(F.transform(hosts, rows_of)), 1, max_items)
+    return F.when(F.try_parse_json(body).isNotNull(), rows)
 
 
 def xml_services(output: Column | str, max_items: int = rules.MAX_ITEMS) -> Column:
-    """Open ports of an XML scan, as an array."""
-    parsed = F.from_xml(tx.strip(output), f"host {_XML_HOSTS}", {"attributePrefix": "_", "mode": "PERMISSIVE"})
+    """Open ports of an XML scan, as an array; null for text that is not XML."""
+    schema = f"host {_XML_HOSTS}, _corrupt_record string"
+    parsed = F.from_xml(tx.strip(output), schema, {"attributePrefix": "_", "mode": "PERMISSIVE"})
 
     def rows_of(h: Column) -> Column:
         ports = F.coalesce(h["ports"]["port"], F.array().cast(f"array<{_XML_PORT}>"))
@@ -156,7 +161,8 @@ def xml_services(output: Column | str, max_items: int = rules.MAX_ITEMS) -> Colu
             lambda p: _service(name, p["_portid"], p["_protocol"], p["service"]["_name"], p["service"]["_version"]),
         )
 
-    return F.slice(F.flatten(F.transform(parsed["host"], rows_of)), 1, max_items)
+    rows = F.slice(F.flatten(F.transform(parsed["host"], rows_of)), 1, max_items)
+    return F.when(parsed["_corrupt_record"].isNull(), F.coalesce(rows, F.array().cast(_NO_SERVICES)))
 
 
 def _service_rows(outputs: DataFrame, rows: Column) -> DataFrame:
