@@ -68,11 +68,13 @@ _K = "CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT)"
 
 def commands(spark: SparkSession, sf_dir: str) -> DataFrame:
     """machine, sec, seq, event_type, k, command.  One "second" is 1,000 s of event time."""
-    ev = scan(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value", "props")
-    derived = ev.selectExpr(
+    return spread(derive_commands(scan(spark, sf_dir, "events")))
+
+
+def derive_commands(events: DataFrame) -> DataFrame:
+    return events.selectExpr(
         "user_id AS machine", f"CAST(floor(({SECONDS}) / 1000) AS BIGINT) AS sec", "event_id AS seq", "event_type", "value", f"{_K} AS k"
     ).withColumn("command", F.expr(_COMMAND_CASE))
-    return spread(derived)
 
 
 SQL_COMMANDS = f"""commands AS (SELECT *, {_COMMAND_CASE} AS command FROM (

@@ -56,8 +56,9 @@ def read_history(spark: SparkSession, path: str, max_files: int = 1000) -> DataF
     ).filter(F.col("command") != "")
 
 
-def read_commands(spark: SparkSession, path: str, schema: str = COMMAND_SCHEMA, max_files: int = 1000, fmt: str = "parquet") -> DataFrame:
-    return spark.readStream.format(fmt).schema(schema).option("maxFilesPerTrigger", max_files).load(path)
+def read_commands(spark: SparkSession, path: str, schema: str | T.StructType = COMMAND_SCHEMA, max_files: int = 1000, fmt: str = "parquet", names: str = "*") -> DataFrame:
+    """Command rows from the files of a folder whose names match ``names``."""
+    return spark.readStream.format(fmt).schema(schema).option("maxFilesPerTrigger", max_files).option("pathGlobFilter", names).load(path)
 
 
 def with_feedback(commands: DataFrame, feedback: DataFrame) -> DataFrame:
@@ -248,7 +249,7 @@ PHASES = "machine string, ts timestamp, seq bigint, previous_phase string, phase
 
 
 def phase_changes(commands: DataFrame, size: int = rules.CONTEXT_LIMIT, watermark: str = WATERMARK) -> DataFrame:
-    rated = commands.withWatermark("ts", watermark).select("machine", "ts", "seq", cx.command_phase("command").alias("rule"))
+    rated = commands.withWatermark("ts", watermark).select(F.col("machine").cast("string").alias("machine"), "ts", "seq", cx.command_phase("command").alias("rule"))
     return rated.groupBy("machine").transformWithState(
         statefulProcessor=Phase(size), outputStructType=PHASES, outputMode="append", timeMode="None"
     )
