@@ -6,14 +6,21 @@ windows only ever see the capped candidates of that query.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from opsloom import rules
 from opsloom.functions import text as tx
 
+BROADCAST_QUERIES = 10_000
+_WORD = re.compile("[a-z0-9]{2,}")
+
 
 def expand_queries(
     queries: DataFrame, text: str = "text", machine: str = "machine", history: str = "history", out: str = "expanded"
@@ -45,21 +52,26 @@ def lexical_hits(
     title: str = "title",
     content: str = "content",
     index: str = "index",
+    broadcast_queries: int = BROADCAST_QUERIES,
 ) -> DataFrame:
     """Documents with any query term as a word prefix in title or content.
 
-    Prefix match is an equi-join: each document offers the distinct prefixes of its
-    words once, in the lengths that query terms have.  The documents are spread by
-    doc_id first, so matches are counted in the task that holds the document, and the
-    window's group limit drops all but the best ``k`` per (query, index) before
-    anything is exchanged by query.  Ranked by matched terms, then doc_id.
+    The best ``k`` per (query, index): query_id, index, doc_id, distance, matched, rank;
+    ranked by matched terms, then doc_id.
+
+    Query tables up to a counted bound travel to the scan: a task counts matches per
+    batch of documents and emits only its best ``k`` per (query, index), so neither texts
+    nor pairs are exchanged.  Larger ones are joined on the term (``_lexical_join``).
     """
     terms = term_rows(queries, text).select("query_id", "term")
-    lengths = [r[0] for r in terms.select(F.length("term")).distinct().collect()] or [2]
     indexed = F.concat_ws("\n", F.col(title), F.col(content))
-    placed = docs.select(F.col(index).alias("index"), "doc_id", indexed.alias("_t")).repartition("doc_id")
-    keys = placed.select("index", "doc_id", F.explode(tx.token_prefixes(tx.index_tokens("_t"), lengths)).alias("term"))
-    counted = keys.join(terms, "term").groupBy("doc_id", "index", "query_id").agg(F.count(F.lit(1)).alias("matched"))
+    placed = docs.select(F.col(index).alias("index"), "doc_id", indexed.alias("_t"))
+    # At most twelve terms per query, so this is bounded by the query bound.
+    sample = terms.limit(broadcast_queries * rules.MAX_QUERY_TERMS + 1).toPandas()
+    if sample["query_id"].nunique() <= broadcast_queries and len(sample) <= broadcast_queries * rules.MAX_QUERY_TERMS:
+        counted = _lexical_scan(sample, placed, k)
+    else:
+        counted = _lexical_join(terms, placed)
     w = Window.partitionBy("query_id", "index").orderBy(F.desc("matched"), "doc_id")
     return (
         counted.withColumn("rank", F.row_number().over(w))
@@ -68,6 +80,89 @@ def lexical_hits(
     )
 
 
+def _lexical_join(terms: DataFrame, placed: DataFrame) -> DataFrame:
+    """Matched terms per (document, query) by an equi-join on word prefixes.
+
+    Each document offers the distinct prefixes of its words once, in the lengths that
+    query terms have.  Documents are spread by doc_id first, so the counting and the
+    window's group limit happen in the task that holds the document.
+    """
+    lengths = [r[0] for r in terms.select(F.length("term")).distinct().collect()] or [2]
+    keys = placed.repartition("doc_id").select(
+        "index", "doc_id", F.explode(tx.token_prefixes(tx.index_tokens("_t"), lengths)).alias("term")
+    )
+    return keys.join(terms, "term").groupBy("doc_id", "index", "query_id").agg(F.count(F.lit(1)).alias("matched"))
+
+
+def _lexical_scan(terms: pd.DataFrame, placed: DataFrame, k: int) -> DataFrame:
+    """The best ``k`` per (query, index) of each task."""
+    schema = T.StructType(
+        [
+            placed.schema["doc_id"],
+            placed.schema["index"],
+            T.StructField("query_id", T.LongType() if terms["query_id"].dtype.kind in "iu" else T.StringType()),
+            T.StructField("matched", T.LongType()),
+        ]
+    )
+    ids = list(dict.fromkeys(terms["query_id"]))
+    number = {q: i for i, q in enumerate(ids)}
+    asked: dict[str, list[int]] = {}
+    for q, term in zip(terms["query_id"], terms["term"]):
+        asked.setdefault(term, []).append(number[q])
+    holders = {term: np.array(qs) for term, qs in asked.items()}
+    lengths = sorted({len(t) for t in holders})
+
+    def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known: dict[str, tuple[str, ...]] = {}
+        best: pd.DataFrame | None = None
+        for pdf in batches:
+            if len(known) > 500_000:
+                known.clear()
+            counts = np.zeros((len(pdf), len(ids)), dtype="int16")
+            for row, body in enumerate(pdf["_t"]):
+                found: set[str] = set()
+                for word in set(_WORD.findall(body)):
+                    hit = known.get(word)
+                    if hit is None:
+                        hit = tuple(word[:n] for n in lengths if n <= len(word) and word[:n] in holders)
+                        known[word] = hit
+                    found.update(hit)
+                if found:
+                    counts[row] = np.bincount(np.concatenate([holders[t] for t in found]), minlength=len(ids))
+            top = _top_counts(pdf["doc_id"].to_numpy(), pdf["index"].to_numpy(), counts, ids, k)
+            best = top if best is None else pd.concat([best, top], ignore_index=True)
+            best = best.sort_values(["matched", "doc_id"], ascending=[False, True], kind="stable")
+            best = best[best.groupby(["query_id", "index"], sort=False).cumcount() < k]
+        if best is not None and len(best):
+            yield best[schema.names]
+
+    lowered = placed.select("doc_id", "index", F.lower("_t").alias("_t"))
+    return lowered.mapInPandas(task, schema)
+
+
+def _top_counts(docs: np.ndarray, index: np.ndarray, counts: np.ndarray, ids: list, k: int) -> pd.DataFrame:
+    names = np.array(ids, dtype=object)
+    parts = []
+    for value in pd.unique(index):
+        at = np.flatnonzero(index == value)
+        at = at[np.argsort(docs[at], kind="stable")]
+        here = counts[at]
+        order = np.argsort(-here, axis=0, kind="stable")[:k]
+        matched = np.take_along_axis(here, order, axis=0)
+        row, query = np.nonzero(matched)
+        parts.append(
+            pd.DataFrame(
+                {
+                    "doc_id": docs[at[order[row, query]]],
+                    "index": np.full(len(row), value, dtype=object),
+                    "query_id": names[query],
+                    "matched": matched[row, query].astype("int64"),
+                }
+            )
+        )
+    return pd.concat(parts, ignore_index=True)
+
+
 def title_rescue(
     queries: DataFrame,
     docs: DataFrame,

@@ -91,6 +91,11 @@ def lexical(spark, sf, k: int = K) -> DataFrame:
     return re_.lexical_hits(v.queries(spark, sf), v.docs(spark, sf), k)
 
 
+def lexical_join(spark, sf):
+    """The path for query tables above the bound."""
+    return re_.lexical_hits(v.queries(spark, sf), v.docs(spark, sf), K, broadcast_queries=1)
+
+
 def _missing(spark, sf) -> DataFrame:
     """Queries that only have a word in front that no text starts with, and their own words behind."""
     return v.queries(spark, sf).withColumn("text", F.concat(F.lit("zzqx "), F.get(F.split("text", " "), F.lit(2)), F.lit(" "), F.get(F.split("text", " "), F.lit(1))))
@@ -590,6 +595,7 @@ QUERIES = {
     "knn_top1": (knn_top1, SQL_TOP1),
     "query_tokens": (query_tokens, f"WITH {v.SQL_QUERIES}, {v.SQL_TERMS} SELECT query_id, ord, term FROM terms"),
     "lexical_search": (lexical, f"{CTX} SELECT * FROM lexical"),
+    "lexical_join": (lexical_join, f"{CTX} SELECT * FROM lexical"),
     "title_rescue": (title_rescue, SQL_RESCUE),
     "canonical_key": (canonical_key, SQL_CANON),
     "machine_filter": (machine_filter, SQL_MACHINE),
