@@ -388,6 +388,54 @@ def web_block(web: DataFrame) -> DataFrame:
     )
 
 
+def methodology_block(hits: DataFrame, name: str = "HackTricks", order: str = "rank") -> DataFrame:
+    """Citation block per query: numbered hits with their location, address and content."""
+    def opt(label: str, c: str) -> Column:
+        return F.when(tx.text_or_empty(c) != "", F.concat(F.lit(f"\n{label}: "), c)).otherwise("")
+
+    w = Window.partitionBy("query_id").orderBy(order)
+    row = F.concat(
+        F.lit(f"\n[{name} #"), F.col("_n").cast("string"), F.lit("] "), tx.text_or_empty("title"), opt("Location", "breadcrumb"),
+        opt("Reference", "url"), F.lit("\n\nContent:\n"), tx.text_or_empty("content"), F.lit("\n"),
+    )
+    head, tail = F.lit(f"\n--- {name} Methodology Reference ---\n"), F.lit(f"\n--- End {name} Reference ---\n")
+    return hits.withColumn("_n", F.row_number().over(w)).groupBy("query_id").agg(
+        F.concat(head, ordered_text(row, "_n"), tail).alias("methodology_block")
+    )
+
+
+def search_results(
+    queries: DataFrame, hits: DataFrame, web: DataFrame, preambles: tuple[str, str] = ("", ""), order: str = "rank"
+) -> DataFrame:
+    """One row per query: reference block, whether the web was used, hits and web rows as arrays, top similarities.
+
+    ``web``: normalised rows of the queries that may use them (see ``tiered_fallback``).
+    ``preambles``: put before web results when there are no, or some, local hits.
+    """
+    none, some = preambles
+    cite = "Cite the URLs below if you use any of this information.\n\n"
+    local = reference_block(queries, hits, order).withColumnRenamed("reference_block", "_local")
+    hit_list = hits.groupBy("query_id").agg(
+        F.array_sort(F.collect_list(F.struct(F.col(order).alias("rank"), "index", "doc_id", "distance"))).alias("hits")
+    )
+    web_list = web.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("web_rank", "title", "url", "snippet"))).alias("web_results"))
+    joined = (
+        local.join(hit_list, "query_id", "left")
+        .join(similarity_stats(hits).select("query_id", "top_similarity"), "query_id", "left")
+        .join(web_list, "query_id", "left")
+        .join(web_block(web), "query_id", "left")
+    )
+    live = F.concat(F.when(F.col("hits").isNull(), none).otherwise(some), F.lit(cite), "web_block")
+    block = (
+        F.when(F.col("web_block").isNull(), F.col("_local"))
+        .when(F.col("hits").isNull(), live)
+        .otherwise(F.concat("_local", F.lit("\n\n"), live))
+    )
+    return joined.select(
+        "query_id", block.alias("reference_block"), F.col("web_block").isNotNull().alias("used_web"), "hits", "web_results", "top_similarity"
+    )
+
+
 def solution_block(hits: DataFrame, machine: str = "target", order: str = "rank") -> DataFrame:
     """Guided material per query: title, address and content of each hit."""
     head = F.concat(F.lit("# "), F.first(machine), F.lit(" - Guided Solution Material\n\n"))

@@ -502,11 +502,32 @@ def solution_block(spark, sf):
     return s.select("query_id", F.sha2("solution_block", 256).alias("block_hash"))
 
 
+def methodology_block(spark, sf):
+    h = selected(spark, sf).withColumn("breadcrumb", F.when(F.col("doc_id") % 2 == 0, F.concat("index", F.lit(" > "), "title")))
+    return ra.methodology_block(h, order="slot").select("query_id", F.sha2("methodology_block", 256).alias("block_hash"))
+
+
+SQL_METH = f"""{SEL}, r AS (SELECT query_id, slot, concat(chr(10), '[HackTricks #', slot, '] ', title, CASE WHEN doc_id % 2 = 0 THEN concat(chr(10), 'Location: ', "index", ' > ', title) ELSE '' END,
+ chr(10), 'Reference: ', url, chr(10), chr(10), 'Content:', chr(10), content, chr(10)) AS t FROM selected)
+SELECT query_id, sha256(concat(chr(10), '--- HackTricks Methodology Reference ---', chr(10), string_agg(t, chr(10) ORDER BY slot), chr(10), '--- End HackTricks Reference ---', chr(10))) AS block_hash FROM r GROUP BY 1"""
+
+
+def search_results(spark, sf):
+    """The composed result per query; queries of even number may use the web."""
+    web = ra.normalise_web(_web(spark, sf)).filter("query_id % 2 = 0")
+    q = v.queries(spark, sf)
+    r = ra.search_results(q, selected(spark, sf), web.join(q, "query_id", "left_semi"), order="slot")
+    return r.select("query_id", "used_web", F.size("hits").cast("long").alias("n_hits"), F.when(F.col("used_web"), F.size("web_results")).otherwise(-1).cast("long").alias("n_web"), F.sha2("reference_block", 256).alias("block_hash"))
+
+
 def hits_by_source(spark, sf):
     h = ra.hits_by_source(selected(spark, sf), order="slot")
     return h.select("query_id", "source", "n_hits", F.sha2("block", 256).alias("block_hash"))
 
 
+SQL_RESULTS = f"""WITH rb AS ({SQL_REFBLOCK}), wb AS (SELECT * FROM ({SQL_WEBBLOCK}) WHERE query_id % 2 = 0), nw AS (SELECT query_id, count(*) AS n FROM ({SQL_WEB}) GROUP BY 1)
+SELECT rb.query_id, web_block IS NOT NULL AS used_web, 6 AS n_hits, CASE WHEN web_block IS NULL THEN -1 ELSE n END AS n_web,
+ sha256(reference_block || coalesce(chr(10) || chr(10) || 'Cite the URLs below if you use any of this information.' || chr(10) || chr(10) || web_block, '')) AS block_hash FROM rb LEFT JOIN wb USING (query_id) LEFT JOIN nw USING (query_id)"""
 SQL_BYSRC = f"""{SEL}, n AS (SELECT *, row_number() OVER (PARTITION BY query_id, "index" ORDER BY slot) AS no FROM selected),
 c AS (SELECT query_id, doc_id, "index", no, title, machine, url, distance, list_transform(list_slice(CASE WHEN ends_with(content, chr(10)) THEN string_split(content, chr(10)) ELSE string_split(content, chr(10)) END, 1, 120), lambda x: concat(chr(10), '      ', x)) AS ls FROM n)
 SELECT query_id, "index" AS source, count(*) AS n_hits, sha256(concat('### SOURCE: ', upper("index"), chr(10), string_agg(concat('[', no, '] title: ', CASE WHEN title = '' THEN '-' ELSE title END, chr(10), '    machine: ', machine, chr(10), '    url: ', url, chr(10), '    score: ', printf('%.4f', distance), chr(10), '    content:', array_to_string(ls, '')), chr(10) || chr(10) ORDER BY no))) AS block_hash FROM c GROUP BY 1, 2"""
@@ -622,6 +643,8 @@ QUERIES = {
     "reference_block": (reference_block, SQL_REFBLOCK),
     "web_block": (web_block, SQL_WEBBLOCK),
     "solution_block": (solution_block, None),
+    "methodology_block": (methodology_block, SQL_METH),
+    "search_results": (search_results, SQL_RESULTS),
     "hits_by_source": (hits_by_source, SQL_BYSRC),
     "hits_by_title": (hits_by_title, SQL_BYTITLE),
     "recall_overlap": (recall_overlap, SQL_RECALL),

@@ -99,6 +99,12 @@ p AS (SELECT *, lag(t) OVER (PARTITION BY conv_id ORDER BY turn) AS p FROM t), s
 SELECT conv_id, turn, similarity, similarity >= 0.9 AS repetitive FROM s"""
 
 
+def repetition_exact(spark, sf):
+    """Longest-matching-block ratio of consecutive replies."""
+    r = tr.repetition(numbered(spark, sf), exact=True, block_rows=BLOCK)
+    return r.select("conv_id", "turn", "similarity", "repetitive")
+
+
 def dedupe_messages(spark, sf):
     n = numbered(spark, sf).select("conv_id", "turn", "pos", F.when(F.col("turn") % 4 == 0, "a").otherwise("b").alias("role"), F.when(F.col("turn") % 5 < 3, F.lit("same")).otherwise(F.col("text")).alias("content"), F.when(F.col("turn") % 3 == 0, "").alias("reasoning_content"))
     return tr.dedupe_messages(n, block_rows=BLOCK).select("conv_id", "turn", "role", "content")
@@ -202,6 +208,7 @@ QUERIES = {
     "budget_prune": (budget_prune, SQL_PRUNE),
     "transcript_blob": (transcript_blob, SQL_BLOB),
     "repetition": (repetition, SQL_REP),
+    "repetition_exact": (repetition_exact, None),
     "dedupe_messages": (dedupe_messages, SQL_DEDUPE),
     "thought_tail": (thought_tail, SQL_THOUGHTS),
     "context_latest": (context_latest, SQL_LATEST),

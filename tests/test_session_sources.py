@@ -65,6 +65,31 @@ def test_request_key(spark):
     assert keys[0] == keys[1] == hashlib.sha256(f"s\nu\nm\n0.7\n{extra}".encode()).hexdigest() and len(set(keys)) == 3
 
 
+def test_exact_repetition(spark):
+    import difflib
+
+    texts = ["Try the /ip page with id", "Try the /ip page with whoami", "Try the /ip page with whoami!", "other"]
+    t = rows(spark, "conv_id int, turn int, role string, text string", *[(1, i, "assistant", x) for i, x in enumerate(texts)])
+    got = tr.repetition(tr.number_turns(t, block=2), exact=True, block_rows=2).orderBy("turn").collect()
+    want = [None] + [round(difflib.SequenceMatcher(None, a, b).ratio(), 6) for a, b in zip(texts, texts[1:])]
+    assert [r.similarity for r in got] == want and [r.repetitive for r in got] == [False] + [w >= 0.9 for w in want[1:]]
+
+
+def test_context_written_by_a_stream(spark, tmp_path):
+    src, out, cp = (str(tmp_path / n) for n in ("in", "ctx", "cp"))
+    schema = "machine string, updated_at timestamp, meter int"
+    for day, meter in ((1, 1), (2, 5)):
+        rows(spark, schema, ("lame", dt.datetime(2024, 1, day), meter)).write.mode("append").parquet(src)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
+    q = stream.writeStream.foreachBatch(sinks.context_writer(out)).option("checkpointLocation", cp).trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert [(r.machine, r.meter) for r in tr.latest_state(spark.read.parquet(out).drop("batch_id")).collect()] == [("lame", 5)]
+    # A replayed batch replaces itself.
+    first = spark.read.parquet(out).filter("meter = 1").first().batch_id
+    sinks.context_writer(out)(rows(spark, schema, ("lame", dt.datetime(2024, 1, 1), 1)), first)
+    assert spark.read.parquet(out).count() == 2
+
+
 # ---------------------------------------------------------------- readers
 def test_registry_defaults(spark):
     df = rows(spark, "name string, type string, clone_url string, local_path string", ("a", None, "u", "p"), ("b", "privesc", "u", "p"))
