@@ -13,12 +13,12 @@ from pyspark.sql import functions as F
 from opsloom.functions import commands as cx
 from opsloom.plans import history as h
 from opsloom.plans import views as v
-from opsloom.session import ensure_checkpoint_dir
+from opsloom.session import shared_folder
 from opsloom.streaming import history as st
 
 
 def _folder(spark: SparkSession) -> str:
-    return f"{ensure_checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def drain(df: DataFrame) -> DataFrame:

@@ -1,8 +1,8 @@
-"""Session set-up and the shared-folder helper used to cut lineage."""
+"""Session set-up and the shared-folder helpers used to cut lineage."""
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,18 +28,18 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, **conf: s
     return spark
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder for checkpoints.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share for intermediate results.
 
-    The cluster names it in ``spark.checkpoint.dir``; only where that is unset
-    (tests on one machine) a new temporary folder is used.
+    The cluster names it in ``spark.checkpoint.dir``.  Only where that is unset (tests on one
+    machine) a folder inside the warehouse, which is shared by definition, takes its place.
     """
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
-    target = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="opsloom-ckpt-")
-    spark.sparkContext.setCheckpointDir(target)
-    return target
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    spark.sparkContext.setCheckpointDir(named or spark.conf.get("spark.sql.warehouse.dir") + "/_checkpoints")
+    return spark.sparkContext.getCheckpointDir()
 
 
 def spread(df: DataFrame, small_bytes: int = 1 << 30) -> DataFrame:
@@ -59,5 +59,17 @@ def settle(df: DataFrame) -> DataFrame:
     For results that the next step reads more than once and that are costly to compute:
     chained two-pass operators would otherwise repeat everything below them at each link.
     """
-    ensure_checkpoint_dir(df.sparkSession)
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def new_path(spark: SparkSession, label: str) -> str:
+    """A path in the shared folder that nobody has used yet."""
+    return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def keep(df: DataFrame, label: str) -> DataFrame:
+    """Like ``settle``, as a Parquet table: compressed, and later reads take only the columns they need."""
+    path = new_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -73,9 +73,9 @@ def rewrite_purged(spark: SparkSession, path: str, fragment: str, index_name: st
     The rows kept are first materialised in the shared checkpoint folder, since the partition
     is read and replaced in one job otherwise.
     """
-    from opsloom.session import ensure_checkpoint_dir
+    from opsloom.session import shared_folder
 
-    ensure_checkpoint_dir(spark)
+    shared_folder(spark)
     part = spark.read.parquet(path).filter(F.col("index") == index_name)
     kept, deleted = purge_by_url(part, fragment)
     n = deleted.collect()[0]["deleted"]

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from opsloom.operators import corpus as co
 from opsloom.operators import embedding as em
 from opsloom.operators import transcript as tr
-from opsloom.session import ensure_checkpoint_dir
+from opsloom.session import shared_folder
 from opsloom.sources import readers, sinks
 
 
@@ -157,7 +157,7 @@ def test_full_refresh_replaces_one_index(spark, tmp_path):
 
 
 def test_purge(spark, tmp_path):
-    ensure_checkpoint_dir(spark)
+    shared_folder(spark)
     path = str(tmp_path / "chunks")
     sinks.refresh_partitions(chunks(spark, "webcrawl", "one", "two"), path)
     sinks.refresh_partitions(chunks(spark, "other", "one"), path)
