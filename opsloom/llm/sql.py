@@ -19,11 +19,11 @@ def _licences() -> str:
     for phrase, label in licences.PHRASES:
         ws = phrase.split()
         same = " AND ".join(f"w[i + {k}] = {_q(x)}" for k, x in enumerate(ws))
-        places.append(f"SELECT doc_id, {_q(label)} AS label, unnest(list_filter(range(1, len(w) - {len(ws) - 2}), i -> {same})) - 1 AS at FROM docs")
+        places.append(f"SELECT doc_id, {_q(label)} AS label, unnest(list_filter(range(1, len(w) - {len(ws) - 2}), i -> {same})) - 1 AS pos FROM docs")
     rows = [f"({_q(label)}, [{', '.join(map(_q, sorted(set(text.split()))))}], {math.ceil(licences.THRESHOLD * len(set(text.split())) - 1e-9)})" for label, text in licences.TEMPLATES]
     return f"""WITH docs AS (SELECT doc_id, regexp_extract_all({lower}, {word}) AS w, string_split({lower}, chr(10)) AS lines FROM documents),
 places AS ({' UNION ALL '.join(places)}),
-base AS (SELECT doc_id, count(*) AS n_base, min(at) AS first_word, max(at) AS last_word, list(DISTINCT label) AS labels FROM places GROUP BY 1),
+base AS (SELECT doc_id, count(*) AS n_base, min(pos) AS first_word, max(pos) AS last_word, list(DISTINCT label) AS labels FROM places GROUP BY 1),
 templates(label, words, need) AS (VALUES {', '.join(rows)}),
 blocks AS (SELECT doc_id, list_distinct(regexp_extract_all(line, {word})) AS t FROM (SELECT doc_id, unnest(lines) AS line FROM docs)),
 met AS (SELECT doc_id, label, len(list_intersect(t, words)) AS o, len(words) AS n, need FROM blocks, templates),
@@ -82,21 +82,21 @@ _VALID = {
 
 
 def _kind(order: int, kind: str) -> str:
-    return f"""SELECT doc_id, {order} AS o, '{kind}' AS kind, at AS s, at + length(v) AS e, v FROM (
- SELECT doc_id, vs[k] AS v, CAST(list_sum(list_transform(gs[1:k], x -> length(x))) + coalesce(list_sum(list_transform(vs[1:k - 1], x -> length(x))), 0) AS BIGINT) AS at FROM (
+    return f"""SELECT doc_id, {order} AS o, '{kind}' AS kind, pos AS s, pos + length(v) AS e, v FROM (
+ SELECT doc_id, vs[k] AS v, CAST(list_sum(list_transform(gs[1:k], x -> length(x))) + coalesce(list_sum(list_transform(vs[1:k - 1], x -> length(x))), 0) AS BIGINT) AS pos FROM (
   SELECT doc_id, gs, vs, unnest(range(1, len(vs) + 1)) AS k FROM (SELECT doc_id, string_split_regex(text, '{_RE[kind]}') AS gs, regexp_extract_all(text, '{_RE[kind]}') AS vs FROM docs))) WHERE {_VALID[kind]}"""
 
 
 _TERM = r"[\p{L}\p{N}]{3,}"
 PRIVACY = f"""WITH docs AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 base AS ({' UNION ALL '.join(_kind(i, k) for i, k in enumerate(privacy.KINDS))}),
-sides AS (SELECT b.doc_id, kind || ':' || lower(v) AS entity, text, greatest(0, s - {privacy.CONTEXT}) AS at, substr(text, greatest(0, s - {privacy.CONTEXT}) + 1, s - greatest(0, s - {privacy.CONTEXT})) AS t FROM base b JOIN docs d ON d.doc_id = b.doc_id
+sides AS (SELECT b.doc_id, kind || ':' || lower(v) AS entity, text, greatest(0, s - {privacy.CONTEXT}) AS pos, substr(text, greatest(0, s - {privacy.CONTEXT}) + 1, s - greatest(0, s - {privacy.CONTEXT})) AS t FROM base b JOIN docs d ON d.doc_id = b.doc_id
  UNION ALL SELECT b.doc_id, kind || ':' || lower(v), text, e, substr(text, e + 1, {privacy.CONTEXT}) FROM base b JOIN docs d ON d.doc_id = b.doc_id),
 cut AS (SELECT *, string_split_regex(t, '{_TERM}') AS gs, regexp_extract_all(t, '{_TERM}') AS vs FROM sides),
-placed AS (SELECT doc_id, entity, text, at, t, vs[k] AS v, CAST(list_sum(list_transform(gs[1:k], x -> length(x))) + coalesce(list_sum(list_transform(vs[1:k - 1], x -> length(x))), 0) AS BIGINT) AS p FROM (SELECT *, unnest(range(1, len(vs) + 1)) AS k FROM cut)),
-near AS (SELECT doc_id, entity, lower(v) AS term, at + p AS s, at + p + length(v) AS e FROM placed
- WHERE (p > 0 OR at = 0) AND (p + length(v) < length(t) OR at + length(t) >= length(text))
- AND NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = placed.doc_id AND b.s < at + p + length(v) AND at + p < b.e)),
+placed AS (SELECT doc_id, entity, text, pos, t, vs[k] AS v, CAST(list_sum(list_transform(gs[1:k], x -> length(x))) + coalesce(list_sum(list_transform(vs[1:k - 1], x -> length(x))), 0) AS BIGINT) AS p FROM (SELECT *, unnest(range(1, len(vs) + 1)) AS k FROM cut)),
+near AS (SELECT doc_id, entity, lower(v) AS term, pos + p AS s, pos + p + length(v) AS e FROM placed
+ WHERE (p > 0 OR pos = 0) AND (p + length(v) < length(t) OR pos + length(t) >= length(text))
+ AND NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = placed.doc_id AND b.s < pos + p + length(v) AND pos + p < b.e)),
 pairs AS (SELECT entity, term, count(DISTINCT doc_id) AS nb FROM near GROUP BY 1, 2 HAVING count(DISTINCT doc_id) >= {privacy.SUPPORT}),
 ents AS (SELECT kind || ':' || lower(v) AS entity, count(DISTINCT doc_id) AS ne FROM base GROUP BY 1),
 terms AS (SELECT term, count(*) AS nt FROM (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '{_TERM}'))) AS term FROM docs) GROUP BY 1),
