@@ -19,7 +19,7 @@ def _licences() -> str:
     for phrase, label in licences.PHRASES:
         ws = phrase.split()
         same = " AND ".join(f"w[i + {k}] = {_q(x)}" for k, x in enumerate(ws))
-        places.append(f"SELECT doc_id, {_q(label)} AS label, unnest(list_filter(range(1, len(w) - {len(ws) - 2}), i -> {same})) - 1 AS pos FROM docs")
+        places.append(f"SELECT doc_id, {_q(label)} AS label, unnest(list_filter(range(1, len(w) - {len(ws) - 2}), lambda i: {same})) - 1 AS pos FROM docs")
     rows = [f"({_q(label)}, [{', '.join(map(_q, sorted(set(text.split()))))}], {math.ceil(licences.THRESHOLD * len(set(text.split())) - 1e-9)})" for label, text in licences.TEMPLATES]
     return f"""WITH docs AS (SELECT doc_id, regexp_extract_all({lower}, {word}) AS w, string_split({lower}, chr(10)) AS lines FROM documents),
 places AS ({' UNION ALL '.join(places)}),
@@ -74,16 +74,16 @@ _RE = {
     "card": r"[0-9](?:[\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 _DIGITS = "regexp_replace(v, '[^0-9]', '', 'g')"
-_LUHN = f"list_sum(list_transform(range(1, length({_DIGITS}) + 1), i -> CASE WHEN i % 2 = 1 THEN CAST(substr(reverse({_DIGITS}), i, 1) AS INT) ELSE (2 * CAST(substr(reverse({_DIGITS}), i, 1) AS INT)) // 10 + (2 * CAST(substr(reverse({_DIGITS}), i, 1) AS INT)) % 10 END)) % 10 = 0"
+_LUHN = f"list_sum(list_transform(range(1, length({_DIGITS}) + 1), lambda i: CASE WHEN i % 2 = 1 THEN CAST(substr(reverse({_DIGITS}), i, 1) AS INT) ELSE (2 * CAST(substr(reverse({_DIGITS}), i, 1) AS INT)) // 10 + (2 * CAST(substr(reverse({_DIGITS}), i, 1) AS INT)) % 10 END)) % 10 = 0"
 _VALID = {
-    "email": "true", "ip": "list_max(list_transform(string_split(v, '.'), x -> CAST(x AS HUGEINT))) <= 255",
+    "email": "true", "ip": "list_max(list_transform(string_split(v, '.'), lambda x: CAST(x AS HUGEINT))) <= 255",
     "card": f"length({_DIGITS}) BETWEEN 13 AND 19 AND {_LUHN}", "phone": f"length({_DIGITS}) BETWEEN 9 AND 15",
 }
 
 
 def _kind(order: int, kind: str) -> str:
     return f"""SELECT doc_id, {order} AS o, '{kind}' AS kind, pos AS s, pos + length(v) AS e, v FROM (
- SELECT doc_id, vs[k] AS v, CAST(list_sum(list_transform(gs[1:k], x -> length(x))) + coalesce(list_sum(list_transform(vs[1:k - 1], x -> length(x))), 0) AS BIGINT) AS pos FROM (
+ SELECT doc_id, vs[k] AS v, CAST(list_sum(list_transform(gs[1:k], lambda x: length(x))) + coalesce(list_sum(list_transform(vs[1:k - 1], lambda x: length(x))), 0) AS BIGINT) AS pos FROM (
   SELECT doc_id, gs, vs, unnest(range(1, len(vs) + 1)) AS k FROM (SELECT doc_id, string_split_regex(text, '{_RE[kind]}') AS gs, regexp_extract_all(text, '{_RE[kind]}') AS vs FROM docs))) WHERE {_VALID[kind]}"""
 
 
@@ -93,7 +93,7 @@ base AS ({' UNION ALL '.join(_kind(i, k) for i, k in enumerate(privacy.KINDS))})
 sides AS (SELECT b.doc_id, kind || ':' || lower(v) AS entity, text, greatest(0, s - {privacy.CONTEXT}) AS pos, substr(text, greatest(0, s - {privacy.CONTEXT}) + 1, s - greatest(0, s - {privacy.CONTEXT})) AS t FROM base b JOIN docs d ON d.doc_id = b.doc_id
  UNION ALL SELECT b.doc_id, kind || ':' || lower(v), text, e, substr(text, e + 1, {privacy.CONTEXT}) FROM base b JOIN docs d ON d.doc_id = b.doc_id),
 cut AS (SELECT *, string_split_regex(t, '{_TERM}') AS gs, regexp_extract_all(t, '{_TERM}') AS vs FROM sides),
-placed AS (SELECT doc_id, entity, text, pos, t, vs[k] AS v, CAST(list_sum(list_transform(gs[1:k], x -> length(x))) + coalesce(list_sum(list_transform(vs[1:k - 1], x -> length(x))), 0) AS BIGINT) AS p FROM (SELECT *, unnest(range(1, len(vs) + 1)) AS k FROM cut)),
+placed AS (SELECT doc_id, entity, text, pos, t, vs[k] AS v, CAST(list_sum(list_transform(gs[1:k], lambda x: length(x))) + coalesce(list_sum(list_transform(vs[1:k - 1], lambda x: length(x))), 0) AS BIGINT) AS p FROM (SELECT *, unnest(range(1, len(vs) + 1)) AS k FROM cut)),
 near AS (SELECT doc_id, entity, lower(v) AS term, pos + p AS s, pos + p + length(v) AS e FROM placed
  WHERE (p > 0 OR pos = 0) AND (p + length(v) < length(t) OR pos + length(t) >= length(text))
  AND NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = placed.doc_id AND b.s < pos + p + length(v) AND pos + p < b.e)),
