@@ -22,7 +22,7 @@ def op2_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = repeats.remove_repeats(table(spark, sf_dir, "documents"))
+    out = repeats.remove_repeats(table(spark, sf_dir, "documents"), texts=False)
     return out.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 

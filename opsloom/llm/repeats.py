@@ -4,7 +4,7 @@
    probed with every rolling window of that length.  Any repeat of ``window`` words holds a whole block of each document
    that has it, so words without a hit need no further look.  Hashes travel to ranges of the hash space in packed
    arrays, and hits travel back as (document, places).
-2. Extension.  Around each hit the whole windows of ``window`` words are taken (80 bits of hash within a range), and for each the
+2. Extension.  Around each hit the whole windows of ``window`` words are taken (96 bits of hash), and for each the
    smallest document that has it is found.  Windows next to each other join to maximal repeats.
 
 A task sends each hash once, however many of its documents have it: what a task can settle on its own (the
@@ -44,51 +44,61 @@ def _from_planes(raw: bytes, kind: str) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(width, -1).T).view(kind).ravel()
 
 
-def _pack(part: int, doc: np.ndarray, text: np.ndarray, place: np.ndarray, key: np.ndarray, more: np.ndarray | None, flag: np.ndarray) -> dict:
+def _pack(part: int, width: int, doc: np.ndarray, text: np.ndarray | None, place: np.ndarray, key: np.ndarray, more: np.ndarray | None, flag: np.ndarray) -> dict:
     """Entries in document order: documents once each with their number of entries, places as steps, keys without the byte that ``part`` implies."""
     first = np.ones(len(doc), bool)
-    first[1:] = (doc[1:] != doc[:-1]) | (text[1:] != text[:-1])
+    first[1:] = doc[1:] != doc[:-1]
+    if text is not None:
+        first[1:] |= text[1:] != text[:-1]
+    else:  # a text begins anew where its places do
+        first[1:] |= place[1:] < place[:-1]
     at = np.flatnonzero(first)
     step = place.astype(np.int64)
     step[1:] -= np.where(first[1:], 0, place[:-1])
     return {
-        "part": part, "docs": _planes(doc[at]), "texts": text[at].tobytes(), "sizes": _planes(np.diff(np.append(at, len(doc))).astype("<u4")),
-        "places": _planes(step.astype("<u4")), "keys": key.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES].T.tobytes(), "more": b"" if more is None else more.tobytes(), "flags": np.packbits(flag).tobytes(),
+        "part": part, "docs": _planes(doc[at]), "texts": b"" if text is None else text[at].tobytes(), "sizes": _planes(np.diff(np.append(at, len(doc))).astype("<u4")),
+        "places": _planes(step.astype("<u4")), "keys": key.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes(), "more": b"" if more is None else more.tobytes(), "flags": np.packbits(flag).tobytes(),
     }
 
 
-#: Bytes of a block hash that travel.  Together with the part they are only a filter; whole windows are compared by 32 bits more.
-KEY_BYTES = 6
+#: Bytes of a hash that travel: for blocks, which together with the part are only a filter, and for whole windows (with 32 bits more).
+BLOCK_BYTES, WINDOW_BYTES = 4, 8
 
 
 def _unpack(row: dict) -> tuple[np.ndarray, ...]:
     size = _from_planes(row["sizes"], "<u4").astype(np.int64)
     n = int(size.sum())
-    doc, text = np.repeat(_from_planes(row["docs"], "<i8"), size), np.repeat(np.frombuffer(row["texts"], "<i8"), size)
+    doc, text = np.repeat(_from_planes(row["docs"], "<i8"), size), np.repeat(np.frombuffer(row["texts"], "<i8"), size) if row["texts"] else np.zeros(n, np.int64)
     step = _from_planes(row["places"], "<u4").astype(np.int64)
     run = np.cumsum(step)
     begin = np.cumsum(size) - size
     place = run - np.repeat(run[begin] - step[begin], size)
     key = np.zeros((n, 8), np.uint8)
-    key[:, :KEY_BYTES] = np.frombuffer(row["keys"], np.uint8).reshape(KEY_BYTES, n).T
+    width = len(row["keys"]) // max(n, 1)
+    key[:, :width] = np.frombuffer(row["keys"], np.uint8).reshape(width, n).T
     flag = np.unpackbits(np.frombuffer(row["flags"], np.uint8), count=2 * n).astype(bool)
     return doc, text, place, key.view("<u8").ravel(), np.frombuffer(row["more"], "<u4") if row["more"] else np.zeros(n, "<u4"), flag[:n], flag[n:]
 
 
-def _hit_rows(doc: np.ndarray, text: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
-    """One row for each run of entries of one document."""
+def _hit_rows(doc: np.ndarray, text: np.ndarray, place: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """One row per document and text, of entries sorted by document, text and place (repeats of a place count once)."""
     if not len(doc):
-        return pa.RecordBatch.from_pylist([], schema=HIT_SCHEMA)
-    first = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (text[1:] != text[:-1])))
+        return
+    new = np.append(True, (doc[1:] != doc[:-1]) | (text[1:] != text[:-1]))
+    other = new | np.append(True, place[1:] != place[:-1])
+    doc, text, place, new = doc[other], text[other], place[other], new[other]
+    first = np.flatnonzero(new)
     places = pa.ListArray.from_arrays(pa.array(np.append(first, len(doc)).astype(np.int32)), pa.array(place.astype(np.int32)))
-    return pa.RecordBatch.from_arrays([pa.array(doc[first]), pa.array(text[first]), places], schema=HIT_SCHEMA)
+    whole = pa.RecordBatch.from_arrays([pa.array(doc[first]), pa.array(text[first]), places], schema=HIT_SCHEMA)
+    for at in range(0, whole.num_rows, 2000):
+        yield whole.slice(at, 2000)
 
 
 HIT_SCHEMA = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("places", pa.list_(pa.int32()))])
 PACKED_SCHEMA = pa.schema([("part", pa.int32())] + [(c, pa.binary()) for c in ("docs", "texts", "sizes", "places", "keys", "more", "flags")])
 
 
-def _send(parts: int, doc, text, place, key, more, settled, flags) -> Iterator[pa.RecordBatch]:
+def _send(parts: int, width: int, doc, text, place, key, more, settled, flags) -> Iterator[pa.RecordBatch]:
     """Packed rows of the entries to compare, and of those already settled (part -1 - part: they only pass through)."""
     part = (key >> np.uint64(40)).astype(np.int64) % parts
     part = np.where(settled, -1 - part, part)
@@ -97,7 +107,7 @@ def _send(parts: int, doc, text, place, key, more, settled, flags) -> Iterator[p
     rows = []
     for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(part)], strict=True):
         o = order[a:b]
-        rows.append(_pack(int(part[o[0]]), doc[o], text[o], place[o], key[o], None if more is None else more[o], np.concatenate((flags[0][o], flags[1][o]))))
+        rows.append(_pack(int(part[o[0]]), width, doc[o], None if text is None else text[o], place[o], key[o], None if more is None else more[o], np.concatenate((flags[0][o], flags[1][o]))))
         if len(rows) == 512:
             yield pa.RecordBatch.from_pylist(rows, schema=PACKED_SCHEMA)
             rows = []
@@ -105,23 +115,67 @@ def _send(parts: int, doc, text, place, key, more, settled, flags) -> Iterator[p
         yield pa.RecordBatch.from_pylist(rows, schema=PACKED_SCHEMA)
 
 
-def _exchange(sent: DataFrame, judge) -> DataFrame:
-    """Bring the entries of each part together; ``judge`` marks the entries that are hits.  One part is held at a time, still packed until its turn."""
+def _exchange(sent: DataFrame, judge, parts: int) -> DataFrame:
+    """doc_id, text_key, places of the entries that ``judge`` marks, one row per document.
+
+    The entries of each part are brought together, one part at a time being unpacked; what is marked goes back to its
+    documents, packed by ranges of documents.
+    """
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[dict]] = {}
+        out: list[tuple[np.ndarray, ...]] = []
         for b in batches:
             for row in b.to_pylist():
                 if row["part"] < 0:
-                    yield _hit_rows(*_unpack(row)[:3])
+                    out.append(_unpack(row)[:3])
                 else:
                     held.setdefault(row["part"], []).append(row)
+                if sum(len(x[0]) for x in out) >= FLUSH:
+                    yield _returned(out, parts)
+                    out = []
         while held:
             doc, text, place, *rest = (np.concatenate(x) for x in zip(*map(_unpack, held.popitem()[1]), strict=True))
             at = np.flatnonzero(judge(doc, *rest))
-            yield _hit_rows(doc[at], text[at], place[at])
+            out.append((doc[at], text[at], place[at]))
+            if not held or sum(len(x[0]) for x in out) >= FLUSH:
+                yield _returned(out, parts)
+                out = []
+        if out:
+            yield _returned(out, parts)
+
+    def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[dict]] = {}
+        for b in batches:
+            for row in b.to_pylist():
+                held.setdefault(row["range"], []).append(row)
+        while held:
+            rows = held.popitem()[1]
+            doc, text = (np.concatenate([np.frombuffer(r[c], "<i8") for r in rows]) for c in ("docs", "texts"))
+            place = np.concatenate([_from_planes(r["places"], "<u4") for r in rows])
+            order = np.lexsort((place, text, doc))
+            yield from _hit_rows(doc[order], text[order], place[order])
+
+    return sent.repartition("part").mapInArrow(of, RETURNED).repartition("range").mapInArrow(together, HITS)
 
-    return sent.repartition("part").mapInArrow(of, HITS)
+
+#: Entries that a task gathers before it sends them back to their documents.
+FLUSH = 2_000_000
+RETURNED = "range int, docs binary, texts binary, places binary"
+
+
+def _returned(found: list[tuple[np.ndarray, ...]], ranges: int) -> pa.RecordBatch:
+    doc, text, place = (np.concatenate(x) for x in zip(*found, strict=True))
+    with np.errstate(over="ignore"):
+        own = ((doc.view(np.uint64) * wd.ODD) >> np.uint64(33)).astype(np.int64) % ranges
+    order = np.lexsort((place, doc, own))
+    own = own[order]
+    cuts = np.flatnonzero(np.append(True, own[1:] != own[:-1])) if len(own) else np.zeros(0, int)
+    rows = []
+    for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(own)], strict=True):
+        o = order[a:b]
+        rows.append({"range": int(own[a]), "docs": doc[o].astype("<i8").tobytes(), "texts": text[o].astype("<i8").tobytes(), "places": _planes(place[o].astype("<u4"))})
+    return pa.RecordBatch.from_pylist(rows, schema=pa.schema([("range", pa.int32()), ("docs", pa.binary()), ("texts", pa.binary()), ("places", pa.binary())]))
 
 
 # ---------------------------------------------------------------- the two questions
@@ -181,7 +235,7 @@ def anchors(docs: DataFrame, window: int, parts: int) -> DataFrame:
                 continue
             row = np.repeat(np.arange(len(counts)), counts)[at]
             place = at - (np.cumsum(counts) - counts)[row]
-            key, doc, text = wd.rolling(wd.hashes(words), block)[at], _ids(b)[row], _text_keys(b)[row]
+            key, doc = wd.rolling(wd.hashes(words), block)[at], _ids(b)[row]
             order, group = _groups(key)
             d = doc[order]
             many = _least(d, group) < _least(d, group, np.maximum)
@@ -193,7 +247,7 @@ def anchors(docs: DataFrame, window: int, parts: int) -> DataFrame:
             many, aligned, lead = many[back], aligned[back], lead[back]
             for chosen, settled in ((many, True), (lead, False)):
                 o = np.flatnonzero(chosen)
-                yield from _send(parts, doc[o], text[o], place[o], key[o], None, np.full(len(o), settled), (many[o], aligned[o]))
+                yield from _send(parts, BLOCK_BYTES, doc[o], None, place[o], key[o], None, np.full(len(o), settled), (many[o], aligned[o]))
 
     return docs.mapInArrow(of, PACKED)
 
@@ -225,37 +279,40 @@ def extensions(found: DataFrame, window: int, parts: int) -> DataFrame:
             later = np.zeros(len(at), bool)
             later[order] = doc[order] > _least(doc[order], group)
             none = np.zeros(len(at), bool)
-            yield from _send(parts, doc, text, place, key, more, later, (none, none))
+            yield from _send(parts, WINDOW_BYTES, doc, text, place, key, more, later, (none, none))
 
     return found.mapInArrow(of, PACKED)
 
 
-def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", window: int = WINDOW) -> DataFrame:
+def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", window: int = WINDOW, texts: bool = True) -> DataFrame:
     """doc_id, n_words, n_removed, kept (the words that stay, joined by one space), kept_sha256, spans (maximal removed runs as word places, end exclusive).
 
+    Without ``texts``, ``kept`` is null and texts without a hit are not exchanged.
+
     A null text has no words.  A null key is larger than any other.  Rows that repeat a key are one document as far as
     "an earlier document" goes: they never remove each other's words, and each gives a row.  An empty table gives an
     empty result.  Columns other than ``text`` and ``key`` are not read.
     """
     spark = docs.sparkSession
-    parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     one = docs.select(F.col(key).cast("long").alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
-    hits = _exchange(anchors(one, window, parts), _shared_blocks)
-    by_doc = hits.groupBy("doc_id").agg(F.flatten(F.collect_list("places")).alias("places"))  # at most one place per word of a document
+    by_doc = _exchange(anchors(one, window, parts), _shared_blocks, parts)
     marked = one.join(by_doc, F.coalesce("_key", F.lit(int(NONE))) == F.col("doc_id"))
     found = keep(marked.select("_key", "_text", "places"), "repeat-candidates")
-    later = _exchange(extensions(found, window, parts), _later_windows).groupBy("doc_id", "text_key").agg(F.flatten(F.collect_list("places")).alias("places"))
-    clean = one.join(found.select(F.col("_key").alias("_other")).distinct(), F.col("_key").eqNullSafe(F.col("_other")), "left_anti").select("_key", "_text", F.lit(None).cast("array<int>").alias("places"))
+    later = _exchange(extensions(found, window, parts), _later_windows, parts)
+    spec = "doc_id bigint, n_words bigint, n_removed bigint, kept string, kept_sha256 string, spans array<struct<start:int,end:int>>"
+    whole = one.withColumn("places", F.lit(None).cast("array<int>")).mapInArrow(_cut(window, texts), spec)
+    clean = whole.join(found.select(F.col("_key").alias("_other")).distinct(), F.col("doc_id").eqNullSafe(F.col("_other")), "left_anti")
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b["_key"], b["_text"], pa.array(_ids(b)), pa.array(_text_keys(b))], ["_key", "_text", "doc_id", "text_key"])
 
     changed = found.select("_key", "_text").mapInArrow(keyed, "_key bigint, _text string, doc_id bigint, text_key bigint").join(later, ["doc_id", "text_key"], "left").select("_key", "_text", "places")
-    return clean.unionByName(changed).mapInArrow(_cut(window), "doc_id bigint, n_words bigint, n_removed bigint, kept string, kept_sha256 string, spans array<struct<start:int,end:int>>")
+    return clean.unionByName(changed.mapInArrow(_cut(window, texts), spec))
 
 
-def _cut(window: int):
+def _cut(window: int, texts: bool):
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string()), ("kept_sha256", pa.string()), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))])
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -278,6 +335,6 @@ def _cut(window: int):
                 g = np.diff(np.concatenate(([False], gone[base[r] : base[r] + counts[r]], [False])).astype(np.int8))
                 spans[r] = [{"start": s, "end": e} for s, e in zip(np.flatnonzero(g == 1).tolist(), np.flatnonzero(g == -1).tolist(), strict=True)]
             sha = [hashlib.sha256(k).hexdigest() for k in kept.cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b["_key"], pa.array(counts), pa.array(counts - np.diff(ends)), kept, pa.array(sha), pa.array(spans, schema.field("spans").type)], schema=schema)
+            yield pa.RecordBatch.from_arrays([b["_key"], pa.array(counts), pa.array(counts - np.diff(ends)), kept if texts else pa.nulls(b.num_rows, pa.string()), pa.array(sha), pa.array(spans, schema.field("spans").type)], schema=schema)
 
     return of
