@@ -100,10 +100,12 @@ PACKED_SCHEMA = pa.schema([("part", pa.int32())] + [(c, pa.binary()) for c in ("
 
 def _send(parts: int, width: int, doc, text, place, key, more, settled, flags) -> Iterator[pa.RecordBatch]:
     """Packed rows of the entries to compare, and of those already settled (part -1 - part: they only pass through)."""
+    if not len(doc):
+        return
     part = (key >> np.uint64(40)).astype(np.int64) % parts
     part = np.where(settled, -1 - part, part)
     order = np.argsort(part, kind="stable")
-    cuts = np.flatnonzero(np.append(True, np.diff(part[order]) != 0)) if len(part) else np.zeros(0, int)
+    cuts = np.flatnonzero(np.append(True, np.diff(part[order]) != 0))
     rows = []
     for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(part)], strict=True):
         o = order[a:b]
@@ -172,7 +174,7 @@ def _returned(found: list[tuple[np.ndarray, ...]], ranges: int) -> pa.RecordBatc
     own = own[order]
     cuts = np.flatnonzero(np.append(True, own[1:] != own[:-1])) if len(own) else np.zeros(0, int)
     rows = []
-    for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(own)], strict=True):
+    for a, b in zip(cuts.tolist(), np.append(cuts, len(own))[1:].tolist(), strict=True):
         o = order[a:b]
         rows.append({"range": int(own[a]), "docs": doc[o].astype("<i8").tobytes(), "texts": text[o].astype("<i8").tobytes(), "places": _planes(place[o].astype("<u4"))})
     return pa.RecordBatch.from_pylist(rows, schema=pa.schema([("range", pa.int32()), ("docs", pa.binary()), ("texts", pa.binary()), ("places", pa.binary())]))
