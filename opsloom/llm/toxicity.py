@@ -27,7 +27,9 @@ FEATURES = 4096
 #: Most labelled rows that the regression is fitted on (those with the smallest hash of their key); counts and ratios use all.
 FIT_ROWS = 20_000
 SMOOTHING = 1.0
-PENALTY = 1e-3
+PENALTY = 1e-5
+#: Bytes of text whose n-grams are held at a time.
+CHUNK = 1 << 20
 THRESHOLD = 0.3
 
 
@@ -75,7 +77,7 @@ def _counts(train: DataFrame, sizes, bits: int) -> np.ndarray:
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((1 << bits, 2), np.int64)
-        for b in wd.chunks(batches, "_text"):
+        for b in wd.chunks(batches, "_text", CHUNK):
             r, g = _distinct(*grams(b["_text"], sizes, bits), bits)
             y = b["_toxic"].to_numpy(zero_copy_only=False)[r]
             for k in (0, 1):
@@ -91,7 +93,7 @@ def _counts(train: DataFrame, sizes, bits: int) -> np.ndarray:
 
 def _features(train: DataFrame, table: np.ndarray, sizes, bits: int, most: int) -> tuple[list[np.ndarray], np.ndarray]:
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in wd.chunks(batches, "_text"):
+        for b in wd.chunks(batches, "_text", CHUNK):
             row, bucket = grams(b["_text"], sizes, bits)
             f = table[bucket]
             r, f = _distinct(row[f >= 0], f[f >= 0], bits)
@@ -106,7 +108,7 @@ def _features(train: DataFrame, table: np.ndarray, sizes, bits: int, most: int)
     return [size, flat], got["y"].to_numpy().astype(float)
 
 
-def _regression(size: np.ndarray, flat: np.ndarray, ratio: np.ndarray, y: np.ndarray, penalty: float, steps: int = 150) -> tuple[np.ndarray, float]:
+def _regression(size: np.ndarray, flat: np.ndarray, ratio: np.ndarray, y: np.ndarray, penalty: float, steps: int = 600) -> tuple[np.ndarray, float]:
     """Logistic regression by accelerated gradient steps with a diagonal scale; sparse rows given by ``size`` and ``flat``."""
     n, row, x = max(1, len(y)), np.repeat(np.arange(len(y)), size), ratio[flat]
     rate = min(max(float(y.mean()) if len(y) else 0.5, 1e-6), 1 - 1e-6)
@@ -150,7 +152,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", key: str = "doc_id"
     shared = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size: buckets and features
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in wd.chunks(batches, "_text"):
+        for b in wd.chunks(batches, "_text", CHUNK):
             s = shared.value.scores(b["_text"])
             yield pa.RecordBatch.from_arrays([b["_key"], pa.array(s), pa.array((s >= threshold).astype(np.int32))], ["_key", "score", "predicted"])
 
