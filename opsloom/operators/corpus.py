@@ -436,7 +436,7 @@ def fence_commands(c: Column | str) -> Column:
 # ---------------------------------------------------------------- keys
 def with_doc_key(df: DataFrame, *fields: str, content: str = "content", out: str = "doc_key", chars: int = 24) -> DataFrame:
     """Content key over ``fields`` and the first characters of the content."""
-    parts = [F.col(f) for f in fields] + [F.left(F.col(content), F.lit(rules.KEY_CHARS))]
+    parts = [F.col(f) for f in fields] + [F.col(content)]
     return df.withColumn(out, tx.content_key(*parts, chars=chars))
 
 

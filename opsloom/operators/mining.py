@@ -127,27 +127,24 @@ def text_services(output: Column | str) -> Column:
     return F.transform(F.filter(tx.full_lines(output), lambda r: r.rlike(rules.OPEN_PORT)), read)
 
 
-def json_services(output: Column | str, max_items: int = rules.MAX_ITEMS) -> Column:
-    """Open ports of a JSON scan (one host or a list), as an array; null for text that is not JSON.
-
-    Ports are cut per host and per run.
-    """
+def json_services(output: Column | str) -> Column:
+    """Open ports of a JSON scan (one host or a list), as an array; null for text that is not JSON."""
     body = tx.strip(output)
     hosts = F.when(body.startswith("["), F.from_json(body, f"array<{_JSON_HOST}>")).otherwise(F.array(F.from_json(body, _JSON_HOST)))
 
     def rows_of(h: Column) -> Column:
         open_ports = F.filter(
-            F.slice(F.coalesce(h["ports"], F.array().cast(f"array<{_PORT}>")), 1, max_items),
+            F.coalesce(h["ports"], F.array().cast(f"array<{_PORT}>")),
             lambda p: p.isNotNull() & (F.coalesce(p["state"], F.lit("")).isin("", "open")),
         )
         name = F.coalesce(h["ip"], h["host"], F.lit("unknown"))
         return F.transform(open_ports, lambda p: _service(name, p["port"], p["protocol"], p["service"], p["version"]))
 
-    rows = F.slice(F.flatten(F.transform(hosts, rows_of)), 1, max_items)
+    rows = F.flatten(F.transform(hosts, rows_of))
     return F.when(F.try_parse_json(body).isNotNull(), rows)
 
 
-def xml_services(output: Column | str, max_items: int = rules.MAX_ITEMS) -> Column:
+def xml_services(output: Column | str) -> Column:
     """Open ports of an XML scan, as an array; null for text that is not XML."""
     schema = f"host {_XML_HOSTS}, _corrupt_record string"
     parsed = F.from_xml(tx.strip(output), schema, {"attributePrefix": "_", "mode": "PERMISSIVE"})
@@ -161,7 +158,7 @@ def xml_services(output: Column | str, max_items: int = rules.MAX_ITEMS) -> Colu
             lambda p: _service(name, p["_portid"], p["_protocol"], p["service"]["_name"], p["service"]["_version"]),
         )
 
-    rows = F.slice(F.flatten(F.transform(parsed["host"], rows_of)), 1, max_items)
+    rows = F.flatten(F.transform(parsed["host"], rows_of))
     return F.when(parsed["_corrupt_record"].isNull(), F.coalesce(rows, F.array().cast(_NO_SERVICES)))
 
 
@@ -386,8 +383,8 @@ def signal_summary(outputs: DataFrame, max_items: int = rules.MAX_ITEMS) -> Data
 
     summary = (
         F.when(tool == "services_text", as_text)
-        .when(tool == "services_json", F.coalesce(as_json(json_services("output", max_items)), as_text))
-        .when(tool == "services_xml", F.coalesce(as_json(xml_services("output", max_items)), as_text))
+        .when(tool == "services_json", F.coalesce(as_json(F.slice(json_services("output"), 1, max_items)), as_text))
+        .when(tool == "services_xml", F.coalesce(as_json(F.slice(xml_services("output"), 1, max_items)), as_text))
         .when(tool == "paths", render_section(path_title, path_summary_items("output"), max_items))
         .when(tool == "injection", render_section(F.lit(t["injection"]), keyword_items("output"), max_items))
         .when(tool == "edges", render_section(F.lit(t["edges"]), edge_summary_items("output"), max_items))

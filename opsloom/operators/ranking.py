@@ -66,7 +66,7 @@ def hit_features(
 
 def fingerprint(source: Column | str, machine: Column | str, title: Column | str, content: Column | str) -> Column:
     parts = [tx.text_or_empty(source), tx.text_or_empty(machine), tx.text_or_empty(title)]
-    return F.sha1(F.concat_ws("|", *parts, F.left(tx.text_or_empty(content), F.lit(rules.FINGERPRINT_CHARS))))
+    return F.sha1(F.concat_ws("|", *parts, tx.text_or_empty(content)))
 
 
 def phase_bonus(

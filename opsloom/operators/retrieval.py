@@ -234,7 +234,7 @@ def target_hits(
         "doc_id",
         order_col.alias("_ord"),
         tx.canonical_machine(machine).alias("_key"),
-        F.sha2(F.concat_ws("|", F.col(machine), F.left(F.col(content), F.lit(rules.KEY_CHARS))), 256).alias("_copy"),
+        F.sha2(F.concat_ws("|", F.col(machine), F.col(content)), 256).alias("_copy"),
     ).filter(F.col("_key") != "")
     per_index = Window.partitionBy("_key", "index").orderBy("doc_id")
     capped = keyed.withColumn("_n", F.row_number().over(per_index)).filter(F.col("_n") <= max(3 * k, k))
@@ -261,7 +261,7 @@ def hybrid_merge(
     key = docs.select(
         F.col(index).alias("index"),
         "doc_id",
-        F.sha2(F.concat_ws("|", F.col(index), F.left(F.col(content), F.lit(rules.KEY_CHARS))), 256).alias("_copy"),
+        F.sha2(F.concat_ws("|", F.col(index), F.col(content)), 256).alias("_copy"),
     )
     cols = ("query_id", "index", "doc_id", "distance", "rank")
     both = (

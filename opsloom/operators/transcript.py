@@ -212,9 +212,10 @@ def delete_by_key(rows: DataFrame, gone: DataFrame, keys: Sequence[str] = ("mach
 
 
 def request_key(system: Column, user: Column, model: Column, temperature: Column, extra: Column) -> Column:
-    """SHA-256 over the request; ``extra`` is JSON text and counts by its sorted form."""
+    """SHA-256 over the request; ``extra`` is JSON text and counts by its sorted form, with a blank after each comma and colon outside of its strings."""
     sorted_extra = F.coalesce(F.to_json(F.try_parse_json(extra)), F.lit("{}"))
-    spaced = F.regexp_replace(F.regexp_replace(sorted_extra, '":', '": '), r',(?=["{\[\dtfn-])', ", ")
+    text = r'"(?:[^"\\]|\\.)*+"'
+    spaced = F.regexp_replace(F.regexp_replace(sorted_extra, rf'\G((?:[^",]|{text})*+),', "$1, "), rf'\G((?:[^":]|{text})*+):', "$1: ")
     return F.sha2(F.concat_ws("\n", system, user, model, temperature.cast("string"), F.left(F.sha2(spaced, 256), F.lit(16))), 256)
 
 

@@ -43,7 +43,7 @@ def content_key(spark, sf):
     return narrow
 
 
-SQL_KEY = f"""WITH {SQL_CHUNKS} SELECT c.doc_id, start, left(sha256(concat(source, '|', lang, '|u/', c.doc_id, '|', left(content, 200))), 24) AS doc_key,
+SQL_KEY = f"""WITH {SQL_CHUNKS} SELECT c.doc_id, start, left(sha256(concat(source, '|', lang, '|u/', c.doc_id, '|', content)), 24) AS doc_key,
  left(sha256(concat(lang, '|', source)), 16) AS short_key FROM chunks c JOIN documents d USING (doc_id)"""
 
 
@@ -53,7 +53,7 @@ def corpus_dedup(spark, sf):
     return co.distinct_by_key(d.select("doc_key", "source", "doc_id"), "doc_key", ["doc_id"])
 
 
-SQL_DEDUP = """SELECT left(sha256(concat(source, '|', left(text, 200))), 24) AS doc_key, any_value(source) AS source, max(doc_id) AS doc_id FROM documents GROUP BY 1"""
+SQL_DEDUP = """SELECT left(sha256(concat(source, '|', text)), 24) AS doc_key, any_value(source) AS source, max(doc_id) AS doc_id FROM documents GROUP BY 1"""
 
 
 def tag_rules(spark, sf):
@@ -456,7 +456,6 @@ QUERIES = {
     "hash_embed": (hash_embed, SQL_HASH),
     "embed_distinct": (embed_distinct, SQL_EMBED_DISTINCT),
     "embed_udf": (embed_udf, SQL_EMBED_UDF),
-    "src_files": (src_files, None),
     "src_text": (src_text, SQL_SRC_TEXT),
     "src_registry": (src_registry, SQL_REGISTRY),
     "doc_ingest": (doc_ingest, SQL_DOC_INGEST),

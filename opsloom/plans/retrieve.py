@@ -143,7 +143,7 @@ def target_first(spark, sf):
 
 
 _TARGET = f"""tq AS (SELECT query_id, {v.sql_canonical('target')} AS key FROM queries),
-td AS (SELECT doc_id, "index", {v.sql_canonical('machine')} AS key, left(content, 200) AS c, row_number() OVER (PARTITION BY {v.sql_canonical('machine')}, "index" ORDER BY doc_id) AS n FROM docs),
+td AS (SELECT doc_id, "index", {v.sql_canonical('machine')} AS key, content AS c, row_number() OVER (PARTITION BY {v.sql_canonical('machine')}, "index" ORDER BY doc_id) AS n FROM docs),
 tc AS (SELECT *, row_number() OVER (PARTITION BY key, "index", c ORDER BY n) AS copy FROM td WHERE n <= {3 * K}),
 tr AS (SELECT key, "index", doc_id, row_number() OVER (PARTITION BY key ORDER BY "index", n) AS rank FROM tc WHERE copy = 1),
 target AS (SELECT query_id, "index", doc_id, CAST(0 AS DOUBLE) AS distance, rank, 'target' AS origin FROM tr JOIN tq USING (key) WHERE key <> '' AND rank <= {K})"""
@@ -164,7 +164,7 @@ def hybrid_merge(spark, sf):
 
 _MERGE = f"""WITH {v.SQL_DOCS}, {v.SQL_QUERIES}, {v.SQL_TERMS}, {v.SQL_DOCWORDS}, {v.sql_lexical(3)}, {v.sql_vector(K)},
 mb AS (SELECT query_id, "index", doc_id, distance, rank, 0 AS o, 'lexical' AS origin FROM lexical UNION ALL SELECT query_id, "index", doc_id, distance, rank, 1, 'vector' FROM vector),
-mk AS (SELECT mb.*, row_number() OVER (PARTITION BY query_id, mb."index", left(content, 200) ORDER BY o, rank, mb.doc_id) AS copy FROM mb JOIN docs USING (doc_id)),
+mk AS (SELECT mb.*, row_number() OVER (PARTITION BY query_id, mb."index", content ORDER BY o, rank, mb.doc_id) AS copy FROM mb JOIN docs USING (doc_id)),
 merged AS (SELECT * FROM (SELECT query_id, "index", doc_id, distance, origin, row_number() OVER (PARTITION BY query_id, "index" ORDER BY o, rank, doc_id) AS rank FROM mk WHERE copy = 1) WHERE rank <= {K})"""
 
 
@@ -305,7 +305,7 @@ d AS (SELECT doc_id, ['recon', 'user', 'root', 'unknown'][doc_id % 4 + 1] AS pha
 SELECT doc_id, round(least(0.5, sum(CASE WHEN contains(tags, tag) THEN CAST(weight AS DOUBLE) ELSE 0 END + CASE WHEN contains(crumb, tag) THEN CAST(weight AS DOUBLE) / 2 ELSE 0 END)), 6) AS bonus FROM d JOIN w USING (phase) GROUP BY 1"""
 
 
-_FP_SQL = """sha1(concat("index", '|', machine, '|', title, '|', left(content, 300)))"""
+_FP_SQL = """sha1(concat("index", '|', machine, '|', title, '|', content))"""
 
 
 def _shown(spark, sf) -> DataFrame:
@@ -604,7 +604,7 @@ hd AS (SELECT l.query_id, l."index", l.doc_id, distance, row_number() OVER (PART
 rs AS (SELECT *, round(0.65 * {_OV} + 0.25 * (1 - distance), 6) AS final_score FROM hd),
 reranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY final_score DESC, position) AS rank FROM rs),
 d0 AS (SELECT *, row_number() OVER (PARTITION BY query_id, "index" ORDER BY rank) > 1 AS later FROM reranked)
-SELECT query_id, slot, doc_id AS chunk_id, "index", left(sha256(concat("index", '|', title, '|', left(content, 200))), 24) AS doc_key, final_score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY later, rank) AS slot FROM d0) WHERE slot <= 5"""
+SELECT query_id, slot, doc_id AS chunk_id, "index", left(sha256(concat("index", '|', title, '|', content)), 24) AS doc_key, final_score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY later, rank) AS slot FROM d0) WHERE slot <= 5"""
 
 
 QUERIES = {

@@ -208,7 +208,6 @@ QUERIES = {
     "budget_prune": (budget_prune, SQL_PRUNE),
     "transcript_blob": (transcript_blob, SQL_BLOB),
     "repetition": (repetition, SQL_REP),
-    "repetition_exact": (repetition_exact, None),
     "dedupe_messages": (dedupe_messages, SQL_DEDUPE),
     "thought_tail": (thought_tail, SQL_THOUGHTS),
     "context_latest": (context_latest, SQL_LATEST),

@@ -61,8 +61,6 @@ RESCUE_INDEX = "gtfobins"
 MAX_QUERY_TERMS = 12
 LEXICAL_DISTANCE = 0.55
 RERANK_CANDIDATES = 10
-KEY_CHARS = 200
-FINGERPRINT_CHARS = 300
 SHOWN_TURNS = 3
 SHOWN_TTL_SECONDS = 6 * 3600
 CONFIDENT_SIMILARITY = 0.40

@@ -190,7 +190,13 @@ def redact_json(payload: Column | str, max_chars: int = 2000) -> Column:
     def walk(s: pd.Series) -> pd.Series:
         return s.map(lambda t: None if t is None else json.dumps(clean(json.loads(t))))
 
-    return walk(tx.col(payload))
+    # Text that is no JSON has no keys to look at: it counts as one text value.
+    raw = tx.col(payload)
+    plain = F.when(raw.startswith("data:image") & raw.contains(";base64,"), F.concat(F.lit("<image-data-uri length="), F.length(raw).cast("string"), F.lit(">")))
+    cut = F.concat(F.left(raw, F.lit(limit)), F.lit("...<truncated "), (F.length(raw) - limit).cast("string"), F.lit(" chars>"))
+    whole = F.coalesce(plain, F.when(F.length(raw) > limit, cut), raw)
+    good = F.try_parse_json(raw).isNotNull()
+    return F.when(good, walk(F.when(good, raw))).otherwise(whole)
 
 
 def write_traces(df: DataFrame, path: str, max_chars: int = 2000) -> None:

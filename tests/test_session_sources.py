@@ -203,3 +203,16 @@ def test_redaction(spark, tmp_path):
     item = got["n"]["list"][0]
     assert got["Token"] == "<redacted>" and item["API_KEY"] == "<redacted>" and got["n"]["x-api-key"] == "<redacted>" and got["n"]["ok"] == 1
     assert item["img"] == "<image-data-uri length=24>" and item["t"] == "y" * 256 + "...<truncated 44 chars>"
+
+
+def test_request_key_tells_commas_in_texts_apart(spark):
+    df = spark.createDataFrame([('{"k":"a,1"}',), ('{"k":"a, 1"}',), ('{ "k" : "a,1" }',)], "e string")
+    keys = [r.k for r in df.select(tr.request_key(F.lit("s"), F.lit("u"), F.lit("m"), F.lit(0.5), F.col("e")).alias("k")).collect()]
+    assert keys[0] != keys[1] and keys[0] == keys[2]
+
+
+def test_redaction_survives_broken_json(spark):
+    from opsloom.sources import sinks
+
+    df = spark.createDataFrame([('{"token": "x", "a": 1}',), ("{broken",), (None,)], "p string")
+    assert [r[0] for r in df.select(sinks.redact_json("p")).collect()] == ['{"token": "<redacted>", "a": 1}', "{broken", None]
