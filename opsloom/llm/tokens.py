@@ -12,7 +12,6 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 
 from opsloom.llm import words as wd
 
@@ -102,7 +101,3 @@ def encoder(path: str) -> Encoder:
 def with_end(ids: np.ndarray, counts: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
     """The ids of each row with ``end`` after them."""
     return np.insert(ids, np.cumsum(counts), end).astype("<u2"), counts + 1
-
-
-def text_type(text: pa.Array) -> pa.Array:
-    return pc.fill_null(text, "")
