@@ -1,7 +1,7 @@
 """Toxicity scores from a linear classifier on character n-grams scaled by naive Bayes log-count ratios.
 
 1. Counts: for each hashed n-gram the number of toxic and of other labelled training documents that hold it, over all
-   training rows, by one grouped sum (as many rows as there are buckets).
+   training rows, added up as arrays of fixed size.
 2. Ratios r = log((p + a) / |p| : (q + a) / |q|); the n-grams with the largest |r| weighted by their spread stay as features.
 3. Logistic regression on presence x r, fitted on at most FIT_ROWS training rows, with equal weight for both classes'
    share as found in the data, so that scores are probabilities.
@@ -10,6 +10,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -72,26 +73,46 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def _counts(train: DataFrame, sizes, bits: int) -> np.ndarray:
-    """Documents per bucket, toxic and other: a (buckets, 2) array, whatever the number of documents."""
+def _counts(rows: DataFrame, sizes, bits: int) -> tuple[np.ndarray, int]:
+    """Documents per bucket, toxic and other, as a (buckets, 2) array whatever the number of documents, and the number of documents.
+
+    A task sends its counts as compressed arrays, one for each of 256 ranges of buckets; they are added in two steps, so that
+    no group holds the arrays of more than 256 tasks, or of the sums of 256 tasks each.
+    """
+    width = max(1, (1 << bits) // 256)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((1 << bits, 2), np.int64)
+        from pyspark import TaskContext
+
+        total, n = np.zeros((1 << bits, 2), np.int64), 0
         for b in wd.chunks(batches, "_text", CHUNK):
             r, g = _distinct(*grams(b["_text"], sizes, bits), bits)
             y = b["_toxic"].to_numpy(zero_copy_only=False)[r]
             for k in (0, 1):
                 total[:, k] += np.bincount(g[y == k], minlength=1 << bits)
-        at = np.flatnonzero(total.any(1))
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at, 1]), pa.array(total[at, 0])], ["g", "p", "q"])
-
-    rows = train.mapInArrow(of, "g bigint, p bigint, q bigint").groupBy("g").agg(F.sum("p").alias("p"), F.sum("q").alias("q")).toArrow()
+            n += b.num_rows
+        if n:
+            parts = range(0, 1 << bits, width)
+            packed = [zlib.compress(total[at : at + width].astype("<i8").tobytes(), 1) for at in parts]
+            own = [pa.array(np.arange(len(parts), dtype=np.int32)), pa.array(np.full(len(parts), TaskContext.get().partitionId() // 256, np.int32)), pa.array(packed, pa.binary()), pa.array([n] + [0] * (len(parts) - 1), pa.int64())]
+            yield pa.RecordBatch.from_arrays(own, ["part", "salt", "counts", "n"])
+
+    def added(pdf):
+        import pandas as pd
+
+        total = sum(np.frombuffer(zlib.decompress(x), "<i8") for x in pdf["counts"])
+        return pd.DataFrame({"part": pdf["part"].iloc[:1], "counts": [zlib.compress(total.tobytes(), 1)], "n": [pdf["n"].sum()]})
+
+    sent = rows.mapInArrow(of, "part int, salt int, counts binary, n bigint")
+    spec = "part int, counts binary, n bigint"
+    got = sent.groupBy("part", "salt").applyInPandas(added, spec).groupBy("part").applyInPandas(added, spec).collect()
     out = np.zeros((1 << bits, 2))
-    out[rows["g"].to_numpy()] = np.column_stack((rows["p"].to_numpy(), rows["q"].to_numpy()))
-    return out
+    for row in got:
+        out[row["part"] * width : (row["part"] + 1) * width] = np.frombuffer(zlib.decompress(row["counts"]), "<i8").reshape(-1, 2)
+    return out, sum(row["n"] for row in got)
 
 
-def _features(train: DataFrame, table: np.ndarray, sizes, bits: int, most: int) -> tuple[list[np.ndarray], np.ndarray]:
+def _features(rows: DataFrame, table: np.ndarray, sizes, bits: int, most: int) -> tuple[list[np.ndarray], np.ndarray]:
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in wd.chunks(batches, "_text", CHUNK):
             row, bucket = grams(b["_text"], sizes, bits)
@@ -100,14 +121,24 @@ def _features(train: DataFrame, table: np.ndarray, sizes, bits: int, most: int)
             cuts = np.concatenate(([0], np.cumsum(np.bincount(r, minlength=b.num_rows))))
             yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(f.astype(np.int16))), b["_toxic"]], ["f", "y"])
 
-    chosen = train.orderBy(F.xxhash64("_key"), "_key").limit(most)
-    got = chosen.mapInArrow(of, "f array<smallint>, y int").toArrow()
+    got = rows.mapInArrow(of, "f array<smallint>, y int").limit(most).toArrow()
     lists = got["f"].combine_chunks()
     size = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64) if len(lists) else np.zeros(0, np.int64)
     flat = lists.flatten().to_numpy().astype(np.int64) if len(lists) else np.zeros(0, np.int64)
     return [size, flat], got["y"].to_numpy().astype(float)
 
 
+def _sample(known: DataFrame, docs: DataFrame, rows: int, most: int) -> DataFrame:
+    """The labels of about ``most`` of the ``rows`` labelled documents, those with the smallest hashes of their keys; all if there are no more.
+
+    Only keys and labels are exchanged for it.
+    """
+    if rows > most:
+        edge = int(0.95 * most / rows * 2**64) - 2**63
+        known = known.filter(F.xxhash64("_label_key") < F.lit(edge))
+    return known.join(docs.select(F.col("_doc").alias("_label_key")).distinct(), "_label_key", "left_semi")
+
+
 def _regression(size: np.ndarray, flat: np.ndarray, ratio: np.ndarray, y: np.ndarray, penalty: float, steps: int = 600) -> tuple[np.ndarray, float]:
     """Logistic regression by accelerated gradient steps with a diagonal scale; sparse rows given by ``size`` and ``flat``."""
     n, row, x = max(1, len(y)), np.repeat(np.arange(len(y)), size), ratio[flat]
@@ -126,10 +157,16 @@ def _regression(size: np.ndarray, flat: np.ndarray, ratio: np.ndarray, y: np.nda
     return v, vb
 
 
-def train(labelled: DataFrame, text: str = "text", label: str = "toxic", key: str = "doc_id", sizes=SIZES, bits: int = BITS, features: int = FEATURES, fit_rows: int = FIT_ROWS, smoothing: float = SMOOTHING, penalty: float = PENALTY) -> Model:
-    """A model from rows with a label of 0 or 1; others are left out.  ``key`` only picks the rows for the regression.  Without rows every score is 0.5."""
-    rows = labelled.filter(F.col(label).isin(0, 1)).select(F.col(key).alias("_key"), F.col(text).alias("_text"), F.col(label).cast("int").alias("_toxic"))
-    counts = _counts(rows, sizes, bits)
+def train(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "toxic", key: str = "doc_id", sizes=SIZES, bits: int = BITS, features: int = FEATURES, fit_rows: int = FIT_ROWS, smoothing: float = SMOOTHING, penalty: float = PENALTY) -> Model:
+    """A model from the documents that have a label of 0 or 1; others are left out.  ``key`` only joins them.  Without any, every score is 0.5.
+
+    A key with several labels takes one of them.  Texts are exchanged once, to meet their labels for the counts.  For the
+    regression the labels go to the texts: at most ``fit_rows`` of them, whatever the size of the tables.
+    """
+    known = labels.filter(F.col(label).isin(0, 1)).groupBy(F.col(key).alias("_label_key")).agg(F.max(F.col(label).cast("int")).alias("_toxic"))
+    bodies = docs.select(F.col(key).alias("_doc"), F.col(text).alias("_text"))
+    met = F.col("_doc") == F.col("_label_key")
+    counts, n = _counts(bodies.join(known, met).select("_text", "_toxic"), sizes, bits)
     p, q = counts[:, 0] + smoothing, counts[:, 1] + smoothing
     ratio = np.log((p / p.sum()) / (q / q.sum()))
     # n-grams by how far they shift the odds, weighted by how often they can
@@ -138,7 +175,8 @@ def train(labelled: DataFrame, text: str = "text", label: str = "toxic", key: st
     best = best[worth[best] > 0]
     table = np.full(1 << bits, -1, np.int32)
     table[best] = np.arange(len(best))
-    (size, flat), y = _features(rows, table, sizes, bits, fit_rows)
+    few = F.broadcast(_sample(known, bodies, n, fit_rows))  # a key and a label of at most about fit_rows documents
+    (size, flat), y = _features(bodies.join(few, met).select("_text", "_toxic"), table, sizes, bits, fit_rows)
     weight, bias = _regression(size, flat, ratio[best], y, penalty) if len(best) else (np.zeros(0), 0.0 if not len(y) else float(np.log((y.mean() + 1e-6) / (1 - y.mean() + 1e-6))))
     return Model(table, weight * ratio[best], bias, sizes, bits)
 
@@ -167,7 +205,5 @@ def held_out(key: str = "doc_id"):
 
 def score_documents(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "toxic", threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score, predicted: trained on the labelled rows that are not held out, then every row scored."""
-    known = labels.filter(~held_out(key)).filter(F.col(label).isin(0, 1)).select(F.col(key).alias("_label_key"), F.col(label).alias("_label")).dropDuplicates(["_label_key"])
-    labelled = docs.select(F.col(key).alias("_doc"), F.col(text).alias("_body")).join(known, F.col("_doc") == F.col("_label_key"))
-    model = train(labelled, "_body", "_label", "_doc")
+    model = train(docs, labels.filter(~held_out(key)), text, label, key)
     return score(docs, model, text, key, threshold).select(key, held_out(key).alias("held_out"), "score", "predicted")
