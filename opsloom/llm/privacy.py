@@ -2,8 +2,8 @@
 
 Protected entities are the addresses and numbers that the patterns find.  A term that stands near an entity discloses it
 as far as knowing the term removes doubt about the entity: D(t, e) = PMI(t; e) / IC(e), with document probabilities
-over the whole corpus.  D is 1 if the term occurs only with the entity and 0 if the two are independent.  Terms of at least
-SUPPORT documents with D >= REMOVE are removed near the entity, those with D >= GENERALISE are replaced by their kind.
+over the whole corpus.  D is 1 if the term occurs only with the entity and 0 if the two are independent.  Terms with
+D >= REMOVE are removed near the entity, those with D >= GENERALISE are replaced by their kind, in however few documents they stand.
 """
 
 from __future__ import annotations
@@ -24,6 +24,7 @@ PATTERNS = {
 IP_RANGE = r"^0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})(?:\.0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})){3}$"
 #: Characters looked at on either side of an entity; terms cut by the edge are left out.
 CONTEXT = 80
+#: Only the SQL in ``sql.py`` still reads this: it drops pairs and terms of fewer documents, the operator does not.
 SUPPORT = 3
 GENERALISE, REMOVE = 0.7, 0.9
 TERM = r"[\p{L}\p{N}]{3,}"
@@ -111,7 +112,7 @@ def near_terms(entities: DataFrame, context: int = CONTEXT) -> DataFrame:
     return free.select("_row", "entity", F.lower("value").alias("term"), "start", "end", "value")
 
 
-def disclosure(docs: DataFrame, near: DataFrame, entities: DataFrame, support: int = SUPPORT, least: float = GENERALISE) -> DataFrame:
+def disclosure(docs: DataFrame, near: DataFrame, entities: DataFrame, support: int = 1, least: float = GENERALISE) -> DataFrame:
     """entity, term, disclosure of the pairs at or above ``least``.  ``docs`` has _text (all rows), ``entities`` _row and _spans."""
     total = docs.count()
     pairs = near.select("_row", "entity", "term").distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_both")).filter(F.col("n_both") >= support)
@@ -126,7 +127,7 @@ def disclosure(docs: DataFrame, near: DataFrame, entities: DataFrame, support: i
 
 
 # ---------------------------------------------------------------- documents
-def find(docs: DataFrame, text: str = "text", key: str = "doc_id", support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
+def find(docs: DataFrame, text: str = "text", key: str = "doc_id", support: int = 1, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, _base (spans), _terms (spans of disclosing terms with their action).
 
     Rows are told apart by key and text: rows equal in both share their terms.  A null text is an empty one; a null key is

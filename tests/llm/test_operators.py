@@ -224,6 +224,12 @@ def test_privacy_terms(spark):
     assert got[0].clean == "the owner  wrote  [email] about the thing 0" and got[10].clean == rows[5][1]
 
 
+def test_privacy_terms_of_one_document(spark):
+    rows = [(0, "the owner Zarquon wrote to zed@mail.example about the thing")] + [(i, "the owner wrote about the thing of the day") for i in range(10, 60)]
+    got = {r.doc_id: r._terms for r in privacy.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [(t.value, t.action) for t in got[0]] == [("Zarquon", "remove")] and not got[10]
+
+
 # ---------------------------------------------------------------- empty tables
 def test_empty_tables(spark):
     d, b = empty(spark), spark.createDataFrame([], "item_id long, text string")
