@@ -1,10 +1,12 @@
 """Licence scan: exact set-similarity join of text blocks with licence templates, in DataFrame operations only.
 
-Blocks are the lines of a text, tokens their different words.  A block meets a template if it holds at least ``threshold``
+Blocks are the lines of a text and, for notices wrapped over several lines, overlapping runs of words across lines; tokens
+are their different words.  A block meets a template if it holds at least ``threshold``
 of the template's tokens.  Tokens are put in global frequency order (rarest first, counted over all blocks).  Then only
 blocks that share a token within both prefixes can reach the needed overlap (prefix filter), if they have enough tokens
 (length filter) and enough are left after the shared place on both sides (positional filter); these are verified in full.
-Overlap counts template words alone, so blocks are cut down to those before anything moves.
+Overlap counts template words alone, so blocks are cut down to those before anything moves.  In a run across lines the
+overlap is that of the best stretch of as many words as the template has, so words scattered over lines do not add up.
 """
 
 from __future__ import annotations
@@ -62,6 +64,17 @@ def blocks(docs: DataFrame, key: str = "_key", text: str = "_plain") -> DataFram
     return docs.select(key, F.explode(F.split(text, "\n")).alias("_block"))
 
 
+def runs_across_lines(docs: DataFrame, words: int, rare: list[str], key: str = "_key", text: str = "_plain") -> DataFrame:
+    """Blocks of 2 x ``words`` words, one every ``words`` words: each stretch of ``words`` words is whole in one of them.
+
+    Only of texts with several lines that have one of the words ``rare``.
+    """
+    many = docs.filter(F.col(text).contains("\n")).select(key, F.split(F.trim(F.regexp_replace(text, r"[ \n]+", " ")), " ").alias("_words"))
+    own = many.filter(F.arrays_overlap("_words", F.array(*map(F.lit, rare))))
+    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("_words") - words), F.lit(words))
+    return own.select(key, F.explode(F.transform(starts, lambda i: F.array_join(F.slice("_words", i, 2 * words), " "))).alias("_block"))
+
+
 def _ordered_tokens(vocabulary: list[str]) -> Column:
     """The different words of a block that templates have, in the order of ``vocabulary``."""
     return F.array_intersect(F.array(*map(F.lit, vocabulary)), F.split("_block", " "))
@@ -73,27 +86,35 @@ def token_counts(lines: DataFrame, vocabulary: list[str]) -> dict[str, int]:
     return {w: 0 for w in vocabulary} | {r["t"]: r["count"] for r in rows}
 
 
-def template_matches(lines: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """_key, label, containment of every (block, template) that reaches the threshold (a pair may come more than once)."""
-    spark = lines.sparkSession
-    sets = [(label, sorted(set(text.split()))) for label, text in templates]
-    vocabulary = sorted({w for _, ws in sets for w in ws})
+def template_matches(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
+    """_key, label, containment of every (block, template) of ``docs`` (_key, _plain) that reaches the threshold (a pair may come more than once)."""
+    spark, lines = docs.sparkSession, blocks(docs)
+    sets = [(label, sorted(set(text.split())), len(text.split())) for label, text in templates]
+    vocabulary = sorted({w for _, ws, _ in sets for w in ws})
     counts = token_counts(lines, vocabulary)
     order = sorted(vocabulary, key=lambda w: (counts[w], w))
     rank = {w: i for i, w in enumerate(order)}
     prefixes = []
-    for label, ws in sets:
+    for label, ws, long in sets:
         ws = sorted(ws, key=rank.__getitem__)
         need = math.ceil(threshold * len(ws) - 1e-9)
-        prefixes += [(w, label, i, len(ws), need, ws) for i, w in enumerate(ws[: len(ws) - need + 1])]
-    side = F.broadcast(spark.createDataFrame(prefixes, "_t string, label string, _i int, _size int, _need int, _all array<string>"))  # as large as the template list
+        prefixes += [(w, label, i, len(ws), need, ws, long) for i, w in enumerate(ws[: len(ws) - need + 1])]
+    side = F.broadcast(spark.createDataFrame(prefixes, "_t string, label string, _i int, _size int, _need int, _all array<string>, _long int"))  # as large as the template list
     least = min(p[4] for p in prefixes)
-    own = lines.select("_key", _ordered_tokens(order).alias("_tokens")).filter(F.size("_tokens") >= least)
-    prefix = own.select("_key", "_tokens", F.posexplode("_tokens").alias("_j", "_t"))
     n = F.size("_tokens")
-    met = prefix.join(side, "_t").filter((n >= F.col("_need")) & (F.col("_j") <= n - F.col("_need")) & (F.least(F.col("_size") - F.col("_i"), n - F.col("_j")) >= F.col("_need")))
-    overlap = F.size(F.array_intersect("_tokens", "_all"))
-    return met.withColumn("_overlap", overlap).filter(F.col("_overlap") >= F.col("_need")).select("_key", "label", (F.col("_overlap") / F.col("_size")).alias("containment"))
+
+    def met(rows: DataFrame, *more: str) -> DataFrame:
+        own = rows.select("_key", *more, _ordered_tokens(order).alias("_tokens")).filter(F.size("_tokens") >= least)
+        prefix = own.select("_key", *more, "_tokens", F.posexplode("_tokens").alias("_j", "_t"))
+        near = prefix.join(side, "_t").filter((n >= F.col("_need")) & (F.col("_j") <= n - F.col("_need")) & (F.least(F.col("_size") - F.col("_i"), n - F.col("_j")) >= F.col("_need")))
+        return near.withColumn("_overlap", F.size(F.array_intersect("_tokens", "_all"))).filter(F.col("_overlap") >= F.col("_need"))
+
+    across = met(runs_across_lines(docs, max(p[6] for p in prefixes), sorted({p[0] for p in prefixes})), "_block").withColumn("_w", F.split("_block", " "))
+    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("_w") - F.col("_long") + 1))
+    stretch = F.array_max(F.transform(starts, lambda i: F.size(F.array_intersect(F.slice("_w", i, F.col("_long")), F.col("_all")))))
+    whole = across.withColumn("_overlap", stretch).filter(F.col("_overlap") >= F.col("_need"))
+    columns = ("_key", "label", (F.col("_overlap") / F.col("_size")).alias("containment"))
+    return met(lines).select(*columns).unionByName(whole.select(*columns))
 
 
 def scan(docs: DataFrame, text: str = "text", key: str = "doc_id", templates=TEMPLATES, threshold: float = THRESHOLD, phrases=PHRASES) -> DataFrame:
@@ -103,7 +124,7 @@ def scan(docs: DataFrame, text: str = "text", key: str = "doc_id", templates=TEM
     labels that templates give to any of them.  An empty table gives an empty result.  Other columns are not read.
     """
     one = docs.select(F.col(key).alias("_key"), plain(F.col(text)).alias("_plain"))
-    found = template_matches(blocks(one), templates, threshold).groupBy("_key").agg(F.collect_set("label").alias("_found"), F.max("containment").alias("_best"))
+    found = template_matches(one, templates, threshold).groupBy("_key").agg(F.collect_set("label").alias("_found"), F.max("containment").alias("_best"))
     padded = one.select("_key", F.concat(F.lit(" "), F.trim(F.regexp_replace("_plain", r"[ \n]+", " ")), F.lit(" ")).alias("_padded"))
     base = padded.select("_key", *(c.alias(n) for n, c in phrase_columns(F.col("_padded")).items()))
     hits = found.withColumnRenamed("_key", "_other")

@@ -81,6 +81,17 @@ def test_licence_template_threshold(spark):
     assert got == {1: ("apache-2.0", 0.875), 2: ("", 0.0), 3: ("mit", 1.0)}
 
 
+def test_wrapped_licences(spark):
+    bsd = "Redistribution and use in source and binary forms, with or without\n * modification, are permitted provided"
+    mpl = "x\n# This Source Code Form is subject to the terms of the Mozilla Public\n# License, v. 2.0. If a copy"
+    deep = "some prose\n" * 40 + "under the GNU Lesser\nGeneral Public\nLicense\n" + "more prose\n" * 40
+    one_word = "\n".join(("y " * 50 + "Released under the MIT License. " + "z " * 50).split())
+    apart = "redistribution and use in source\n" + "other words\n" * 8 + "and binary forms with or without modification are permitted"
+    d = spark.createDataFrame(list(enumerate([bsd, mpl, deep, one_word, apart, "all\n\n\nrights and duties\nreserved"])), "doc_id long, text string")
+    got = {r.doc_id: (r.labels, r.score) for r in licences.scan(d).collect()}
+    assert got == {0: ("bsd", 1.0), 1: ("mpl-2.0", 1.0), 2: ("gpl,lgpl", 1.0), 3: ("mit", 1.0), 4: ("", 0.0), 5: ("", 0.0)}
+
+
 def test_quality(docs):
     got = counted(quality.features(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed").collect())
     want = []
