@@ -1,9 +1,10 @@
-"""Personal data: exact patterns, and information-theoretic sanitisation of the terms around them; DataFrame operations only.
+"""Personal data: exact patterns, and information-theoretic sanitisation of the terms that disclose them; DataFrame operations only.
 
-Protected entities are the addresses and numbers that the patterns find.  A term that stands near an entity discloses it
+Protected entities are the addresses and numbers that the patterns find.  A term of a document with an entity discloses it
 as far as knowing the term removes doubt about the entity: D(t, e) = PMI(t; e) / IC(e), with document probabilities
 over the whole corpus.  D is 1 if the term occurs only with the entity and 0 if the two are independent.  Terms with
-D >= REMOVE are removed near the entity, those with D >= GENERALISE are replaced by their kind, in however few documents they stand.
+D >= REMOVE are removed wherever they stand in a document with the entity, those with D >= GENERALISE are replaced by their
+kind, in however few documents they stand.
 """
 
 from __future__ import annotations
@@ -22,12 +23,14 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+(?<=[0-9])",
 }
 IP_RANGE = r"^0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})(?:\.0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})){3}$"
-#: Characters looked at on either side of an entity; terms cut by the edge are left out.
+#: Only the SQL in ``sql.py`` still reads these two: it looks at so many characters on either side of an entity, and drops
+#: pairs of fewer documents; the operator looks at whole texts and drops nothing.
 CONTEXT = 80
-#: Only the SQL in ``sql.py`` still reads this: it drops pairs and terms of fewer documents, the operator does not.
 SUPPORT = 3
 GENERALISE, REMOVE = 0.7, 0.9
 TERM = r"[\p{L}\p{N}]{3,}"
+#: Matches whose places are added up in one list; lists are joined afterwards, so long texts stay linear.
+STEP = 128
 
 
 # ---------------------------------------------------------------- base patterns
@@ -38,11 +41,16 @@ def located(text: Column, pattern: str) -> Column:
     # Running total: the gap before each match and the matches before it.
     steps = F.zip_with(F.slice(between, 1, F.size(values)), values, lambda g, v: F.struct(F.length(g).alias("g"), F.length(v).alias("n"), v.alias("v")))
     none = F.array().cast("array<struct<start:int,end:int,value:string>>")
-    folded = F.aggregate(
-        steps, F.struct(F.lit(0).alias("at"), none.alias("out")),
+    parts = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(values)), F.lit(STEP)), lambda i: F.slice(steps, i, STEP))
+    own = F.transform(parts, lambda part: F.aggregate(
+        part, F.struct(F.lit(0).alias("at"), none.alias("out")),
         lambda s, x: F.struct((s["at"] + x["g"] + x["n"]).alias("at"), F.concat(s["out"], F.array(F.struct((s["at"] + x["g"]).alias("start"), (s["at"] + x["g"] + x["n"]).alias("end"), x["v"].alias("value")))).alias("out")),
+    ))
+    folded = F.aggregate(
+        own, F.struct(F.lit(0).alias("at"), F.array().cast("array<array<struct<start:int,end:int,value:string>>>").alias("out")),
+        lambda s, x: F.struct((s["at"] + x["at"]).alias("at"), F.concat(s["out"], F.array(F.transform(x["out"], lambda m: F.struct((s["at"] + m["start"]).alias("start"), (s["at"] + m["end"]).alias("end"), m["value"].alias("value"))))).alias("out")),
     )
-    return folded["out"]
+    return F.flatten(folded["out"])
 
 
 def _luhn(digits: Column) -> Column:
@@ -93,37 +101,35 @@ def joined(found: Column) -> Column:
 
 
 # ---------------------------------------------------------------- disclosure
-def near_terms(entities: DataFrame, context: int = CONTEXT) -> DataFrame:
-    """_row, entity, term, start, end, value: terms within ``context`` characters of an entity and outside of every base span.
+def own_terms(entities: DataFrame) -> DataFrame:
+    """_row, term, start, end, value: every term of a document that has an entity, outside of the base spans.
 
     ``entities`` has _row, _text, _spans.
     """
-    one = entities.select("_row", "_text", F.transform("_spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))).alias("_taken"), F.explode("_spans").alias("s"))
-    low = F.greatest(F.lit(0), F.col("s.start") - context)
-    sides = F.array(
-        F.struct(low.alias("at"), F.substring("_text", low + 1, F.col("s.start") - low).alias("t")),
-        F.struct(F.col("s.end").alias("at"), F.substring("_text", F.col("s.end") + 1, F.lit(context)).alias("t")),
-    )
-    side = one.select("_row", "_taken", F.length("_text").alias("_length"), F.concat_ws(":", "s.kind", F.lower("s.value")).alias("entity"), F.explode(sides).alias("side"))
-    term = side.select("_row", "_taken", "_length", "entity", F.col("side.at").alias("_at"), F.length("side.t").alias("_side"), F.explode(located(F.col("side.t"), TERM)).alias("m"))
-    place = term.select("_row", "_taken", "_length", "entity", (F.col("_at") + F.col("m.start")).alias("start"), (F.col("_at") + F.col("m.end")).alias("end"), "m.value",
-                        ((F.col("m.start") > 0) | (F.col("_at") == 0)).alias("_left"), ((F.col("m.end") < F.col("_side")) | (F.col("_at") + F.col("_side") >= F.col("_length"))).alias("_right"))
-    free = place.filter("_left AND _right").filter(~F.exists("_taken", lambda t: (t["start"] < F.col("end")) & (F.col("start") < t["end"])))
-    return free.select("_row", "entity", F.lower("value").alias("term"), "start", "end", "value")
-
-
-def disclosure(docs: DataFrame, near: DataFrame, entities: DataFrame, support: int = 1, least: float = GENERALISE) -> DataFrame:
-    """entity, term, disclosure of the pairs at or above ``least``.  ``docs`` has _text (all rows), ``entities`` _row and _spans."""
+    term = entities.select("_row", F.transform("_spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))).alias("_taken"), F.explode(located(F.col("_text"), TERM)).alias("m"))
+    free = term.filter(~F.exists("_taken", lambda t: (t["start"] < F.col("m.end")) & (F.col("m.start") < t["end"])))
+    return free.select("_row", F.lower("m.value").alias("term"), "m.start", "m.end", "m.value")
+
+
+def disclosure(docs: DataFrame, places: DataFrame, entities: DataFrame, support: int = 1, least: float = GENERALISE) -> DataFrame:
+    """_row, term, disclosure: the terms of each document that disclose one of its entities at or above ``least``, by the entity they disclose most.
+
+    ``docs`` has _text (all rows), ``places`` _row and term, ``entities`` _row and _spans.
+    """
     total = docs.count()
-    pairs = near.select("_row", "entity", "term").distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_both")).filter(F.col("n_both") >= support)
     own = entities.select("_row", F.explode(F.array_distinct(F.transform("_spans", lambda s: F.concat_ws(":", s["kind"], F.lower(s["value"]))))).alias("entity"))
     n_entity = own.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
     words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("_text"), F.lit(TERM), F.lit(0)))).alias("term"))
     n_term = words.groupBy("term").agg(F.count(F.lit(1)).alias("n_term")).filter(F.col("n_term") >= support)
-    both = pairs.join(n_entity, "entity").join(n_term, "term")
+    # Even if every document of the entity has the term, D >= least needs n_term <= total ** (1 - least) * n_entity ** least.
+    met = places.select("_row", "term").distinct().join(n_term, "term").join(own.join(n_entity, "entity"), "_row")
+    can = F.col("n_term") <= (F.pow(F.lit(float(total)), F.lit(1 - least)) * F.pow(F.col("n_entity"), F.lit(least)) * 1.000001)
+    pairs = keep(met.filter(can), "term-pairs")
+    both = pairs.groupBy("entity", "term", "n_entity", "n_term").agg(F.count(F.lit(1)).alias("n_both")).filter(F.col("n_both") >= support)
     content = -F.log2(F.col("n_entity") / F.lit(total))
     pmi = F.log2(F.col("n_both") * F.lit(float(total)) / (F.col("n_entity") * F.col("n_term")))
-    return both.select("entity", "term", F.when(content > 0, F.least(F.lit(1.0), pmi / content)).otherwise(0.0).alias("disclosure")).filter(F.col("disclosure") >= least)
+    told = both.select("entity", "term", F.when(content > 0, F.least(F.lit(1.0), pmi / content)).otherwise(0.0).alias("disclosure")).filter(F.col("disclosure") >= least)
+    return pairs.select("_row", "entity", "term").join(told, ["entity", "term"]).groupBy("_row", "term").agg(F.max("disclosure").alias("disclosure"))
 
 
 # ---------------------------------------------------------------- documents
@@ -139,22 +145,17 @@ def find(docs: DataFrame, text: str = "text", key: str = "doc_id", support: int
     row = F.struct(F.col("_key"), F.xxhash64("_text"))
     with_any = base.filter(F.size("_base") > 0).select(row.alias("_row"), "_text", F.col("_base").alias("_spans"))
     entities = keep(with_any.dropDuplicates(["_row"]), "entities")
-    near = keep(near_terms(entities), "near-terms")
-    told = disclosure(one, near, entities, support, generalise)
+    places = keep(own_terms(entities), "own-terms")
+    told = disclosure(one, places, entities, support, generalise)
     action = F.when(F.col("disclosure") >= remove, "remove").otherwise("generalise")
-    terms = near.join(told, ["entity", "term"]).select("_row", F.struct(F.lit("term").alias("kind"), "start", "end", "value", action.alias("action")).alias("t"))
-    by_row = terms.groupBy("_row").agg(F.array_sort(F.collect_set("t")).alias("_terms"))  # bounded by the words of one text near its entities
-    marked = by_row.select(F.col("_row._key").alias("_other"), F.col("_row.col2").alias("_other_text"), _once("_terms").alias("_terms"))
+    terms = places.join(told, ["_row", "term"]).select("_row", F.struct(F.lit("term").alias("kind"), "start", "end", "value", action.alias("action")).alias("t"))
+    by_row = terms.groupBy("_row").agg(F.array_sort(F.collect_list("t")).alias("_terms"))  # bounded by the words of one text
+    marked = by_row.select(F.col("_row._key").alias("_other"), F.col("_row.col2").alias("_other_text"), "_terms")
     met = base.withColumn("_hash", F.xxhash64("_text")).join(marked, F.col("_key").eqNullSafe(F.col("_other")) & (F.col("_hash") == F.col("_other_text")), "left")
     empty = F.array().cast("array<struct<kind:string,start:int,end:int,value:string,action:string>>")
     return met.select(F.col("_key").alias(key), "_text", *(f"n_{k}" for k in KINDS), "_base", F.coalesce("_terms", empty).alias("_terms"))
 
 
-def _once(terms: str) -> Column:
-    """A term near two entities is met twice, perhaps with two actions: removal wins (it sorts last)."""
-    return F.filter(terms, lambda t: ~F.exists(terms, lambda o: (o["start"] == t["start"]) & (o["action"] > t["action"])))
-
-
 def sanitised(found: DataFrame) -> Column:
     """The text with base spans replaced by their kind in brackets, disclosing terms removed or replaced by ``[term]``."""
     base = F.transform("_base", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.concat(F.lit("["), s["kind"], F.lit("]")).alias("to")))

@@ -241,6 +241,13 @@ def test_privacy_terms_of_one_document(spark):
     assert [(t.value, t.action) for t in got[0]] == [("Zarquon", "remove")] and not got[10]
 
 
+def test_privacy_terms_far_from_the_entity(spark):
+    far = " the thing about the owner" * 12
+    rows = [(0, "Dear Zarquon," + far + " zed@mail.example" + far + " zarquon"), (1, "no zed@mail.example" + far)] + [(i, "the thing about the owner of the day") for i in range(10, 60)]
+    got = {r.doc_id: r._terms for r in privacy.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [(t.value, t.start) for t in got[0]] == [("Dear", 0), ("Zarquon", 5), ("zarquon", len(rows[0][1]) - 7)] and not got[1] and not got[10]
+
+
 # ---------------------------------------------------------------- empty tables
 def test_empty_tables(spark):
     d, b = empty(spark), spark.createDataFrame([], "item_id long, text string")
