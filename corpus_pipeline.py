@@ -1,7 +1,7 @@
 """From documents to training sequences: five stages, each written as Parquet and read again as the next one's documents.
 
-A null or empty text passes the first four stages like any other document; rows that repeat a doc_id stay or go together;
-columns beyond those of ``documents`` are dropped by the first stage.  Empty tables pass through.
+A null or empty text passes the first four stages like any other document.  What goes is decided by row, told apart by doc_id
+and text: a clean row with a null or repeated doc_id stays; rows equal in both stay or go together.  Columns beyond those of ``documents`` are dropped by the first stage.  Empty tables pass through.
 """
 
 from __future__ import annotations
@@ -15,26 +15,38 @@ from opsloom.session import keep
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    gone = ids.select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone"]), "left_anti").select(*COLUMNS)
+def _sha():
+    """Of the text; a null text is told from an empty one."""
+    return F.coalesce(F.sha2("text", 256), F.lit(""))
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """_row and text; _row is doc_id and text in a total order, null keys last."""
+    return docs.select(F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), _sha().alias("sha")).alias("_row"), "text")
+
+
+def _without(docs: DataFrame, rows: DataFrame, row: str = "_row") -> DataFrame:
+    gone = rows.select(F.col(f"{row}.id").alias("_id"), F.col(f"{row}.sha").alias("_sha")).distinct()
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_id"]) & (_sha() == gone["_sha"]), "left_anti").select(*COLUMNS)
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Leaves out documents that the classifier, trained on the labelled rows among ``docs``, rejects."""
-    scores = toxicity.score_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return _without(docs, scores.filter("predicted = 1"))
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = toxicity.train(docs, labels.filter(~toxicity.held_out()))
+    return _without(docs, toxicity.score(_keyed(docs), model, key="_row").filter("predicted = 1"))
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays: the one with the smallest doc_id."""
-    groups = simhash.near_duplicates(docs)
-    return _without(docs, groups.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))))
+    """One document of each group of near duplicates stays: the one with the smallest doc_id, null last, then the smallest SHA-256 of its text."""
+    groups = simhash.near_duplicates(_keyed(docs), key="_row")
+    return _without(docs, groups.filter(F.col("_row") != F.col("component_id")))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Leaves out documents that hold most of a benchmark item, in whatever order."""
-    return _without(docs, tiling.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
+    found = tiling.contaminated(_keyed(docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), key="_row")
+    return _without(docs, found, "doc_id")
 
 
 def privacy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

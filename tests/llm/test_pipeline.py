@@ -35,3 +35,17 @@ def test_repeated_keys_stay_or_go_together(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     docs = docs.unionByName(spark.createDataFrame([(1, "a b c d e f g", "en", "s", 1), (1, "a b c d e f g", "en", "s", 1), (2, "a b c d e f g", "en", "s", 1)], docs.schema))
     assert [r.doc_id for r in cp.simhash_stage(spark, docs, SF).collect()] == [1, 1]
+
+
+def test_rows_without_a_key_of_their_own(spark):
+    """A row that goes takes no clean row with the same or no doc_id along, and one text of each group stays."""
+    none = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
+    table = lambda *rows: none.unionByName(spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], none.schema))
+    left = lambda df: sorted(((r.doc_id, r.text) for r in df.collect()), key=str)
+    item = next(r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").orderBy("item_id").collect() if len(r.text.split()) > 15)
+    assert left(cp.decontamination_stage(spark, table((None, item), (None, "clean"), (None, None), (7, item), (7, "clean too")), SF)) == [(7, "clean too"), (None, "clean"), (None, None)]
+    a, b = "one two three four five six seven", "ONE TWO three four five six seven"
+    kept = left(cp.simhash_stage(spark, table((None, a), (None, b), (None, "another text of its own words")), SF))
+    assert len(kept) == 2 and (None, "another text of its own words") in kept
+    kept = left(cp.simhash_stage(spark, table((3, a), (3, b), (None, a), (3, "another text of its own words")), SF))
+    assert len(kept) == 2 and (3, "another text of its own words") in kept and all(i == 3 for i, _ in kept)
