@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opsloom.llm import licences, packing, privacy, quality, repeats, simhash, sql, tiling, token_files, toxicity, warc
+from opsloom.llm import dialogue, licences, packing, privacy, quality, repeats, simhash, sql, tiling, token_files, toxicity, warc
 from opsloom.session import new_path
 
 
@@ -60,6 +60,11 @@ def op10_privacy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *(f"n_{k}" for k in privacy.KINDS), F.sha2(privacy.joined(F.col("_base")), 256).alias("base_sha256"), privacy.joined(every).alias("spans"))
 
 
+def op11_dialogue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = dialogue.damaged(table(spark, sf_dir, "conversations"))
+    return dialogue.digests(dialogue.repair(rows, copies="copies"))
+
+
 QUERIES = {
     "op1_simhash": (op1_simhash, None),
     "op2_licences": (op2_licences, sql.LICENCES),
@@ -71,4 +76,5 @@ QUERIES = {
     "op8_packing": (op8_packing, None),
     "op9_toxicity": (op9_toxicity, None),
     "op10_privacy": (op10_privacy, sql.PRIVACY),
+    "op11_dialogue": (op11_dialogue, None),
 }
