@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opsloom.llm import dialogue, licences, packing, privacy, quality, repeats, simhash, sql, tiling, token_files, toxicity, warc
+from opsloom.llm import centroids, dialogue, licences, packing, privacy, quality, repeats, simhash, sql, tiling, token_files, toxicity, warc
 from opsloom.session import new_path
 
 
@@ -65,6 +65,10 @@ def op11_dialogue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dialogue.digests(dialogue.repair(rows, copies="copies"))
 
 
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.with_inertia(*centroids.cluster(table(spark, sf_dir, "embeddings")))
+
+
 QUERIES = {
     "op1_simhash": (op1_simhash, None),
     "op2_licences": (op2_licences, sql.LICENCES),
@@ -76,5 +80,6 @@ QUERIES = {
     "op8_packing": (op8_packing, None),
     "op9_toxicity": (op9_toxicity, None),
     "op10_privacy": (op10_privacy, sql.PRIVACY),
-    "op11_dialogue": (op11_dialogue, None),
+    "op11_dialogue": (op11_dialogue, sql.DIALOGUE),
+    "op12_centroids": (op12_centroids, sql.CENTROIDS),
 }

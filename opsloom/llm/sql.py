@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from opsloom.llm import licences, privacy, quality
+from opsloom.llm import centroids, dialogue, licences, privacy, quality
 
 
 def _q(s: str) -> str:
@@ -106,3 +106,68 @@ own AS (SELECT doc_id, count_if(kind = 'email') AS n_email, count_if(kind = 'ip'
 every AS (SELECT doc_id, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY o, s) AS a FROM (SELECT doc_id, o, kind, s, e FROM base UNION ALL SELECT * FROM marked) GROUP BY 1)
 SELECT d.doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone, sha256(coalesce(b, '')) AS base_sha256, coalesce(a, '') AS spans
 FROM docs d LEFT JOIN own ON own.doc_id = d.doc_id LEFT JOIN every ON every.doc_id = d.doc_id"""
+
+
+# ---------------------------------------------------------------- op12
+def _centroids() -> str:
+    k, rounds, n = centroids.CENTROIDS, centroids.ROUNDS, centroids.DIMENSIONS
+    steps = [
+        f"""kept AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor({centroids.SCALE} * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+ WHERE len(embedding) = {n} AND len(list_filter(embedding, lambda x: isfinite(x) AND abs({centroids.SCALE} * CAST(x AS DOUBLE)) <= {centroids.LARGEST})) = {n}),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h, v) - 1 AS c, v FROM (SELECT sha256('2:' || coalesce(CAST(vec_id AS VARCHAR), '')) AS h, v FROM kept ORDER BY h, v LIMIT {k}))"""
+    ]
+    for i in range(rounds + 1):
+        steps.append(f"""a{i} AS MATERIALIZED (SELECT r, any_value(vec_id) AS vec_id, any_value(kv) AS v, min({{'d': d, 'c': c}}) AS best FROM
+ (SELECT r, vec_id, kept.v AS kv, c, CAST(list_sum(list_transform(range(1, {n + 1}), lambda i: (kept.v[i] - c{i}.v[i]) * (kept.v[i] - c{i}.v[i]))) AS BIGINT) AS d FROM kept, c{i}) GROUP BY r)""")
+        if i < rounds:
+            steps.append(f"""c{i + 1} AS MATERIALIZED (SELECT c, coalesce(w, v) AS v FROM c{i} LEFT JOIN (SELECT c, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS w FROM
+ (SELECT best.c AS c, i, sum(v[i]) AS s, count(*) AS n FROM a{i}, range(1, {n + 1}) AS t(i) GROUP BY 1, 2) GROUP BY c) USING (c))""")
+    return f"""WITH {",\n".join(steps)},
+own AS (SELECT best.c AS c, CAST(sum(best.d) AS BIGINT) AS s FROM a{rounds} GROUP BY 1)
+SELECT vec_id, CAST(best.c AS INTEGER) AS cluster, best.d AS distance, s AS cluster_inertia, (SELECT CAST(sum(s) AS BIGINT) FROM own) AS inertia,
+ sha256(array_to_string(c{rounds}.v, ',')) AS centroid_sha256
+FROM a{rounds} JOIN own ON own.c = best.c JOIN c{rounds} ON c{rounds}.c = best.c"""
+
+
+CENTROIDS = _centroids()
+
+
+# ---------------------------------------------------------------- op11
+def _dialogue() -> str:
+    bit = "CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END"
+    byte = f"list_reduce([xor(crc, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: {bit})"
+    key = "coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')"
+    fault = f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split({key}, ''), lambda x: CAST(ascii(x) AS BIGINT))), lambda crc, b: {byte}), 4294967295) % 20"
+    blanks = " || ".join(f"chr({ord(c)})" for c in dialogue.BLANKS)
+    # (last role, inserts, last role then, letters, turns): none, one or two turns before the next row
+    inserts = "(0, 0, 0, '', []), (1, 0, 1, '', []), (2, 0, 2, '', []), (3, 0, 3, '', []), (0, 2, 2, 'I', ['user:']), (1, 2, 2, 'I', ['user:']), (2, 2, 3, 'I', ['assistant:']), (3, 2, 2, 'I', ['user:']), (0, 4, 3, 'II', ['user:', 'assistant:']), (1, 4, 3, 'II', ['user:', 'assistant:'])"
+    return f"""WITH RECURSIVE marked AS (SELECT conv_id, turn, coalesce(role, ' ') AS r, coalesce(text, ' ') AS t, {fault} AS f FROM conversations),
+damaged AS (SELECT conv_id, turn, CASE f WHEN 4 THEN 'user' ELSE r END AS role, CASE f WHEN 1 THEN '' WHEN 2 THEN translate(t, '.!?', '') ELSE t END AS text,
+ unnest(range(CASE f WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM marked),
+convs AS (SELECT conv_id, row_number() OVER () AS cid FROM (SELECT DISTINCT conv_id FROM conversations)),
+numbered AS (SELECT cid, turn, role, text, right(rtrim(text, {blanks}), 1) AS e, left(role, 1) AS init,
+ row_number() OVER (PARTITION BY cid ORDER BY turn NULLS FIRST, role, sha256(length(role) || ':' || role || text)) AS i
+ FROM damaged JOIN convs ON damaged.conv_id IS NOT DISTINCT FROM convs.conv_id),
+judged AS MATERIALIZED (SELECT *, CASE WHEN e = '' THEN 'b' WHEN row_number() OVER (PARTITION BY cid, role, text ORDER BY i) > 1 THEN 'd' WHEN e IN ('.', '!', '?') THEN '' ELSE 't' END AS fault,
+ lag(init) OVER (PARTITION BY cid ORDER BY i) || init AS pair FROM numbered),
+inserts(st, c, nst, letters, turns) AS (VALUES {inserts}),
+walk AS (SELECT cid, CAST(0 AS BIGINT) AS i, 0 AS st, {{'cost': 0, 'audit': '', 'said': CAST([] AS VARCHAR[])}} AS best FROM convs
+UNION ALL
+SELECT cid, i, st, min(best) AS best FROM (
+ SELECT j.cid, j.i, CASE WHEN letter = 'D' THEN s.nst WHEN letter = 'K' AND init = 's' THEN 1 WHEN s.nst = 2 THEN 3 ELSE 2 END AS st,
+  {{'cost': best.cost + s.c + CASE letter WHEN 'D' THEN 3 WHEN 'R' THEN 2 ELSE 0 END + CASE WHEN letter <> 'D' AND fault = 't' THEN 1 ELSE 0 END,
+   'audit': best.audit || s.letters || letter,
+   'said': list_concat(best.said, s.turns, CASE letter WHEN 'D' THEN [] WHEN 'K' THEN [role || ':' || text] ELSE [CASE WHEN s.nst = 2 THEN 'assistant:' ELSE 'user:' END || text] END)}} AS best
+ FROM walk JOIN inserts s ON s.st = walk.st JOIN judged j ON j.cid = walk.cid AND j.i = walk.i + 1, (VALUES ('D'), ('R'), ('K')) AS edits(letter)
+ WHERE letter = 'D' OR (fault IN ('', 't') AND (letter = 'R' OR init = CASE WHEN s.nst = 2 THEN 'a' ELSE 'u' END OR (init = 's' AND s.nst = 0)))
+) GROUP BY cid, i, st),
+counts AS (SELECT cid, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate,
+ count(*) FILTER (fault = 't') AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM judged GROUP BY cid),
+done AS (SELECT walk.cid, min({{'cost': best.cost + s.c, 'audit': best.audit || s.letters, 'said': list_concat(best.said, s.turns)}}) AS best
+ FROM walk JOIN inserts s ON s.st = walk.st LEFT JOIN counts ON counts.cid = walk.cid WHERE walk.i = coalesce(n, 0) AND s.nst IN (0, 3) GROUP BY walk.cid)
+SELECT conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+ CAST(best.cost AS BIGINT) AS cost, best.audit AS audit, sha256(array_to_string(best.said, chr(10))) AS repaired_sha256
+FROM convs JOIN done USING (cid) LEFT JOIN counts USING (cid)"""
+
+
+DIALOGUE = _dialogue()
