@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opsloom.llm import centroids, dialogue, licences, packing, privacy, quality, repeats, simhash, sql, tiling, token_files, toxicity, warc
+from opsloom.llm import centroids, dialogue, extraction, licences, packing, privacy, quality, repeats, simhash, sql, tiling, token_files, toxicity, warc
 from opsloom.session import new_path
 
 
@@ -69,6 +69,10 @@ def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.with_inertia(*centroids.cluster(table(spark, sf_dir, "embeddings")))
 
 
+def op13_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.main_text(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     "op1_simhash": (op1_simhash, None),
     "op2_licences": (op2_licences, sql.LICENCES),
@@ -82,4 +86,5 @@ QUERIES = {
     "op10_privacy": (op10_privacy, sql.PRIVACY),
     "op11_dialogue": (op11_dialogue, sql.DIALOGUE),
     "op12_centroids": (op12_centroids, sql.CENTROIDS),
+    "op13_extraction": (op13_extraction, sql.EXTRACTION),
 }

@@ -171,3 +171,12 @@ FROM convs JOIN done USING (cid) LEFT JOIN counts USING (cid)"""
 
 
 DIALOGUE = _dialogue()
+
+
+# ---------------------------------------------------------------- op13
+#: The pages mark their article; its blocks are paragraphs and one heading.  SQL has no HTML parser, so it reads just that form, with the character references that stand there.
+EXTRACTION = r"""WITH articles AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)</article>', 1) AS a FROM pages),
+blocks AS (SELECT page_id, url, list_transform(regexp_split_to_array(a, '</?(?:p|h1)>'), lambda b:
+ trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(b, '<br>', ' ', 'g'), '<[^>]*>', '', 'g'), '&quot;?', '"', 'g'), '&amp;?', '&', 'g'), '\s+', ' ', 'g'))) AS b FROM articles),
+texts AS (SELECT page_id, url, array_to_string(list_filter(b, lambda t: t <> ''), chr(10)) AS text FROM blocks)
+SELECT page_id, url, text, length(text) AS n_chars FROM texts"""
