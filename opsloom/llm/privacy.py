@@ -1,10 +1,11 @@
 """Personal data: exact patterns, and information-theoretic sanitisation of the terms that disclose them; DataFrame operations only.
 
 Protected entities are the addresses and numbers that the patterns find.  A term of a document with an entity discloses it
-as far as knowing the term removes doubt about the entity: D(t, e) = PMI(t; e) / IC(e), with document probabilities
-over the whole corpus.  D is 1 if the term occurs only with the entity and 0 if the two are independent.  Terms with
-D >= REMOVE are removed wherever they stand in a document with the entity, those with D >= GENERALISE are replaced by their
-kind, in however few documents they stand.
+as far as knowing the term removes doubt about the entity: D(t, e) = min(1, PMI(t; e) / IC(e)) * (1 - 2 ** (1 - n)), with document probabilities
+over the whole corpus and n the documents that hold both.  The first factor is 1 if the term occurs only with the entity and 0 if the two
+are independent.  The second shrinks what rests on few documents: each further one halves the doubt, and a single one is
+no evidence, for any rare word of a document would pass then.  Terms with D >= REMOVE are removed wherever they stand in a document with
+the entity, those with D >= GENERALISE are replaced by their class (number, code, name or word).
 """
 
 from __future__ import annotations
@@ -23,10 +24,6 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+(?<=[0-9])",
 }
 IP_RANGE = r"^0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})(?:\.0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})){3}$"
-#: Only the SQL in ``sql.py`` still reads these two: it looks at so many characters on either side of an entity, and drops
-#: pairs of fewer documents; the operator looks at whole texts and drops nothing.
-CONTEXT = 80
-SUPPORT = 3
 GENERALISE, REMOVE = 0.7, 0.9
 TERM = r"[\p{L}\p{N}]{3,}"
 #: Matches whose places are added up in one list; lists are joined afterwards, so long texts stay linear.
@@ -111,29 +108,40 @@ def own_terms(entities: DataFrame) -> DataFrame:
     return free.select("_row", F.lower("m.value").alias("term"), "m.start", "m.end", "m.value")
 
 
-def disclosure(docs: DataFrame, places: DataFrame, entities: DataFrame, support: int = 1, least: float = GENERALISE) -> DataFrame:
+def least_documents(least: float) -> int:
+    """The fewest common documents with which a term can disclose anything at ``least``."""
+    n = 1
+    while n < 60 and 1 - 2.0 ** (1 - n) < least:
+        n += 1
+    return n
+
+
+def disclosure(docs: DataFrame, places: DataFrame, entities: DataFrame, least: float = GENERALISE) -> DataFrame:
     """_row, term, disclosure: the terms of each document that disclose one of its entities at or above ``least``, by the entity they disclose most.
 
-    ``docs`` has _text (all rows), ``places`` _row and term, ``entities`` _row and _spans.
+    ``docs`` has _text (all rows), ``places`` _row and term, ``entities`` _row and _spans.  Terms and entities that no count could lift to
+    ``least`` are left out before anything is paired.
     """
-    total = docs.count()
+    total, few = docs.count(), least_documents(least)
     own = entities.select("_row", F.explode(F.array_distinct(F.transform("_spans", lambda s: F.concat_ws(":", s["kind"], F.lower(s["value"]))))).alias("entity"))
-    n_entity = own.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
-    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("_text"), F.lit(TERM), F.lit(0)))).alias("term"))
-    n_term = words.groupBy("term").agg(F.count(F.lit(1)).alias("n_term")).filter(F.col("n_term") >= support)
+    n_entity = keep(own.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity")).filter(F.col("n_entity") >= few), "entity-counts")
     # Even if every document of the entity has the term, D >= least needs n_term <= total ** (1 - least) * n_entity ** least.
-    met = places.select("_row", "term").distinct().join(n_term, "term").join(own.join(n_entity, "entity"), "_row")
-    can = F.col("n_term") <= (F.pow(F.lit(float(total)), F.lit(1 - least)) * F.pow(F.col("n_entity"), F.lit(least)) * 1.000001)
-    pairs = keep(met.filter(can), "term-pairs")
-    both = pairs.groupBy("entity", "term", "n_entity", "n_term").agg(F.count(F.lit(1)).alias("n_both")).filter(F.col("n_both") >= support)
+    most = F.pow(F.lit(float(total)), F.lit(1 - least)) * F.pow(F.col("n_entity"), F.lit(least)) * 1.000001
+    bound = n_entity.agg(F.max(most)).first()[0] or 0.0
+    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("_text"), F.lit(TERM), F.lit(0)))).alias("term"))
+    n_term = words.groupBy("term").agg(F.count(F.lit(1)).alias("n_term")).filter(F.col("n_term").between(few, bound))
+    met = own.join(n_entity, "entity").join(places.select("_row", "term").distinct().join(n_term, "term"), "_row")
+    pairs = keep(met.filter(F.col("n_term") <= most), "term-pairs")
+    both = pairs.groupBy("entity", "term", "n_entity", "n_term").agg(F.count(F.lit(1)).alias("n_both")).filter(F.col("n_both") >= few)
     content = -F.log2(F.col("n_entity") / F.lit(total))
     pmi = F.log2(F.col("n_both") * F.lit(float(total)) / (F.col("n_entity") * F.col("n_term")))
-    told = both.select("entity", "term", F.when(content > 0, F.least(F.lit(1.0), pmi / content)).otherwise(0.0).alias("disclosure")).filter(F.col("disclosure") >= least)
+    sure = F.lit(1.0) - F.pow(F.lit(2.0), F.lit(1) - F.col("n_both"))
+    told = both.select("entity", "term", F.when(content > 0, F.least(F.lit(1.0), pmi / content) * sure).otherwise(0.0).alias("disclosure")).filter(F.col("disclosure") >= least)
     return pairs.select("_row", "entity", "term").join(told, ["entity", "term"]).groupBy("_row", "term").agg(F.max("disclosure").alias("disclosure"))
 
 
 # ---------------------------------------------------------------- documents
-def find(docs: DataFrame, text: str = "text", key: str = "doc_id", support: int = 1, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
+def find(docs: DataFrame, text: str = "text", key: str = "doc_id", generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, _base (spans), _terms (spans of disclosing terms with their action).
 
     Rows are told apart by key and text: rows equal in both share their terms.  A null text is an empty one; a null key is
@@ -146,7 +154,7 @@ def find(docs: DataFrame, text: str = "text", key: str = "doc_id", support: int
     with_any = base.filter(F.size("_base") > 0).select(row.alias("_row"), "_text", F.col("_base").alias("_spans"))
     entities = keep(with_any.dropDuplicates(["_row"]), "entities")
     places = keep(own_terms(entities), "own-terms")
-    told = disclosure(one, places, entities, support, generalise)
+    told = disclosure(one, places, entities, generalise)
     action = F.when(F.col("disclosure") >= remove, "remove").otherwise("generalise")
     terms = places.join(told, ["_row", "term"]).select("_row", F.struct(F.lit("term").alias("kind"), "start", "end", "value", action.alias("action")).alias("t"))
     by_row = terms.groupBy("_row").agg(F.array_sort(F.collect_list("t")).alias("_terms"))  # bounded by the words of one text
@@ -156,10 +164,15 @@ def find(docs: DataFrame, text: str = "text", key: str = "doc_id", support: int
     return met.select(F.col("_key").alias(key), "_text", *(f"n_{k}" for k in KINDS), "_base", F.coalesce("_terms", empty).alias("_terms"))
 
 
+def _class(value: Column) -> Column:
+    digit, letter = value.rlike(r"\p{N}"), value.rlike(r"\p{L}")
+    return F.when(digit & ~letter, "[number]").when(digit, "[code]").when(value.rlike(r"^\p{Lu}"), "[name]").otherwise("[word]")
+
+
 def sanitised(found: DataFrame) -> Column:
-    """The text with base spans replaced by their kind in brackets, disclosing terms removed or replaced by ``[term]``."""
+    """The text with base spans replaced by their kind in brackets, disclosing terms removed or replaced by their class in brackets."""
     base = F.transform("_base", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.concat(F.lit("["), s["kind"], F.lit("]")).alias("to")))
-    terms = F.transform("_terms", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.when(s["action"] == "remove", "").otherwise("[term]").alias("to")))
+    terms = F.transform("_terms", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.when(s["action"] == "remove", "").otherwise(_class(s["value"])).alias("to")))
     ordered = F.array_sort(F.concat(base, terms))
     folded = F.aggregate(
         ordered, F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out")),

@@ -90,18 +90,18 @@ def _kind(order: int, kind: str) -> str:
 _TERM = r"[\p{L}\p{N}]{3,}"
 PRIVACY = f"""WITH docs AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 base AS ({' UNION ALL '.join(_kind(i, k) for i, k in enumerate(privacy.KINDS))}),
-sides AS (SELECT b.doc_id, kind || ':' || lower(v) AS entity, text, greatest(0, s - {privacy.CONTEXT}) AS pos, substr(text, greatest(0, s - {privacy.CONTEXT}) + 1, s - greatest(0, s - {privacy.CONTEXT})) AS t FROM base b JOIN docs d ON d.doc_id = b.doc_id
- UNION ALL SELECT b.doc_id, kind || ':' || lower(v), text, e, substr(text, e + 1, {privacy.CONTEXT}) FROM base b JOIN docs d ON d.doc_id = b.doc_id),
-cut AS (SELECT *, string_split_regex(t, '{_TERM}') AS gs, regexp_extract_all(t, '{_TERM}') AS vs FROM sides),
-placed AS (SELECT doc_id, entity, text, pos, t, vs[k] AS v, CAST(list_sum(list_transform(gs[1:k], lambda x: length(x))) + coalesce(list_sum(list_transform(vs[1:k - 1], lambda x: length(x))), 0) AS BIGINT) AS p FROM (SELECT *, unnest(range(1, len(vs) + 1)) AS k FROM cut)),
-near AS (SELECT doc_id, entity, lower(v) AS term, pos + p AS s, pos + p + length(v) AS e FROM placed
- WHERE (p > 0 OR pos = 0) AND (p + length(v) < length(t) OR pos + length(t) >= length(text))
- AND NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = placed.doc_id AND b.s < pos + p + length(v) AND pos + p < b.e)),
-pairs AS (SELECT entity, term, count(DISTINCT doc_id) AS nb FROM near GROUP BY 1, 2 HAVING count(DISTINCT doc_id) >= {privacy.SUPPORT}),
 ents AS (SELECT kind || ':' || lower(v) AS entity, count(DISTINCT doc_id) AS ne FROM base GROUP BY 1),
+cut AS (SELECT doc_id, generate_subscripts(vs, 1) AS k, unnest(gs[1:len(vs)]) AS g, unnest(vs) AS v FROM
+ (SELECT doc_id, string_split_regex(text, '{_TERM}') AS gs, regexp_extract_all(text, '{_TERM}') AS vs FROM docs WHERE doc_id IN (SELECT doc_id FROM base))),
+placed AS (SELECT doc_id, lower(v) AS term, CAST(upto - length(v) AS BIGINT) AS s, CAST(upto AS BIGINT) AS e FROM
+ (SELECT doc_id, v, sum(length(g) + length(v)) OVER (PARTITION BY doc_id ORDER BY k) AS upto FROM cut)),
+own_terms AS (SELECT * FROM placed p WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = p.doc_id AND b.s < p.e AND p.s < b.e)),
+met AS (SELECT DISTINCT p.doc_id, kind || ':' || lower(b.v) AS entity, term FROM own_terms p JOIN base b ON b.doc_id = p.doc_id),
+pairs AS (SELECT entity, term, count(*) AS nb FROM met GROUP BY 1, 2),
 terms AS (SELECT term, count(*) AS nt FROM (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '{_TERM}'))) AS term FROM docs) GROUP BY 1),
-told AS (SELECT entity, term FROM (SELECT p.entity, p.term, log2(nb * n / (ne * nt)) AS pmi, -log2(ne / n) AS ic FROM pairs p JOIN ents e ON e.entity = p.entity JOIN terms t ON t.term = p.term, (SELECT CAST(count(*) AS DOUBLE) AS n FROM docs)) WHERE ic > 0 AND least(1.0, pmi / ic) >= {privacy.GENERALISE}),
-marked AS (SELECT DISTINCT n.doc_id, 9 AS o, 'term' AS kind, n.s, n.e FROM near n JOIN told t ON t.entity = n.entity AND t.term = n.term),
+told AS (SELECT entity, term FROM (SELECT p.entity, p.term, nb, log2(nb * n / (ne * nt)) AS pmi, -log2(ne / n) AS ic FROM pairs p JOIN ents e ON e.entity = p.entity JOIN terms t ON t.term = p.term,
+ (SELECT CAST(count(*) AS DOUBLE) AS n FROM docs)) WHERE ic > 0 AND least(1.0, pmi / ic) * (1.0 - pow(2.0, 1 - nb)) >= {privacy.GENERALISE}),
+marked AS (SELECT DISTINCT p.doc_id, 9 AS o, 'term' AS kind, p.s, p.e FROM own_terms p JOIN met m ON m.doc_id = p.doc_id AND m.term = p.term JOIN told t ON t.entity = m.entity AND t.term = m.term),
 own AS (SELECT doc_id, count_if(kind = 'email') AS n_email, count_if(kind = 'ip') AS n_ip, count_if(kind = 'card') AS n_card, count_if(kind = 'phone') AS n_phone, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY o, s) AS b FROM base GROUP BY 1),
 every AS (SELECT doc_id, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY o, s) AS a FROM (SELECT doc_id, o, kind, s, e FROM base UNION ALL SELECT * FROM marked) GROUP BY 1)
 SELECT d.doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone, sha256(coalesce(b, '')) AS base_sha256, coalesce(a, '') AS spans
