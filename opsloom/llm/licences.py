@@ -120,16 +120,16 @@ def template_matches(docs: DataFrame, templates=TEMPLATES, threshold: float = TH
 def scan(docs: DataFrame, text: str = "text", key: str = "doc_id", templates=TEMPLATES, threshold: float = THRESHOLD, phrases=PHRASES) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score (1 with a base phrase, else the best containment found, else 0).
 
-    A null text is an empty one: no words, no labels, score 0.  Rows that repeat a key (null is a key too) share the
-    labels that templates give to any of them.  An empty table gives an empty result.  Other columns are not read.
+    A null text is an empty one: no words, no labels, score 0.  Rows are told apart by key (null is a key too) and
+    text.  An empty table gives an empty result.  Other columns are not read.
     """
-    one = docs.select(F.col(key).alias("_key"), plain(F.col(text)).alias("_plain"))
+    one = docs.select(F.col(key).alias("_k"), plain(F.col(text)).alias("_plain")).select(F.struct("_k", F.xxhash64("_plain").alias("_h")).alias("_key"), "_plain")
     found = template_matches(one, templates, threshold).groupBy("_key").agg(F.collect_set("label").alias("_found"), F.max("containment").alias("_best"))
     padded = one.select("_key", F.concat(F.lit(" "), F.trim(F.regexp_replace("_plain", r"[ \n]+", " ")), F.lit(" ")).alias("_padded"))
     base = padded.select("_key", *(c.alias(n) for n, c in phrase_columns(F.col("_padded")).items()))
-    hits = found.withColumnRenamed("_key", "_other")
-    met = base.join(hits, base["_key"].eqNullSafe(hits["_other"]), "left")
+    hits = found.select(F.col("_key._k").alias("_other"), F.col("_key._h").alias("_other_text"), "_found", "_best")
+    met = base.join(hits, F.col("_key._k").eqNullSafe(F.col("_other")) & (F.col("_key._h") == F.col("_other_text")), "left")
     all_labels = F.array_union("_base", F.coalesce("_found", F.array().cast("array<string>")))
     comma = lambda c: F.array_join(F.array_sort(F.array_distinct(c)), ",")
     score = F.when(F.col("n_base") > 0, F.lit(1.0)).otherwise(F.coalesce("_best", F.lit(0.0)))
-    return met.select(F.col("_key").alias(key), "n_words", "n_base", "first_word", "last_word", comma(F.col("_base")).alias("base_labels"), comma(all_labels).alias("labels"), score.alias("score"))
+    return met.select(F.col("_key._k").alias(key), "n_words", "n_base", "first_word", "last_word", comma(F.col("_base")).alias("base_labels"), comma(all_labels).alias("labels"), score.alias("score"))

@@ -252,6 +252,12 @@ def test_privacy_terms_far_from_the_entity(spark):
     assert [(t.value, t.start) for t in got[0]] == [("Dear", 0), ("Zarquon", 5), ("zarquon", len(rows[0][1]) - 7)] and not got[9] and not got[10]
 
 
+def test_licences_of_repeated_keys(spark):
+    rows = [(1, "Released under the MIT License"), (1, "nothing here at all"), (None, "plain"), (None, "All rights reserved"), (1, "nothing here at all"), (2, None)]
+    got = counted(licences.scan(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "labels", "score").collect())
+    assert got == counted([(1, "mit", 1.0), (1, "", 0.0), (None, "", 0.0), (None, "reserved", 1.0), (1, "", 0.0), (2, "", 0.0)])
+
+
 # ---------------------------------------------------------------- empty tables
 def test_empty_tables(spark):
     d, b = empty(spark), spark.createDataFrame([], "item_id long, text string")
