@@ -36,14 +36,13 @@ def pieces(docs: DataFrame, vocabulary: str | None = None, text: str = "text", k
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in wd.chunks(batches, "_text"):
             ids, counts = tk.with_end(*tk.encoder(path).encode(b["_text"]), end)
-            wide = ids.astype("<u4")
             many = -(-counts // capacity)
             row = np.repeat(np.arange(len(counts)), many)
             piece = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
             start = piece * capacity
             length = np.minimum(capacity, counts[row] - start)
             at = (np.cumsum(counts) - counts)[row] + start
-            crc = [zlib.crc32(wide[a : a + n].tobytes()) for a, n in zip(at.tolist(), length.tolist(), strict=True)]
+            crc = [zlib.crc32(ids[a : a + n].astype("<u4").tobytes()) for a, n in zip(at.tolist(), length.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b["_key"].take(pa.array(row)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc, pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     one = docs.select(F.col(key).cast("long").alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
@@ -179,6 +178,7 @@ def pack_documents(docs: DataFrame, vocabulary: str | None = None, text: str = "
         out = pdf.iloc[order].drop(columns="_group")
         return out.assign(sequence_id=pdf["_group"].to_numpy()[order] * (1 << 32) + number, offset=ends - sizes - begin)
 
-    dealt = cut.withColumn("_group", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups)).cast("long"))
+    # The row number, as read from the written pieces, deals out equal rows as well.
+    dealt = cut.withColumn("_group", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.monotonically_increasing_id()), F.lit(groups)).cast("long"))
     out = dealt.groupBy("_group").applyInPandas(of, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
     return out

@@ -1,7 +1,7 @@
 """Toxicity scores from a linear classifier on character n-grams scaled by naive Bayes log-count ratios.
 
-1. Counts: for each hashed n-gram the number of toxic and of other labelled training documents that hold it, over all
-   training rows, added up as arrays of fixed size.
+1. Counts: for each hashed n-gram the number of toxic and of other labelled training documents that hold it, over at most
+   COUNT_ROWS training rows (those with the smallest hashes of their keys), added up as arrays of fixed size.
 2. Ratios r = log((p + a) / |p| : (q + a) / |q|); the n-grams with the largest |r| weighted by their spread stay as features.
 3. Logistic regression on presence x r, fitted on at most FIT_ROWS training rows, with equal weight for both classes'
    share as found in the data, so that scores are probabilities.
@@ -21,13 +21,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from opsloom.llm import words as wd
+from opsloom.session import keep
 
 SIZES = (4, 5, 6)
 BITS = 20
 FEATURES = 4096
-#: Most labelled rows that the regression is fitted on (those with the smallest hash of their key); counts and ratios use all.
-FIT_ROWS = 20_000
-SMOOTHING = 1.0
+#: Most labelled rows that counts and ratios, and the regression, are fitted on: those with the smallest hashes of their keys.  Both bound what
+#: is broadcast (a key and a label each), so labels go to the texts and no text is exchanged.
+COUNT_ROWS, FIT_ROWS = 200_000, 20_000
+#: Chosen among 1, 0.3, 0.1 and 0.03 by training rows alone (learnt on remainders 0 and 3, judged on 1).
+SMOOTHING = 0.3
 PENALTY = 1e-5
 #: Bytes of text whose n-grams are held at a time.
 CHUNK = 1 << 20
@@ -73,8 +76,8 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def _counts(rows: DataFrame, sizes, bits: int) -> tuple[np.ndarray, int]:
-    """Documents per bucket, toxic and other, as a (buckets, 2) array whatever the number of documents, and the number of documents.
+def _counts(rows: DataFrame, sizes, bits: int) -> np.ndarray:
+    """Documents per bucket, toxic and other, as a (buckets, 2) array whatever the number of documents.
 
     A task sends its counts as compressed arrays, one for each of 256 ranges of buckets; they are added in two steps, so that
     no group holds the arrays of more than 256 tasks, or of the sums of 256 tasks each.
@@ -94,22 +97,22 @@ def _counts(rows: DataFrame, sizes, bits: int) -> tuple[np.ndarray, int]:
         if n:
             parts = range(0, 1 << bits, width)
             packed = [zlib.compress(total[at : at + width].astype("<i8").tobytes(), 1) for at in parts]
-            own = [pa.array(np.arange(len(parts), dtype=np.int32)), pa.array(np.full(len(parts), TaskContext.get().partitionId() // 256, np.int32)), pa.array(packed, pa.binary()), pa.array([n] + [0] * (len(parts) - 1), pa.int64())]
-            yield pa.RecordBatch.from_arrays(own, ["part", "salt", "counts", "n"])
+            own = [pa.array(np.arange(len(parts), dtype=np.int32)), pa.array(np.full(len(parts), TaskContext.get().partitionId() // 256, np.int32)), pa.array(packed, pa.binary())]
+            yield pa.RecordBatch.from_arrays(own, ["part", "salt", "counts"])
 
     def added(pdf):
         import pandas as pd
 
         total = sum(np.frombuffer(zlib.decompress(x), "<i8") for x in pdf["counts"])
-        return pd.DataFrame({"part": pdf["part"].iloc[:1], "counts": [zlib.compress(total.tobytes(), 1)], "n": [pdf["n"].sum()]})
+        return pd.DataFrame({"part": pdf["part"].iloc[:1], "counts": [zlib.compress(total.tobytes(), 1)]})
 
-    sent = rows.mapInArrow(of, "part int, salt int, counts binary, n bigint")
-    spec = "part int, counts binary, n bigint"
+    sent = rows.mapInArrow(of, "part int, salt int, counts binary")
+    spec = "part int, counts binary"
     got = sent.groupBy("part", "salt").applyInPandas(added, spec).groupBy("part").applyInPandas(added, spec).collect()
     out = np.zeros((1 << bits, 2))
     for row in got:
         out[row["part"] * width : (row["part"] + 1) * width] = np.frombuffer(zlib.decompress(row["counts"]), "<i8").reshape(-1, 2)
-    return out, sum(row["n"] for row in got)
+    return out
 
 
 def _features(rows: DataFrame, table: np.ndarray, sizes, bits: int, most: int) -> tuple[list[np.ndarray], np.ndarray]:
@@ -128,15 +131,11 @@ def _features(rows: DataFrame, table: np.ndarray, sizes, bits: int, most: int) -
     return [size, flat], got["y"].to_numpy().astype(float)
 
 
-def _sample(known: DataFrame, docs: DataFrame, rows: int, most: int) -> DataFrame:
-    """The labels of about ``most`` of the ``rows`` labelled documents, those with the smallest hashes of their keys; all if there are no more.
-
-    Only keys and labels are exchanged for it.
-    """
+def _sample(known: DataFrame, rows: int, most: int) -> DataFrame:
+    """About 0.95 x ``most`` of the ``rows`` labels, those with the smallest hashes of their keys; all if there are no more."""
     if rows > most:
-        edge = int(0.95 * most / rows * 2**64) - 2**63
-        known = known.filter(F.xxhash64("_label_key") < F.lit(edge))
-    return known.join(docs.select(F.col("_doc").alias("_label_key")).distinct(), "_label_key", "left_semi")
+        known = known.filter(F.xxhash64("_label_key") < F.lit(int(0.95 * most / rows * 2**64) - 2**63))
+    return F.broadcast(known)
 
 
 def _regression(size: np.ndarray, flat: np.ndarray, ratio: np.ndarray, y: np.ndarray, penalty: float, steps: int = 600) -> tuple[np.ndarray, float]:
@@ -157,16 +156,18 @@ def _regression(size: np.ndarray, flat: np.ndarray, ratio: np.ndarray, y: np.nda
     return v, vb
 
 
-def train(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "toxic", key: str = "doc_id", sizes=SIZES, bits: int = BITS, features: int = FEATURES, fit_rows: int = FIT_ROWS, smoothing: float = SMOOTHING, penalty: float = PENALTY) -> Model:
+def train(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "toxic", key: str = "doc_id", sizes=SIZES, bits: int = BITS, features: int = FEATURES, count_rows: int = COUNT_ROWS, fit_rows: int = FIT_ROWS, smoothing: float = SMOOTHING, penalty: float = PENALTY) -> Model:
     """A model from the documents that have a label of 0 or 1; others are left out.  ``key`` only joins them.  Without any, every score is 0.5.
 
-    A key with several labels takes one of them.  Texts are exchanged once, to meet their labels for the counts.  For the
-    regression the labels go to the texts: at most ``fit_rows`` of them, whatever the size of the tables.
+    A key with several labels takes the larger one.  Labels go to the texts: at most ``count_rows`` and ``fit_rows`` of them, whatever the
+    size of the tables.  Only keys and labels are exchanged, to leave out labels without a document.
     """
     known = labels.filter(F.col(label).isin(0, 1)).groupBy(F.col(key).alias("_label_key")).agg(F.max(F.col(label).cast("int")).alias("_toxic"))
     bodies = docs.select(F.col(key).alias("_doc"), F.col(text).alias("_text"))
+    known = keep(known.join(bodies.select(F.col("_doc").alias("_label_key")).distinct(), "_label_key", "left_semi"), "toxicity-labels")
+    rows = known.count()
     met = F.col("_doc") == F.col("_label_key")
-    counts, n = _counts(bodies.join(known, met).select("_text", "_toxic"), sizes, bits)
+    counts = _counts(bodies.join(_sample(known, rows, count_rows), met).select("_text", "_toxic"), sizes, bits)
     p, q = counts[:, 0] + smoothing, counts[:, 1] + smoothing
     ratio = np.log((p / p.sum()) / (q / q.sum()))
     # n-grams by how far they shift the odds, weighted by how often they can
@@ -175,8 +176,7 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "
     best = best[worth[best] > 0]
     table = np.full(1 << bits, -1, np.int32)
     table[best] = np.arange(len(best))
-    few = F.broadcast(_sample(known, bodies, n, fit_rows))  # a key and a label of at most about fit_rows documents
-    (size, flat), y = _features(bodies.join(few, met).select("_text", "_toxic"), table, sizes, bits, fit_rows)
+    (size, flat), y = _features(bodies.join(_sample(known, rows, fit_rows), met).select("_text", "_toxic"), table, sizes, bits, fit_rows)
     weight, bias = _regression(size, flat, ratio[best], y, penalty) if len(best) else (np.zeros(0), 0.0 if not len(y) else float(np.log((y.mean() + 1e-6) / (1 - y.mean() + 1e-6))))
     return Model(table, weight * ratio[best], bias, sizes, bits)
 

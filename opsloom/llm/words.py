@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
 

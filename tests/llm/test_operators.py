@@ -3,9 +3,11 @@
 import collections
 import hashlib
 import re
+import unicodedata
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from opsloom.llm import licences, packing, privacy, quality, repeats, simhash, tiling, token_files, tokens, toxicity, warc
@@ -258,6 +260,26 @@ def test_licences_of_repeated_keys(spark):
     assert got == counted([(1, "mit", 1.0), (1, "", 0.0), (None, "", 0.0), (None, "reserved", 1.0), (1, "", 0.0), (2, "", 0.0)])
 
 
+def test_token_ids_of_every_letter():
+    """Pieces put together give the library's ids of whole texts, for every letter and mark before full stops and commas."""
+    from tokenizers import Tokenizer
+
+    path = tokens.vocabulary()
+    whole, own = Tokenizer.from_file(path), tokens.Encoder(path)
+    letters = [chr(c) for c in range(0x80, 0x20000) if unicodedata.category(chr(c))[0] in "LMN"]
+    texts = [f"ab{c}, x {c}. {c}.,{c} {c}" for c in letters] + ["İ, ΑΣ. it's, we'll. <|endoftext|>, e\u0301. a.b,c ..,"]
+    ids, counts = own.encode(pa.array(texts))
+    got = np.split(ids, np.cumsum(counts)[:-1])
+    want = whole.encode_batch(texts, add_special_tokens=False)
+    assert [t for t, a, b in zip(texts, got, want, strict=True) if a.tolist() != b.ids] == []
+
+
+def test_packing_deals_out_equal_rows(spark):
+    rows = spark.createDataFrame([(1, "a b c")] * 300, "doc_id long, text string")
+    got = packing.pack_documents(rows, group=20).collect()
+    assert len(got) == 300 and len({r.sequence_id >> 32 for r in got}) > 8
+
+
 # ---------------------------------------------------------------- empty tables
 def test_empty_tables(spark):
     d, b = empty(spark), spark.createDataFrame([], "item_id long, text string")
