@@ -158,9 +158,12 @@ def _exchange(sent: DataFrame, judge, parts: int) -> DataFrame:
             order = np.lexsort((place, text, doc))
             yield from _hit_rows(doc[order], text[order], place[order])
 
-    return sent.repartition("part").mapInArrow(of, RETURNED).repartition("range").mapInArrow(together, HITS)
+    return sent.repartition(parts, "part").mapInArrow(of, RETURNED).repartition(parts, "range").mapInArrow(together, HITS)
 
 
+#: Bytes of text per range of hashes, and so about 1.5 million entries for the task that compares them; and the fewest ranges.  With few ranges a
+#: document's entries in one share their header.
+PART_BYTES, LEAST_PARTS = 8 << 20, 32
 #: Entries that a task gathers before it sends them back to their documents.
 FLUSH = 2_000_000
 RETURNED = "range int, docs binary, texts binary, places binary"
@@ -295,9 +298,9 @@ def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", win
     "an earlier document" goes: they never remove each other's words, and each gives a row.  An empty table gives an
     empty result.  Columns other than ``text`` and ``key`` are not read.
     """
-    spark = docs.sparkSession
-    parts = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     one = docs.select(F.col(key).cast("long").alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
+    size = one.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
+    parts = max(LEAST_PARTS, -(-size // PART_BYTES))
     by_doc = _exchange(anchors(one, window, parts), _shared_blocks, parts)
     marked = one.join(by_doc, F.coalesce("_key", F.lit(int(NONE))) == F.col("doc_id"))
     found = keep(marked.select("_key", "_text", "places"), "repeat-candidates")

@@ -12,6 +12,7 @@ The items are a stated query set.  They go to the tasks in blocks of bounded siz
 from __future__ import annotations
 
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -69,18 +70,27 @@ def tile(item: np.ndarray, doc: np.ndarray, seed: int = SEED) -> list[tuple[int,
     seed = max(1, min(seed, len(item)))
     n = max(seed, len(item) // 2)
     while True:
-        runs = sorted(_runs(item, doc, free_i, free_d, n), key=lambda r: (-r[0], r[1], r[2]))
-        if runs and runs[0][0] > 2 * n:  # much longer than the length searched with: start again from there
-            n = runs[0][0]
+        found = _runs(item, doc, free_i, free_d, n)
+        longest = max(found)[0] if found else 0
+        if longest > 2 * n:  # much longer than the length searched with: start again from there
+            n = longest
             continue
-        for k, i, d in runs:
-            if free_i[i : i + k].all() and free_d[d : d + k].all():  # else a longer tile cut it; what is left is met again
-                free_i[i : i + k] = free_d[d : d + k] = 0
-                tiles.append((k, i, d))
-        if n > seed:
-            n = max(seed, n // 2)
-        elif not runs:
+        runs = [(-k, i, d) for k, i, d in found]
+        heapify(runs)
+        while runs:
+            k, i, d = heappop(runs)
+            free = (free_i[i : i - k] & free_d[d : d - k]).astype(np.int8)
+            if free.all():
+                free_i[i : i - k] = free_d[d : d - k] = 0
+                tiles.append((-k, i, d))
+                continue
+            edge = np.diff(free, prepend=np.int8(0), append=np.int8(0))  # a longer tile cut it: what is left takes its place by length
+            for a, b in zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist(), strict=True):
+                if b - a >= n:  # shorter ones are met again when n is
+                    heappush(runs, (a - b, i + a, d + a))
+        if n == seed:
             return sorted(tiles, key=lambda t: (-t[0], t[1], t[2]))
+        n = max(seed, n // 2)
 
 
 # ---------------------------------------------------------------- items

@@ -280,6 +280,35 @@ def test_packing_deals_out_equal_rows(spark):
     assert len(got) == 300 and len({r.sequence_id >> 32 for r in got}) > 8
 
 
+def test_tiles_are_longest_first():
+    """Against a plain search that compares all places anew for each tile."""
+    rng = np.random.default_rng(3)
+
+    def plain(item, doc, seed):
+        free_i, free_d, out = [True] * len(item), [True] * len(doc), []
+        while True:
+            best = (seed - 1, 0, 0)
+            for i in range(len(item)):
+                for d in range(len(doc)):
+                    k = 0
+                    while i + k < len(item) and d + k < len(doc) and free_i[i + k] and free_d[d + k] and item[i + k] == doc[d + k]:
+                        k += 1
+                    if k > best[0]:
+                        best = (k, i, d)
+            k, i, d = best
+            if k < seed:
+                return out
+            free_i[i : i + k] = free_d[d : d + k] = [False] * k
+            out.append(best)
+
+    pairs = [([1, 1, 1, 3, 1, 3, 1, 3, 2, 3, 2, 3, 3], [2, 3, 3, 1, 2, 1, 1, 3, 1, 3, 3, 1, 3, 2, 3, 3, 2, 2, 3, 2, 3, 1, 3, 2])]
+    pairs += [(rng.integers(1, 4, rng.integers(1, 14)).tolist(), rng.integers(1, 4, rng.integers(1, 22)).tolist()) for _ in range(2000)]
+    for item, doc in pairs:
+        seed = min(3, len(item))
+        got = tiling.tile(np.array(item, np.uint64), np.array(doc, np.uint64), seed)
+        assert got == plain(item, doc, seed), (item, doc)
+
+
 # ---------------------------------------------------------------- empty tables
 def test_empty_tables(spark):
     d, b = empty(spark), spark.createDataFrame([], "item_id long, text string")
