@@ -14,6 +14,7 @@ from opsloom.functions import commands as cx
 from opsloom.plans import history as h
 from opsloom.plans import views as v
 from opsloom.session import shared_folder
+from opsloom.sources import tail
 from opsloom.streaming import history as st
 
 
@@ -101,6 +102,64 @@ def stream_hint(spark, sf):
     return out.select(F.col("machine").cast("long").alias("machine"), F.col("command_seq").alias("seq"), (F.col("line_seq") - 10_000_000).alias("line_id"))
 
 
+# ---------------------------------------------------------------- growing logs
+def _write_logs(rows: DataFrame, root: str) -> None:
+    """One log per machine, its lines in order, written under another name first; a rewritten log with more lines has grown."""
+
+    def of(batches):
+        import pyarrow as pa
+        from pyarrow import fs
+
+        system, base = (fs.FileSystem.from_uri(root)) if "://" in root or root.startswith("file:") else (fs.LocalFileSystem(), root)
+        system.create_dir(base, recursive=True)
+        now, f, n = None, None, 0
+
+        def done():
+            if f is not None:
+                f.close()
+                system.move(f"{base}/{now}.part", f"{base}/{now}.log")
+
+        for batch in batches:
+            for machine, line in zip(batch["machine"].to_pylist(), batch["line"].to_pylist(), strict=True):
+                if machine != now:
+                    done()
+                    now, f = machine, system.open_output_stream(f"{base}/{machine}.part")
+                f.write((line or "").encode() + b"\n" if line is not None else b"")
+                n += 1
+        done()
+        yield pa.RecordBatch.from_pydict({"n": pa.array([n], pa.int64())})
+
+    rows.select("machine", "line", "seq").repartition("machine").sortWithinPartitions("machine", "seq").mapInArrow(of, "n bigint").agg(F.sum("n")).collect()
+
+
+#: What the logs hold at each look, by the event's number: grown, rotated to a part of it, grown again.
+LOOKS = ("k % 3 = 0", "k % 3 <> 2", "k % 3 = 1 AND k % 2 = 0", "k % 2 = 0")
+
+
+def stream_tail(spark, sf):
+    """Logs that grow, are rotated and grow again, looked at after each step by a stream that stops and goes on from its checkpoint.
+
+    A log holds at each look the events that LOOKS says, those of an earlier look first.
+    """
+    st.use_rocksdb(spark)
+    c = v.commands(spark, sf)
+    base = _folder(spark)
+    root = f"{base}/logs"
+    grown = F.when(F.expr(LOOKS[0]), 0).otherwise(1)
+    again = F.when(F.expr(LOOKS[2]), 0).otherwise(1)
+    for look, first in zip(LOOKS, (grown, grown, again, again), strict=True):
+        line = F.when(F.expr(look), F.col("command"))
+        _write_logs(c.select("machine", line.alias("line"), (first.cast("long") * 10_000_000_000 + F.col("seq")).alias("seq")), root)
+        st.run_available(tail.new_commands(tail.tail(spark, root, ".log", 4096)), f"{base}/out", f"{base}/checkpoint")
+    out = spark.read.schema("file string, place bigint, command string").parquet(f"{base}/out")
+    return out.groupBy(F.regexp_extract("file", r"(\d+)\.log$", 1).cast("long").alias("machine"), "command").agg(F.count(F.lit(1)).alias("n"))
+
+
+SQL_TAIL = f"""{h.C}, a AS (SELECT DISTINCT machine, trim(command) AS command FROM commands WHERE {LOOKS[1]}), had AS (SELECT DISTINCT machine, trim(command) AS command FROM commands WHERE {LOOKS[2]}),
+b AS (SELECT DISTINCT machine, trim(command) AS command FROM commands WHERE {LOOKS[3]} EXCEPT SELECT * FROM had)
+SELECT machine, command, count(*) AS n FROM (SELECT * FROM a UNION ALL SELECT * FROM b) WHERE command <> '' GROUP BY 1, 2"""
+
+
 QUERIES = {
     "stream_history": (stream_history, SQL_HIST),
     "stream_dedup": (stream_dedup, f"{h.C} SELECT DISTINCT machine, sha256(command) AS command_hash FROM commands"),
@@ -109,4 +168,5 @@ QUERIES = {
     "stream_feedback": (stream_feedback, SQL_FEED),
     "stream_stall": (stream_stall, SQL_STALLS),
     "stream_hint": (stream_hint, h.SQL_PENDING),
+    "stream_tail": (stream_tail, SQL_TAIL),
 }
