@@ -6,20 +6,23 @@ windows only ever see the capped candidates of that query.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from opsloom import rules
 from opsloom.functions import text as tx
+from opsloom.session import keep
 
-BROADCAST_QUERIES = 10_000
-_WORD = re.compile("[a-z0-9]{2,}")
+#: Documents of a block of the index (an eighth as many bytes per word of it), and blocks looked at first per query and index.
+BLOCK_DOCS, FIRST_LOOK = 2048, 4
 
 
 def expand_queries(
@@ -43,124 +46,136 @@ def term_rows(queries: DataFrame, text: str = "text", limit: int = rules.MAX_QUE
     )
 
 
-def lexical_hits(
-    queries: DataFrame,
-    docs: DataFrame,
-    k: int,
-    *,
-    text: str = "text",
-    title: str = "title",
-    content: str = "content",
-    index: str = "index",
-    broadcast_queries: int = BROADCAST_QUERIES,
-) -> DataFrame:
-    """Documents with any query term as a word prefix in title or content.
+# ---------------------------------------------------------------- inverted index
+def build_index(docs: DataFrame, *, title: str = "title", content: str = "content", index: str = "index", block_docs: int = BLOCK_DOCS) -> tuple[DataFrame, DataFrame]:
+    """(postings, blocks) of a corpus, written to the shared folder.
 
-    The best ``k`` per (query, index): query_id, index, doc_id, distance, matched, rank;
-    ranked by matched terms, then doc_id.
+    The documents of an index are cut, in the order of doc_id, into blocks of at most ``block_docs``.  ``postings`` has block, word and a bit for
+    each document of the block that has the word; ``blocks`` has block, index, first and docs (the ids by place).  Texts stay where
+    they are: only each document's distinct words are exchanged.
+    """
+    kind, own = docs.schema["doc_id"].dataType.simpleString(), docs.schema[index].dataType.simpleString()
+    words = tx.index_tokens(F.concat_ws("\n", F.col(title), F.col(content)))
+    order = [F.asc_nulls_first("index"), "doc_id"]
+    rows = docs.select(F.col(index).alias("index"), "doc_id", words.alias("words")).repartitionByRange(*order).sortWithinPartitions(*order)
+    made = keep(rows.mapInArrow(_index_blocks(block_docs), f"block bigint, index {own}, docs array<{kind}>, words array<string>, bits array<binary>"), "inverted-index")
+    postings = made.select("block", F.explode(F.arrays_zip("words", "bits")).alias("p")).select("block", F.col("p.words").alias("word"), F.col("p.bits").alias("bits"))
+    return postings, made.select("block", "index", F.get("docs", F.lit(0)).alias("first"), "docs")
+
+
+def _index_blocks(most: int):
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, number, held = TaskContext.get().partitionId(), 0, None
+
+        def one(rows: pa.RecordBatch) -> pa.RecordBatch:
+            nonlocal number
+            ids = rows["doc_id"]
+            place = np.concatenate(([0], np.cumsum(_changes(ids)))) if len(ids) else np.zeros(0, np.int64)  # rows that repeat a doc_id are one document
+            coded = rows["words"].flatten().dictionary_encode()
+            row = place[np.repeat(np.arange(len(ids)), pc.fill_null(pc.list_value_length(rows["words"]), 0).to_numpy())]
+            flags = np.zeros((len(coded.dictionary), int(place[-1]) + 1), bool)
+            flags[coded.indices.to_numpy(), row] = True
+            bits = [x.tobytes() for x in np.packbits(flags, axis=1, bitorder="little")]
+            docs = ids.take(pa.array(np.flatnonzero(np.append(True, np.diff(place) > 0))))
+            number += 1
+            lists = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in (docs, coded.dictionary, pa.array(bits, pa.binary()))]
+            return pa.RecordBatch.from_arrays([pa.array([(part << 32) + number], pa.int64()), rows["index"].slice(0, 1), *lists], names=["block", "index", "docs", "words", "bits"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = batch if held is None else pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+            new = np.append(True, _changes(rows["index"]))
+            fresh = new | np.append(True, _changes(rows["doc_id"]))
+            at, docs = 0, 0
+            for k in np.flatnonzero(fresh).tolist():
+                if k > at and (new[k] or docs == most):
+                    yield one(rows.slice(at, k - at))
+                    at, docs = k, 0
+                docs += 1
+            held = rows.slice(at)
+        if held is not None:
+            yield one(held)
+
+    return of
+
+
+def _changes(x: pa.Array) -> np.ndarray:
+    """Does a value differ from the one before it (null equals null)?"""
+    null = x.is_null().to_numpy(zero_copy_only=False)
+    other = pc.fill_null(pc.not_equal(x.slice(1), x.slice(0, len(x) - 1)), False).to_numpy(zero_copy_only=False)
+    return other | (null[1:] != null[:-1])
+
+
+def lexical_hits(queries: DataFrame, docs: DataFrame, k: int, *, text: str = "text", title: str = "title", content: str = "content", index: str = "index", block_docs: int = BLOCK_DOCS) -> DataFrame:
+    """Documents with any query term as a word prefix in title or content.
 
-    Query tables up to a counted bound travel to the scan: a task counts matches per
-    batch of documents and emits only its best ``k`` per (query, index), so neither texts
-    nor pairs are exchanged.  Larger ones are joined on the term (``_lexical_join``).
+    The best ``k`` per (query, index): query_id, index, doc_id, distance, matched, rank; ranked by matched terms, then doc_id.
     """
-    terms = term_rows(queries, text).select("query_id", "term")
-    indexed = F.concat_ws("\n", F.col(title), F.col(content))
-    placed = docs.select(F.col(index).alias("index"), "doc_id", indexed.alias("_t"))
-    # At most twelve terms per query, so this is bounded by the query bound.
-    sample = terms.limit(broadcast_queries * rules.MAX_QUERY_TERMS + 1).toPandas()
-    if sample["query_id"].nunique() <= broadcast_queries and len(sample) <= broadcast_queries * rules.MAX_QUERY_TERMS:
-        counted = _lexical_scan(sample, placed, k)
-    else:
-        counted = _lexical_join(terms, placed)
-    w = Window.partitionBy("query_id", "index").orderBy(F.desc("matched"), "doc_id")
-    return (
-        counted.withColumn("rank", F.row_number().over(w))
-        .filter(F.col("rank") <= k)
-        .select("query_id", "index", "doc_id", F.lit(rules.LEXICAL_DISTANCE).alias("distance"), "matched", "rank")
-    )
+    return search_index(queries, *build_index(docs, title=title, content=content, index=index, block_docs=block_docs), k, text=text)
 
 
-def _lexical_join(terms: DataFrame, placed: DataFrame) -> DataFrame:
-    """Matched terms per (document, query) by an equi-join on word prefixes.
+def search_index(queries: DataFrame, postings: DataFrame, blocks: DataFrame, k: int, *, text: str = "text", first_look: int = FIRST_LOOK) -> DataFrame:
+    """As ``lexical_hits``, over an index that was built before.
 
-    Each document offers the distinct prefixes of its words once, in the lengths that
-    query terms have.  Documents are spread by doc_id first, so the counting and the
-    window's group limit happen in the task that holds the document.
+    Threshold search: a block can hold no document with more matches than the query has terms in the block.  Blocks are looked at from
+    the largest such bound on, by doc_id among equals, ``first_look`` of them at first and eight times as many in each further look; a query and index is done when its k-th
+    best cannot be beaten by what is left.  So a word that all documents have costs a look at a few blocks, not a pair for every document and
+    query.  Queries with the same terms are searched once.
     """
-    lengths = [r[0] for r in terms.select(F.length("term")).distinct().collect()] or [2]
-    keys = placed.repartition("doc_id").select(
-        "index", "doc_id", F.explode(tx.token_prefixes(tx.index_tokens("_t"), lengths)).alias("term")
-    )
-    return keys.join(terms, "term").groupBy("doc_id", "index", "query_id").agg(F.count(F.lit(1)).alias("matched"))
-
-
-def _lexical_scan(terms: pd.DataFrame, placed: DataFrame, k: int) -> DataFrame:
-    """The best ``k`` per (query, index) of each task."""
-    schema = T.StructType(
-        [
-            placed.schema["doc_id"],
-            placed.schema["index"],
-            T.StructField("query_id", T.LongType() if terms["query_id"].dtype.kind in "iu" else T.StringType()),
-            T.StructField("matched", T.LongType()),
-        ]
-    )
-    ids = list(dict.fromkeys(terms["query_id"]))
-    number = {q: i for i, q in enumerate(ids)}
-    asked: dict[str, list[int]] = {}
-    for q, term in zip(terms["query_id"], terms["term"]):
-        asked.setdefault(term, []).append(number[q])
-    holders = {term: np.array(qs) for term, qs in asked.items()}
-    lengths = sorted({len(t) for t in holders})
-
-    def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known: dict[str, tuple[str, ...]] = {}
-        best: pd.DataFrame | None = None
-        for pdf in batches:
-            if len(known) > 500_000:
-                known.clear()
-            counts = np.zeros((len(pdf), len(ids)), dtype="int16")
-            for row, body in enumerate(pdf["_t"]):
-                found: set[str] = set()
-                for word in set(_WORD.findall(body)):
-                    hit = known.get(word)
-                    if hit is None:
-                        hit = tuple(word[:n] for n in lengths if n <= len(word) and word[:n] in holders)
-                        known[word] = hit
-                    found.update(hit)
-                if found:
-                    counts[row] = np.bincount(np.concatenate([holders[t] for t in found]), minlength=len(ids))
-            top = _top_counts(pdf["doc_id"].to_numpy(), pdf["index"].to_numpy(), counts, ids, k)
-            best = top if best is None else pd.concat([best, top], ignore_index=True)
-            best = best.sort_values(["matched", "doc_id"], ascending=[False, True], kind="stable")
-            best = best[best.groupby(["query_id", "index"], sort=False).cumcount() < k]
-        if best is not None and len(best):
-            yield best[schema.names]
-
-    lowered = placed.select("doc_id", "index", F.lower("_t").alias("_t"))
-    return lowered.mapInPandas(task, schema)
-
-
-def _top_counts(docs: np.ndarray, index: np.ndarray, counts: np.ndarray, ids: list, k: int) -> pd.DataFrame:
-    names = np.array(ids, dtype=object)
-    parts = []
-    for value in pd.unique(index):
-        at = np.flatnonzero(index == value)
-        at = at[np.argsort(docs[at], kind="stable")]
-        here = counts[at]
-        order = np.argsort(-here, axis=0, kind="stable")[:k]
-        matched = np.take_along_axis(here, order, axis=0)
-        row, query = np.nonzero(matched)
-        parts.append(
-            pd.DataFrame(
-                {
-                    "doc_id": docs[at[order[row, query]]],
-                    "index": np.full(len(row), value, dtype=object),
-                    "query_id": names[query],
-                    "matched": matched[row, query].astype("int64"),
-                }
-            )
-        )
-    return pd.concat(parts, ignore_index=True)
+    asked = keep(queries.select("query_id", F.array_sort(tx.query_terms(text)).alias("terms")).filter(F.size("terms") > 0).withColumn("g", F.xxhash64(F.array_join("terms", " "))), "lexical-queries")
+    wanted = keep(asked.select("g", F.explode("terms").alias("term")).distinct(), "lexical-terms")
+    lengths = [r[0] for r in wanted.select(F.length("term")).distinct().collect()] or [2]
+    # Words that a term is a prefix of; then one row of bits per block and term.
+    known = postings.select("word").distinct().select("word", F.explode(tx.token_prefixes(F.array("word"), lengths)).alias("term"))
+    meant = known.join(wanted.select("term").distinct(), "term")
+    found = keep(postings.join(meant, "word").groupBy("block", "term").agg(F.collect_list("bits").alias("bits")).select("block", "term", _any_bits("bits").alias("bits")), "lexical-postings")
+    bounds = found.select("block", "term").join(wanted, "term").groupBy("g", "block").agg(F.count(F.lit(1)).alias("bound"))
+    turn = Window.partitionBy("g", "index").orderBy(F.desc("bound"), "first", "block")
+    plan = keep(bounds.join(blocks.select("block", "index", "first"), "block").withColumn("turn", F.row_number().over(turn)), "lexical-plan")
+    best, left, seen, look = None, plan, 0, first_look
+    while True:
+        now = left.filter(F.col("turn") <= seen + look)
+        bits = now.select("g", "index", "block").join(wanted, "g").join(found, ["block", "term"]).groupBy("g", "index", "block").agg(F.collect_list("bits").alias("bits"))
+        own = bits.mapInArrow(_best_places(k), "g bigint, block bigint, place int, matched bigint").join(blocks, "block").select("g", "index", F.get("docs", "place").alias("doc_id"), "matched")
+        w = Window.partitionBy("g", "index").orderBy(F.desc("matched"), "doc_id")
+        every = own if best is None else best.drop("rank").unionByName(own)
+        best = keep(every.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k), "lexical-best")
+        seen, look = seen + look, look * 8
+        last = best.filter(F.col("rank") == k).select(F.col("g").alias("_g"), F.col("index").alias("_index"), F.col("matched").alias("_matched"), F.col("doc_id").alias("_doc"))
+        rest = left.filter(F.col("turn") > seen).join(last, (F.col("g") == F.col("_g")) & F.col("index").eqNullSafe(F.col("_index")), "left")
+        open_ = F.col("_g").isNull() | (F.col("bound") > F.col("_matched")) | ((F.col("bound") == F.col("_matched")) & (F.col("first") < F.col("_doc")))
+        left = keep(rest.filter(open_).select(*plan.columns), "lexical-left")
+        if left.isEmpty():
+            break
+    ranked = asked.select("query_id", "g").join(best, "g")
+    return ranked.select("query_id", "index", "doc_id", F.lit(rules.LEXICAL_DISTANCE).alias("distance"), "matched", "rank")
+
+
+@F.pandas_udf(T.BinaryType())
+def _any_bits(lists: pd.Series) -> pd.Series:
+    """Bits that are set in any of the entries of a list."""
+    return lists.map(lambda x: np.bitwise_or.reduce([np.frombuffer(b, np.uint8) for b in x]).tobytes())
+
+
+def _best_places(k: int):
+    """The k places of a block that most terms of a query have, the first ones among equals."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, places, counts = [], [], []
+            for i in range(batch.num_rows):
+                n = np.unpackbits(np.stack([np.frombuffer(b, np.uint8) for b in batch["bits"][i].as_py()]), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+                at = np.argsort(-n, kind="stable")[:k]
+                at = at[n[at] > 0]
+                rows.append(np.full(len(at), i))
+                places.append(at)
+                counts.append(n[at])
+            if rows:
+                take = pa.array(np.concatenate(rows))
+                yield pa.RecordBatch.from_arrays([batch["g"].take(take), batch["block"].take(take), pa.array(np.concatenate(places), pa.int32()), pa.array(np.concatenate(counts), pa.int64())], names=["g", "block", "place", "matched"])
+
+    return of
 
 
 def title_rescue(

@@ -92,8 +92,8 @@ def lexical(spark, sf, k: int = K) -> DataFrame:
 
 
 def lexical_join(spark, sf):
-    """The path for query tables above the bound."""
-    return re_.lexical_hits(v.queries(spark, sf), v.docs(spark, sf), K, broadcast_queries=1)
+    """Small blocks and short looks, so that the threshold decides what is looked at."""
+    return re_.search_index(v.queries(spark, sf), *re_.build_index(v.docs(spark, sf), block_docs=16), K, first_look=1)
 
 
 def _missing(spark, sf) -> DataFrame:

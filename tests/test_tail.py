@@ -7,6 +7,11 @@ from opsloom.sources import tail as tl
 from opsloom.streaming import history as st
 
 
+@pytest.fixture(autouse=True)
+def rocksdb(spark):
+    st.use_rocksdb(spark)
+
+
 @pytest.fixture
 def logs(tmp_path):
     (tmp_path / "logs").mkdir()
