@@ -1,9 +1,12 @@
-"""Exact nearest neighbours of a query table in a vector table.
+"""Exact nearest neighbours of a query table in a vector table, with an optional predicate per query.
 
-Small query tables (checked by count) travel to the tasks that scan the vectors:
-one matrix product per Arrow batch, only the best ``k`` per (query, index) leave a
-task.  Larger query tables are cut into blocks that meet cells of the vector table by
-an equi-join on (cell, block), so every group has a bounded size.
+Vectors of length one obey the triangle inequality, so a query need not look at all of them.  A bounded sample of the vectors are pivots; every
+vector belongs to its nearest one, and the vectors of a pivot are cut into tiles of at most ``tile_bytes``, sorted by their distance from it.  A tile
+with vectors between r and R from its pivot holds nothing closer to a query than max(r - d, d - R), if the query is d from the pivot.
+Tiles are looked at from the smallest such bound on, a few at first and eight times as many in each further look; a query and index is done when its
+k-th best is closer than all that is left.  What a predicate rules out is never a candidate, and tiles without a vector that it allows are not looked at.
+
+Queries travel to tiles in blocks, so a tile is sent once for ``block_queries`` queries, and only the best k per (query, index) leave it.
 """
 
 from __future__ import annotations
@@ -11,16 +14,168 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-BROADCAST_QUERIES = 10_000
-BLOCK_QUERIES = 2_000
-CELL_ROWS = 50_000
-_MISSING = -1.0
+from opsloom.session import keep
+
+TILE_BYTES = 4 << 20
+BLOCK_QUERIES = 256
+#: Pivots: at most so many vectors are on the driver and in every task.
+PIVOTS = 256
+FIRST_LOOK = 4
+#: More than what rounding in matrix products can shift a distance.
+SLACK = 1e-9
+
+
+def _units(lists: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the vectors with ``size`` components that have a direction, and these as rows of length one."""
+    lengths = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    if not size:
+        return np.zeros(0, np.int64), np.zeros((0, 0))
+    at = np.flatnonzero(lengths == size)
+    rows = pc.fill_null(lists.take(pa.array(at)).flatten(), np.nan).to_numpy(zero_copy_only=False).reshape(len(at), size)
+    norm = np.sqrt((rows * rows).sum(axis=1))
+    good = np.isfinite(norm) & (norm > 0)
+    return at[good], rows[good] / norm[good, None]
+
+
+def _sizes(lists: pa.Array) -> list[int]:
+    return [s for s in pc.unique(pc.fill_null(pc.list_value_length(lists), 0)).to_pylist() if s]
+
+
+def _edges(distance: np.ndarray) -> np.ndarray:
+    """Straight-line distance of points of the unit sphere whose cosine is 1 - ``distance``."""
+    return np.sqrt(np.maximum(0, 2 * distance))
+
+
+class _Pivots:
+    def __init__(self, rows: list):
+        lists = pa.array([r for r in rows], pa.list_(pa.float64()))
+        self.by_size = {s: u for s in _sizes(lists) if len(u := _units(lists, s)[1])}
+        self.begin, n = {}, 0
+        for s, u in sorted(self.by_size.items()):
+            self.begin[s], n = n, n + len(u)
+
+    def nearest(self, lists: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Size (0: no direction), pivot (-1: none of its size) and straight-line distance from it, of each vector."""
+        n = len(lists)
+        size, pivot, edge = np.zeros(n, np.int32), np.full(n, -1, np.int32), np.zeros(n)
+        for s in _sizes(lists):
+            at, units = _units(lists, s)
+            size[at] = s
+            if s in self.by_size and len(at):
+                e = _edges(1 - units @ self.by_size[s].T)
+                best = e.argmin(axis=1)
+                pivot[at], edge[at] = best + self.begin[s], e[np.arange(len(at)), best]
+        return size, pivot, edge
+
+
+def _assigned(pivots: _Pivots):
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            size, pivot, edge = pivots.nearest(b["vector"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(size), pa.array(pivot), pa.array(edge)], names=[*b.schema.names, "size", "pivot", "edge"])
+
+    return of
+
+
+def _tiled(most: int):
+    """Runs of one (index, size, pivot), cut by bytes."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, number, held, size = TaskContext.get().partitionId(), 0, [], 0
+        last = None
+
+        def one(rows: pa.Table) -> pa.RecordBatch:
+            nonlocal number
+            number += 1
+            s = rows["size"][0].as_py()
+            _, units = _units(rows["vector"].combine_chunks(), s)
+            edge = rows["edge"].to_numpy()
+            lists = [pa.ListArray.from_arrays(pa.array([0, rows.num_rows], pa.int32()), rows[c].combine_chunks()) for c in ("doc_id", "machine")]
+            first = rows["doc_id"].take(pc.sort_indices(rows["doc_id"])[:1]).combine_chunks()
+            heads = [pa.array([(part << 32) + number], pa.int64()), rows["index"].slice(0, 1).combine_chunks(), pa.array([s], pa.int32()), rows["pivot"].slice(0, 1).combine_chunks(), pa.array([edge.min()]), pa.array([edge.max()]), first]
+            return pa.RecordBatch.from_arrays([*heads, *lists, pa.array([units.tobytes()], pa.binary())], names=["tile", "index", "size", "pivot", "low", "high", "first", "docs", "machines", "units"])
+
+        for b in batches:
+            start = 0
+            for k in range(b.num_rows):  # keys are small; the vectors stay in Arrow
+                key = (b["index"][k].as_py(), b["size"][k].as_py(), b["pivot"][k].as_py())
+                if held_rows(held) + k - start and (key != last or size >= most):
+                    if k > start:
+                        held.append(b.slice(start, k - start))
+                    yield one(pa.Table.from_batches(held))
+                    held, size, start = [], 0, k
+                last = key
+                size += 8 * key[1] + 64
+            if b.num_rows > start:
+                held.append(b.slice(start))
+        if held:
+            yield one(pa.Table.from_batches(held))
+
+    def held_rows(held):
+        return sum(b.num_rows for b in held)
+
+    return of
+
+
+def _distances(pivots: _Pivots):
+    """Size of a query's vector and, for each pivot of that size, the straight-line distance."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            size, edges = np.zeros(b.num_rows, np.int32), [[] for _ in range(b.num_rows)]
+            for s in _sizes(b["vector"]):
+                at, units = _units(b["vector"], s)
+                size[at] = s
+                if s in pivots.by_size:
+                    for row, e in zip(at.tolist(), _edges(1 - units @ pivots.by_size[s].T), strict=True):
+                        edges[row] = [{"pivot": pivots.begin[s] + j, "d": x} for j, x in enumerate(e.tolist())]
+            kind = pa.list_(pa.struct([("pivot", pa.int32()), ("d", pa.float64())]))
+            yield pa.RecordBatch.from_arrays([b["q"], pa.array(size), pa.array(edges, kind)], names=["q", "size", "edges"])
+
+    return of
+
+
+def _best(k: int):
+    """The k best of a tile for each query of a block."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                size, docs, machines = b["size"][i].as_py(), b["docs"][i].values, np.array(b["machines"][i].as_py(), object)
+                units = np.frombuffer(b["units"][i].as_py(), np.float64).reshape(-1, size) if size else None
+                order = pc.sort_indices(docs).to_numpy()
+                asked = b["asked"][i].values
+                near, own = (_units(asked.field("vector"), size) if size else (np.zeros(0, np.int64), None))
+                rough = np.ones((len(asked), len(docs)))
+                if len(near):
+                    rough[near] = 1 - own @ units.T
+                unit_of = {int(q): own[j] for j, q in enumerate(near)}
+                q_out, d_out, x_out = [], [], []
+                for j, wanted in enumerate(asked.field("machine").to_pylist()):
+                    at = order if wanted is None else order[machines[order] == wanted]
+                    if not len(at):
+                        continue
+                    x = rough[j, at]
+                    if j in unit_of:
+                        if len(at) > k:
+                            at = at[x <= np.partition(x, k - 1)[k - 1] + SLACK]
+                        x = 1 - (units[at] * unit_of[j]).sum(axis=1)  # the same for equal vectors, whatever tile they are in
+                    pick = np.argsort(x, kind="stable")[:k]
+                    q_out.append(np.full(len(pick), j))
+                    d_out.append(at[pick])
+                    x_out.append(x[pick])
+                if q_out:
+                    q = asked.field("q").take(pa.array(np.concatenate(q_out)))
+                    index = pa.concat_arrays([b["index"].slice(i, 1)]).take(pa.array(np.zeros(len(q), np.int64)))
+                    yield pa.RecordBatch.from_arrays([q, index, docs.take(pa.array(np.concatenate(d_out))), pa.array(np.concatenate(x_out))], names=["q", "index", "doc_id", "distance"])
+
+    return of
 
 
 def knn(
@@ -32,114 +187,69 @@ def knn(
     doc_id: str = "doc_id",
     vector: str = "embedding",
     index: str = "index",
-    broadcast_queries: int = BROADCAST_QUERIES,
+    machine: str | None = None,
+    only: str | None = None,
+    pivots: int = PIVOTS,
+    tile_bytes: int = TILE_BYTES,
     block_queries: int = BLOCK_QUERIES,
-    cell_rows: int = CELL_ROWS,
+    first_look: int = FIRST_LOOK,
     digits: int = 6,
+    visits: list | None = None,
 ) -> DataFrame:
     """Best ``k`` per (query, index): query_id, index, doc_id, distance, rank.
 
-    distance = 1 - cosine, rounded to ``digits``; ties go to the smaller doc_id.  Pairs
-    with an empty, unequal or zero vector have cosine 0.
+    distance = 1 - cosine, ranked as it is and then rounded to ``digits``; ties go to the smaller doc_id.  Pairs
+    with a null, empty, unequal or zero vector, or one with a component that is null, NaN or infinite, have cosine 0.  ``only`` names a column of the queries: where it is not
+    null, only vectors whose column ``machine`` has this value are candidates.  ``visits`` is given (tiles looked at, tiles there were) over all queries.
     """
-    q = queries.select(F.col(query_id).alias("query_id"), F.col(vector).cast("array<double>").alias("qv"))
-    c = chunks.select(F.col(index).alias("index"), F.col(doc_id).alias("doc_id"), F.col(vector).cast("array<double>").alias("cv"))
-    schema = T.StructType(
-        [
-            T.StructField("query_id", q.schema["query_id"].dataType),
-            T.StructField("index", c.schema["index"].dataType),
-            T.StructField("doc_id", c.schema["doc_id"].dataType),
-            T.StructField("distance", T.DoubleType()),
-        ]
-    )
-    sample = q.limit(broadcast_queries + 1).toPandas()
-    if len(sample) <= broadcast_queries:
-        partial = _scan(sample, c, k, digits, schema)
-    else:
-        partial = _blocks(q, c, k, digits, schema, block_queries, cell_rows)
-    w = Window.partitionBy("query_id", "index").orderBy("distance", "doc_id")
-    return partial.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-
-
-def _scan(block: pd.DataFrame, chunks: DataFrame, k: int, digits: int, schema: T.StructType) -> DataFrame:
-    ids, vectors = list(block["query_id"]), [np.asarray(v) for v in block["qv"]]
-
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: pd.DataFrame | None = None
-        for batch in batches:
-            found = _batch_top(ids, vectors, batch.to_pandas(), k, digits)
-            best = found if best is None else _keep_best(pd.concat([best, found], ignore_index=True), k)
-        if best is not None and len(best):
-            yield _to_arrow(best, schema)
-
-    return chunks.mapInArrow(task, schema)
-
-
-def _blocks(
-    q: DataFrame, c: DataFrame, k: int, digits: int, schema: T.StructType, block_queries: int, cell_rows: int
-) -> DataFrame:
-    n_blocks = max(1, -(-q.count() // block_queries))
-    n_cells = max(1, -(-c.count() // cell_rows))
-    blocked = q.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)))
-    celled = c.withColumn("cell", F.pmod(F.xxhash64("doc_id", "index"), F.lit(n_cells)))
-    left = blocked.withColumn("cell", F.explode(F.sequence(F.lit(0), F.lit(n_cells - 1)))).withColumn("cell", F.col("cell").cast("long"))
-    right = celled.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))).withColumn("block", F.col("block").cast("long"))
-
-    def task(qs: pd.DataFrame, cs: pd.DataFrame) -> pd.DataFrame:
-        if qs.empty or cs.empty:
-            return pd.DataFrame(columns=schema.names)
-        return _batch_top(list(qs["query_id"]), [np.asarray(v) for v in qs["qv"]], cs, k, digits)[schema.names]
-
-    return left.groupBy("cell", "block").cogroup(right.groupBy("cell", "block")).applyInPandas(task, schema)
-
-
-def _batch_top(ids: list, vectors: list[np.ndarray], chunk: pd.DataFrame, k: int, digits: int) -> pd.DataFrame:
-    """Best ``k`` per (query, index) inside one batch of vectors."""
-    rows = [np.asarray(v) for v in chunk["cv"]]
-    distance = np.ones((len(ids), len(rows)))
-    sizes = np.array([len(r) for r in rows])
-    query_sizes = np.array([len(v) for v in vectors])
-    for size in np.unique(query_sizes):
-        if size == 0:
-            continue
-        qi, ci = np.flatnonzero(query_sizes == size), np.flatnonzero(sizes == size)
-        if not len(ci):
-            continue
-        a, b = _unit_rows(np.stack([vectors[i] for i in qi])), _unit_rows(np.stack([rows[i] for i in ci]))
-        distance[np.ix_(qi, ci)] = 1.0 - a @ b.T
-    distance = np.round(distance, digits) + 0.0
-    index, docs = chunk["index"].to_numpy(), chunk["doc_id"].to_numpy()
-    out = []
-    for value in pd.unique(index):
-        at = np.flatnonzero(index == value)
-        at = at[np.argsort(docs[at], kind="stable")]
-        order = np.argsort(distance[:, at], axis=1, kind="stable")[:, :k]
-        picked = at[order]
-        n = picked.shape[1]
-        out.append(
-            pd.DataFrame(
-                {
-                    "query_id": np.repeat(np.array(ids, dtype=object), n),
-                    "index": [value] * (n * len(ids)),
-                    "doc_id": docs[picked].ravel(),
-                    "distance": np.take_along_axis(distance, picked, axis=1).ravel(),
-                }
-            )
-        )
-    return pd.concat(out, ignore_index=True)
-
-
-def _keep_best(rows: pd.DataFrame, k: int) -> pd.DataFrame:
-    ordered = rows.sort_values(["distance", "doc_id"], kind="stable")
-    return ordered[ordered.groupby(["query_id", "index"], sort=False).cumcount() < k]
-
-
-def _unit_rows(m: np.ndarray) -> np.ndarray:
-    size = np.linalg.norm(m, axis=1, keepdims=True)
-    return np.divide(m, size, out=np.zeros_like(m), where=size > 0)
-
-
-def _to_arrow(rows: pd.DataFrame, schema: T.StructType) -> pa.RecordBatch:
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    return pa.RecordBatch.from_pandas(rows[schema.names], schema=to_arrow_schema(schema), preserve_index=False)
+    text = F.lit(None).cast("string")
+    c = chunks.select(F.col(index).alias("index"), F.col(doc_id).alias("doc_id"), F.col(vector).cast("array<double>").alias("vector"), (F.col(machine).cast("string") if machine else text).alias("machine"))
+    q = queries.select(F.col(query_id).alias("query_id"), F.col(vector).cast("array<double>").alias("vector"), (F.col(only).cast("string") if only else text).alias("machine"))
+    q = keep(q.withColumn("q", F.monotonically_increasing_id()), "knn-queries")
+    own, doc = c.schema["index"].dataType.simpleString(), c.schema["doc_id"].dataType.simpleString()
+
+    sample = c.filter(F.size("vector") > 0).select("vector", F.xxhash64("vector").alias("h")).orderBy("h").limit(pivots).collect()
+    held = _Pivots([r["vector"] for r in {r["h"]: r for r in sample}.values()])
+    order = [F.asc_nulls_first("index"), F.col("size"), F.col("pivot"), F.col("edge"), F.col("doc_id")]
+    placed = c.mapInArrow(_assigned(held), f"index {own}, doc_id {doc}, vector array<double>, machine string, size int, pivot int, edge double")
+    spec = f"tile bigint, index {own}, size int, pivot int, low double, high double, first {doc}, docs array<{doc}>, machines array<string>, units binary"
+    tiles = keep(placed.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_tiled(tile_bytes), spec), "knn-tiles")
+
+    heads = tiles.select("tile", "index", F.col("size").alias("_size"), "pivot", "low", "high", "first", F.array_distinct("machines").alias("_machines"))
+    far = q.select("q", "vector").mapInArrow(_distances(held), "q bigint, size int, edges array<struct<pivot:int,d:double>>").join(q.select("q", "machine"), "q")
+    near = far.select("q", "machine", F.explode("edges").alias("e")).select("q", "machine", F.col("e.pivot").alias("pivot"), F.col("e.d").alias("d"))
+    edge = F.greatest(F.lit(0.0), F.col("low") - F.col("d"), F.col("d") - F.col("high"))
+    allowed = F.col("machine").isNull() | F.array_contains("_machines", F.col("machine"))
+    bounded = heads.join(near, "pivot").filter(allowed).select("q", "tile", "index", "first", (edge * edge / 2 - SLACK).alias("bound"))
+    # Tiles that no pivot speaks for: of another size than the query, or without a direction, all at distance 1, and of sizes that the sample has not.
+    kinds = heads.select("_size", (F.col("pivot") < 0).alias("_loose")).distinct().collect()  # one row per vector size
+    every = F.array(*(F.struct(F.lit(r["_size"]).alias("_size"), F.lit(r["_loose"]).alias("_loose")) for r in kinds)) if kinds else F.array().cast("array<struct<_size:int,_loose:boolean>>")
+    odd = far.select("q", "machine", "size", F.explode(F.filter(every, lambda s: s["_loose"] | (s["_size"] != F.col("size")))).alias("s")).select("q", "machine", "size", "s._size", "s._loose")
+    other = heads.withColumn("_loose", F.col("pivot") < 0).join(odd, ["_size", "_loose"]).filter(allowed)
+    loose = other.select("q", "tile", "index", "first", F.when((F.col("_size") == F.col("size")) & (F.col("_size") > 0), 0.0).otherwise(1.0).alias("bound"))
+    turn = Window.partitionBy("q", "index").orderBy("bound", "first", "tile")
+    plan = keep(bounded.unionByName(loose).withColumn("turn", F.row_number().over(turn)), "knn-plan")
+
+    blocks = max(1, -(-q.count() // block_queries))
+    asked = q.select("q", "vector", "machine", F.pmod(F.xxhash64("q"), F.lit(blocks)).alias("block"))
+    best, left, seen, look = None, plan, 0, first_look
+    w = Window.partitionBy("q", "index").orderBy("distance", "doc_id")
+    looked = 0
+    while True:
+        now = left.filter(F.col("turn") <= seen + look)
+        if visits is not None:
+            looked += now.count()
+        met = now.select("q", "tile").join(asked, "q").groupBy("tile", "block").agg(F.collect_list(F.struct("q", "vector", "machine")).alias("asked")).join(tiles, "tile")
+        found = met.select("index", "size", "docs", "machines", "units", "asked").mapInArrow(_best(k), f"q bigint, index {own}, doc_id {doc}, distance double")
+        every = found if best is None else best.drop("rank").unionByName(found)
+        best = keep(every.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k), "knn-best")
+        seen, look = seen + look, look * 8
+        last = best.filter(F.col("rank") == k).select(F.col("q").alias("_q"), F.col("index").alias("_index"), F.col("distance").alias("_distance"), F.col("doc_id").alias("_doc"))
+        open_ = left.filter(F.col("turn") > seen).join(last, (F.col("q") == F.col("_q")) & F.col("index").eqNullSafe(F.col("_index")), "left")
+        better = F.col("_q").isNull() | (F.col("bound") < F.col("_distance")) | ((F.col("bound") <= F.col("_distance") + SLACK) & (F.col("first") < F.col("_doc")))
+        left = keep(open_.filter(better).select(*plan.columns), "knn-left")
+        if left.isEmpty():
+            break
+    if visits is not None:
+        visits += [looked, plan.count()]
+    return q.select("query_id", "q").join(best, "q").select("query_id", "index", "doc_id", (F.round("distance", digits) + 0.0).alias("distance"), "rank")

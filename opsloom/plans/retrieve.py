@@ -21,7 +21,7 @@ CTX = f"WITH {v.SQL_DOCS}, {v.SQL_QUERIES}, {v.SQL_TERMS}, {v.SQL_DOCWORDS}, {v.
 # ---------------------------------------------------------------- nearest neighbours
 def _vectors(spark, sf) -> tuple[DataFrame, DataFrame]:
     e = v.table(spark, sf, "embeddings")
-    q = e.filter("vec_id < 20").select(F.col("vec_id").alias("query_id"), "embedding")
+    q = e.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
     return q, e.select(F.col("vec_id").alias("doc_id"), F.col("label").cast("long").alias("index"), "embedding")
 
 
@@ -31,15 +31,23 @@ def knn_cosine(spark, sf):
 
 
 def knn_blocks(spark, sf):
-    """The path for query tables above the broadcast bound."""
+    """Small tiles and blocks of queries, so that bounds decide which tiles are looked at."""
     q, c = _vectors(spark, sf)
-    return nn.knn(q, c, 10, broadcast_queries=5, block_queries=6, cell_rows=100)
+    return nn.knn(q, c, 10, pivots=16, block_queries=6, tile_bytes=8_000, first_look=1)
 
 
-_EMB = """q AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id < 20),
+def knn_machine(spark, sf):
+    """A predicate per query: only vectors of the query's machine, where it names one (some name one that no vector has)."""
+    q, c = _vectors(spark, sf)
+    named = q.withColumn("machine", F.when(F.col("query_id") % 3 != 0, F.concat(F.lit("m"), (F.col("query_id") % 11).cast("string"))))
+    return nn.knn(named, c.withColumn("machine", F.concat(F.lit("m"), (F.col("doc_id") % 9).cast("string"))), 5, machine="machine", only="machine", pivots=16, tile_bytes=8_000, first_look=1)
+
+
+_EMB = """q AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id % 20 = 0),
 d AS (SELECT vec_id AS doc_id, CAST(label AS BIGINT) AS "index", CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
-p AS (SELECT query_id, "index", doc_id, round(1 - list_cosine_similarity(d.v, q.v), 6) AS distance FROM d, q)"""
-SQL_KNN = f"""WITH {_EMB} SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, "index" ORDER BY distance, doc_id) AS rank FROM p) WHERE rank <= 10"""
+p AS (SELECT query_id, "index", doc_id, round(1 - list_cosine_similarity(d.v, q.v), 6) AS distance, 1 - list_cosine_similarity(d.v, q.v) AS x FROM d, q)"""
+SQL_KNN = f"""WITH {_EMB} SELECT * EXCLUDE (x) FROM (SELECT *, row_number() OVER (PARTITION BY query_id, "index" ORDER BY x, doc_id) AS rank FROM p) WHERE rank <= 10"""
+SQL_KNN_MACHINE = f"""WITH {_EMB} SELECT * EXCLUDE (x) FROM (SELECT *, row_number() OVER (PARTITION BY query_id, "index" ORDER BY x, doc_id) AS rank FROM p WHERE query_id % 3 = 0 OR query_id % 11 = doc_id % 9) WHERE rank <= 5"""
 
 
 def knn_cosine_safe(spark, sf):
@@ -55,10 +63,10 @@ def knn_cosine_safe(spark, sf):
     return hits.select("query_id", "doc_id", F.round(1 - F.col("distance"), 6).alias("similarity"), "rank")
 
 
-SQL_SAFE = """WITH q AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id < 20),
+SQL_SAFE = """WITH q AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id % 20 = 0),
 d AS (SELECT vec_id AS doc_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
-p AS (SELECT query_id, doc_id, CASE WHEN doc_id % 10 IN (3, 4, 5) THEN 0.0 ELSE round(list_cosine_similarity(d.v, q.v), 6) END AS similarity FROM d, q)
-SELECT query_id, doc_id, similarity, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(1 - similarity, 6), doc_id) AS rank FROM p) WHERE rank <= 60"""
+p AS (SELECT query_id, doc_id, CASE WHEN doc_id % 10 IN (3, 4, 5) THEN 0.0 ELSE list_cosine_similarity(d.v, q.v) END AS s FROM d, q)
+SELECT query_id, doc_id, round(s, 6) AS similarity, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY 1 - s, doc_id) AS rank FROM p) WHERE rank <= 60"""
 
 
 def pair_similarity(spark, sf):
@@ -79,7 +87,7 @@ def knn_top1(spark, sf):
     return nn.knn(q, c.withColumn("index", F.lit("all")), 1).select("query_id", "doc_id", "distance")
 
 
-SQL_TOP1 = f"""WITH {_EMB} SELECT query_id, arg_min(doc_id, (distance, doc_id)) AS doc_id, min(distance) AS distance FROM p GROUP BY 1"""
+SQL_TOP1 = f"""WITH {_EMB} SELECT query_id, arg_min(doc_id, (x, doc_id)) AS doc_id, min(distance) AS distance FROM p GROUP BY 1"""
 
 
 # ---------------------------------------------------------------- terms and lexical hits
@@ -438,13 +446,13 @@ SQL_WEB = f"WITH {_WEB} SELECT query_id, web_rank, title, url, left(s0, 300) AS
 
 def tiered_fallback(spark, sf):
     """Vector hits; queries whose best similarity is below 0.99 (all but exact copies) also get web rows."""
-    q = v.table(spark, sf, "embeddings").select(F.col("vec_id").alias("query_id")).filter("query_id < 20")
+    q = v.table(spark, sf, "embeddings").select(F.col("vec_id").alias("query_id")).filter("query_id % 20 = 0")
     hits = knn_cosine(spark, sf).filter("doc_id <> query_id OR query_id % 3 = 0").filter("rank <= 3")
     out = ra.tiered_fallback(q, hits, ra.normalise_web(_web(spark, sf)), threshold=0.99, allow=F.col("query_id") % 4 != 1)
     return out.withColumn("position", F.col("position").cast("long"))
 
 
-SQL_TIER = f"""WITH {_EMB}, {_WEB}, h AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, "index" ORDER BY distance, doc_id) AS rank FROM p) WHERE rank <= 3 AND (doc_id <> query_id OR query_id % 3 = 0)),
+SQL_TIER = f"""WITH {_EMB}, {_WEB}, h AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, "index" ORDER BY x, doc_id) AS rank FROM p) WHERE rank <= 3 AND (doc_id <> query_id OR query_id % 3 = 0)),
 b AS (SELECT q.query_id, coalesce(1 - min(distance), 0) AS best FROM q LEFT JOIN h USING (query_id) GROUP BY 1),
 u AS (SELECT w.* FROM web w JOIN b USING (query_id) WHERE best < 0.99 AND query_id % 4 <> 1)
 SELECT query_id, tier, position, ref, query_id IN (SELECT query_id FROM u) AS used_web FROM (
@@ -610,6 +618,7 @@ SELECT query_id, slot, doc_id AS chunk_id, "index", left(sha256(concat("index",
 QUERIES = {
     "flagship": (flagship, SQL_FLAGSHIP),
     "knn_cosine": (knn_cosine, SQL_KNN),
+    "knn_machine": (knn_machine, SQL_KNN_MACHINE),
     "knn_blocks": (knn_blocks, SQL_KNN),
     "knn_cosine_safe": (knn_cosine_safe, SQL_SAFE),
     "pair_similarity": (pair_similarity, SQL_PAIR),

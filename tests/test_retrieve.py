@@ -96,7 +96,7 @@ def test_knn_paths_agree(spark):
     c = rows(spark, "doc_id int, index string, embedding array<double>", *data)
     q = rows(spark, "query_id int, embedding array<double>", *[(i, data[i][2]) for i in range(7)])
     scan = {(r.query_id, r.doc_id, r.rank) for r in nn.knn(q, c, 4).collect()}
-    blocks = {(r.query_id, r.doc_id, r.rank) for r in nn.knn(q, c, 4, broadcast_queries=2, block_queries=3, cell_rows=40).collect()}
+    blocks = {(r.query_id, r.doc_id, r.rank) for r in nn.knn(q, c, 4, pivots=5, block_queries=3, tile_bytes=900, first_look=1).collect()}
     assert scan == blocks and len(scan) == 7 * 2 * 4
     unit = {i: np.array(v) / np.linalg.norm(v) for i, _, v in data if len(v) == 8 and any(v)}
     want = sorted((round(1 - float(unit[0] @ unit[i]), 6), i) for i in unit if i % 2 == 0 and i < 900)[:4]
@@ -107,3 +107,56 @@ def test_recall(spark):
     q = rows(spark, "query_id int, text string, exclude_machine string", (1, "The exploit path traversal", "lame"))
     l = rows(spark, "learning_id int, machine string, explanation string", (1, "cap", "Used PATH traversal exploits"), (2, "lame", "exploit"), (3, "x", "an exploit"), (4, "x", "nope"))
     assert [(r.learning_id, r.score) for r in ra.recall_overlap(q, l).orderBy("rank").collect()] == [(1, 3), (3, 1)]
+
+
+def test_knn_is_exact_on_near_ties_and_odd_vectors(spark):
+    """Ranks unrounded distances; null, empty, zero and broken vectors, null indexes, repeated vectors; few tiles are looked at."""
+    c = rows(spark, "doc_id int, index string, embedding array<double>", (1, "a", [1.0, 0.0005]), (2, "a", [1.0, 0.0]), (3, "a", None), (4, "a", []), (5, None, [0.0, 1.0]), (6, None, [0.0, 0.0]), (7, "a", [float("nan"), 1.0]), (0, "a", [2.0, 0.0]))
+    q = rows(spark, "query_id int, embedding array<double>", (1, [1.0, 0.0]), (2, None), (3, [0.0, 0.0]))
+    got = {}
+    for r in nn.knn(q, c, 3).orderBy("rank").collect():
+        got.setdefault((r.query_id, r["index"]), []).append((r.doc_id, r.distance))
+    assert got[(1, "a")] == [(0, 0.0), (2, 0.0), (1, 0.0)] and got[(1, None)] == [(5, 1.0), (6, 1.0)]
+    assert got[(2, "a")] == got[(3, "a")] == [(0, 1.0), (1, 1.0), (2, 1.0)]
+    rng = np.random.default_rng(1)
+    centres = rng.normal(size=(12, 16))
+    near = [(i, "x", (centres[i % 12] + rng.normal(size=16) * 0.02).tolist()) for i in range(1200)]
+    visits: list = []
+    out = nn.knn(rows(spark, "query_id int, embedding array<double>", *[(i, near[i][2]) for i in range(12)]), rows(spark, "doc_id int, index string, embedding array<double>", *near), 5, pivots=24, tile_bytes=4000, first_look=2, visits=visits).collect()
+    unit = np.array([v for _, _, v in near]) / np.linalg.norm([v for _, _, v in near], axis=1)[:, None]
+    for i in range(12):
+        assert [r.doc_id for r in sorted((r for r in out if r.query_id == i), key=lambda r: r.rank)] == np.argsort(1 - unit @ unit[i], kind="stable")[:5].tolist()
+    assert visits[0] < visits[1] / 3
+
+
+def test_knn_predicate_per_query(spark):
+    c = rows(spark, "doc_id int, index string, embedding array<double>, machine string", *[(i, "x", [1.0, i / 10], f"m{i % 3}") for i in range(30)])
+    q = rows(spark, "query_id int, embedding array<double>, machine string", (1, [1.0, 0.0], None), (2, [1.0, 0.0], "m2"), (3, [1.0, 0.0], "none"))
+    got = [(r.query_id, r.doc_id) for r in nn.knn(q, c, 3, machine="machine", only="machine", pivots=3, tile_bytes=200, first_look=1).orderBy("query_id", "rank").collect()]
+    assert got == [(1, 0), (1, 1), (1, 2), (2, 2), (2, 5), (2, 8)]
+
+
+def test_lexical_threshold_search(spark):
+    """Against plain counting, with a word in every document, many queries, repeated and null keys, and small blocks."""
+    import random
+
+    rng = random.Random(4)
+    vocabulary = [f"w{i}" for i in range(30)]
+    docs = [(i, rng.choice(["a", "b", None]), "common", " ".join(rng.choices(vocabulary, k=4))) for i in range(200)]
+    docs.append((3, docs[3][1], "again", "w1 zebra"))  # a repeated key is one document
+    queries = [(j, " ".join(["common", *rng.choices(vocabulary, k=3)])) for j in range(60)] + [(100, "common"), (101, "zeb"), (102, "nothing-of-it"), (103, ""), (104, None)]
+    want = {}
+    for j, text in queries:
+        terms = {t for tok in (text or "").split() if len(tok) >= 2 for t in [*tok.split("-"), tok.replace("-", "")] if len(t) >= 2}
+        best = {}
+        for i, index, title, content in docs:
+            words = (title + " " + content).split()
+            best.setdefault((index, i), set()).update(t for t in terms if any(w.startswith(t) for w in words))
+        for index in ("a", "b", None):
+            ranked = sorted((-len(m), i) for (x, i), m in best.items() if x == index and m)[:4]
+            want |= {(j, index, r + 1): (i, -m) for r, (m, i) in enumerate(ranked)}
+    d = rows(spark, "doc_id int, index string, title string, content string", *docs)
+    q = rows(spark, "query_id int, text string", *queries)
+    for size, first in ((7, 1), (2048, 4)):
+        found = re_.search_index(q, *re_.build_index(d, block_docs=size), 4, first_look=first).collect()
+        assert {(r.query_id, r["index"], r.rank): (r.doc_id, r.matched) for r in found} == want
