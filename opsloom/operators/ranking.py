@@ -6,9 +6,10 @@ per-query windows and lists are bounded.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,6 +17,10 @@ from pyspark.sql import types as T
 from opsloom import rules
 from opsloom.functions import text as tx
 from opsloom.functions import vectors as vx
+from opsloom.session import keep
+
+#: Different query words that one automaton holds (on the driver and in every task).
+RECALL_WORDS = 200_000
 
 
 # ---------------------------------------------------------------- scores
@@ -483,28 +488,29 @@ def hits_by_title(hits: DataFrame) -> DataFrame:
 
 
 # ---------------------------------------------------------------- recall and advisories
-def recall_overlap(queries: DataFrame, learnings: DataFrame, limit: int = rules.RECALL_LIMIT) -> DataFrame:
+def recall_overlap(queries: DataFrame, learnings: DataFrame, limit: int = rules.RECALL_LIMIT, block_words: int = RECALL_WORDS) -> DataFrame:
     """Learnings that contain query words (longer than three characters), best first.
 
     ``queries``: query_id, text, exclude_machine; ``learnings``: learning_id, machine,
-    explanation.  "Contains" is on characters, not words, so a join key is needed: each
-    explanation offers its distinct four-character pieces and a word joins on its first
-    four characters before it is checked whole.  Explanations are spread by id, so
-    scores are counted where the explanation is and only the best rows per query move.
+    explanation.  "Contains" is on characters, not words: the different words of all queries make an automaton that reads each text
+    once, whatever the number of words, and says which it holds.  More than ``block_words`` different words make several automata, one pass over the
+    texts each.  Scores are counted from (text, word) and (word, query); texts stay where they are.
     """
     words = F.array_distinct(F.filter(F.split(F.lower(tx.text_or_empty("text")), r"(?U)\s+"), lambda w: F.length(w) > 3))
-    terms = queries.select(
-        "query_id", F.coalesce("exclude_machine", F.lit("")).alias("_not"), F.explode(words).alias("_w")
-    ).withColumn("_g", F.left("_w", F.lit(4)))
-    low = F.lower(tx.text_or_empty("explanation"))
-    spread = learnings.repartition("learning_id").withColumn("_low", low)
-    grams = F.array_distinct(
-        F.transform(F.sequence(F.lit(1), F.greatest(F.length("_low") - 3, F.lit(1))), lambda i: F.substring(F.col("_low"), i, F.lit(4)))
-    )
-    pieces = spread.select("learning_id", "machine", "_low", F.explode(grams).alias("_g"))
+    terms = queries.select("query_id", F.coalesce("exclude_machine", F.lit("")).alias("_not"), F.explode(words).alias("_w"))
+    asked = keep(terms.select("_w").distinct(), "recall-words")
+    blocks = max(1, -(-asked.count() // block_words))
+    spread = learnings.select("learning_id", "machine", F.lower(tx.text_or_empty("explanation")).alias("_low"))
+    own = spread.schema
+    spec = f"learning_id {own['learning_id'].dataType.simpleString()}, machine {own['machine'].dataType.simpleString()}, _w string"
+    held = None
+    for block in range(blocks):  # about block_words words each, by hash
+        part = asked if blocks == 1 else asked.filter(F.pmod(F.xxhash64("_w"), F.lit(blocks)) == block)
+        found = spread.mapInArrow(_holds([r["_w"] for r in part.collect()]), spec)
+        held = found if held is None else held.unionByName(found)
     scored = (
-        pieces.join(terms, "_g")
-        .filter(F.col("_low").contains(F.col("_w")) & ((F.col("_not") == "") | (F.col("machine") != F.col("_not"))))
+        held.join(terms, "_w")
+        .filter((F.col("_not") == "") | (F.coalesce("machine", F.lit("")) != F.col("_not")))
         .groupBy("learning_id", "query_id")
         .agg(F.count(F.lit(1)).alias("score"))
     )
@@ -512,6 +518,31 @@ def recall_overlap(queries: DataFrame, learnings: DataFrame, limit: int = rules.
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit)
 
 
+def _holds(words: list[str]):
+    """(learning_id, machine, _w) for each word that a text holds."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        machine = ahocorasick.Automaton()
+        for k, word in enumerate(words):
+            machine.add_word(word, k)
+        machine.make_automaton()
+        own = pa.array(words, pa.string())
+        for b in batches:
+            if not words:
+                continue
+            rows, found = [], []
+            for i, text in enumerate(b["_low"].to_pylist()):
+                seen = {k for _, k in machine.iter(text)}
+                rows += [i] * len(seen)
+                found += sorted(seen)
+            take = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([b["learning_id"].take(take), b["machine"].take(take), own.take(pa.array(found, pa.int64()))], names=["learning_id", "machine", "_w"])
+
+    return of
+
+
 def cve_ids(c: Column | str) -> Column:
     found = F.regexp_extract_all(tx.text_or_empty(c), F.lit(rules.CVE_PATTERN), F.lit(0))
     return F.array_sort(F.array_distinct(F.transform(found, F.upper)))

@@ -160,3 +160,24 @@ def test_lexical_threshold_search(spark):
     for size, first in ((7, 1), (2048, 4)):
         found = re_.search_index(q, *re_.build_index(d, block_docs=size), 4, first_look=first).collect()
         assert {(r.query_id, r["index"], r.rank): (r.doc_id, r.matched) for r in found} == want
+
+
+def test_recall_reads_long_texts_once(spark):
+    """Characters in words, null and excluded machines, several automata; eight texts of 20,000 characters in an instant."""
+    import random
+    import time
+
+    import pyarrow as pa
+
+    rng = random.Random(1)
+    words = sorted({"".join(rng.choices("abcdefgh", k=rng.randint(4, 9))) for _ in range(20_000)})
+    texts = ["".join(rng.choices("abcdefgh ", k=20_000)) for _ in range(8)] + ["a" * 20_000]
+    batch = pa.RecordBatch.from_pydict({"learning_id": list(range(9)), "machine": ["m"] * 9, "_low": texts})
+    begin = time.perf_counter()
+    got = {(r["learning_id"], r["_w"]) for b in ra._holds(words)(iter([batch])) for r in b.to_pylist()}
+    assert time.perf_counter() - begin < 2
+    assert got == {(i, w) for i, t in enumerate(texts) for w in words if w in t}
+    q = rows(spark, "query_id int, text string, exclude_machine string", (1, "Alpha beta gamma abc", None), (2, "ALPHA delta", "m"), (3, "", ""), (4, None, ""))
+    l = rows(spark, "learning_id int, machine string, explanation string", (1, "m", "xalphax BETAs"), (2, None, "delta alphabet"), (3, "n", "abc"), (4, "n", None))
+    for most in (200_000, 1):
+        assert sorted((r.query_id, r.learning_id, r.score) for r in ra.recall_overlap(q, l, block_words=most).collect()) == [(1, 1, 2), (1, 2, 1), (2, 2, 2)]
