@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from opsloom import rules
 from opsloom.functions import text as tx
@@ -10,7 +11,8 @@ from opsloom.functions import vectors as vx
 from opsloom.operators import corpus as co
 from opsloom.operators import embedding as em
 from opsloom.plans import views as v
-from opsloom.sources import readers, sinks
+from opsloom.session import new_path
+from opsloom.sources import readers, sinks, tables
 
 
 # ---------------------------------------------------------------- text and chunks
@@ -308,11 +310,6 @@ SQL_EMBED_UDF = """SELECT source, count(*) AS total, count(*) FILTER (WHERE NOT
 
 
 # ---------------------------------------------------------------- sources and sinks
-def src_files(spark, sf):
-    f = readers.read_files(spark, sf, "*.{parquet,json}")
-    return f.select("rel", "length")
-
-
 def src_text(spark, sf):
     """Bytes with an invalid one in front, decoded by dropping and by replacing."""
     raw = F.concat(F.unhex(F.lit("41FF42")), F.col("text").cast("binary"))
@@ -428,10 +425,51 @@ def chunk_rows(spark, sf):
     return em.embed(tagged, dims=v.DIMS)
 
 
+def _chunk_table(spark, label: str) -> tables.ChunkTable:
+    schema = "index string, doc_key string, chunk_no bigint, updated_at timestamp, expires_at timestamp, deleted boolean"
+    return tables.ChunkTable(spark, new_path(spark, label), T.StructType.fromDDL(schema))
+
+
+_AT = "timestamp'2024-01-01 00:00:00' + make_dt_interval(0, doc_id % 2000, 0, 0)"
+
+
 def sink_refresh(spark, sf):
-    rows = chunk_rows(spark, sf)
-    once = co.distinct_by_key(rows.select("index", "doc_key", "page_id", "start", co.flat_tags("tags").alias("tags")), ["index", "doc_key"], ["page_id", "start"])
-    return once
+    """Documents in seven indexes, written as a table; then three indexes are refreshed, one of them from an empty source."""
+    d = v.table(spark, sf, "documents").select(
+        F.concat(F.lit("i"), F.pmod("doc_id", F.lit(7)).cast("string")).alias("index"), tx.content_key(F.col("source"), F.col("text")).alias("doc_key"), F.col("doc_id").alias("chunk_no"),
+        F.lit(None).cast("timestamp").alias("updated_at"), F.lit(None).cast("timestamp").alias("expires_at"), F.lit(False).alias("deleted"),
+    )
+    table = _chunk_table(spark, "refresh")
+    table.replace([f"i{k}" for k in range(7)], d)
+    later = d.filter("(index = 'i1' AND chunk_no % 2 = 0) OR index = 'i3'").withColumn("chunk_no", F.col("chunk_no") + 1_000_000)
+    table.replace(["i1", "i2", "i3"], later)
+    return table.read().select("index", "doc_key", "chunk_no")
+
+
+SQL_REFRESH = """WITH d AS (SELECT concat('i', doc_id % 7) AS "index", left(sha256(concat(source, '|', text)), 24) AS doc_key, doc_id FROM documents)
+SELECT "index", doc_key, max(CASE WHEN "index" IN ('i1', 'i3') THEN doc_id + 1000000 ELSE doc_id END) AS chunk_no FROM d
+WHERE "index" <> 'i2' AND ("index" <> 'i1' OR doc_id % 2 = 0) GROUP BY 1, 2"""
+
+
+def upsert_compact(spark, sf):
+    """Documents upserted by hour, some again later or with older rows, some deleted; compacted at a fixed time, and changed once more after it."""
+    d = v.table(spark, sf, "documents").select(
+        "doc_id", F.col("source").alias("index"), F.left(F.sha2(F.col("doc_id").cast("string"), 256), F.lit(24)).alias("doc_key"), F.col("doc_id").alias("chunk_no"), F.expr(_AT).alias("updated_at")
+    )
+    table = _chunk_table(spark, "upsert")
+    table.upsert(d.drop("doc_id"))
+    changed = d.filter("doc_id % 3 = 0").withColumns({"chunk_no": F.col("chunk_no") + 1_000_000, "updated_at": F.col("updated_at") + F.expr("interval 20 days"), "deleted": F.col("doc_id") % 5 == 0})
+    table.upsert(changed.drop("doc_id"))
+    table.upsert(d.filter("doc_id % 4 = 0").withColumns({"chunk_no": F.lit(-1).cast("long"), "updated_at": F.col("updated_at") - F.expr("interval 1 days")}).drop("doc_id"))
+    table.compact(F.expr("timestamp'2024-02-10 00:00:00'"))
+    table.upsert(d.filter("doc_id % 7 = 0").withColumns({"updated_at": F.expr("timestamp'2024-05-01 00:00:00'"), "deleted": F.lit(True)}).drop("doc_id"))
+    return table.read(now=F.expr("timestamp'2024-02-20 00:00:00'")).select("index", "doc_key", "chunk_no")
+
+
+SQL_UPSERT = """WITH d AS (SELECT source, doc_id, timestamp '2024-01-01' + to_hours(doc_id % 2000) AS t FROM documents),
+u AS (SELECT source, doc_id, CASE WHEN doc_id % 3 = 0 THEN doc_id + 1000000 ELSE doc_id END AS chunk_no, CASE WHEN doc_id % 3 = 0 THEN t + INTERVAL 20 DAYS ELSE t END + INTERVAL 30 DAYS AS until,
+ doc_id % 3 = 0 AND doc_id % 5 = 0 AS gone FROM d)
+SELECT source AS "index", left(sha256(CAST(doc_id AS VARCHAR)), 24) AS doc_key, chunk_no FROM u WHERE NOT gone AND until > timestamp '2024-02-20' AND doc_id % 7 <> 0"""
 
 
 QUERIES = {
@@ -463,7 +501,8 @@ QUERIES = {
     "purge_by_url": (purge_by_url, "SELECT page_id, url FROM pages WHERE NOT contains(lower(url), 'example.net')"),
     "purge_count": (purge_count, "SELECT count(*) AS deleted FROM pages WHERE contains(lower(url), 'example.net')"),
     "sink_ttl": (sink_ttl, SQL_TTL),
-    "sink_refresh": (sink_refresh, None),
+    "sink_refresh": (sink_refresh, SQL_REFRESH),
+    "upsert_compact": (upsert_compact, SQL_UPSERT),
     "redact_payload": (redact_payload, SQL_REDACT),
     "redact_nested": (redact_nested, SQL_REDACT_NESTED),
     "learning_append": (learning_append, SQL_LEARN),
