@@ -160,6 +160,34 @@ b AS (SELECT DISTINCT machine, trim(command) AS command FROM commands WHERE {LOO
 SELECT machine, command, count(*) AS n FROM (SELECT * FROM a UNION ALL SELECT * FROM b) WHERE command <> '' GROUP BY 1, 2"""
 
 
+DELAY = 600
+
+
+def stream_late(spark, sf):
+    """Commands in three folders by time, every tenth one a folder later than it should be; counts of kept and late rows per machine."""
+    c = v.commands(spark, sf).withColumn("ts", F.timestamp_seconds("sec"))
+    low, high = c.agg(F.min("sec"), F.max("sec")).first()
+    third = (high - low) // 3 + 1
+    part = F.floor((F.col("sec") - low) / third) + F.when(F.col("k") % 10 == 0, 1).otherwise(0)
+    base = _folder(spark)
+    split = st.late_splitter(f"{base}/kept", f"{base}/late", f"{base}/marks", DELAY)
+    for n in range(4):
+        c.filter(part == n).select("machine", "ts", "seq").write.mode("append").parquet(f"{base}/in")
+        stream = st.read_commands(spark, f"{base}/in", "machine bigint, ts timestamp, seq bigint")
+        stream.writeStream.foreachBatch(split).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    out = None
+    for name in ("kept", "late"):
+        rows = spark.read.schema("machine bigint, ts timestamp, seq bigint, batch_id bigint").parquet(f"{base}/{name}").withColumn("sink", F.lit(name))
+        out = rows if out is None else out.unionByName(rows)
+    return out.groupBy("machine", "sink").agg(F.count(F.lit(1)).alias("n"), F.sum("seq").alias("seqs"))
+
+
+SQL_LATE = f"""{h.C}, lim AS (SELECT min(sec) AS low, (max(sec) - min(sec)) // 3 + 1 AS third FROM commands),
+p AS (SELECT machine, sec, seq, (sec - low) // third + CASE WHEN k % 10 = 0 THEN 1 ELSE 0 END AS part FROM commands, lim),
+w AS (SELECT part, max(max(sec)) OVER (ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - {DELAY} AS mark FROM p GROUP BY part)
+SELECT machine, CASE WHEN sec < mark THEN 'late' ELSE 'kept' END AS sink, count(*) AS n, CAST(sum(seq) AS BIGINT) AS seqs FROM p JOIN w USING (part) GROUP BY 1, 2"""
+
+
 QUERIES = {
     "stream_history": (stream_history, SQL_HIST),
     "stream_dedup": (stream_dedup, f"{h.C} SELECT DISTINCT machine, sha256(command) AS command_hash FROM commands"),
@@ -169,4 +197,5 @@ QUERIES = {
     "stream_stall": (stream_stall, SQL_STALLS),
     "stream_hint": (stream_hint, h.SQL_PENDING),
     "stream_tail": (stream_tail, SQL_TAIL),
+    "stream_late": (stream_late, SQL_LATE),
 }

@@ -20,6 +20,8 @@ from opsloom.functions import text as tx
 from opsloom.operators.history import annotate
 
 WATERMARK = "10 minutes"
+#: State of a key without rows for so long (in event time) ends, where a rule by itself would keep it for ever.
+IDLE_SECONDS = 30 * 86_400
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 COMMAND_SCHEMA = "machine string, ts timestamp, seq bigint, command string"
 
@@ -90,13 +92,25 @@ def _ordered(rows: Iterator[Row]) -> list[Row]:
     return sorted(rows, key=lambda r: (r.ts, r.seq))
 
 
+def _end_at(handle: StatefulProcessorHandle, seconds: float) -> None:
+    """One timer per key, for the end of its state."""
+    for timer in list(handle.listTimers()):
+        handle.deleteTimer(timer)
+    handle.registerTimer(int(seconds * 1000))
+
+
 class Cooldown(StatefulProcessor):
-    """Fires when the line is new and ``seconds`` passed since the last row that fired."""
+    """Fires when the line is new and ``seconds`` passed since the last row that fired.
+
+    State ends with an event-time timer: ``seconds`` after the last row that fired, when nothing depends on it any more; with the
+    guard, which remembers lines, ``idle`` seconds after the last row.
+    """
 
-    def __init__(self, seconds: float, seen_limit: int, guard: bool):
-        self.seconds, self.seen_limit, self.guard = seconds, seen_limit, guard
+    def __init__(self, seconds: float, seen_limit: int, guard: bool, idle: float):
+        self.seconds, self.seen_limit, self.guard, self.idle = seconds, seen_limit, guard, idle
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.last = handle.getValueState("last", T.StructType([T.StructField("at", T.DoubleType())]))
         self.seen = handle.getMapState(
             "seen", T.StructType([T.StructField("line", T.StringType())]), T.StructType([T.StructField("at", T.DoubleType())])
@@ -105,6 +119,7 @@ class Cooldown(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues):
         last = self.last.get()[0] if self.last.exists() else None
         size = sum(1 for _ in self.seen.keys()) if self.guard else 0
+        at = None
         for row in _ordered(rows):
             at = _seconds(row.ts)
             if last is not None and at - last < self.seconds:
@@ -122,8 +137,11 @@ class Cooldown(StatefulProcessor):
             yield Row(machine=key[0], ts=row.ts, seq=row.seq, line=row.line)
         if last is not None:
             self.last.update((last,))
+            _end_at(self.handle, (at or last) + self.idle if self.guard else last + self.seconds)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        self.last.clear()
+        self.seen.clear()
         return iter(())
 
     def close(self) -> None:
@@ -134,12 +152,12 @@ FIRED = "machine string, ts timestamp, seq bigint, line string"
 
 
 def cooldown(
-    lines: DataFrame, seconds: float = rules.COOLDOWN_SECONDS, guard: bool = True, seen_limit: int = rules.SEEN_LIMIT, line: str = "line", watermark: str = WATERMARK
+    lines: DataFrame, seconds: float = rules.COOLDOWN_SECONDS, guard: bool = True, seen_limit: int = rules.SEEN_LIMIT, line: str = "line", watermark: str = WATERMARK, idle: float = IDLE_SECONDS
 ) -> DataFrame:
-    """Feedback lines with a signal that fire; with ``guard=False`` the plain throttle."""
+    """Feedback lines with a signal that fire; with ``guard=False`` the plain throttle.  Lines are remembered until their key had no row for ``idle`` seconds."""
     hashed = lines.withWatermark("ts", watermark).select("machine", "ts", "seq", F.col(line).alias("line"), cx.command_hash(line).alias("line_hash"))
     return hashed.groupBy("machine").transformWithState(
-        statefulProcessor=Cooldown(seconds, seen_limit, guard), outputStructType=FIRED, outputMode="append", timeMode="None"
+        statefulProcessor=Cooldown(seconds, seen_limit, guard, idle), outputStructType=FIRED, outputMode="append", timeMode="eventTime"
     )
 
 
@@ -178,9 +196,13 @@ class Stall(StatefulProcessor):
         self.state.update((at, command, retries))
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
-        for after, _ in self.marks():
+        for after in {a for a, _ in self.marks()} | {self.end()}:
             self.handle.registerTimer(int((at + after) * 1000))
 
+    def end(self) -> float:
+        """Seconds after a row when no rule depends on it any more."""
+        return max([self.window, *(after for after, _ in self.marks())])
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         if not self.state.exists():
             return
@@ -193,6 +215,8 @@ class Stall(StatefulProcessor):
                     if retries >= self.threshold and part in ("stalling", "stalled"):
                         continue
                     yield Row(machine=key[0], at=fired / 1000.0, state=part, command=command, retries=retries)
+        if int((at + self.end()) * 1000) == fired:
+            self.state.clear()
 
     def close(self) -> None:
         pass
@@ -217,28 +241,33 @@ def stalls(
 
 
 class Phase(StatefulProcessor):
-    """Emits a row when the phase over the last ``size`` commands changes."""
+    """Emits a row when the phase over the last ``size`` commands changes; a key without rows for ``idle`` seconds starts anew."""
 
-    def __init__(self, size: int):
-        self.size = size
+    def __init__(self, size: int, idle: float):
+        self.size, self.idle = size, idle
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.recent = handle.getValueState(
             "recent", T.StructType([T.StructField("current", T.StringType()), T.StructField("phases", T.ArrayType(T.StringType()))])
         )
 
     def handleInputRows(self, key, rows, timerValues):
         current, phases = self.recent.get() if self.recent.exists() else (rules.PHASE_IDLE, [])
-        phases = list(phases)
+        phases, at = list(phases), None
         for row in _ordered(rows):
+            at = _seconds(row.ts)
             phases = (phases + [row.rule or ""])[-self.size :]
             found = next((p for p in reversed(phases) if p), rules.PHASE_IDLE)
             if found != current:
                 yield Row(machine=key[0], ts=row.ts, seq=row.seq, previous_phase=current, phase=found)
                 current = found
         self.recent.update((current, phases))
+        if at is not None:
+            _end_at(self.handle, at + self.idle)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        self.recent.clear()
         return iter(())
 
     def close(self) -> None:
@@ -248,22 +277,27 @@ class Phase(StatefulProcessor):
 PHASES = "machine string, ts timestamp, seq bigint, previous_phase string, phase string"
 
 
-def phase_changes(commands: DataFrame, size: int = rules.CONTEXT_LIMIT, watermark: str = WATERMARK) -> DataFrame:
+def phase_changes(commands: DataFrame, size: int = rules.CONTEXT_LIMIT, watermark: str = WATERMARK, idle: float = IDLE_SECONDS) -> DataFrame:
     rated = commands.withWatermark("ts", watermark).select(F.col("machine").cast("string").alias("machine"), "ts", "seq", cx.command_phase("command").alias("rule"))
     return rated.groupBy("machine").transformWithState(
-        statefulProcessor=Phase(size), outputStructType=PHASES, outputMode="append", timeMode="None"
+        statefulProcessor=Phase(size, idle), outputStructType=PHASES, outputMode="append", timeMode="eventTime"
     )
 
 
 class Hint(StatefulProcessor):
-    """First long quiet feedback line after a command that should have used JSON."""
+    """First long quiet feedback line after a command that should have used JSON, within ``idle`` seconds of the key's last row."""
+
+    def __init__(self, idle: float):
+        self.idle = idle
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.pending = handle.getValueState("pending", T.StructType([T.StructField("seq", T.LongType()), T.StructField("command", T.StringType())]))
 
     def handleInputRows(self, key, rows, timerValues):
-        pending = self.pending.get() if self.pending.exists() else None
+        pending, at = self.pending.get() if self.pending.exists() else None, None
         for row in _ordered(rows):
+            at = _seconds(row.ts)
             if row.kind == "command":
                 pending = (row.seq, row.line) if row.wants_json else None
             elif pending is not None and row.long_quiet:
@@ -273,8 +307,10 @@ class Hint(StatefulProcessor):
             self.pending.clear()
         else:
             self.pending.update(tuple(pending))
+            _end_at(self.handle, at + self.idle)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        self.pending.clear()
         return iter(())
 
     def close(self) -> None:
@@ -284,17 +320,49 @@ class Hint(StatefulProcessor):
 HINTS = "machine string, ts timestamp, command_seq bigint, command string, line_seq bigint"
 
 
-def json_hints(both: DataFrame, watermark: str = WATERMARK) -> DataFrame:
+def json_hints(both: DataFrame, watermark: str = WATERMARK, idle: float = IDLE_SECONDS) -> DataFrame:
     """``both``: the union made by ``with_feedback``."""
     quiet = (F.col("kind") == "feedback") & cx.feedback_signal("line").isNull() & (F.length(tx.strip("line")) > rules.LONG_OUTPUT_CHARS)
     rows = both.withWatermark("ts", watermark).select(
         "machine", "ts", "seq", "kind", "line", cx.needs_json_hint("line").alias("wants_json"), quiet.alias("long_quiet")
     )
     return rows.groupBy("machine").transformWithState(
-        statefulProcessor=Hint(), outputStructType=HINTS, outputMode="append", timeMode="None"
+        statefulProcessor=Hint(idle), outputStructType=HINTS, outputMode="append", timeMode="eventTime"
     )
 
 
+# ---------------------------------------------------------------- late rows
+def late_splitter(kept: str, late: str, marks: str, delay: float, at: str = "ts"):
+    """``foreachBatch`` function: rows later than the watermark go to a side sink instead of being lost.
+
+    The watermark of a batch is the latest time of all batches before it less ``delay`` seconds (stateful operators look one batch further back).  Rows, late rows and the
+    latest time are written by batch, so a batch that is run again takes its own place.
+    """
+
+    def split(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        own = batch.withColumn("batch_id", F.lit(batch_id).cast("long"))
+        before = _marks(spark, marks).filter(F.col("batch_id") < batch_id).agg(F.max("latest")).first()[0]
+        is_late = F.lit(False) if before is None else F.col(at) < F.lit(before) - F.make_dt_interval(secs=F.lit(float(delay)))
+        own = own.withColumn("_late", F.coalesce(is_late, F.lit(False)))
+        for path, rows in ((late, own.filter("_late")), (kept, own.filter("NOT _late")), (marks, own.agg(F.max(at).alias("latest"), F.max("batch_id").alias("batch_id")).filter("batch_id IS NOT NULL"))):
+            rows.drop("_late").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(path)
+
+    return split
+
+
+def _marks(spark: SparkSession, path: str) -> DataFrame:
+    fs = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not fs.getFileSystem(spark._jsc.hadoopConfiguration()).exists(fs):
+        return spark.createDataFrame([], "latest timestamp, batch_id long")
+    return spark.read.schema("latest timestamp, batch_id long").parquet(path)
+
+
+def dropped_by_watermark(query) -> int:
+    """Rows that the stateful operators of a query dropped as late, over its recent progress."""
+    return sum(int(o.numRowsDroppedByWatermark) for p in query.recentProgress for o in p.stateOperators)
+
+
 # ---------------------------------------------------------------- running
 def run_available(df: DataFrame, out: str, checkpoint: str, mode: str = "append"):
     """Process all files present, then stop; a restart goes on from the checkpoint."""

@@ -110,3 +110,42 @@ def test_json_hint_fires_once_per_command(spark, tmp_path):
     f = stream(spark, tmp_path, feed, "machine string, ts timestamp, seq bigint, line string", name="feed")
     got = collect(spark, st.json_hints(st.with_feedback(c, f)), tmp_path)
     assert sorted((r.command_seq, r.line_seq) for r in got.collect()) == [(1, 12), (4, 16)]
+
+
+def _state_rows(spark, checkpoint, name):
+    return spark.read.format("statestore").option("stateVarName", name).load(checkpoint).count()
+
+
+def test_state_ends(spark, tmp_path):
+    """Once the watermark has passed a key's end nothing of it is left; the newest key's state is."""
+    day = 86_400
+    rows = [("m", at(0), 1, "nmap 10.0.0.1"), ("m", at(5), 2, "permission denied"), ("n", at(90 * day), 3, "permission denied"), ("n", at(90 * day + 5), 4, "whoami"), ("o", at(91 * day), 5, "permission denied")]
+    files = [lambda r, k=k: r[2] == k for k in range(1, 6)]
+    for name, job, state, left in (
+        ("guard", lambda s: st.cooldown(s, 60, line="command"), "last", 2),
+        ("plain", lambda s: st.cooldown(s, 60, guard=False, line="command"), "last", 1),
+        ("phase", lambda s: st.phase_changes(s), "recent", 2),
+        ("stall", lambda s: st.stalls(s, watermark="30 seconds"), "state", 1),
+    ):
+        collect(spark, job(stream(spark, tmp_path, rows, files=files, name=f"in_{name}")), tmp_path, name)
+        assert _state_rows(spark, str(tmp_path / f"{name}_cp"), state) == left, name
+
+
+def test_late_rows_go_to_a_side_sink(spark, tmp_path):
+    split = st.late_splitter(str(tmp_path / "kept"), str(tmp_path / "late"), str(tmp_path / "marks"), 60)
+    batch = lambda *r: spark.createDataFrame([(m, at(s), m) for m, s in r], "machine long, ts timestamp, seq long")
+    for _ in range(2):  # a batch that runs again takes its own place
+        split(batch((1, 0), (2, 1000)), 0)
+    for _ in range(2):
+        split(batch((3, 939), (4, 940), (5, 2000)), 1)
+    split(batch(), 2)
+    split(batch((6, 1939), (7, 1941)), 3)
+    ids = lambda name: sorted(r.machine for r in spark.read.parquet(str(tmp_path / name)).collect())
+    assert ids("kept") == [1, 2, 4, 5, 7] and ids("late") == [3, 6]
+
+
+def test_dropped_rows_are_counted(spark, tmp_path):
+    rows = [("m", at(0), 1, "a"), ("m", at(7200), 2, "b"), ("m", at(7300), 3, "x"), ("m", at(10), 4, "c"), ("m", at(20), 5, "d")]
+    src = stream(spark, tmp_path, rows, files=[lambda r: r[2] == 1, lambda r: r[2] == 2, lambda r: r[2] == 3, lambda r: r[2] > 3])
+    q = st.run_available(st.first_seen(src), str(tmp_path / "out"), str(tmp_path / "cp"))
+    assert st.dropped_by_watermark(q) == 2
