@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 from opsloom import rules
 from opsloom.functions import text as tx
 from opsloom.functions import vectors as vx
+from opsloom.operators import composed
 from opsloom.operators import knn as nn
 from opsloom.operators import ranking as ra
 from opsloom.operators import retrieval as re_
 from opsloom.plans import views as v
-from opsloom.session import settle
+from opsloom.session import new_path, settle
 
 K = 5
 CTX = f"WITH {v.SQL_DOCS}, {v.SQL_QUERIES}, {v.SQL_TERMS}, {v.SQL_DOCWORDS}, {v.sql_lexical(K)}"
@@ -615,8 +616,67 @@ d0 AS (SELECT *, row_number() OVER (PARTITION BY query_id, "index" ORDER BY rank
 SELECT query_id, slot, doc_id AS chunk_id, "index", left(sha256(concat("index", '|', title, '|', content)), 24) AS doc_key, final_score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY later, rank) AS slot FROM d0) WHERE slot <= 5"""
 
 
+# ---------------------------------------------------------------- from text to selected hits
+_TAGS = "CASE doc_id % 3 WHEN 0 THEN array('Networking-x', 'SUID') WHEN 1 THEN array('exploit', 'privesc', 'hash') ELSE array() END"
+
+
+def _retrieved(spark, sf) -> DataFrame:
+    q = v.queries(spark, sf).withColumn("history", F.array(F.concat(F.lit("ls "), (F.col("query_id") % 5).cast("string"))))
+    d = v.docs(spark, sf).withColumns({"tags": F.expr(_TAGS), "breadcrumb": F.concat("index", F.when(F.col("doc_id") % 5 == 0, " > Payload Discovery suid").otherwise(" > lateral"))})
+    return composed.retrieve(q, d, K, shown=_shown(spark, sf), index_order=ORDER, embed=lambda c: vx.hash_embedding(c, v.DIMS))
+
+
+def retrieve_full(spark, sf):
+    """Target pass, expansion, word and vector search, merge, scores with all bonuses and the shown penalty, and the diverse best of each query."""
+    return _retrieved(spark, sf).select("query_id", "slot", "index", "doc_id", "origin", F.round("final_score", 6).alias("final_score"))
+
+
+_TAGS_SQL = "CASE doc_id % 3 WHEN 0 THEN 'networking-x suid' WHEN 1 THEN 'exploit privesc hash' ELSE '' END"
+_CRUMB_SQL = """lower(concat("index", CASE WHEN doc_id % 5 = 0 THEN ' > Payload Discovery suid' ELSE ' > lateral' END))"""
+_META = " + ".join(f"CASE WHEN phase_bucket = {v.sq(p)} AND contains({_TAGS_SQL}, {v.sq(t)}) THEN {w} ELSE 0.0 END + CASE WHEN phase_bucket = {v.sq(p)} AND contains({_CRUMB_SQL}, {v.sq(t)}) THEN {w * 0.5} ELSE 0.0 END" for p, t, w in rules.PHASE_BONUS)
+_LIMIT = max(rules.RERANK_CANDIDATES, K)
+RETRIEVED = f"""WITH {v.SQL_DOCS}, {v.SQL_QUERIES.replace('queries AS', 'asked AS', 1)},
+queries AS (SELECT query_id, concat(text, chr(10), 'Current machine: ', lower(trim(target)), chr(10), 'Recent shell context:', chr(10), 'ls ', query_id % 5) AS text, target FROM asked),
+{v.SQL_TERMS}, {v.SQL_DOCWORDS}, {v.sql_lexical(_LIMIT)}, {v.sql_vector(_LIMIT)}, {_TARGET},
+free AS (SELECT query_id FROM queries WHERE query_id NOT IN (SELECT query_id FROM target) AND {v.sql_canonical('target')} = ''),
+mb AS (SELECT query_id, "index", doc_id, distance, rank, 0 AS o, 'lexical' AS origin FROM lexical WHERE query_id IN (FROM free)
+ UNION ALL SELECT query_id, "index", doc_id, distance, rank, 1, 'vector' FROM vector WHERE query_id IN (FROM free)),
+mk AS (SELECT mb.*, row_number() OVER (PARTITION BY query_id, mb."index", content ORDER BY o, rank, mb.doc_id) AS copy FROM mb JOIN docs USING (doc_id)),
+merged AS (SELECT * FROM (SELECT query_id, "index", doc_id, distance, origin, row_number() OVER (PARTITION BY query_id, "index" ORDER BY o, rank, doc_id) AS rank FROM mk WHERE copy = 1) WHERE rank <= {_LIMIT}),
+allh AS (SELECT query_id, "index", doc_id, distance, rank, origin FROM target UNION ALL SELECT query_id, "index", doc_id, distance, rank, origin FROM merged),
+hd AS (SELECT a.*, row_number() OVER (PARTITION BY a.query_id ORDER BY CASE a."index" {_PLACE} ELSE 3 END, a."index", a.rank) AS position, d.machine, d.title, d.url, d.content, q.text AS query,
+ {v.sql_canonical('q.target')} AS target, q.phase_bucket FROM allh a JOIN docs d USING (doc_id) JOIN asked q ON q.query_id = a.query_id),
+{_RECENT},
+rp AS (SELECT *, {_sql_phase('content')} AS phase, {_OV} AS ov, {_FP_SQL} AS fp, (target, {_FP_SQL}) IN (SELECT (machine, fp) FROM recent) AS shown, lower(query) AS lq, {_OV_TOK} AS qt, least({rules.PHASE_BONUS_CAP}, {_META}) AS meta FROM hd),
+ro AS (SELECT *, bool_or(phase <> 'recon') OVER (PARTITION BY query_id) AS other FROM rp),
+rs AS (SELECT query_id, doc_id, "index", origin, position, target, fp, round(0.65 * ov + 0.25 * greatest(0.0, least(1.0, 1.0 - distance))
+ + CASE WHEN phase_bucket <> 'unknown' AND phase = phase_bucket THEN 0.20 ELSE 0.0 END + meta
+ + CASE WHEN ((contains(lq, 'find') AND contains(lq, 'suid')) OR contains(lq, 'setuid') OR contains(lq, 'sudo -l')) THEN CASE "index" WHEN 'gtfobins' THEN 0.25 WHEN 'hacktricks' THEN 0.22 ELSE 0.0 END ELSE 0.0 END
+ + CASE WHEN len(qt) = 1 AND length(qt[1]) <= 4 AND "index" = 'gtfobins' THEN 0.45 ELSE 0.0 END
+ - CASE WHEN shown THEN 0.30 ELSE 0.0 END, 6) AS final_score FROM ro WHERE phase_bucket NOT IN ('user', 'root') OR NOT other OR phase <> 'recon'),
+reranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY final_score DESC, position) AS rank FROM rs),
+d0 AS (SELECT *, row_number() OVER (PARTITION BY query_id, "index" ORDER BY rank) > 1 AS later FROM reranked),
+chosen AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY later, rank) AS slot FROM d0) WHERE slot <= {K})"""
+SQL_RETRIEVE = f"""{RETRIEVED} SELECT query_id, slot, "index", doc_id, origin, final_score FROM chosen"""
+
+
+def retrieve_shown(spark, sf):
+    """What counts as shown to each machine after a retrieval was added to the list as its next turn."""
+    before, path = _shown(spark, sf), new_path(spark, "shown")
+    before.write.parquet(path)
+    composed.append_shown(_retrieved(spark, sf), path, F.expr("timestamp'2024-03-01 00:00:00'"), before)
+    return ra.recent_fingerprints(spark.read.schema(before.schema).parquet(path))
+
+
+SQL_RETRIEVE_SHOWN = f"""{RETRIEVED}, after AS (SELECT machine, turn, fp FROM sh UNION ALL SELECT DISTINCT target, (SELECT coalesce(max(turn), 0) + 1 FROM sh WHERE sh.machine = target), fp FROM chosen WHERE target <> ''),
+lately AS (SELECT machine, turn FROM (SELECT machine, turn, row_number() OVER (PARTITION BY machine ORDER BY turn DESC) AS n FROM (SELECT DISTINCT machine, turn FROM after)) WHERE n <= 3)
+SELECT DISTINCT machine, fp AS fingerprint FROM after JOIN lately USING (machine, turn)"""
+
+
 QUERIES = {
     "flagship": (flagship, SQL_FLAGSHIP),
+    "retrieve_full": (retrieve_full, SQL_RETRIEVE),
+    "retrieve_shown": (retrieve_shown, SQL_RETRIEVE_SHOWN),
     "knn_cosine": (knn_cosine, SQL_KNN),
     "knn_machine": (knn_machine, SQL_KNN_MACHINE),
     "knn_blocks": (knn_blocks, SQL_KNN),
