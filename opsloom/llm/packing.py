@@ -34,7 +34,7 @@ def pieces(docs: DataFrame, vocabulary: str | None = None, text: str = "text", k
     path = vocabulary or tk.vocabulary()
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in wd.chunks(batches, "_text"):
+        for b in wd.chunks(batches, "_text", tk.CHUNK):
             ids, counts = tk.with_end(*tk.encoder(path).encode(b["_text"]), end)
             many = -(-counts // capacity)
             row = np.repeat(np.arange(len(counts)), many)

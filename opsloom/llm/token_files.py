@@ -65,7 +65,7 @@ def write(docs: DataFrame, folder: str, vocabulary: str | None = None, text: str
 
         shard = TaskContext.get().partitionId()
         packer = zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(learnt) if learnt else None)
-        for block, b in enumerate(wd.chunks(batches, "_text")):
+        for block, b in enumerate(wd.chunks(batches, "_text", tk.CHUNK)):
             ids, counts = tk.with_end(*tk.encoder(path).encode(b["_text"]), end)
             ends = np.cumsum(counts)
             frames = [packer.compress(ids[e - c : e].tobytes()) for e, c in zip(ends, counts, strict=True)]

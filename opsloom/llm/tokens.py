@@ -20,6 +20,8 @@ from opsloom.llm import words as wd
 
 #: Bytes of pieces and ids remembered by each Python worker; beyond it, new pieces are encoded again when met.
 REMEMBERED, EACH = 64 << 20, 160
+#: Bytes of text that are encoded at a time.
+CHUNK = 2 << 20
 VOCABULARY = "word_bpe_49k.json"
 
 
@@ -75,8 +77,9 @@ class Encoder:
                 stems.update((s, raw[a:b]) for s, a, b in zip(plain, cuts, cuts[1:], strict=False))
             else:  # some word was not one unit after all
                 stems.update((s, self.ids(s)) for s in plain)
-        alone = set(stems).difference(plain)
-        stems.update((s, self.ids(s)) for s in alone)
+        alone = list(set(stems).difference(plain))
+        for s, found in zip(alone, self.tokenizer.encode_batch_fast(alone, add_special_tokens=False), strict=True):
+            stems[s] = np.array(found.ids, "<u2").tobytes()
         own = {w: (stems.get(stem) or self.known.get(stem, b"")) + (stems.get(tail) or self.known.get(tail, b"")) for w, stem, tail in shape}
         for more in (stems, own):
             for piece, ids in more.items():
