@@ -24,8 +24,8 @@ from opsloom.session import keep
 
 TILE_BYTES = 4 << 20
 BLOCK_QUERIES = 256
-#: Pivots: at most so many vectors are on the driver and in every task.
-PIVOTS = 256
+#: Pivots: at most so many vectors are on the driver and in every task; fewer where an index has under ``CELL_ROWS`` vectors for each.
+PIVOTS, CELL_ROWS = 256, 2_000
 FIRST_LOOK = 4
 #: More than what rounding in matrix products can shift a distance.
 SLACK = 1e-9
@@ -189,7 +189,7 @@ def knn(
     index: str = "index",
     machine: str | None = None,
     only: str | None = None,
-    pivots: int = PIVOTS,
+    pivots: int | None = None,
     tile_bytes: int = TILE_BYTES,
     block_queries: int = BLOCK_QUERIES,
     first_look: int = FIRST_LOOK,
@@ -208,6 +208,9 @@ def knn(
     q = keep(q.withColumn("q", F.monotonically_increasing_id()), "knn-queries")
     own, doc = c.schema["index"].dataType.simpleString(), c.schema["doc_id"].dataType.simpleString()
 
+    if pivots is None:
+        n, indexes = c.agg(F.count(F.lit(1)), F.approx_count_distinct("index")).first()
+        pivots = max(1, min(PIVOTS, n // (max(1, indexes) * CELL_ROWS)))
     sample = c.filter(F.size("vector") > 0).select("vector", F.xxhash64("vector").alias("h")).orderBy("h").limit(pivots).collect()
     held = _Pivots([r["vector"] for r in {r["h"]: r for r in sample}.values()])
     order = [F.asc_nulls_first("index"), F.col("size"), F.col("pivot"), F.col("edge"), F.col("doc_id")]
@@ -229,6 +232,7 @@ def knn(
     loose = other.select("q", "tile", "index", "first", F.when((F.col("_size") == F.col("size")) & (F.col("_size") > 0), 0.0).otherwise(1.0).alias("bound"))
     turn = Window.partitionBy("q", "index").orderBy("bound", "first", "tile")
     plan = keep(bounded.unionByName(loose).withColumn("turn", F.row_number().over(turn)), "knn-plan")
+    most = plan.agg(F.max("turn")).first()[0] or 0
 
     blocks = max(1, -(-q.count() // block_queries))
     asked = q.select("q", "vector", "machine", F.pmod(F.xxhash64("q"), F.lit(blocks)).alias("block"))
@@ -244,6 +248,8 @@ def knn(
         every = found if best is None else best.drop("rank").unionByName(found)
         best = keep(every.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k), "knn-best")
         seen, look = seen + look, look * 8
+        if seen >= most:
+            break
         last = best.filter(F.col("rank") == k).select(F.col("q").alias("_q"), F.col("index").alias("_index"), F.col("distance").alias("_distance"), F.col("doc_id").alias("_doc"))
         open_ = left.filter(F.col("turn") > seen).join(last, (F.col("q") == F.col("_q")) & F.col("index").eqNullSafe(F.col("_index")), "left")
         better = F.col("_q").isNull() | (F.col("bound") < F.col("_distance")) | ((F.col("bound") <= F.col("_distance") + SLACK) & (F.col("first") < F.col("_doc")))

@@ -133,6 +133,7 @@ def search_index(queries: DataFrame, postings: DataFrame, blocks: DataFrame, k:
     bounds = found.select("block", "term").join(wanted, "term").groupBy("g", "block").agg(F.count(F.lit(1)).alias("bound"))
     turn = Window.partitionBy("g", "index").orderBy(F.desc("bound"), "first", "block")
     plan = keep(bounds.join(blocks.select("block", "index", "first"), "block").withColumn("turn", F.row_number().over(turn)), "lexical-plan")
+    most = plan.agg(F.max("turn")).first()[0] or 0
     best, left, seen, look = None, plan, 0, first_look
     while True:
         now = left.filter(F.col("turn") <= seen + look)
@@ -142,6 +143,8 @@ def search_index(queries: DataFrame, postings: DataFrame, blocks: DataFrame, k:
         every = own if best is None else best.drop("rank").unionByName(own)
         best = keep(every.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k), "lexical-best")
         seen, look = seen + look, look * 8
+        if seen >= most:
+            break
         last = best.filter(F.col("rank") == k).select(F.col("g").alias("_g"), F.col("index").alias("_index"), F.col("matched").alias("_matched"), F.col("doc_id").alias("_doc"))
         rest = left.filter(F.col("turn") > seen).join(last, (F.col("g") == F.col("_g")) & F.col("index").eqNullSafe(F.col("_index")), "left")
         open_ = F.col("_g").isNull() | (F.col("bound") > F.col("_matched")) | ((F.col("bound") == F.col("_matched")) & (F.col("first") < F.col("_doc")))
