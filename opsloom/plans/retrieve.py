@@ -633,8 +633,14 @@ def retrieve_full(spark, sf):
 
 _TAGS_SQL = "CASE doc_id % 3 WHEN 0 THEN 'networking-x suid' WHEN 1 THEN 'exploit privesc hash' ELSE '' END"
 _CRUMB_SQL = """lower(concat("index", CASE WHEN doc_id % 5 = 0 THEN ' > Payload Discovery suid' ELSE ' > lateral' END))"""
-_META = " + ".join(f"CASE WHEN phase_bucket = {v.sq(p)} AND contains({_TAGS_SQL}, {v.sq(t)}) THEN {w} ELSE 0.0 END + CASE WHEN phase_bucket = {v.sq(p)} AND contains({_CRUMB_SQL}, {v.sq(t)}) THEN {w * 0.5} ELSE 0.0 END" for p, t, w in rules.PHASE_BONUS)
+# In doubles and in the order of the column expression, so that sums agree to the last bit.
+_META = "CAST(0 AS DOUBLE) + " + " + ".join(
+    f"CASE WHEN phase_bucket = {v.sq(p)} THEN CASE WHEN contains({_TAGS_SQL}, {v.sq(t)}) THEN CAST({w} AS DOUBLE) ELSE CAST(0 AS DOUBLE) END"
+    f" + CASE WHEN contains({_CRUMB_SQL}, {v.sq(t)}) THEN CAST({w * 0.5} AS DOUBLE) ELSE CAST(0 AS DOUBLE) END ELSE CAST(0 AS DOUBLE) END"
+    for p, t, w in rules.PHASE_BONUS
+)
 _LIMIT = max(rules.RERANK_CANDIDATES, K)
+# 1e-9: halves of the sixth digit round up, as Spark rounds a double by its decimal form.
 RETRIEVED = f"""WITH {v.SQL_DOCS}, {v.SQL_QUERIES.replace('queries AS', 'asked AS', 1)},
 queries AS (SELECT query_id, concat(text, chr(10), 'Current machine: ', lower(trim(target)), chr(10), 'Recent shell context:', chr(10), 'ls ', query_id % 5) AS text, target FROM asked),
 {v.SQL_TERMS}, {v.SQL_DOCWORDS}, {v.sql_lexical(_LIMIT)}, {v.sql_vector(_LIMIT)}, {_TARGET},
@@ -653,7 +659,7 @@ rs AS (SELECT query_id, doc_id, "index", origin, position, target, fp, round(0.6
  + CASE WHEN phase_bucket <> 'unknown' AND phase = phase_bucket THEN 0.20 ELSE 0.0 END + meta
  + CASE WHEN ((contains(lq, 'find') AND contains(lq, 'suid')) OR contains(lq, 'setuid') OR contains(lq, 'sudo -l')) THEN CASE "index" WHEN 'gtfobins' THEN 0.25 WHEN 'hacktricks' THEN 0.22 ELSE 0.0 END ELSE 0.0 END
  + CASE WHEN len(qt) = 1 AND length(qt[1]) <= 4 AND "index" = 'gtfobins' THEN 0.45 ELSE 0.0 END
- - CASE WHEN shown THEN 0.30 ELSE 0.0 END, 6) AS final_score FROM ro WHERE phase_bucket NOT IN ('user', 'root') OR NOT other OR phase <> 'recon'),
+ - CASE WHEN shown THEN 0.30 ELSE 0.0 END + 1e-9, 6) AS final_score FROM ro WHERE phase_bucket NOT IN ('user', 'root') OR NOT other OR phase <> 'recon'),
 reranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY final_score DESC, position) AS rank FROM rs),
 d0 AS (SELECT *, row_number() OVER (PARTITION BY query_id, "index" ORDER BY rank) > 1 AS later FROM reranked),
 chosen AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY later, rank) AS slot FROM d0) WHERE slot <= {K})"""
