@@ -7,16 +7,14 @@ bounded number of rows.
 
 from __future__ import annotations
 
-import difflib
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from opsloom import rules
 from opsloom.functions import text as tx
+from opsloom.functions.matching import block_similarity
 from opsloom.operators.ordered import BLOCK_ROWS, own_rows, with_lookback, with_position
 
 KEYS = ("conv_id",)
@@ -132,26 +130,20 @@ def transcript_blob(numbered: DataFrame, keys: Sequence[str] = KEYS, text: str =
     )
 
 
-@F.pandas_udf(T.DoubleType())
-def _block_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    pairs = zip(a, b)
-    return pd.Series([None if x is None or y is None else difflib.SequenceMatcher(None, x, y).ratio() for x, y in pairs], dtype="float64")
-
-
 def repetition(
     numbered: DataFrame, keys: Sequence[str] = KEYS, text: str = "text", ratio: float = rules.REPEAT_RATIO, exact: bool = False, block_rows: int = BLOCK_ROWS
 ) -> DataFrame:
     """Assistant replies with their similarity to the assistant reply before.
 
     similarity = 1 - edit distance / longer length, computed in the JVM; with ``exact`` it is the
-    longest-matching-block ratio, in an Arrow-batched function.
+    ratio of the longest matching blocks (``functions/matching.py``).
     """
     replies = numbered.filter(F.col("role") == "assistant").withColumnRenamed("pos", "_old")
     own = with_position(replies, keys, ["_old"], F.floor(F.col("_old") / block_rows).cast("long"))
     w = Window.partitionBy(*keys, "_blk").orderBy("pos")
     lent = with_lookback(own, 1, block_rows=block_rows).withColumn("_prev", F.lag(text).over(w))
     longer = F.greatest(F.length(text), F.length("_prev"))
-    sim = _block_ratio("_prev", text) if exact else 1.0 - F.levenshtein(F.col(text), F.col("_prev")) / longer
+    sim = block_similarity("_prev", text) if exact else 1.0 - F.levenshtein(F.col(text), F.col("_prev")) / longer
     usable = (F.coalesce(F.col("_prev"), F.lit("")) != "") & (F.col(text) != "")
     return (
         own_rows(lent)
