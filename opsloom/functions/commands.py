@@ -125,11 +125,11 @@ def similar_key(c: Column | str) -> Column:
 
 
 def tool_suggestion(c: Column | str, table: Sequence[tuple[str, str]] = rules.TOOL_SUGGESTIONS) -> Column:
-    """Text of the first tool in list order that occurs in the command."""
+    """Tip of the first tool in list order that occurs in the command."""
     def judge(low: Column) -> Column:
         out = F.when(F.lit(False), F.lit(None).cast("string"))
         for tool, text in table:
-            out = out.when(low.contains(tool), text)
+            out = out.when(low.contains(tool), rules.TIP_MARK + text)
         return out
 
     return tx.let(F.lower(tx.text_or_empty(c)), judge)

@@ -116,6 +116,11 @@ def markdown_sections(
     )
 
 
+def _heading(marks: str) -> str:
+    """The line break in front of a heading with a name."""
+    return rf"(?Ud)\n(?={marks}[^\S\n][^\n]*\S)"
+
+
 def markdown_breadcrumbs(
     df: DataFrame,
     content: str = "text",
@@ -127,48 +132,40 @@ def markdown_breadcrumbs(
     Text in front of the first H2 belongs to the first H2 section, the intro of an H2 to
     its first H3 section, and a text without H2 is one section under its title.
 
-    Each document is folded in its own row: the state holds the open section and
-    the finished ones, so no rows are exchanged.
+    A text is split at its H2 lines and each piece at its H3 lines, in its own row and in
+    time linear in its length.
     """
-    line_array = F.split(tx.text_or_empty(content), "\n")
-    section = "struct<h2:string,h3:string,body:string>"
-    start = F.struct(
-        F.lit(None).cast("string").alias("h2"),
-        F.lit(None).cast("string").alias("h3"),
-        F.array().cast("array<string>").alias("buf"),
-        F.array().cast(f"array<{section}>").alias("done"),
-    )
+    body = tx.text_or_empty(content)
 
-    def closed(s: Column) -> Column:
-        one = F.struct(s["h2"].alias("h2"), s["h3"].alias("h3"), F.array_join(s["buf"], "\n").alias("body"))
-        return F.concat(s["done"], F.array(one))
-
-    def step(s: Column, line: Column) -> Column:
-        h2 = F.nullif(tx.strip(F.regexp_extract(line, r"^##\s+(.+)$", 1)), F.lit(""))
-        h3 = F.nullif(tx.strip(F.regexp_extract(line, r"^###\s+(.+)$", 1)), F.lit(""))
-        flush2 = h2.isNotNull() & s["h2"].isNotNull() & (F.size(s["buf"]) > 0)
-        flush3 = h3.isNotNull() & s["h2"].isNotNull() & s["h3"].isNotNull() & (F.size(s["buf"]) > 0)
-        flush = flush2 | flush3
-        return F.struct(
-            F.coalesce(h2, s["h2"]).alias("h2"),
-            F.when(h2.isNotNull(), F.lit(None).cast("string")).otherwise(F.coalesce(h3, s["h3"])).alias("h3"),
-            F.when(flush, F.array(line)).otherwise(F.concat(s["buf"], F.array(line))).alias("buf"),
-            F.when(flush, closed(s)).otherwise(s["done"]).alias("done"),
-        )
+    def name(piece: Column, marks: str) -> Column:
+        return tx.strip(F.regexp_extract(piece, rf"(?Ud)^{marks}\s+([^\n]+)", 1))
 
-    def finish(s: Column) -> Column:
-        whole = F.array(
-            F.struct(
-                F.lit(None).cast("string").alias("h2"),
-                F.lit(None).cast("string").alias("h3"),
-                F.array_join(s["buf"], "\n").alias("body"),
-            )
-        )
-        return F.when(s["h2"].isNotNull(), closed(s)).otherwise(whole)
+    def section(h2: Column, h3: Column, text: Column) -> Column:
+        return F.struct(h2.alias("h2"), h3.alias("h3"), text.alias("body"))
 
-    sections = F.filter(
-        F.aggregate(line_array, start, step, finish), lambda x: F.length(tx.strip(x["body"])) >= min_chars
-    )
+    def nothing() -> Column:
+        return F.lit(None).cast("string")
+
+    def by_h3(piece: Column, lead: Column) -> Column:
+        """Sections of one H2 piece; ``lead`` (null: none) stands in front of the first."""
+        h2 = name(piece, "##")
+
+        def cut(subs: Column) -> Column:
+            second = F.get(subs, F.lit(1))
+            first = section(h2, F.when(second.isNotNull(), name(second, "###")).otherwise(nothing()), F.concat_ws("\n", lead, F.get(subs, F.lit(0)), second))
+            more = F.transform(F.slice(subs, 3, F.greatest(F.size(subs), F.lit(1))), lambda p: section(h2, name(p, "###"), p))
+            return F.concat(F.array(first), more)
+
+        return tx.let(F.split(piece, _heading("###")), cut)
+
+    def by_h2(pieces: Column) -> Column:
+        titled = F.get(pieces, F.lit(0)).rlike(_heading("##").replace(r"\n(?=", "^(?=", 1))
+        lead = F.when(~titled, F.get(pieces, F.lit(0)))
+        own = F.slice(pieces, F.when(titled, 1).otherwise(2), F.size(pieces))
+        cut = F.flatten(F.transform(own, lambda p, i: by_h3(p, F.when(i == 0, lead))))
+        return F.when(F.size(own) > 0, cut).otherwise(F.array(section(nothing(), nothing(), F.get(pieces, F.lit(0)))))
+
+    sections = F.filter(tx.let(F.split(body, _heading("##")), by_h2), lambda x: F.length(tx.strip(x["body"])) >= min_chars)
     rest = [c for c in df.columns if c not in (content, title)]
     return df.select(*rest, F.col(title).alias("_t"), F.posexplode(sections).alias("chunk_no", "_s")).select(
         *rest,
@@ -410,12 +407,6 @@ def fence_commands(c: Column | str) -> Column:
     body = tx.strip(F.replace(tx.text_or_empty(c), F.lit("\r\n"), F.lit("\n")))
     pattern = r"^(?:\$\s*)?(?:sudo\s+)?(?:" + "|".join(rules.PROBABLE_COMMANDS) + r")\b"
 
-    def step(s: Column, line: Column) -> Column:
-        fence = F.when(line["cmd"] & ~s["open"], F.array(F.lit("```bash"), line["shown"])).when(
-            ~line["cmd"] & s["open"], F.array(F.lit("```"), line["shown"])
-        ).otherwise(F.array(line["shown"]))
-        return F.struct(line["cmd"].alias("open"), F.concat(s["out"], fence).alias("out"))
-
     def judged(line: Column) -> Column:
         bare = tx.strip(line)
         shown = F.when(bare.startswith("$ "), F.substring(bare, 3, 1 << 30)).otherwise(bare)
@@ -423,11 +414,18 @@ def fence_commands(c: Column | str) -> Column:
         no = F.struct(F.lit(False).alias("cmd"), line.alias("shown"))
         return F.when((bare != "") & bare.rlike(pattern), yes).otherwise(no)
 
-    start = F.struct(F.lit(False).alias("open"), F.array().cast("array<string>").alias("out"))
-    done = F.aggregate(
-        F.transform(tx.lines(body), judged), start, step,
-        lambda s: tx.strip(F.array_join(F.when(s["open"], F.concat(s["out"], F.array(F.lit("```")))).otherwise(s["out"]), "\n")),
-    )
+    def fenced(rows: Column) -> Column:
+        """A fence opens or closes where a line differs in kind from the one before."""
+
+        def one(row: Column, i: Column) -> Column:
+            before = (i > 0) & F.get(rows, i - 1)["cmd"]
+            mark = F.when(row["cmd"] & ~before, "```bash\n").when(~row["cmd"] & before, "```\n").otherwise("")
+            return F.concat(mark, row["shown"])
+
+        end = F.when(F.element_at(rows, -1)["cmd"], "\n```").otherwise("")
+        return tx.strip(F.concat(F.array_join(F.transform(rows, one), "\n"), end))
+
+    done = tx.let(F.transform(tx.lines(body), judged), fenced)
     return F.when(body == "", "_No response yet._").when(body.contains("```"), body).otherwise(
         F.coalesce(F.nullif(done, F.lit("")), body)
     )

@@ -336,7 +336,7 @@ def compact_lines(output: Column | str, command: Column | str | None = None, max
 
     def paths(r: Column) -> Column:
         low = F.lower(r)
-        banner = (low.startswith("[+") & low.contains("threads")) | low.startswith("=" * 63)
+        banner = (low.startswith("[+") & low.contains("threads")) | low.startswith(rules.BANNER_RULE)
         return ~banner & (tx.any_contains(low, rules.COMPACT_PATH_KEEP) | low.startswith("/"))
 
     def share(r: Column) -> Column:
@@ -438,7 +438,7 @@ def findings_report(found: DataFrame, scope: str | None = None, part_rows: int =
     """
     order = F.array_position(F.array(*[F.lit(t) for t in rules.FINDING_REPORT_ORDER]), F.col("type"))
     icon = F.element_at(F.create_map(*[F.lit(x) for kv in rules.FINDING_ICONS.items() for x in kv]), F.col("type"))
-    line = F.concat(F.lit("- "), F.coalesce(icon, F.lit("\U0001f4cc")), F.lit(" **"), F.upper("type"), F.lit("**: `"), "value", F.lit("`"))
+    line = F.concat(F.lit("- "), F.coalesce(icon, F.lit(rules.FINDING_ICON)), F.lit(" **"), F.upper("type"), F.lit("**: `"), "value", F.lit("`"))
     keys = ["type"] if scope is None else [scope, "type"]
     counted = found.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     if scope is None:

@@ -111,11 +111,11 @@ def cross_score(
     content: str = "content",
     fallback: str = "lexical",
     out: str = "rerank_score",
+    chars: int | None = None,
 ) -> DataFrame:
-    """Model score of (query, leading content); the lexical score where there is none.
+    """Model score of (query, content); the lexical score where there is none.
 
-    The first 1200 characters are what the scoring model is given; they are a model
-    input limit, the rows themselves stay whole.
+    ``chars``: how much of a text the model takes, if it has such a limit; the rows stay whole.
     """
     if scorer_factory is None:
         return hits.withColumn(out, F.col(fallback))
@@ -127,7 +127,8 @@ def cross_score(
         except Exception:
             return pd.Series([None] * len(q), dtype="float64")
 
-    return hits.withColumn(out, F.coalesce(score(query, F.left(F.col(content), F.lit(1200))), F.col(fallback)))
+    given = F.col(content) if chars is None else F.left(F.col(content), F.lit(chars))
+    return hits.withColumn(out, F.coalesce(score(query, given), F.col(fallback)))
 
 
 def recent_fingerprints(
@@ -451,14 +452,15 @@ def solution_block(hits: DataFrame, machine: str = "target", order: str = "rank"
     return hits.groupBy("query_id").agg(F.concat(head, ordered_text(row, order)).alias("solution_block"))
 
 
-def hits_by_source(hits: DataFrame, order: str = "rank", max_lines: int = rules.HITS_MAX_LINES) -> DataFrame:
-    """Per (query, source): numbered items with their content lines (cut after ``max_lines``)."""
+def hits_by_source(hits: DataFrame, order: str = "rank", max_lines: int | None = None) -> DataFrame:
+    """Per (query, source): numbered items with their content lines (all, or the first ``max_lines``)."""
     source = F.coalesce(F.nullif(F.col("index"), F.lit("")), F.lit("unknown"))
 
     def dash(c: str) -> Column:
         return F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit("-"))
 
-    shown = F.slice(tx.lines(tx.text_or_empty("content")), 1, max_lines)
+    body = tx.lines(tx.text_or_empty("content"))
+    shown = body if max_lines is None else F.slice(body, 1, max_lines)
     item = F.concat(
         F.lit("] title: "), dash("title"), F.lit("\n    machine: "), dash("machine"), F.lit("\n    url: "), dash("url"),
         F.lit("\n    score: "), F.format_string("%.4f", "distance"), F.lit("\n    content:"),
@@ -548,10 +550,11 @@ def cve_ids(c: Column | str) -> Column:
     return F.array_sort(F.array_distinct(F.transform(found, F.upper)))
 
 
-def cve_enrich(texts: DataFrame, advisories: DataFrame, key: str = "run_id", text: str = "text") -> DataFrame:
-    """Ids named in each text with the advisory description (first 100 characters)."""
+def cve_enrich(texts: DataFrame, advisories: DataFrame, key: str = "run_id", text: str = "text", chars: int | None = None) -> DataFrame:
+    """Ids named in each text with the advisory description (whole, or its first ``chars`` characters)."""
     named = texts.select(key, F.explode(cve_ids(text)).alias("cve_id"))
-    known = advisories.select(F.upper("cve_id").alias("cve_id"), F.left(tx.text_or_empty("description"), F.lit(100)).alias("description"))
+    told = tx.text_or_empty("description")
+    known = advisories.select(F.upper("cve_id").alias("cve_id"), (told if chars is None else F.left(told, F.lit(chars))).alias("description"))
     return named.join(known, "cve_id", "left").select(
         key, "cve_id", "description", F.concat_ws(": ", "cve_id", "description").alias("finding")
     )

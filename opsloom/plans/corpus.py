@@ -320,6 +320,22 @@ def src_text(spark, sf):
 SQL_SRC_TEXT = "SELECT doc_id, sha256('AB' || text) AS text_hash, length(text) + 3 AS n_replaced FROM documents"
 
 
+def walkthrough_scan(spark, sf):
+    """Two entries per document, from texts with a list of entries and texts with an object that holds them."""
+    entry = F.to_json(F.struct(
+        F.concat(F.lit("HackTheBox - "), "source").alias("machine"), F.concat(F.lit("v"), "doc_id").alias("videoId"),
+        F.struct((F.col("doc_id") % 90).cast("int").alias("minutes"), (F.col("doc_id") % 60).cast("int").alias("seconds")).alias("timestamp"),
+        F.col("text").alias("line"), F.col("lang").alias("tag"),
+    ))
+    entries = F.concat(F.lit(" ["), entry, F.lit(', {"machine": "m", "line": null}]'))
+    d = v.table(spark, sf, "documents").select("doc_id", F.when(F.col("doc_id") % 2 == 0, entries).otherwise(F.concat(F.lit('{"videos":'), entries, F.lit("}"))).alias("text"))
+    return readers.walkthrough_entries(d).select("doc_id", "idx", "machine", F.coalesce("videoId", F.lit("")).alias("video"), F.coalesce(F.expr("timestamp.minutes * 60 + timestamp.seconds").cast("long"), F.lit(-1)).alias("at"), F.sha2(F.coalesce("line", F.lit("")), 256).alias("line_hash"), F.coalesce("tag", F.lit("")).alias("tag"))
+
+
+SQL_WALKTHROUGH = """SELECT doc_id, 0 AS idx, concat('HackTheBox - ', source) AS machine, concat('v', doc_id) AS video, (doc_id % 90) * 60 + doc_id % 60 AS at, sha256(text) AS line_hash, lang AS tag FROM documents
+ UNION ALL SELECT doc_id, 1, 'm', '', -1, sha256(''), '' FROM documents"""
+
+
 def src_registry(spark, sf):
     rows = v.table(spark, sf, "documents").groupBy(F.col("source").alias("name")).agg(F.count(F.lit(1)).alias("n"))
     rows = rows.select("name", F.when(F.length("name") > 4, F.concat(F.lit("ix_"), "name")).alias("index"), F.when(F.length("name") > 4, "methodology").alias("type"), F.concat(F.lit("https://g.example/"), "name").alias("clone_url"), F.concat(F.lit("/data/"), "name").alias("local_path"))
@@ -503,6 +519,7 @@ QUERIES = {
     "sink_ttl": (sink_ttl, SQL_TTL),
     "sink_refresh": (sink_refresh, SQL_REFRESH),
     "upsert_compact": (upsert_compact, SQL_UPSERT),
+    "walkthrough_scan": (walkthrough_scan, SQL_WALKTHROUGH),
     "redact_payload": (redact_payload, SQL_REDACT),
     "redact_nested": (redact_nested, SQL_REDACT_NESTED),
     "learning_append": (learning_append, SQL_LEARN),

@@ -343,7 +343,7 @@ def tool_suggest(spark, sf):
     return v.commands(spark, sf).select("seq", F.coalesce(cx.tool_suggestion("command"), F.lit("")).alias("suggestion"))
 
 
-SQL_SUGGEST = f"{C} SELECT seq, CASE " + " ".join(f"WHEN contains(lower(command), {v.sq(t)}) THEN {v.sq(x)}" for t, x in rules.TOOL_SUGGESTIONS) + " ELSE '' END AS suggestion FROM commands"
+SQL_SUGGEST = f"{C} SELECT seq, CASE " + " ".join(f"WHEN contains(lower(command), {v.sq(t)}) THEN {v.sq(rules.TIP_MARK + x)}" for t, x in rules.TOOL_SUGGESTIONS) + " ELSE '' END AS suggestion FROM commands"
 
 
 def usage_meter(spark, sf):

@@ -13,6 +13,7 @@ from opsloom.operators import knn as nn
 from opsloom.operators import ranking as ra
 from opsloom.operators import retrieval as re_
 from opsloom.plans import views as v
+from opsloom.sources import readers
 from opsloom.session import new_path, settle
 
 K = 5
@@ -296,7 +297,7 @@ def rerank_udf(spark, sf):
     return ra.cross_score(h, length_scorer).select("query_id", "doc_id", F.round("rerank_score", 6).alias("score"))
 
 
-SQL_RERANK_UDF = f"{HD} SELECT query_id, doc_id, round((length(query) % 10 + length(left(content, 1200)) % 7) / 20.0, 6) AS score FROM hd"
+SQL_RERANK_UDF = f"{HD} SELECT query_id, doc_id, round((length(query) % 10 + length(content) % 7) / 20.0, 6) AS score FROM hd"
 
 
 def phase_bonus(spark, sf):
@@ -511,6 +512,10 @@ def solution_block(spark, sf):
     return s.select("query_id", F.sha2("solution_block", 256).alias("block_hash"))
 
 
+SQL_SOLUTION = f"""{SEL}, r AS (SELECT query_id, slot, concat('## ', CASE WHEN title = '' THEN 'Untitled' ELSE title END, ' (', "index", ')', chr(10), CASE WHEN url <> '' THEN concat(url, chr(10)) ELSE '' END, chr(10), content, chr(10)) AS t FROM selected)
+SELECT query_id, sha256(concat('# box - Guided Solution Material', chr(10), chr(10), string_agg(t, chr(10) ORDER BY slot))) AS block_hash FROM r GROUP BY 1"""
+
+
 def methodology_block(spark, sf):
     h = selected(spark, sf).withColumn("breadcrumb", F.when(F.col("doc_id") % 2 == 0, F.concat("index", F.lit(" > "), "title")))
     return ra.methodology_block(h, order="slot").select("query_id", F.sha2("methodology_block", 256).alias("block_hash"))
@@ -538,7 +543,7 @@ SQL_RESULTS = f"""WITH rb AS ({SQL_REFBLOCK}), wb AS (SELECT * FROM ({SQL_WEBBLO
 SELECT rb.query_id, web_block IS NOT NULL AS used_web, 6 AS n_hits, CASE WHEN web_block IS NULL THEN -1 ELSE n END AS n_web,
  sha256(reference_block || coalesce(chr(10) || chr(10) || 'Cite the URLs below if you use any of this information.' || chr(10) || chr(10) || web_block, '')) AS block_hash FROM rb LEFT JOIN wb USING (query_id) LEFT JOIN nw USING (query_id)"""
 SQL_BYSRC = f"""{SEL}, n AS (SELECT *, row_number() OVER (PARTITION BY query_id, "index" ORDER BY slot) AS no FROM selected),
-c AS (SELECT query_id, doc_id, "index", no, title, machine, url, distance, list_transform(list_slice(CASE WHEN ends_with(content, chr(10)) THEN string_split(content, chr(10)) ELSE string_split(content, chr(10)) END, 1, 120), lambda x: concat(chr(10), '      ', x)) AS ls FROM n)
+c AS (SELECT query_id, doc_id, "index", no, title, machine, url, distance, list_transform(string_split(content, chr(10)), lambda x: concat(chr(10), '      ', x)) AS ls FROM n)
 SELECT query_id, "index" AS source, count(*) AS n_hits, sha256(concat('### SOURCE: ', upper("index"), chr(10), string_agg(concat('[', no, '] title: ', CASE WHEN title = '' THEN '-' ELSE title END, chr(10), '    machine: ', machine, chr(10), '    url: ', url, chr(10), '    score: ', printf('%.4f', distance), chr(10), '    content:', array_to_string(ls, '')), chr(10) || chr(10) ORDER BY no))) AS block_hash FROM c GROUP BY 1, 2"""
 
 
@@ -565,16 +570,31 @@ s AS (SELECT query_id, learning_id, count(*) AS score FROM t JOIN l ON contains(
 SELECT query_id, learning_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, learning_id) AS rank FROM s) WHERE rank <= 20"""
 
 
+def _advisory_files(spark, sf) -> DataFrame:
+    """An advisory file per document; every seventh one breaks off."""
+    path = F.concat(F.lit("file:/advisories/"), F.col("doc_id") % 3, F.lit("/cve-2021-"), F.col("doc_id") + 4000, F.lit(".json"))
+    body = F.to_json(F.struct(F.col("text").alias("description"), F.struct(F.col("lang").alias("name")).alias("vendor")))
+    return v.table(spark, sf, "documents").select(path.alias("path"), F.when(F.col("doc_id") % 7 == 0, F.left(body, F.lit(12))).otherwise(body).alias("text"))
+
+
+def advisory_scan(spark, sf):
+    """Advisories by id, with what the payload says besides the description."""
+    a = readers.advisory_rows(_advisory_files(spark, sf))
+    return a.select("cve_id", F.sha2("description", 256).alias("description_hash"), F.variant_get("payload", "$.vendor.name", "string").alias("vendor"))
+
+
+SQL_ADVISORIES = "SELECT concat('CVE-2021-', doc_id + 4000) AS cve_id, sha256(text) AS description_hash, lang AS vendor FROM documents WHERE doc_id % 7 <> 0"
+
+
 def cve_enrich(spark, sf):
-    """Ids in tool outputs with advisories for some of them."""
-    o = v.outputs(spark, sf).filter("event_type = 'error'")
-    adv = v.table(spark, sf, "documents").filter("doc_id < 30").select(F.concat(F.lit("cve-2021-"), (F.col("doc_id") + 4000).cast("string")).alias("cve_id"), F.col("text").alias("description"))
-    out = ra.cve_enrich(o.select("run_id", F.concat("output", F.lit(" again "), F.lower("output")).alias("text")), adv)
-    return out.select("run_id", "cve_id", F.coalesce("description", F.lit("")).alias("description"))
+    """Ids in tool outputs, in both cases, with their advisories where these can be read."""
+    o = v.outputs(spark, sf)
+    out = ra.cve_enrich(o.select("run_id", F.concat("output", F.lit(" again "), F.lower("output")).alias("text")), readers.advisory_rows(_advisory_files(spark, sf)))
+    return out.select("run_id", "cve_id", F.sha2(F.coalesce("description", F.lit("")), 256).alias("description_hash"))
 
 
-SQL_CVE = f"""WITH {v.SQL_OUTPUTS} SELECT run_id, concat('CVE-2021-', 4000 + k % 50) AS cve_id, coalesce(left(text, 100), '') AS description
-FROM outputs LEFT JOIN documents ON doc_id = k % 50 AND doc_id < 30 WHERE event_type = 'error'"""
+SQL_CVE = f"""WITH {v.SQL_OUTPUTS} SELECT run_id, concat('CVE-2021-', 4000 + k % 50) AS cve_id, sha256(coalesce(text, '')) AS description_hash
+FROM outputs LEFT JOIN documents ON doc_id = k % 50 AND doc_id % 7 <> 0 WHERE event_type = 'error'"""
 
 
 def index_counts(spark, sf):
@@ -717,12 +737,13 @@ QUERIES = {
     "snippet_summary": (snippet_summary, SQL_SUMMARY),
     "reference_block": (reference_block, SQL_REFBLOCK),
     "web_block": (web_block, SQL_WEBBLOCK),
-    "solution_block": (solution_block, None),
+    "solution_block": (solution_block, SQL_SOLUTION),
     "methodology_block": (methodology_block, SQL_METH),
     "search_results": (search_results, SQL_RESULTS),
     "hits_by_source": (hits_by_source, SQL_BYSRC),
     "hits_by_title": (hits_by_title, SQL_BYTITLE),
     "recall_overlap": (recall_overlap, SQL_RECALL),
+    "advisory_scan": (advisory_scan, SQL_ADVISORIES),
     "cve_enrich": (cve_enrich, SQL_CVE),
     "index_counts": (index_counts, SQL_COUNTS),
 }

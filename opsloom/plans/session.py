@@ -13,7 +13,8 @@ from opsloom.operators import mining as mi
 from opsloom.operators import ranking as ra
 from opsloom.operators import transcript as tr
 from opsloom.operators.ordered import seconds_bucket
-from opsloom.plans import retrieve
+from opsloom.plans import history as h
+from opsloom.plans import mine, retrieve
 from opsloom.plans import views as v
 
 BLOCK = 4
@@ -87,22 +88,31 @@ SQL_CBLOB = f"""WITH s AS ({SQL_SPLIT}), d AS (SELECT conv_id FROM conversations
 SELECT conv_id, count(*) AS n_rows, string_agg(concat(role, ': ', text), chr(10) ORDER BY turn) AS blob FROM conversations JOIN s USING (conv_id, turn) WHERE part = 'head' AND conv_id IN (SELECT conv_id FROM d) GROUP BY 1"""
 
 
+def _said_again(spark, sf):
+    """Conversations in which the reply of turn 3 says that of turn 1 again, with a sign more; other texts as they are."""
+    n = numbered(spark, sf)
+    before = n.filter("turn % 4 = 1").select("conv_id", (F.col("turn") + 2).alias("turn"), F.concat("text", F.lit("!")).alias("_again"))
+    return n.join(before, ["conv_id", "turn"], "left").withColumn("text", F.coalesce("_again", "text")).drop("_again")
+
+
 def repetition(spark, sf):
-    """Replies reduced to ASCII, every third one replaced by its predecessor with a change."""
-    n = numbered(spark, sf).withColumn("text", F.concat(F.when(F.col("turn") % 4 == 3, F.lit("a fixed reply of some length, said again ")).otherwise(F.lit("a fixed reply of some length, said again x")), F.col("conv_id").cast("string")))
+    """Edit distance of consecutive replies, letters beyond ASCII as one sign."""
+    n = _said_again(spark, sf).withColumn("text", F.regexp_replace("text", r"[^\x00-\x7F]", "?"))
     r = tr.repetition(n, block_rows=BLOCK)
     return r.select("conv_id", "turn", F.coalesce("similarity", F.lit(-1.0)).alias("similarity"), "repetitive")
 
 
-SQL_REP = """WITH t AS (SELECT conv_id, turn, concat(CASE WHEN turn % 4 = 3 THEN 'a fixed reply of some length, said again ' ELSE 'a fixed reply of some length, said again x' END, conv_id) AS t FROM conversations WHERE role = 'assistant'),
+_AGAIN = """r AS (SELECT c.conv_id, c.turn, c.role, CASE WHEN p.text IS NOT NULL THEN concat(p.text, '!') ELSE c.text END AS text FROM conversations c
+ LEFT JOIN conversations p ON p.conv_id = c.conv_id AND p.turn = c.turn - 2 AND p.turn % 4 = 1)"""
+SQL_REP = f"""WITH {_AGAIN}, t AS (SELECT conv_id, turn, regexp_replace(text, '[^\\x00-\\x7F]', '?', 'g') AS t FROM r WHERE role = 'assistant'),
 p AS (SELECT *, lag(t) OVER (PARTITION BY conv_id ORDER BY turn) AS p FROM t), s AS (SELECT conv_id, turn, coalesce(round(1 - CAST(levenshtein(t, p) AS DOUBLE) / greatest(length(t), length(p)), 6), -1) AS similarity FROM p)
 SELECT conv_id, turn, similarity, similarity >= 0.9 AS repetitive FROM s"""
 
 
-def repetition_exact(spark, sf):
-    """Longest-matching-block ratio of consecutive replies."""
-    r = tr.repetition(numbered(spark, sf), exact=True, block_rows=BLOCK)
-    return r.select("conv_id", "turn", "similarity", "repetitive")
+def repetition_blocks(spark, sf):
+    """Ratio of the longest matching blocks of consecutive replies, whole texts."""
+    r = tr.repetition(_said_again(spark, sf), exact=True, block_rows=BLOCK)
+    return r.select("conv_id", "turn", F.coalesce("similarity", F.lit(-1.0)).alias("similarity"), "repetitive")
 
 
 def dedupe_messages(spark, sf):
@@ -191,6 +201,18 @@ def session_snapshot(spark, sf):
     return s.select("machine", "kind", "part", F.sha2("payload", 256).alias("payload_hash"))
 
 
+SQL_SNAPSHOT = f"""{C}, {h._phased(50, 'pf')}, mt AS ({h.SQL_METER}),
+ph AS (SELECT machine, arg_max(phase, (sec, seq)) AS phase FROM pf GROUP BY 1),
+cd AS (SELECT conv_id AS machine, arg_max(c, turn) FILTER (WHERE c IS NOT NULL) AS code FROM (SELECT conv_id, turn, {v.sql_strip("regexp_extract_all(text, '(?s)```(?:[a-zA-Z0-9_+-]+)?\\n(.*?)```', 1)[-1]")} AS c FROM conversations) GROUP BY 1),
+hp AS (SELECT machine, (row_number() OVER (PARTITION BY machine ORDER BY sec, seq) - 1) // 20 AS part, sec, seq, command FROM commands),
+cp AS (SELECT conv_id AS machine, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1) // 20 AS part, turn, role, text FROM conversations),
+al AS (SELECT machine, 'head' AS kind, 0 AS part, to_json({{'reason': 'exit', 'phase': coalesce(phase, '[IDLE]'), 'meter': coalesce(meter, 0), 'last_code_block': coalesce(code, '')}}) AS payload
+  FROM (SELECT machine FROM commands UNION SELECT conv_id FROM conversations) LEFT JOIN ph USING (machine) LEFT JOIN mt USING (machine) LEFT JOIN cd USING (machine)
+ UNION ALL SELECT machine, 'chat', part, to_json(list({{'role': role, 'text': text}} ORDER BY turn)) FROM cp GROUP BY machine, part
+ UNION ALL SELECT machine, 'history', part, to_json(list({{'command': command}} ORDER BY sec, seq)) FROM hp GROUP BY machine, part)
+SELECT machine, kind, part, sha256(CAST(payload AS VARCHAR)) AS payload_hash FROM al"""
+
+
 def request_context(spark, sf):
     q = v.queries(spark, sf).select("query_id", (F.col("query_id") % 7).alias("machine"), F.col("text").alias("input"))
     ref = ra.reference_block(v.queries(spark, sf), retrieve.selected(spark, sf), order="slot")
@@ -199,6 +221,15 @@ def request_context(spark, sf):
     return r.select("query_id", "machine", "not_found", F.sha2("user_message", 256).alias("message_hash"), F.length("reference_block").cast("long").alias("reference_chars"))
 
 
+SQL_REQUEST = f"""{C}, ref AS ({retrieve.SQL_REFBLOCK}), sg AS ({mine.SQL_SIGSUM}),
+cm AS (SELECT machine, string_agg(concat('- ', command), chr(10) ORDER BY n DESC) AS cmds FROM (SELECT *, row_number() OVER (PARTITION BY machine ORDER BY sec DESC, seq DESC) AS n FROM commands) WHERE n <= {rules.CONTEXT_COMMANDS} GROUP BY 1),
+q AS (SELECT item_id AS query_id, item_id % 7 AS machine, text FROM benchmark)
+SELECT query_id, machine, regexp_matches(coalesce(summary, ''), {v.sq(rules.NOT_FOUND)}) AS not_found,
+ sha256(concat('Latest Command/Input:', chr(10), coalesce(nullif(text, ''), '- none'), chr(10), chr(10), 'Historical Commands:', chr(10), coalesce(nullif(cmds, ''), '- none'), chr(10), chr(10),
+ 'Minified tool output:', chr(10), coalesce(nullif(summary, ''), '- none'), chr(10), chr(10), 'User prompt:', chr(10), text)) AS message_hash, length(reference_block) AS reference_chars
+FROM q LEFT JOIN cm USING (machine) LEFT JOIN ref USING (query_id) LEFT JOIN sg ON sg.run_id = q.query_id"""
+
+
 QUERIES = {
     "token_estimate": (token_estimate, f"SELECT conv_id, turn, length({v.sql_strip('text')}) // 4 AS tokens FROM conversations"),
     "context_tokens": (context_tokens, SQL_CTX),
@@ -208,6 +239,7 @@ QUERIES = {
     "budget_prune": (budget_prune, SQL_PRUNE),
     "transcript_blob": (transcript_blob, SQL_BLOB),
     "repetition": (repetition, SQL_REP),
+    "repetition_blocks": (repetition_blocks, None),
     "dedupe_messages": (dedupe_messages, SQL_DEDUPE),
     "thought_tail": (thought_tail, SQL_THOUGHTS),
     "context_latest": (context_latest, SQL_LATEST),
@@ -216,6 +248,6 @@ QUERIES = {
     "request_key": (request_key, f"SELECT doc_id, {_RKEY} AS request_key FROM documents"),
     "repeated_requests": (repeated_requests, f"SELECT {_RKEY} AS request_key, count(*) AS n_requests, count(*) - 1 AS cache_hits FROM documents GROUP BY 1"),
     "prompt_flags": (prompt_flags, SQL_FLAGS),
-    "session_snapshot": (session_snapshot, None),
-    "request_context": (request_context, None),
+    "session_snapshot": (session_snapshot, SQL_SNAPSHOT),
+    "request_context": (request_context, SQL_REQUEST),
 }

@@ -86,7 +86,6 @@ GENERIC_HINTS = ("nmap", "gobuster", "dirsearch", "enumeration", "methodology",
 SUMMARY_KEYS = ("phase", "line", "tag", "academy", "video_id", "timestamp_seconds")
 CVE_PATTERN = r"(?i)\bCVE-\d{4}-\d{4,}\b"
 RECALL_LIMIT = 20
-HITS_MAX_LINES = 120
 
 # --- command history (fixed values) ---
 CONTEXT_LIMIT = 50
@@ -165,6 +164,7 @@ STUCK_TEXTS = (
 RECON_SMB_PATTERN = r"(?i)(\b(?:\d{1,3}\.){3}\d{1,3}\b).*(smb|445|smbclient)"
 RECON_TOOLS = ("nmap", "masscan", "gobuster", "feroxbuster", "nikto")
 RECON_SUMMARY_TEXTS = ("that weird SMB share on ", "your recent recon command: ", "your last recon trail")
+TIP_MARK = "💡 Tip: "
 TOOL_SUGGESTIONS = (
     ("gobuster", "Consider ffuf or feroxbuster for better speed and flexibility with patterns."),
     ("dirb", "feroxbuster is much faster and more configurable than dirb."),
@@ -189,6 +189,7 @@ TOOL_SUGGESTIONS = (
 )
 
 # --- tool output (fixed values) ---
+BANNER_RULE = "==============================================================="  # 63 signs
 MAX_ITEMS = 25
 MAX_LINES = 80
 OPEN_PORT = r"(?i)^(\d+)/(?:tcp|udp)\s+open\s+([a-zA-Z0-9_.-]+)(?:\s+(.*))?$"
@@ -235,9 +236,10 @@ FINDING_PATTERNS_PROSE = (
 )
 FINDING_REPORT_ORDER = ("password", "cve", "port", "user", "service", "config", "other")
 FINDING_ICONS = {
-    "password": "\U0001f511", "port": "\U0001f50c", "cve": "\U0001f41b", "user": "\U0001f464",
-    "service": "⚙️", "config": "⚙️", "other": "\U0001f4dd",
+    "password": "🔑", "port": "🔌", "cve": "🐛", "user": "👤",
+    "service": "⚙️", "config": "⚙️", "other": "📝",
 }
+FINDING_ICON = "📌"
 MARKUP_TAGS = ("[red]", "[/red]", "[bold]", "[/bold]", "[dim]", "[/dim]")
 NOT_FOUND = r"(?i)\b404\b|not\s+found"
 PREVIEW_CHARS = 2000

@@ -127,13 +127,18 @@ def read_documents(spark: SparkSession, root: str) -> DataFrame:
 
 # ---------------------------------------------------------------- JSON sources
 def read_walkthrough(spark: SparkSession, path: str) -> DataFrame:
-    """Walkthrough entries with their position: a top-level array or an object with ``videos``."""
+    """Walkthrough entries of JSON files with their position."""
+    return walkthrough_entries(spark.read.format("binaryFile").load(path).select(lossy_text("content").alias("text")))
+
+
+def walkthrough_entries(files: DataFrame, text: str = "text") -> DataFrame:
+    """One row per entry of each text, a top-level array or an object with ``videos``, next to the other columns; text that is neither gives none."""
     entry = f"struct<{','.join(_field(f) for f in T._parse_datatype_string(WALKTHROUGH_SCHEMA).fields)}>"
-    raw = spark.read.format("binaryFile").load(path).select("path", lossy_text("content").alias("_j"))
-    as_list = F.from_json("_j", f"array<{entry}>")
-    as_object = F.from_json("_j", f"videos array<{entry}>")["videos"]
-    rows = F.when(tx.lstrip("_j").startswith("["), as_list).otherwise(as_object)
-    return raw.select(F.posexplode(rows).alias("idx", "_e")).select(F.col("idx").cast("long").alias("idx"), "_e.*")
+    rest = [c for c in files.columns if c != text]
+    as_list = F.from_json(text, f"array<{entry}>")
+    as_object = F.from_json(text, f"videos array<{entry}>")["videos"]
+    rows = F.when(tx.lstrip(text).startswith("["), as_list).otherwise(as_object)
+    return files.select(*rest, F.posexplode(rows).alias("idx", "_e")).select(*rest, F.col("idx").cast("long").alias("idx"), "_e.*")
 
 
 def _field(field: T.StructField) -> str:
@@ -142,10 +147,15 @@ def _field(field: T.StructField) -> str:
 
 def read_advisories(spark: SparkSession, path: str) -> DataFrame:
     """One JSON file per advisory; the id is the file name, the payload stays as VARIANT."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", lossy_text("content").alias("_j"))
-    body = F.try_parse_json("_j")
-    return raw.filter(body.isNotNull()).select(
-        F.upper(F.regexp_extract("path", r"([^/]+)\.json$", 1)).alias("cve_id"),
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", lossy_text("content").alias("text"))
+    return advisory_rows(raw)
+
+
+def advisory_rows(files: DataFrame, path: str = "path", text: str = "text") -> DataFrame:
+    """Advisories of files by path and text; text that is no JSON is left out."""
+    body = F.try_parse_json(text)
+    return files.filter(body.isNotNull()).select(
+        F.upper(F.regexp_extract(path, r"([^/]+)\.json$", 1)).alias("cve_id"),
         F.try_variant_get(body, "$.description", "string").alias("description"),
         body.alias("payload"),
     )

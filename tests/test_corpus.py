@@ -40,6 +40,45 @@ def test_sections_edges(spark):
     assert [r.title for r in got] == ["T", "T > One", "T > Three"]
 
 
+def test_breadcrumbs_of_random_texts(spark):
+    """Sections by headings, against a walk over the lines."""
+    import random
+
+    rng = random.Random(3)
+    kinds = ["## A%d", "### B%d", "##   ", "###", "#### D%d", "text %d", "", "##x", "  ## no", "##\tC%d"]
+    texts = ["\n".join(k % i if "%" in k else k for i, k in enumerate(rng.choice(kinds) for _ in range(rng.randint(0, 12)))) for _ in range(300)]
+
+    def level(line):
+        for marks in ("##", "###"):
+            rest = line[len(marks) :]
+            if line.startswith(marks) and rest[:1] in (" ", "\t") and rest.strip():
+                return len(marks), rest.strip()
+        return 0, ""
+
+    def want(text):
+        lines = text.split("\n")
+        heads = [(i, *level(x)) for i, x in enumerate(lines) if level(x)[0]]
+        while heads and heads[0][1] == 3:
+            heads.pop(0)
+        if not heads:
+            return [("T", text)] if text.strip() else []
+        starts = [h for k, h in enumerate(heads) if k == 0 or h[1] == 2 or heads[k - 1][1] == 3]
+        out = []
+        for k, (at, _, _) in enumerate(starts):
+            stop = starts[k + 1][0] if k + 1 < len(starts) else len(lines)
+            over = [h[2] for h in heads if h[0] <= at and h[1] == 2][-1]
+            under = [h[2] for h in heads if at <= h[0] < stop and h[1] == 3]
+            out.append((" > ".join(["T", over, *under]), "\n".join(lines[0 if k == 0 else at : stop])))
+        return out
+
+    df = spark.createDataFrame([(i, "T", t) for i, t in enumerate(texts)], "id int, title string, text string").repartition(4)
+    got = {}
+    for r in co.markdown_breadcrumbs(df, min_chars=1).orderBy("id", "chunk_no").collect():
+        got.setdefault(r.id, []).append((r.breadcrumb, r.content))
+    for i, t in enumerate(texts):
+        assert got.get(i, []) == want(t), t
+
+
 def test_breadcrumbs_state(spark):
     pad = "y" * 60
     text = f"before {pad}\n## A\nintro {pad}\n### A1\none {pad}\n### A2\ntwo {pad}\n## B\n{pad}"

@@ -75,6 +75,33 @@ def test_exact_repetition(spark):
     assert [r.similarity for r in got] == want and [r.repetitive for r in got] == [False] + [w >= 0.9 for w in want[1:]]
 
 
+def test_matching_blocks_against_brute_force():
+    """Random pairs, short and beyond 200 characters, against the standard library's matcher."""
+    import difflib
+    import random
+
+    from opsloom.functions.matching import block_ratio
+
+    rng = random.Random(5)
+    for _ in range(1_500):
+        letters = rng.choice(["ab", "abcdef", "abcdefghijklmnopqrstuvwxyz é😀.,"])
+        a = "".join(rng.choice(letters) for _ in range(rng.randint(1, rng.choice([8, 60, 300]))))
+        b = list(a) if rng.random() < 0.6 else [rng.choice(letters) for _ in range(rng.randint(0, 260))]
+        for _ in range(rng.randint(0, 6)):
+            if b:
+                b[rng.randrange(len(b))] = rng.choice(letters + "XY")
+        assert block_ratio(a, "".join(b)) == difflib.SequenceMatcher(None, a, "".join(b)).ratio()
+    assert block_ratio("", "") == 1.0 and block_ratio("a" * 20_000 + "x", "a" * 20_001) > 0.99
+
+
+def test_advisories_and_entries_from_text(spark):
+    files = rows(spark, "path string, text string", ("/a/cve-2021-7.json", '{"description": "d"}'), ("/a/cve-2021-8.json", "{broken"), ("/a/x.json", None), ("/a/cve-1.json", "{}"))
+    assert {tuple(r) for r in readers.advisory_rows(files).select("cve_id", "description").collect()} == {("CVE-2021-7", "d"), ("CVE-1", None)}
+    texts = rows(spark, "k int, text string", (1, ' [{"machine": "a"}, {"machine": "b"}]'), (2, '{"videos": [{"machine": "c"}]}'), (3, "no"), (4, None), (5, ""))
+    got = readers.walkthrough_entries(texts).select("k", "idx", "machine").collect()
+    assert sorted(map(tuple, got)) == [(1, 0, "a"), (1, 1, "b"), (2, 0, "c")]
+
+
 def test_context_written_by_a_stream(spark, tmp_path):
     src, out, cp = (str(tmp_path / n) for n in ("in", "ctx", "cp"))
     schema = "machine string, updated_at timestamp, meter int"
