@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from opsloom import rules
@@ -403,10 +403,12 @@ def findings(
     patterns: Sequence[tuple[str, str]] = rules.FINDING_PATTERNS,
     manual: DataFrame | None = None,
     source: str = "terminal_output",
+    context: str | None = None,
 ) -> DataFrame:
     """Distinct finding values per scope; the first type and pattern in list order wins.
 
-    ``manual`` (scope, type, value) joins with lowest priority.
+    ``manual`` (scope, type, value, optionally context and position, its place among the manual ones) joins with lowest
+    priority.  ``context``: a column of ``texts`` that says where a text is from.
     """
 
     def matches(no: int, kind: str, pattern: str) -> Column:
@@ -420,14 +422,62 @@ def findings(
         )
 
     every = F.flatten(F.array(*[matches(no, kind, p) for no, (kind, p) in enumerate(patterns)]))
-    rows = texts.select(scope, F.explode(every).alias("_f")).select(
-        scope, F.col("_f.value").alias("value"), F.struct("_f.p", "_f.i").alias("_o"), F.col("_f.type").alias("type"), F.lit(source).alias("source")
+    told = F.lit("") if context is None else tx.text_or_empty(context)
+    rows = texts.select(scope, told.alias("context"), F.explode(every).alias("_f")).select(
+        scope, "context", F.col("_f.value").alias("value"), F.struct("_f.p", "_f.i").alias("_o"), F.col("_f.type").alias("type"), F.lit(source).alias("source")
     )
     if manual is not None:
-        last = F.struct(F.lit(len(patterns)).alias("p"), F.lit(0).alias("i"))
-        rows = rows.unionByName(manual.select(scope, "value", last.alias("_o"), "type", F.lit("manual").alias("source")))
-    first = rows.groupBy(scope, "value").agg(F.min(F.struct("_o", "type", "source")).alias("_m"))
-    return first.select(scope, F.col("_m.type").alias("type"), "value", F.col("_m.source").alias("source"), F.col("_m._o.p").alias("pattern_no"), F.col("_m._o.i").alias("match_no"))
+        place = F.col("position").cast("int") if "position" in manual.columns else F.lit(0)
+        last = F.struct(F.lit(len(patterns)).alias("p"), place.alias("i"))
+        why = tx.text_or_empty("context") if "context" in manual.columns else F.lit("")
+        rows = rows.unionByName(manual.select(scope, why.alias("context"), "value", last.alias("_o"), "type", F.lit("manual").alias("source")))
+    first = rows.groupBy(scope, "value").agg(F.min(F.struct("_o", "type", "source", "context")).alias("_m"))
+    return first.select(scope, F.col("_m.type").alias("type"), "value", F.col("_m.source").alias("source"), F.col("_m._o.p").alias("pattern_no"), F.col("_m._o.i").alias("match_no"), F.col("_m.context").alias("context"))
+
+
+def finding_line(found: DataFrame) -> Column:
+    """Markdown line of a finding, with its context where it has one."""
+    icon = F.element_at(F.create_map(*[F.lit(x) for kv in rules.FINDING_ICONS.items() for x in kv]), F.col("type"))
+    told = tx.text_or_empty("context") if "context" in found.columns else F.lit("")
+    return F.concat(
+        F.lit("- "), F.coalesce(icon, F.lit(rules.FINDING_ICON)), F.lit(" **"), F.upper("type"), F.lit("**: `"), "value", F.lit("`"),
+        F.when(told != "", F.concat(F.lit(" ("), told, F.lit(")"))).otherwise(""),
+    )
+
+
+def findings_markdown(found: DataFrame, scopes: DataFrame, scope: str = "doc_id", part_rows: int = 1000) -> DataFrame:
+    """The report of each scope: title, a heading per type in report order, findings in the order in which they were met.
+
+    A report comes in parts of at most ``part_rows`` findings; its parts in order, joined by a line break, are the whole.
+    A part holds neighbouring matches of one pattern, so no group holds all findings of a scope.  ``scopes`` without
+    findings get a report that says so; types outside of the report order are left out, as in the searched system.
+    """
+    order = F.array_position(F.array(*[F.lit(t) for t in rules.FINDING_REPORT_ORDER]), F.col("type"))
+    heading = F.element_at(F.create_map(*[F.lit(x) for kv in rules.FINDING_HEADINGS.items() for x in kv]), F.col("type"))
+    rows = F.array_sort(F.collect_list(F.struct("match_no", "value", finding_line(found).alias("line"))))
+    blocks = (
+        found.withColumns({"_type": order, "_block": F.floor(F.col("match_no") / part_rows).cast("long")})
+        .groupBy(scope, "type", "_type", "pattern_no", "_block")
+        .agg(F.count(F.lit(1)).alias("n_findings"), F.array_join(F.transform(rows, lambda r: r["line"]), "\n").alias("_lines"))
+        .filter(F.col("_type") > 0)
+    )
+    w = Window.partitionBy(scope).orderBy("_type", "pattern_no", "_block")
+    placed = blocks.withColumns({"_no": F.row_number().over(w), "_before": F.lag("type").over(w), "_after": F.lead("type").over(w)})
+    title = F.lit(rules.FINDING_TITLE)
+    part = F.concat(
+        F.when(F.col("_no") == 1, F.concat(title, F.lit("\n"))).otherwise(""),
+        F.when(F.col("type").eqNullSafe(F.col("_before")), "").otherwise(F.concat(F.lit("### "), heading, F.lit("\n\n"))),
+        "_lines",
+        F.when(F.col("type").eqNullSafe(F.col("_after")), "").otherwise(F.lit("\n")),
+    )
+    met = found.select(scope).distinct().withColumn("_met", F.lit(True))
+    return (
+        scopes.select(scope).distinct().join(placed.withColumn("_part", part), scope, "left").join(met, scope, "left")
+        .select(
+            scope, (F.coalesce("_no", F.lit(1)) - 1).cast("long").alias("part_no"), F.coalesce("n_findings", F.lit(0)).cast("long").alias("n_findings"),
+            F.coalesce("_part", F.when(F.col("_met"), title).otherwise(F.concat(title, F.lit("\n"), F.lit(rules.FINDING_NONE)))).alias("report"),
+        )
+    )
 
 
 def findings_report(found: DataFrame, scope: str | None = None, part_rows: int = 1000) -> DataFrame:
@@ -437,8 +487,7 @@ def findings_report(found: DataFrame, scope: str | None = None, part_rows: int =
     is no single group; together the parts hold every finding.
     """
     order = F.array_position(F.array(*[F.lit(t) for t in rules.FINDING_REPORT_ORDER]), F.col("type"))
-    icon = F.element_at(F.create_map(*[F.lit(x) for kv in rules.FINDING_ICONS.items() for x in kv]), F.col("type"))
-    line = F.concat(F.lit("- "), F.coalesce(icon, F.lit(rules.FINDING_ICON)), F.lit(" **"), F.upper("type"), F.lit("**: `"), "value", F.lit("`"))
+    line = finding_line(found)
     keys = ["type"] if scope is None else [scope, "type"]
     counted = found.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     if scope is None:

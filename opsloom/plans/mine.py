@@ -216,6 +216,23 @@ SQL_REPORT = f"""{_sql_findings()} SELECT doc_id, type, list_position({_ORD!r},
  string_agg(concat('- ', {_ICON}, ' **', upper(type), '**: `', value, '`'), chr(10) ORDER BY value COLLATE "C") AS report FROM findings GROUP BY 1, 2""".replace(' COLLATE "C"', "")
 
 
+def findings_markdown(spark, sf):
+    """Reports of all documents, in parts of three findings, with the language as context of what was found in the text."""
+    d = v.table(spark, sf, "documents")
+    manual = d.filter("lang = 'de'").select("doc_id", F.lit("config").alias("type"), F.concat("source", F.lit(".conf")).alias("value"), F.lit(7).alias("position"), F.lit("by hand").alias("context"))
+    return mi.findings_markdown(mi.findings(d, patterns=_PATTERNS, manual=manual, context="lang"), d, part_rows=3).select("doc_id", "part_no", "n_findings", F.sha2("report", 256).alias("report_hash"))
+
+
+_HEADING = "CASE type " + " ".join(f"WHEN '{t}' THEN {v.sq(x)}" for t, x in rules.FINDING_HEADINGS.items()) + " END"
+SQL_MARKDOWN = f"""{_sql_findings().replace(f"SELECT doc_id, 'config', {len(_PATTERNS)}, 0, source, 'manual' FROM documents WHERE doc_id % 10 = 0", f"SELECT doc_id, 'config', {len(_PATTERNS)}, 7, source || '.conf', 'manual' FROM documents WHERE lang = 'de'")},
+f AS (SELECT f.*, list_position({_ORD!r}, type) AS type_no, CASE WHEN f.source = 'manual' THEN 'by hand' ELSE d.lang END AS told FROM findings f JOIN documents d ON d.doc_id = f.doc_id),
+bl AS (SELECT doc_id, type, type_no, pattern_no, match_no // 3 AS blk, count(*) AS n, string_agg(concat('- ', {_ICON}, ' **', upper(type), '**: `', value, '`', CASE WHEN told <> '' THEN concat(' (', told, ')') ELSE '' END), chr(10) ORDER BY match_no) AS t FROM f GROUP BY 1, 2, 3, 4, 5),
+p AS (SELECT *, row_number() OVER w AS no, lag(type) OVER w AS before, lead(type) OVER w AS after FROM bl WINDOW w AS (PARTITION BY doc_id ORDER BY type_no, pattern_no, blk))
+SELECT d.doc_id, coalesce(no, 1) - 1 AS part_no, coalesce(n, 0) AS n_findings, sha256(CASE WHEN no IS NULL THEN {v.sq(rules.FINDING_TITLE + chr(10) + rules.FINDING_NONE)}
+ ELSE concat(CASE WHEN no = 1 THEN {v.sq(rules.FINDING_TITLE + chr(10))} ELSE '' END, CASE WHEN type IS NOT DISTINCT FROM before THEN '' ELSE concat('### ', {_HEADING}, chr(10), chr(10)) END, t, CASE WHEN type IS NOT DISTINCT FROM after THEN '' ELSE chr(10) END) END) AS report_hash
+FROM documents d LEFT JOIN p ON p.doc_id = d.doc_id"""
+
+
 def findings_total(spark, sf):
     """Corpus-wide report parts, reduced to their sizes."""
     f = mi.findings(v.outputs(spark, sf), scope="run_id", text="output")
@@ -302,6 +319,7 @@ QUERIES = {
     "compact_tools": (compact_tools, SQL_COMPACT_TOOLS),
     "signal_summary": (signal_summary, SQL_SIGSUM),
     "findings": (findings, f"{_sql_findings()} SELECT * FROM findings"),
+    "findings_markdown": (findings_markdown, SQL_MARKDOWN),
     "findings_report": (findings_report, SQL_REPORT),
     "findings_total": (findings_total, SQL_TOTAL),
     "thought_split": (thought_split, SQL_THOUGHT),

@@ -111,13 +111,17 @@ def _missing(spark, sf) -> DataFrame:
     return v.queries(spark, sf).withColumn("text", F.concat(F.lit("zzqx "), F.get(F.split("text", " "), F.lit(2)), F.lit(" "), F.get(F.split("text", " "), F.lit(1))))
 
 
+WELL_MATCHED = 10
+
+
 def title_rescue(spark, sf):
+    """Queries of which no text has ten terms are looked up by title."""
     q, d = _missing(spark, sf), v.docs(spark, sf)
-    none = lexical(spark, sf).filter("query_id % 2 = 0")
-    return re_.title_rescue(q, d, none, K, only_index=None).select("query_id", "index", "doc_id", F.col("ord").cast("long").alias("ord"), "rank")
+    good = lexical(spark, sf).filter(F.col("matched") >= WELL_MATCHED)
+    return re_.title_rescue(q, d, good, K, only_index=None).select("query_id", "index", "doc_id", F.col("ord").cast("long").alias("ord"), "rank")
 
 
-SQL_RESCUE = f"""WITH {v.SQL_DOCS}, q0 AS (SELECT item_id AS query_id, text FROM benchmark), queries AS (SELECT query_id, concat('zzqx ', string_split(text, ' ')[3], ' ', string_split(text, ' ')[2]) AS text FROM q0 WHERE query_id % 2 = 1), {v.SQL_TERMS},
+SQL_RESCUE = f"""WITH good AS ({CTX} SELECT DISTINCT query_id FROM lexical WHERE matched >= {WELL_MATCHED}), {v.SQL_DOCS}, q0 AS (SELECT item_id AS query_id, text FROM benchmark WHERE item_id NOT IN (FROM good)), queries AS (SELECT query_id, concat('zzqx ', string_split(text, ' ')[3], ' ', string_split(text, ' ')[2]) AS text FROM q0), {v.SQL_TERMS},
 w AS (SELECT DISTINCT doc_id, "index", unnest(regexp_extract_all(lower(title), '[a-z0-9]+')) AS w FROM docs),
 f AS (SELECT query_id, "index", doc_id, min(ord) AS ord FROM w JOIN terms ON w = term WHERE length(w) >= 2 GROUP BY 1, 2, 3),
 g AS (SELECT *, min(ord) OVER (PARTITION BY query_id, "index") AS fo FROM f)
@@ -527,10 +531,10 @@ SELECT query_id, sha256(concat(chr(10), '--- HackTricks Methodology Reference --
 
 
 def search_results(spark, sf):
-    """The composed result per query; queries of even number may use the web."""
-    web = ra.normalise_web(_web(spark, sf)).filter("query_id % 2 = 0")
+    """The composed result per query; queries that name no machine may use the web."""
     q = v.queries(spark, sf)
-    r = ra.search_results(q, selected(spark, sf), web.join(q, "query_id", "left_semi"), order="slot")
+    web = ra.normalise_web(_web(spark, sf)).join(q.filter("target = ''"), "query_id", "left_semi")
+    r = ra.search_results(q, selected(spark, sf), web, order="slot")
     return r.select("query_id", "used_web", F.size("hits").cast("long").alias("n_hits"), F.when(F.col("used_web"), F.size("web_results")).otherwise(-1).cast("long").alias("n_web"), F.sha2("reference_block", 256).alias("block_hash"))
 
 
@@ -539,7 +543,7 @@ def hits_by_source(spark, sf):
     return h.select("query_id", "source", "n_hits", F.sha2("block", 256).alias("block_hash"))
 
 
-SQL_RESULTS = f"""WITH rb AS ({SQL_REFBLOCK}), wb AS (SELECT * FROM ({SQL_WEBBLOCK}) WHERE query_id % 2 = 0), nw AS (SELECT query_id, count(*) AS n FROM ({SQL_WEB}) GROUP BY 1)
+SQL_RESULTS = f"""WITH rb AS ({SQL_REFBLOCK}), wb AS (SELECT * FROM ({SQL_WEBBLOCK}) WHERE query_id IN (SELECT query_id FROM (WITH {v.SQL_QUERIES} FROM queries) WHERE target = '')), nw AS (SELECT query_id, count(*) AS n FROM ({SQL_WEB}) GROUP BY 1)
 SELECT rb.query_id, web_block IS NOT NULL AS used_web, 6 AS n_hits, CASE WHEN web_block IS NULL THEN -1 ELSE n END AS n_web,
  sha256(reference_block || coalesce(chr(10) || chr(10) || 'Cite the URLs below if you use any of this information.' || chr(10) || chr(10) || web_block, '')) AS block_hash FROM rb LEFT JOIN wb USING (query_id) LEFT JOIN nw USING (query_id)"""
 SQL_BYSRC = f"""{SEL}, n AS (SELECT *, row_number() OVER (PARTITION BY query_id, "index" ORDER BY slot) AS no FROM selected),

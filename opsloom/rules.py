@@ -240,6 +240,12 @@ FINDING_ICONS = {
     "service": "⚙️", "config": "⚙️", "other": "📝",
 }
 FINDING_ICON = "📌"
+FINDING_TITLE = "## 🔍 Findings\n"
+FINDING_NONE = "No findings extracted yet.\n"
+FINDING_HEADINGS = {
+    "password": "🔑 Credentials", "cve": "🐛 Vulnerabilities", "port": "🔌 Ports/Services", "user": "👤 Users",
+    "service": "⚙️ Services", "config": "⚙️ Configuration", "other": "📝 Other",
+}
 MARKUP_TAGS = ("[red]", "[/red]", "[bold]", "[/bold]", "[dim]", "[/dim]")
 NOT_FOUND = r"(?i)\b404\b|not\s+found"
 PREVIEW_CHARS = 2000

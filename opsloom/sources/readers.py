@@ -101,10 +101,9 @@ def read_texts(spark: SparkSession, root: str, pattern: str = "**/*.md") -> Data
 
 
 def document_body(df: DataFrame, path: str = "path", text: str = "text", max_chars: int = rules.DOC_MAX_CHARS) -> DataFrame:
-    """Documents of the allowed kinds: format, is_json, and a body cut to the context budget.
+    """Documents of the allowed kinds: format, is_json, the ``whole`` body, and a ``body`` cut to the context budget.
 
-    The budget is a feature of the prompt that is built from the body; the source text
-    stays whole.  JSON bodies have their keys in sorted order; JSON that does not parse
+    The budget is a feature of the prompt that is built from the body.  JSON bodies have their keys in sorted order; JSON that does not parse
     is left out.
     """
     suffix = F.lower(F.regexp_extract(path, r"(\.[^./]+)$", 1))
@@ -117,7 +116,8 @@ def document_body(df: DataFrame, path: str = "path", text: str = "text", max_cha
         .filter(suffix.isin(*rules.DOC_SUFFIXES) & F.col("_body").isNotNull())
         .withColumn("truncated", cut)
         .withColumn("body", F.when(cut, F.concat(F.left("_body", F.lit(max_chars)), F.lit(rules.DOC_CUT_MARK))).otherwise(F.col("_body")))
-        .drop("_body", text)
+        .withColumnRenamed("_body", "whole")
+        .drop(text)
     )
 
 

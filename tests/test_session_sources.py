@@ -142,6 +142,7 @@ def test_documents(spark, tmp_path):
     got = {r.path.rsplit("/", 1)[1]: r for r in readers.read_documents(spark, str(tmp_path)).collect()}
     assert set(got) == {"a.json", "b.LOG"} and got["a.json"].body == '{"a":{"c":3,"d":2},"b":1}'
     assert got["b.LOG"].truncated and got["b.LOG"].body.endswith("[...truncated for context budget...]") and len(got["b.LOG"].body) == 24_000 + 38
+    assert got["b.LOG"].whole == "x" * 24_001 and got["a.json"].whole == got["a.json"].body
 
 
 def test_walkthrough_and_advisories(spark, tmp_path):
