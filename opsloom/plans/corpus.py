@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -409,8 +410,17 @@ SQL_REDACT = """SELECT doc_id, '<redacted>' AS token, sha256(CASE WHEN length(te
 
 def redact_nested(spark, sf):
     """Nested JSON payloads, redacted at every depth."""
+    return _redacted(spark, sf, lambda p: sinks.redact_json(p, 300))
+
+
+def redact_typed(spark, sf):
+    """The same payloads by their schema."""
+    return _redacted(spark, sf, lambda p: sinks.redact_typed(p, "outer struct<token: string, list: array<map<string, string>>>, text string", 300))
+
+
+def _redacted(spark, sf, by) -> DataFrame:
     payload = F.to_json(F.struct(F.struct(F.col("source").alias("token"), F.array(F.struct(F.col("lang").alias("Authorization"), F.col("source").alias("keep"))).alias("list")).alias("outer"), "text"))
-    d = v.table(spark, sf, "documents").select("doc_id", payload.alias("p")).select("doc_id", sinks.redact_json("p", 300).alias("p"))
+    d = v.table(spark, sf, "documents").select("doc_id", payload.alias("p")).select("doc_id", by("p").alias("p"))
     return d.select(
         "doc_id", F.get_json_object("p", "$.outer.token").alias("token"), F.get_json_object("p", "$.outer.list[0].Authorization").alias("auth"),
         F.get_json_object("p", "$.outer.list[0].keep").alias("keep"), F.sha2(F.get_json_object("p", "$.text"), 256).alias("body_hash"),
@@ -522,5 +532,6 @@ QUERIES = {
     "walkthrough_scan": (walkthrough_scan, SQL_WALKTHROUGH),
     "redact_payload": (redact_payload, SQL_REDACT),
     "redact_nested": (redact_nested, SQL_REDACT_NESTED),
+    "redact_typed": (redact_typed, SQL_REDACT_NESTED),
     "learning_append": (learning_append, SQL_LEARN),
 }

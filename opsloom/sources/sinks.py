@@ -192,11 +192,44 @@ def redact_json(payload: Column | str, max_chars: int = 2000) -> Column:
 
     # Text that is no JSON has no keys to look at: it counts as one text value.
     raw = tx.col(payload)
-    plain = F.when(raw.startswith("data:image") & raw.contains(";base64,"), F.concat(F.lit("<image-data-uri length="), F.length(raw).cast("string"), F.lit(">")))
-    cut = F.concat(F.left(raw, F.lit(limit)), F.lit("...<truncated "), (F.length(raw) - limit).cast("string"), F.lit(" chars>"))
-    whole = F.coalesce(plain, F.when(F.length(raw) > limit, cut), raw)
     good = F.try_parse_json(raw).isNotNull()
-    return F.when(good, walk(F.when(good, raw))).otherwise(whole)
+    return F.when(good, walk(F.when(good, raw))).otherwise(redact_value(F.lit(""), raw, max_chars))
+
+
+def redact_typed(payload: Column | str, schema: T.StructType | str, max_chars: int = 2000) -> Column:
+    """Like ``redact_json`` for payloads whose fields are known, by built-in functions alone.
+
+    The walk is over the schema, so no Python sees a row.  Fields that are null or not in the schema are left out of the
+    result; use a map type where names vary.  Text that is no JSON object counts as one text value.
+    """
+    kind = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
+    raw = tx.col(payload)
+    parsed = F.from_json(raw, kind)
+    good = tx.strip(raw).startswith("{") & F.try_parse_json(raw).isNotNull()
+    return F.when(good, F.to_json(_redact_by_type(parsed, kind, max_chars))).otherwise(redact_value(F.lit(""), raw, max_chars))
+
+
+def _redact_by_type(value: Column, kind: T.DataType, max_chars: int) -> Column:
+    def named(name: Column, one: Column, of: T.DataType) -> Column:
+        secret = F.lower(name).isin(*rules.SECRET_KEYS)
+        if isinstance(of, T.StringType):
+            return F.when(secret & one.isNotNull(), "<redacted>").otherwise(redact_value(F.lit(""), one, max_chars))
+        return _redact_by_type(one, of, max_chars)
+
+    if isinstance(kind, T.StructType):
+        fields = []
+        for f in kind.fields:
+            one = value.getField(f.name)
+            if f.name.lower() in rules.SECRET_KEYS:  # of any type
+                fields.append(F.when(one.isNotNull(), "<redacted>").alias(f.name))
+            else:
+                fields.append(_redact_by_type(one, f.dataType, max_chars).alias(f.name))
+        return F.when(value.isNotNull(), F.struct(*fields))
+    if isinstance(kind, T.ArrayType):
+        return F.transform(value, lambda x: _redact_by_type(x, kind.elementType, max_chars))
+    if isinstance(kind, T.MapType):
+        return F.transform_values(value, lambda k, x: named(k, x, kind.valueType))
+    return redact_value(F.lit(""), value, max_chars) if isinstance(kind, T.StringType) else value
 
 
 def write_traces(df: DataFrame, path: str, max_chars: int = 2000) -> None:

@@ -244,3 +244,18 @@ def test_redaction_survives_broken_json(spark):
 
     df = spark.createDataFrame([('{"token": "x", "a": 1}',), ("{broken",), (None,)], "p string")
     assert [r[0] for r in df.select(sinks.redact_json("p")).collect()] == ['{"token": "<redacted>", "a": 1}', "{broken", None]
+
+
+def test_redaction_by_schema(spark):
+    """The walk over the schema gives what the walk over the values gives."""
+    schema = "Token string, n struct<list: array<struct<API_KEY: struct<deep: int>, img: string, t: string>>, ok: int, tags: map<string, string>>"
+    full = {"Token": "s", "n": {"list": [{"API_KEY": {"deep": 1}, "img": "data:image/png;base64,xx", "t": "y" * 300}, {"t": ""}], "ok": 1, "tags": {"Authorization": "x", "b": "z" * 260}}}
+    texts = [json.dumps(full), '{"n": {"list": []}}', "{}", "{broken", "data:image/png;base64,q", "w" * 300, "", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, p string")
+    got = df.select("i", sinks.redact_typed("p", schema, 10).alias("a"), sinks.redact_json("p", 10).alias("b")).orderBy("i").collect()
+    for r in got:
+        if r.i < 3:
+            assert json.loads(r.a) == json.loads(r.b)
+        else:
+            assert r.a == r.b
+    assert got[5].a.endswith("chars>") and got[7].a is None
