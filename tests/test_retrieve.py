@@ -181,3 +181,34 @@ def test_recall_reads_long_texts_once(spark):
     l = rows(spark, "learning_id int, machine string, explanation string", (1, "m", "xalphax BETAs"), (2, None, "delta alphabet"), (3, "n", "abc"), (4, "n", None))
     for most in (200_000, 1):
         assert sorted((r.query_id, r.learning_id, r.score) for r in ra.recall_overlap(q, l, block_words=most).collect()) == [(1, 1, 2), (1, 2, 1), (2, 2, 2)]
+
+
+def test_index_is_written_word_by_word():
+    """A block of many words: no row holds it whole, its bits are right, and bits of a term are joined over batches."""
+    import random
+
+    import pyarrow as pa
+
+    rng = random.Random(6)
+    texts = [sorted({f"w{rng.randrange(60_000)}" for _ in range(400)}) for _ in range(300)]
+    batch = pa.RecordBatch.from_arrays([pa.array(["a"] * 300), pa.array(range(300), pa.int64()), pa.array(texts)], names=["index", "doc_id", "words"])
+    part = type("Context", (), {"partitionId": lambda self: 2})()
+    was, re_.TaskContext.get = re_.TaskContext.get, staticmethod(lambda: part)
+    try:
+        made = list(re_._index_blocks(2048)(iter([batch.slice(0, 130), batch.slice(130)])))
+    finally:
+        re_.TaskContext.get = was
+    assert max(b.nbytes / b.num_rows for b in made) < 20_000 and max(b.num_rows for b in made) <= 4_194_304 // 300
+    rows = [r for b in made for r in b.to_pylist()]
+    assert [r["docs"] for r in rows if r["word"] is None] == [list(range(300))] and len({r["block"] for r in rows}) == 1
+    got = {(r["word"], i) for r in rows if r["word"] is not None for i in range(300) if r["bits"][i // 8] >> i % 8 & 1}
+    assert got == {(w, i) for i, t in enumerate(texts) for w in t}
+
+    own = [(b, t, bytes([1 << n % 8] * (1 + b % 2))) for b in range(3) for t in "xy" for n in range(b + 3)]
+    rows = pa.RecordBatch.from_pylist([dict(zip(("block", "term", "bits"), r)) for r in own])
+    for size in (1, 4, 50):
+        out = [tuple(r.values()) for b in re_._any_bits(rows.slice(k, size) for k in range(0, len(own), size)) for r in b.to_pylist()]
+        assert sorted(out) == [(b, t, bytes([2 ** (b + 3) - 1] * (1 + b % 2))) for b in range(3) for t in "xy"]
+    rng.shuffle(own)
+    some = [r for b in re_._some_bits(iter([pa.RecordBatch.from_pylist([dict(zip(("block", "term", "bits"), r)) for r in own])])) for r in b.to_pylist()]
+    assert len(some) == 6
