@@ -1,12 +1,13 @@
 """Exact nearest neighbours of a query table in a vector table, with an optional predicate per query.
 
 Vectors of length one obey the triangle inequality, so a query need not look at all of them.  A bounded sample of the vectors are pivots; every
-vector belongs to its nearest one, and the vectors of a pivot are cut into tiles of at most ``tile_bytes``, sorted by their distance from it.  A tile
+vector belongs to its nearest one, and the vectors of a pivot are cut into tiles of at most ``tile_bytes`` (more where an index would have over ``TILES`` of them), sorted by their distance from it.  A tile
 with vectors between r and R from its pivot holds nothing closer to a query than max(r - d, d - R), if the query is d from the pivot.
 Tiles are looked at from the smallest such bound on, a few at first and eight times as many in each further look; a query and index is done when its
 k-th best is closer than all that is left.  What a predicate rules out is never a candidate, and tiles without a vector that it allows are not looked at.
 
-Queries travel to tiles in blocks, so a tile is sent once for ``block_queries`` queries, and only the best k per (query, index) leave it.
+Queries travel to tiles in blocks, so a tile is sent once for ``block_queries`` queries, and only the best k per (query, index) leave it.  Between them a
+pair of a query and a tile is two numbers: the vector itself is exchanged once for each of ``BUCKETS`` groups of tiles that it looks into.
 """
 
 from __future__ import annotations
@@ -23,6 +24,10 @@ from pyspark.sql import functions as F
 from opsloom.session import keep
 
 TILE_BYTES = 4 << 20
+#: Tiles that an index is cut into at most by size (until these have TILE_BYTES), besides those that end with their pivot: pairs of a query and a tile grow with the queries.
+TILES = 32
+#: A query's vector is sent to its tiles once per bucket of tiles.
+BUCKETS = 32
 BLOCK_QUERIES = 256
 #: Pivots: at most so many vectors are on the driver and in every task; fewer where an index has under ``CELL_ROWS`` vectors for each.
 PIVOTS, CELL_ROWS = 256, 2_000
@@ -178,6 +183,15 @@ def _best(k: int):
     return of
 
 
+def tile_bytes_of(least: int, rows: int, indexes: int, length: float) -> int:
+    """Bytes of a tile: ``least``, or up to ``TILE_BYTES`` where an index of usual size would have over ``TILES`` of them."""
+    return max(least, min(TILE_BYTES, int(rows * (8 * length + 64) / (indexes * TILES))))
+
+
+def _bucket():
+    return F.pmod(F.xxhash64("tile"), F.lit(BUCKETS))
+
+
 def knn(
     queries: DataFrame,
     chunks: DataFrame,
@@ -208,8 +222,9 @@ def knn(
     q = keep(q.withColumn("q", F.monotonically_increasing_id()), "knn-queries")
     own, doc = c.schema["index"].dataType.simpleString(), c.schema["doc_id"].dataType.simpleString()
 
+    n, indexes, long = c.agg(F.count(F.lit(1)), F.approx_count_distinct("index"), F.avg(F.greatest(F.size("vector"), F.lit(0)))).first()
+    tile_bytes = tile_bytes_of(tile_bytes, n, max(1, indexes), long or 0)
     if pivots is None:
-        n, indexes = c.agg(F.count(F.lit(1)), F.approx_count_distinct("index")).first()
         pivots = max(1, min(PIVOTS, n // (max(1, indexes) * CELL_ROWS)))
     sample = c.filter(F.size("vector") > 0).select("vector", F.xxhash64("vector").alias("h")).orderBy("h").limit(pivots).collect()
     held = _Pivots([r["vector"] for r in {r["h"]: r for r in sample}.values()])
@@ -243,7 +258,10 @@ def knn(
         now = left.filter(F.col("turn") <= seen + look)
         if visits is not None:
             looked += now.count()
-        met = now.select("q", "tile").join(asked, "q").groupBy("tile", "block").agg(F.collect_list(F.struct("q", "vector", "machine")).alias("asked")).join(tiles, "tile")
+        sent = now.select("q", "tile", _bucket().alias("bucket")).groupBy("q", "bucket").agg(F.collect_list("tile").alias("tiles")).join(asked, "q")
+        blocked = sent.groupBy("bucket", "block").agg(F.collect_list(F.struct("q", "vector", "machine", "tiles")).alias("asked"))
+        met = blocked.join(tiles.withColumn("bucket", _bucket()), "bucket").withColumn("asked", F.filter("asked", lambda a: F.array_contains(a["tiles"], F.col("tile"))))
+        met = met.filter(F.size("asked") > 0).withColumn("asked", F.transform("asked", lambda a: a.dropFields("tiles")))
         found = met.select("index", "size", "docs", "machines", "units", "asked").mapInArrow(_best(k), f"q bigint, index {own}, doc_id {doc}, distance double")
         every = found if best is None else best.drop("rank").unionByName(found)
         best = keep(every.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k), "knn-best")

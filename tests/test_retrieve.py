@@ -212,3 +212,23 @@ def test_index_is_written_word_by_word():
     rng.shuffle(own)
     some = [r for b in re_._some_bits(iter([pa.RecordBatch.from_pylist([dict(zip(("block", "term", "bits"), r)) for r in own])])) for r in b.to_pylist()]
     assert len(some) == 6
+
+
+def test_tiles_grow_with_the_index(spark):
+    """Pairs of a query and a tile grow with the queries, not with queries times vectors; the hits are those of brute force."""
+    import random
+
+    rng = random.Random(8)
+    looked = []
+    for n in (400, 1600):
+        c = [(i, "a", [rng.gauss(0, 1) for _ in range(4)]) for i in range(n)]
+        q = rows(spark, "query_id int, embedding array<double>", *[(i, v) for i, _, v in c[::40]])
+        visits: list = []
+        got = {(r.query_id, r.rank): r.doc_id for r in nn.knn(q, rows(spark, "doc_id int, index string, embedding array<double>", *c), 3, pivots=2, tile_bytes=200, first_look=1, visits=visits).collect()}
+        v = np.array([x for _, _, x in c])
+        v /= np.linalg.norm(v, axis=1, keepdims=True)
+        x = 1 - v[::40] @ v.T
+        assert got == {(c[::40][j][0], r + 1): int(d) for j in range(len(x)) for r, d in enumerate(np.argsort(x[j], kind="stable")[:3])}
+        looked.append(visits[1] / len(x))
+    assert looked[1] <= nn.TILES + 4
+    assert nn.tile_bytes_of(8_000, 2_000, 10, 64) == 8_000 and nn.tile_bytes_of(8_000, 10**9, 10, 64) == nn.TILE_BYTES
