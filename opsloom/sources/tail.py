@@ -24,7 +24,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from opsloom.functions import commands as cx
 
 LINES = "file string, epoch string, replay boolean, place bigint, line string"
-#: Bytes of one task, and bytes of a read while a line end is looked for.
+#: Bytes of one task, and bytes of a read while a line end is looked for; opening a file counts as much as reading STEP bytes.
 PIECE, STEP = 8 << 20, 64 << 10
 #: A first line is told by so many of its bytes.
 HEAD = 4096
@@ -37,6 +37,26 @@ class Range(InputPartition):
         self.file, self.start, self.end, self.first, self.stop, self.epoch, self.replay = file, start, end, first, stop, epoch, replay
 
 
+class Task(InputPartition):
+    """Ranges that one task reads."""
+
+    def __init__(self, ranges: list[Range]):
+        self.ranges = ranges
+
+
+def _tasks(ranges: list[Range], most: int = PIECE) -> list[Task]:
+    """Neighbouring ranges together, so that many small files are few tasks."""
+    out, size = [], most
+    for r in ranges:
+        own = STEP + r.end - r.start
+        if size + own > most:
+            out.append(Task([]))
+            size = 0
+        out[-1].ranges.append(r)
+        size += own
+    return out
+
+
 def _open(root: str):
     from pyarrow import fs
 
@@ -86,9 +106,13 @@ class Tail(DataSourceStreamReader):
             if replay and not stop:
                 out.append(Range(file, 0, 0, 0, 0, epoch, True))  # emptied: one row without a line says so
             out += [Range(file, a, min(a + self.piece, stop), first, stop, epoch, replay) for a in range(first, stop, self.piece)]
-        return out
+        return _tasks(out)
+
+    def read(self, part: Task) -> Iterator[pa.RecordBatch]:
+        for each in part.ranges:
+            yield from self._read(each)
 
-    def read(self, part: Range) -> Iterator[pa.RecordBatch]:
+    def _read(self, part: Range) -> Iterator[pa.RecordBatch]:
         if not part.stop:
             yield _batch(part, [0], [None])
             return

@@ -78,3 +78,13 @@ def test_new_commands_over_rotation(spark, logs):
 
 def test_no_folder(spark, tmp_path):
     assert look(spark, tmp_path, new=False).count() == 0 and not os.path.exists(tmp_path / "logs")
+
+
+def test_many_small_files_are_few_tasks(tmp_path):
+    for n in range(300):
+        (tmp_path / f"{n}.log").write_bytes(b"one\ntwo\n")
+    source = tl.Tail({"path": str(tmp_path), "pieceBytes": "4"})
+    tasks = source.partitions({}, source.latestOffset())
+    assert 1 < len(tasks) < 10
+    got = sorted((f, x) for t in tasks for b in source.read(t) for f, x in zip(b["file"].to_pylist(), b["line"].to_pylist(), strict=True))
+    assert got == sorted((f"{n}.log", x) for n in range(300) for x in ("one", "two"))
