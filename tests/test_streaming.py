@@ -149,3 +149,20 @@ def test_dropped_rows_are_counted(spark, tmp_path):
     src = stream(spark, tmp_path, rows, files=[lambda r: r[2] == 1, lambda r: r[2] == 2, lambda r: r[2] == 3, lambda r: r[2] > 3])
     q = st.run_available(st.first_seen(src), str(tmp_path / "out"), str(tmp_path / "cp"))
     assert st.dropped_by_watermark(q) == 2
+
+
+def test_many_folders_are_listed_and_read_by_few_tasks(spark, tmp_path):
+    """A folder per machine: neither a task per folder when they are listed nor one per few files when they are read; settings come back."""
+    for n in range(100):
+        (tmp_path / "in" / f"m{n}").mkdir(parents=True)
+        (tmp_path / "in" / f"m{n}" / "history").write_text(f": {n}:0;ls {n}\n")
+    before = {k: spark.conf.get(k) for k in st.SMALL_FILES}
+    context, group = spark.sparkContext, str(tmp_path)
+    context.setJobGroup(group, "listing")
+    out = collect(spark, st.read_history(spark, str(tmp_path / "in")).drop("file"), tmp_path)
+    context.setLocalProperty("spark.jobGroup.id", None)
+    tracker = context.statusTracker()
+    tasks = [tracker.getStageInfo(s).numTasks for j in tracker.getJobIdsForGroup(group) for s in tracker.getJobInfo(j).stageIds]
+    assert out.count() == 100 and out.select("machine").distinct().count() == 100
+    assert tasks and max(tasks) <= 64 < 100
+    assert before == {k: spark.conf.get(k) for k in st.SMALL_FILES}
