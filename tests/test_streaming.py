@@ -166,3 +166,17 @@ def test_many_folders_are_listed_and_read_by_few_tasks(spark, tmp_path):
     assert out.count() == 100 and out.select("machine").distinct().count() == 100
     assert tasks and max(tasks) <= 64 < 100
     assert before == {k: spark.conf.get(k) for k in st.SMALL_FILES}
+
+
+def test_hints_take_only_texts_that_may_be_pending(spark, tmp_path):
+    """Feedback lines and other commands stay behind; a hint keeps its command's text, time and numbers beyond 2^53."""
+    big = (1 << 60) + 1
+    rows = [
+        ("m", at(0), big, "nmap -sV host"), ("m", at(10), 2, "whoami"), ("m", at(20), 3, "nmap -sV other"),
+    ]
+    c = stream(spark, tmp_path, rows)
+    f = stream(spark, tmp_path, [("m", at(5), big + 1, "x y " * 60), ("m", at(15), 5, "x y " * 60), ("m", at(25), 6, "short")], name="feedback").withColumnRenamed("command", "line")
+    hints = st.json_hints(st.with_feedback(c, f))
+    assert "command END AS line" not in hints._jdf.queryExecution().analyzed().toString()
+    got = collect(spark, hints, tmp_path).collect()
+    assert [tuple(r) for r in got if r.command_seq == big] == [("m", at(5), big, "nmap -sV host", big + 1)]
