@@ -232,3 +232,29 @@ def test_tiles_grow_with_the_index(spark):
         looked.append(visits[1] / len(x))
     assert looked[1] <= nn.TILES + 4
     assert nn.tile_bytes_of(8_000, 2_000, 10, 64) == 8_000 and nn.tile_bytes_of(8_000, 10**9, 10, 64) == nn.TILE_BYTES
+
+
+def test_texts_are_cut_into_words_once(spark, monkeypatch):
+    """Ranges of documents are sampled before texts are cut into words, not after."""
+    calls, cut = spark.sparkContext.accumulator(0), F.udf(lambda t: calls.add(1) or sorted(set(t.split())), "array<string>")
+    monkeypatch.setattr(re_.tx, "index_tokens", lambda c: cut(c))
+    docs = spark.createDataFrame([(n, "i", "t", f"word{n} all") for n in range(40)], "doc_id long, index string, title string, content string")
+    postings, blocks = re_.build_index(docs.repartition(3), block_docs=16)
+    assert calls.value == 40
+    assert postings.count() == 40 + 2 * blocks.count()
+
+
+def test_terms_are_looked_up_in_turns(spark, monkeypatch):
+    """Few terms at a time give the same hits, also where a word begins with several terms and a term begins several words of a block."""
+    docs = spark.createDataFrame([(n, "i", "", f"alpha{n} alp beta{n % 3} gam{n % 5} gamma") for n in range(50)], "doc_id long, index string, title string, content string")
+    queries = spark.createDataFrame([(1, "al alp alpha1 beta gamma"), (2, "gam1 beta2 nothing"), (3, "zz")], "query_id long, text string")
+    index = re_.build_index(docs, block_docs=8)
+    whole = sorted(map(tuple, re_.search_index(queries, *index, 7).collect()))
+    words = {n: [f"alpha{n}", "alp", f"beta{n % 3}", f"gam{n % 5}", "gamma"] for n in range(50)}
+    want = []
+    for q, terms in ((1, ["al", "alp", "alpha1", "beta", "gamma"]), (2, ["gam1", "beta2", "nothing"])):
+        found = sorted((-sum(any(w.startswith(t) for w in own) for t in terms), n) for n, own in words.items())
+        want += [(q, n, -m, r + 1) for r, (m, n) in enumerate([x for x in found if x[0]][:7])]
+    assert sorted((q, n, m, r) for q, _, n, _, m, r in whole) == sorted(want)
+    monkeypatch.setattr(re_, "TERMS_AT_ONCE", 2)
+    assert sorted(map(tuple, re_.search_index(queries, *index, 7).collect())) == whole
