@@ -258,3 +258,34 @@ def test_terms_are_looked_up_in_turns(spark, monkeypatch):
     assert sorted((q, n, m, r) for q, _, n, _, m, r in whole) == sorted(want)
     monkeypatch.setattr(re_, "TERMS_AT_ONCE", 2)
     assert sorted(map(tuple, re_.search_index(queries, *index, 7).collect())) == whole
+
+
+def test_a_block_of_long_documents_is_short():
+    """A block ends when it holds many words, so a task's memory does not grow with the length of documents; all words keep their places."""
+    import pyarrow as pa
+
+    texts = [[f"w{(i * 7 + j) % 9000}" for j in range(5000)] for i in range(500)]
+    pieces = [(i, t[k : k + 64]) for i, t in enumerate(texts) for k in range(0, len(t), 64)]
+    batch = pa.RecordBatch.from_arrays([pa.array(["a"] * len(pieces)), pa.array([i for i, _ in pieces], pa.int64()), pa.array([p for _, p in pieces])], names=["index", "doc_id", "words"])
+    part = type("Context", (), {"partitionId": lambda self: 0})()
+    was, re_.TaskContext.get = re_.TaskContext.get, staticmethod(lambda: part)
+    try:
+        made = list(re_._index_blocks(2048)(batch.slice(k, 10_000) for k in range(0, len(batch), 10_000)))
+    finally:
+        re_.TaskContext.get = was
+    docs = {b["block"][0].as_py(): b["docs"][0].as_py() for b in made if b["docs"].null_count == 0}
+    assert sum(docs.values(), []) == list(range(500)) and max(len(d) for d in docs.values()) * 5000 <= re_.BLOCK_WORDS + 5000
+    bits = sum(int(np.unpackbits(np.frombuffer(x, np.uint8)).sum()) for b in made for x in b["bits"].to_pylist() if x is not None)
+    assert bits == sum(len(t) for t in texts)
+
+
+def test_a_folder_of_many_files_is_not_dealt_anew(spark, tmp_path):
+    """As many files as cores are read as they lie; fewer are spread over the cores."""
+    from opsloom.session import spread
+
+    cores = spark.sparkContext.defaultParallelism
+    for n, more in ((cores, 0), (1, 1)):
+        path = str(tmp_path / str(n))
+        spark.range(10 * cores, numPartitions=n).write.parquet(path)
+        got = spread(spark.read.parquet(path))
+        assert got._jdf.queryExecution().optimizedPlan().toString().count("Repartition") == more and got.count() == 10 * cores
