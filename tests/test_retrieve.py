@@ -289,3 +289,40 @@ def test_a_folder_of_many_files_is_not_dealt_anew(spark, tmp_path):
         spark.range(10 * cores, numPartitions=n).write.parquet(path)
         got = spread(spark.read.parquet(path))
         assert got._jdf.queryExecution().optimizedPlan().toString().count("Repartition") == more and got.count() == 10 * cores
+
+
+def test_hits_meet_documents_in_their_scan(spark, monkeypatch):
+    """Texts of documents that no query hit are not exchanged, however small Spark's own limit for broadcasts is."""
+    docs = spark.range(50).selectExpr("id AS doc_id", "concat('s', id % 2) AS index", "'m' AS machine", "'t' AS title", "concat('nmap ', id) AS content", "concat('k', id) AS doc_key")
+    hits = rows(spark, "query_id int, index string, doc_id long", (1, "s1", 3), (2, "s1", 3), (1, "s0", 8), (1, "s0", 9))
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = ra.hit_features(docs, hits, also=["doc_key"])
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan
+        near = sorted((r.doc_id, r.doc_key, tuple(r.tokens)) for r in found.collect())
+        assert near == [(3, "k3", ("t", "m", "nmap", "3")), (8, "k8", ("t", "m", "nmap", "8"))]
+        monkeypatch.setattr(ra, "HIT_KEYS", 1)
+        assert near == sorted((r.doc_id, r.doc_key, tuple(r.tokens)) for r in ra.hit_features(docs, hits, also=["doc_key"]).collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
+def test_long_texts_reach_the_scorer_whole_and_few_at_a_time(spark):
+    def picky():
+        def score(queries, texts):
+            if sum(len(t or "") for t in texts) > 20_000_000:
+                raise MemoryError
+            return [len(q) + len(t or "") for q, t in zip(queries, texts)]
+
+        return score
+
+    hits = spark.range(0, 3000, 1, 1).selectExpr("id", "concat('q', id) AS query", "CASE id WHEN 7 THEN '' ELSE repeat('aé\\n', 5000 + id) END AS content", "-1.0D AS lexical")
+    short = ra.cross_score(hits, picky, whole=False)
+    assert short.columns == ["id", "query", "lexical", "rerank_score"]
+    assert {r.id: r.rerank_score for r in short.collect()} == {i: len(f"q{i}") + (0 if i == 7 else 3 * (5000 + i)) for i in range(3000)}
+    some = hits.filter("id IN (0, 5, 7)").withColumn("content", F.when(F.col("id") != 5, F.col("content")))
+    cut = ra.cross_score(some, picky, chars=10)
+    assert cut.columns == ["id", "query", "content", "lexical", "rerank_score"]
+    assert {r.id: (r.rerank_score, None if r.content is None else len(r.content)) for r in cut.collect()} == {0: (12.0, 15000), 5: (2.0, None), 7: (2.0, 0)}
