@@ -54,11 +54,10 @@ def retrieve(
     merged = re_.hybrid_merge(lexical, vector, docs, limit)
     columns = ("query_id", "index", "doc_id", "distance", "rank", "origin")
     hits = keep(re_.federated(first.select(*columns).unionByName(merged.select(*columns)), k, candidates=limit, index_order=index_order), "retrieve-hits")
-    told = docs.select("index", "doc_id", "tags", "breadcrumb")
-    scored = hits.join(ra.hit_features(docs, hits), ["index", "doc_id"]).join(told, ["index", "doc_id"]).join(asked.select("query_id", F.col("text").alias("query"), "target", "phase_bucket"), "query_id")
+    scored = hits.join(ra.hit_features(docs, hits, also=["tags", "breadcrumb"]), ["index", "doc_id"]).join(asked.select("query_id", F.col("text").alias("query"), "target", "phase_bucket"), "query_id")
     scored = scored.withColumn("lexical", ra.overlap_of_tokens("query", "tokens"))
     if scorer_factory is not None:
-        scored = ra.cross_score(scored.join(docs.select("index", "doc_id", "content"), ["index", "doc_id"]), scorer_factory).drop("content")
+        scored = ra.cross_score(scored.join(ra.hit_docs(docs, hits).select("index", "doc_id", "content"), ["index", "doc_id"]), scorer_factory, whole=False)
     else:
         scored = ra.cross_score(scored)
     flagged = scored.withColumn("recently_shown", F.lit(False)) if shown is None else ra.with_shown_flag(scored, ra.recent_fingerprints(shown, now))
