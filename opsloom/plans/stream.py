@@ -6,6 +6,7 @@ Sinks and checkpoints go to new folders below the shared checkpoint folder.
 from __future__ import annotations
 
 import uuid
+from itertools import groupby
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -120,12 +121,14 @@ def _write_logs(rows: DataFrame, root: str) -> None:
                 system.move(f"{base}/{now}.part", f"{base}/{now}.log")
 
         for batch in batches:
-            for machine, line in zip(batch["machine"].to_pylist(), batch["line"].to_pylist(), strict=True):
-                if machine != now:
+            machines, lines = batch["machine"].to_pylist(), batch["line"].to_pylist()
+            n += len(lines)
+            for machine, run in groupby(range(len(lines)), key=machines.__getitem__):
+                if f is None or machine != now:
                     done()
                     now, f = machine, system.open_output_stream(f"{base}/{machine}.part")
-                f.write((line or "").encode() + b"\n" if line is not None else b"")
-                n += 1
+                if has := [lines[i] for i in run if lines[i] is not None]:
+                    f.write("".join(f"{x}\n" for x in has).encode())
         done()
         yield pa.RecordBatch.from_pydict({"n": pa.array([n], pa.int64())})
 

@@ -88,3 +88,51 @@ def test_many_small_files_are_few_tasks(tmp_path):
     assert 1 < len(tasks) < 10
     got = sorted((f, x) for t in tasks for b in source.read(t) for f, x in zip(b["file"].to_pylist(), b["line"].to_pylist(), strict=True))
     assert got == sorted((f"{n}.log", x) for n in range(300) for x in ("one", "two"))
+
+
+def test_state_of_small_files_is_one_entry_a_file(spark, logs):
+    for n in range(40):
+        write(logs, f"{n}.log", "".join(f"command {i}\n" for i in range(20)).encode())
+    df = tl.new_commands(tl.tail(spark, str(logs / "logs"), ".log"), slots=5)
+    query = st.run_available(df, str(logs / "out"), str(logs / "cp"))
+    assert spark.read.parquet(str(logs / "out")).count() == 800
+    assert query.lastProgress["stateOperators"][0]["numRowsTotal"] == 40  # not one for each command
+
+
+def test_a_file_grows_large_and_is_rotated(spark, logs):
+    def told(n):
+        got = [(r.place, r.command) for r in look(spark, logs, piece=1000).filter("file = 'm.log'").collect()]
+        assert len(got) == n
+        return sorted(got)
+
+    def lines(a, b):
+        return "".join(f"command {i:06d}\n" for i in range(a, b)).encode()
+
+    write(logs, "m.log", lines(0, 100))
+    told(100)
+    write(logs, "m.log", lines(90, 5000), "ab")  # past SMALL, with ten commands that it had
+    assert os.path.getsize(logs / "logs" / "m.log") > tl.SMALL
+    assert told(5000)[-1] == (15 * 5009, "command 004999")
+    write(logs, "m.log", lines(0, 100) + b"one more\n", "ab")
+    told(5001)
+    write(logs, "m.log", lines(50, 60))  # rotated, small again: nothing is new, and of the old commands none is known
+    told(5001)
+    write(logs, "m.log", lines(50, 70), "ab")
+    told(5011)
+    write(logs, "m.log", b"another first line, so a rotation\n" + lines(0, 5000))
+    told(5011)
+    write(logs, "m.log", lines(4990, 5010), "ab")
+    told(5021)
+
+
+def test_a_rotation_is_told_by_the_batch(spark, logs):
+    """Twice the same first line and size: what the file had in between is forgotten each time."""
+    for _ in range(2):
+        write(logs, "m.log", b"ls\nid\n")
+        look(spark, logs)
+        write(logs, "m.log", b"who\n", "ab")
+        look(spark, logs)
+    write(logs, "m.log", b"ls\nid\n")
+    look(spark, logs)
+    write(logs, "m.log", b"who\n", "ab")
+    assert look(spark, logs).filter("command = 'who'").count() == 3
