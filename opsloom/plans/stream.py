@@ -38,12 +38,53 @@ def commands(spark: SparkSession, sf: str) -> DataFrame:
     return v.derive_commands(ev).withColumn("ts", F.timestamp_seconds("sec"))
 
 
+def _write_files(rows: DataFrame, root: str, folder: str, part: str, name: str) -> None:
+    """A file for each machine, its lines in order, written under another name (``part``) first.
+
+    Executors write the files where they belong: with one file a machine, a writer that has its driver move each file into its place takes longer for that than for all else.
+    """
+
+    def of(batches):
+        import pyarrow as pa
+        from pyarrow import fs
+
+        system, base = (fs.FileSystem.from_uri(root)) if "://" in root or root.startswith("file:") else (fs.LocalFileSystem(), root)
+        system.create_dir(base, recursive=True)
+        now, f, n = None, None, 0
+
+        def path(own: str) -> str:
+            key = "__HIVE_DEFAULT_PARTITION__" if now is None else now
+            return "/".join(x for x in (base, folder.format(key), own.format(key)) if x)
+
+        def done():
+            if f is not None:
+                f.close()
+                system.move(path(part), path(name))
+
+        for batch in batches:
+            machines, lines = batch["machine"].to_pylist(), batch["line"].to_pylist()
+            n += len(lines)
+            for machine, run in groupby(range(len(lines)), key=machines.__getitem__):
+                if f is None or machine != now:
+                    done()
+                    now = machine
+                    if folder:
+                        system.create_dir(path(""), recursive=False)
+                    f = system.open_output_stream(path(part))
+                if has := [lines[i] for i in run if lines[i] is not None]:
+                    f.write("".join(f"{x}\n" for x in has).encode())
+        done()
+        yield pa.RecordBatch.from_pydict({"n": pa.array([n], pa.int64())})
+
+    rows.select("machine", "line", "seq").repartition("machine").sortWithinPartitions("machine", "seq").mapInArrow(of, "n bigint").agg(F.sum("n")).collect()
+
+
 def stream_history(spark, sf):
     """Shell history files, one folder per machine, written from the commands and read as a stream."""
     c = v.commands(spark, sf)
     root = f"{_folder(spark)}/history"
     line = F.concat(F.lit(": "), F.col("sec").cast("string"), F.lit(":0;"), "command")
-    c.select("machine", line.alias("value")).repartition("machine").write.partitionBy("machine").text(root)
+    _write_files(c.select("machine", line.alias("line"), "seq"), root, "machine={}", "_part", "history")
     out = drain(st.read_history(spark, root).drop("file"))
     return out.groupBy("machine").agg(F.count(F.lit(1)).alias("n"), F.max(F.unix_timestamp("ts")).alias("last_sec"), F.count_distinct("command").alias("n_distinct"))
 
@@ -104,37 +145,6 @@ def stream_hint(spark, sf):
 
 
 # ---------------------------------------------------------------- growing logs
-def _write_logs(rows: DataFrame, root: str) -> None:
-    """One log per machine, its lines in order, written under another name first; a rewritten log with more lines has grown."""
-
-    def of(batches):
-        import pyarrow as pa
-        from pyarrow import fs
-
-        system, base = (fs.FileSystem.from_uri(root)) if "://" in root or root.startswith("file:") else (fs.LocalFileSystem(), root)
-        system.create_dir(base, recursive=True)
-        now, f, n = None, None, 0
-
-        def done():
-            if f is not None:
-                f.close()
-                system.move(f"{base}/{now}.part", f"{base}/{now}.log")
-
-        for batch in batches:
-            machines, lines = batch["machine"].to_pylist(), batch["line"].to_pylist()
-            n += len(lines)
-            for machine, run in groupby(range(len(lines)), key=machines.__getitem__):
-                if f is None or machine != now:
-                    done()
-                    now, f = machine, system.open_output_stream(f"{base}/{machine}.part")
-                if has := [lines[i] for i in run if lines[i] is not None]:
-                    f.write("".join(f"{x}\n" for x in has).encode())
-        done()
-        yield pa.RecordBatch.from_pydict({"n": pa.array([n], pa.int64())})
-
-    rows.select("machine", "line", "seq").repartition("machine").sortWithinPartitions("machine", "seq").mapInArrow(of, "n bigint").agg(F.sum("n")).collect()
-
-
 #: What the logs hold at each look, by the event's number: grown, rotated to a part of it, grown again.
 LOOKS = ("k % 3 = 0", "k % 3 <> 2", "k % 3 = 1 AND k % 2 = 0", "k % 2 = 0")
 
@@ -152,7 +162,8 @@ def stream_tail(spark, sf):
     again = F.when(F.expr(LOOKS[2]), 0).otherwise(1)
     for look, first in zip(LOOKS, (grown, grown, again, again), strict=True):
         line = F.when(F.expr(look), F.col("command"))
-        _write_logs(c.select("machine", line.alias("line"), (first.cast("long") * 10_000_000_000 + F.col("seq")).alias("seq")), root)
+        # A rewritten log with more lines has grown.
+        _write_files(c.select("machine", line.alias("line"), (first.cast("long") * 10_000_000_000 + F.col("seq")).alias("seq")), root, "", "{}.part", "{}.log")
         st.run_available(tail.new_commands(tail.tail(spark, root, ".log", 4096)), f"{base}/out", f"{base}/checkpoint")
     out = spark.read.schema("file string, place bigint, command string").parquet(f"{base}/out")
     return out.groupBy(F.regexp_extract("file", r"(\d+)\.log$", 1).cast("long").alias("machine"), "command").agg(F.count(F.lit(1)).alias("n"))

@@ -180,3 +180,16 @@ def test_hints_take_only_texts_that_may_be_pending(spark, tmp_path):
     assert "command END AS line" not in hints._jdf.queryExecution().analyzed().toString()
     got = collect(spark, hints, tmp_path).collect()
     assert [tuple(r) for r in got if r.command_seq == big] == [("m", at(5), big, "nmap -sV host", big + 1)]
+
+
+def test_many_history_folders_are_one_batch(spark, tmp_path):
+    from opsloom.plans import stream
+
+    rows = spark.range(2400).select((F.col("id") % 1200).alias("machine"), F.concat(F.lit(": "), (F.lit(1700000000) + F.col("id")).cast("string"), F.lit(":0;ls "), (F.col("id") % 7).cast("string")).alias("line"), F.col("id").alias("seq"))
+    stream._write_files(rows, f"file://{tmp_path}/h", "machine={}", "_part", "history")
+    assert (tmp_path / "h" / "machine=5" / "history").read_text() == ": 1700000005:0;ls 5\n: 1700001205:0;ls 1\n"
+    assert sorted(x.name for x in (tmp_path / "h").rglob("*") if x.is_file()) == ["history"] * 1200
+    query = st.run_available(st.read_history(spark, str(tmp_path / "h")), str(tmp_path / "out"), str(tmp_path / "cp"))
+    assert [p["numInputRows"] for p in query.recentProgress if p["numInputRows"]] == [2400]
+    got = spark.read.parquet(str(tmp_path / "out"))
+    assert got.count() == 2400 and got.filter("machine = 'machine=5'").orderBy("ts").select("command").collect() == [("ls 5",), ("ls 1",)]
