@@ -6,8 +6,10 @@ with vectors between r and R from its pivot holds nothing closer to a query than
 Tiles are looked at from the smallest such bound on, a few at first and eight times as many in each further look; a query and index is done when its
 k-th best is closer than all that is left.  What a predicate rules out is never a candidate, and tiles without a vector that it allows are not looked at.
 
-Queries travel to tiles in blocks, so a tile is sent once for ``block_queries`` queries, and only the best k per (query, index) leave it.  Between them a
+Queries travel to tiles in blocks of ``block_queries`` (more where these are under ``BLOCK_BYTES``), so a tile is sent once a look for each of them.  Between them a
 pair of a query and a tile is two numbers: the vector itself is exchanged once for each of ``BUCKETS`` groups of tiles that it looks into.
+Only what can be among the best k of a (query, index) leaves a tile: in further looks nothing that is farther than the k-th best of the looks before.
+A task compares a tile with many queries in one matrix product of at most ``CELLS`` pairs, and computes distances anew only of those that it lets out.
 """
 
 from __future__ import annotations
@@ -26,9 +28,12 @@ from opsloom.session import keep
 TILE_BYTES = 4 << 20
 #: Tiles that an index is cut into at most by size (until these have TILE_BYTES), besides those that end with their pivot: pairs of a query and a tile grow with the queries.
 TILES = 32
-#: A query's vector is sent to its tiles once per bucket of tiles.
-BUCKETS = 32
-BLOCK_QUERIES = 256
+#: A query's vector is sent to its tiles once per bucket of tiles; there are more buckets where one would be larger than BUCKET_BYTES.
+BUCKETS, BUCKET_BYTES = 32, 16 << 20
+#: Blocks of queries meet a bucket of tiles, both held by a task.
+BLOCK_QUERIES, BLOCK_BYTES = 256, 32 << 20
+#: Pairs of a query and a vector whose distance is in memory at a time, and bytes of components of those that are computed anew.
+CELLS, EXACT_BYTES = 1 << 21, 8 << 20
 #: Pivots: at most so many vectors are on the driver and in every task; fewer where an index has under ``CELL_ROWS`` vectors for each.
 PIVOTS, CELL_ROWS = 256, 2_000
 FIRST_LOOK = 4
@@ -146,50 +151,98 @@ def _distances(pivots: _Pivots):
     return of
 
 
-def _best(k: int):
-    """The k best of a tile for each query of a block."""
+def _first_k(row: np.ndarray, x: np.ndarray, doc: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k smallest ``x`` of each row, ties by place of the document."""
+    turn = np.lexsort((doc, x, row))
+    of = row[turn]
+    return turn[np.arange(len(turn)) - np.searchsorted(of, of) < k]
 
-    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i in range(b.num_rows):
-                size, docs, machines = b["size"][i].as_py(), b["docs"][i].values, np.array(b["machines"][i].as_py(), object)
-                units = np.frombuffer(b["units"][i].as_py(), np.float64).reshape(-1, size) if size else None
-                order = pc.sort_indices(docs).to_numpy()
-                asked = b["asked"][i].values
-                near, own = (_units(asked.field("vector"), size) if size else (np.zeros(0, np.int64), None))
-                rough = np.ones((len(asked), len(docs)))
+
+def _nearest(own: np.ndarray, units: np.ndarray, limit: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The k best of ``units``, in the order of their documents, for each row of ``own`` (places of both, distance), without those beyond the row's limit."""
+    step, exact = max(1, CELLS // len(units)), max(1, EXACT_BYTES // (8 * units.shape[1]))
+    for begin in range(0, len(own), step):
+        part, top = own[begin : begin + step], limit[begin : begin + step] + SLACK
+        rough = 1 - part @ units.T
+        if len(units) > k:
+            many = np.flatnonzero((rough <= top[:, None]).sum(axis=1) > 4 * k)
+            if len(many):
+                top[many] = np.minimum(top[many], np.partition(rough[many], k - 1, axis=1)[:, k - 1] + SLACK)
+        row, doc = np.nonzero(rough <= top[:, None])
+        x = np.empty(len(row))
+        for at in range(0, len(row), exact):  # the same for equal vectors, whatever tile they are in
+            x[at : at + exact] = 1 - (units[doc[at : at + exact]] * part[row[at : at + exact]]).sum(axis=1)
+        pick = _first_k(row, x, doc, k)
+        yield row[pick] + begin, doc[pick], x[pick]
+
+
+def _best(k: int):
+    """The k best of each tile of a bucket for each query of a block that looks into it."""
+
+    def of(tiles: pa.Table, asked: pa.Table) -> pa.Table:
+        tiles, asked = tiles.combine_chunks(), asked.combine_chunks()
+        nothing = [asked["q"].slice(0, 0), tiles["index"].slice(0, 0), pa.chunked_array([], tiles.schema.field("docs").type.value_type), pa.chunked_array([], pa.float64())]
+        found = [pa.Table.from_arrays(nothing, names=["q", "index", "doc_id", "distance"])]
+        if not tiles.num_rows or not asked.num_rows:
+            return found[0]
+        vectors, wanted = _one(asked["vector"]), np.array(asked["machine"].to_pylist(), object)
+        named = any(w is not None for w in wanted)
+        visits = _one(asked["tiles"])
+        asks = np.repeat(np.arange(asked.num_rows), pc.list_value_length(visits).to_numpy(zero_copy_only=False))
+        into, limits = (visits.flatten().field(i) for i in (0, 1))
+        into, limits = into.to_numpy(zero_copy_only=False), pc.fill_null(limits, np.inf).to_numpy(zero_copy_only=False)
+        turn = np.argsort(into, kind="stable")
+        asks, into, limits = asks[turn], into[turn], limits[turn]
+        held = {}  # of each size: place of each query among the vectors with a direction, and these
+        for i in range(tiles.num_rows):
+            tile, size = tiles["tile"][i].as_py(), tiles["size"][i].as_py()
+            begin, end = np.searchsorted(into, [tile, tile + 1])
+            if begin == end:
+                continue
+            who, limit = asks[begin:end], limits[begin:end]
+            if size not in held:
+                at, own = _units(vectors, size)
+                place = np.full(asked.num_rows, -1)
+                place[at] = np.arange(len(at))
+                held[size] = place, own
+            place, own = held[size]
+            docs = tiles["docs"][i].values
+            order = pc.sort_indices(docs).to_numpy()
+            machines = np.array(tiles["machines"][i].as_py(), object) if named else None
+            units = np.frombuffer(tiles["units"][i].as_buffer(), np.float64).reshape(-1, size) if size else None
+            for name in set(wanted[who]) if named else (None,):
+                mine = np.flatnonzero(wanted[who] == name) if named else np.arange(len(who))
+                at = order if name is None else order[machines[order] == name]
+                if not len(at):
+                    continue
+                near = mine[place[who[mine]] >= 0]
+                out = []
                 if len(near):
-                    rough[near] = 1 - own @ units.T
-                unit_of = {int(q): own[j] for j, q in enumerate(near)}
-                q_out, d_out, x_out = [], [], []
-                for j, wanted in enumerate(asked.field("machine").to_pylist()):
-                    at = order if wanted is None else order[machines[order] == wanted]
-                    if not len(at):
-                        continue
-                    x = rough[j, at]
-                    if j in unit_of:
-                        if len(at) > k:
-                            at = at[x <= np.partition(x, k - 1)[k - 1] + SLACK]
-                        x = 1 - (units[at] * unit_of[j]).sum(axis=1)  # the same for equal vectors, whatever tile they are in
-                    pick = np.argsort(x, kind="stable")[:k]
-                    q_out.append(np.full(len(pick), j))
-                    d_out.append(at[pick])
-                    x_out.append(x[pick])
-                if q_out:
-                    q = asked.field("q").take(pa.array(np.concatenate(q_out)))
-                    index = pa.concat_arrays([b["index"].slice(i, 1)]).take(pa.array(np.zeros(len(q), np.int64)))
-                    yield pa.RecordBatch.from_arrays([q, index, docs.take(pa.array(np.concatenate(d_out))), pa.array(np.concatenate(x_out))], names=["q", "index", "doc_id", "distance"])
+                    out += [(near[r], at[d], x) for r, d, x in _nearest(own[place[who[near]]], units[at], limit[near], k)]
+                loose = mine[(place[who[mine]] < 0) & (limit[mine] >= 1.0 - SLACK)]  # all are at distance 1
+                if len(loose):
+                    out.append((np.repeat(loose, len(at[:k])), np.tile(at[:k], len(loose)), np.ones(len(loose) * len(at[:k]))))
+                for r, d, x in out:
+                    if len(r):
+                        index = pa.chunked_array([tiles["index"].slice(i, 1).combine_chunks().take(pa.array(np.zeros(len(r), np.int64)))])
+                        found.append(pa.Table.from_arrays([asked["q"].take(pa.array(who[r])), index, pa.chunked_array([docs.take(pa.array(d))]), pa.chunked_array([pa.array(x)])], names=found[0].column_names))
+        return pa.concat_tables(found)
 
     return of
 
 
+def _one(column: pa.ChunkedArray) -> pa.Array:
+    return column.chunk(0) if column.num_chunks == 1 else pa.concat_arrays(column.chunks)
+
+
 def tile_bytes_of(least: int, rows: int, indexes: int, length: float) -> int:
     """Bytes of a tile: ``least``, or up to ``TILE_BYTES`` where an index of usual size would have over ``TILES`` of them."""
     return max(least, min(TILE_BYTES, int(rows * (8 * length + 64) / (indexes * TILES))))
 
 
-def _bucket():
-    return F.pmod(F.xxhash64("tile"), F.lit(BUCKETS))
+def block_of(least: int, queries: int, length: float) -> int:
+    """Queries of a block: ``least``, or as many as BLOCK_BYTES hold, with their pairs with the tiles of a bucket."""
+    return max(least, min(queries, int(BLOCK_BYTES / (8 * length + 64 + 16 * TILES))))
 
 
 def knn(
@@ -246,11 +299,14 @@ def knn(
     other = heads.withColumn("_loose", F.col("pivot") < 0).join(odd, ["_size", "_loose"]).filter(allowed)
     loose = other.select("q", "tile", "index", "first", F.when((F.col("_size") == F.col("size")) & (F.col("_size") > 0), 0.0).otherwise(1.0).alias("bound"))
     turn = Window.partitionBy("q", "index").orderBy("bound", "first", "tile")
-    plan = keep(bounded.unionByName(loose).withColumn("turn", F.row_number().over(turn)), "knn-plan")
+    plan = keep(bounded.unionByName(loose).withColumn("turn", F.row_number().over(turn)).withColumn("limit", F.lit(None).cast("double")), "knn-plan")
     most = plan.agg(F.max("turn")).first()[0] or 0
 
-    blocks = max(1, -(-q.count() // block_queries))
+    asked_n = q.count()
+    blocks = max(1, -(-asked_n // block_of(block_queries, asked_n, long or 0)))
+    bucket = F.pmod(F.xxhash64("tile"), F.lit(max(BUCKETS, int(n * (8 * (long or 0) + 64) / BUCKET_BYTES)))).alias("bucket")
     asked = q.select("q", "vector", "machine", F.pmod(F.xxhash64("q"), F.lit(blocks)).alias("block"))
+    dealt = tiles.select(bucket, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"), "tile", "index", "size", "docs", "machines", "units")
     best, left, seen, look = None, plan, 0, first_look
     w = Window.partitionBy("q", "index").orderBy("distance", "doc_id")
     looked = 0
@@ -258,11 +314,9 @@ def knn(
         now = left.filter(F.col("turn") <= seen + look)
         if visits is not None:
             looked += now.count()
-        sent = now.select("q", "tile", _bucket().alias("bucket")).groupBy("q", "bucket").agg(F.collect_list("tile").alias("tiles")).join(asked, "q")
-        blocked = sent.groupBy("bucket", "block").agg(F.collect_list(F.struct("q", "vector", "machine", "tiles")).alias("asked"))
-        met = blocked.join(tiles.withColumn("bucket", _bucket()), "bucket").withColumn("asked", F.filter("asked", lambda a: F.array_contains(a["tiles"], F.col("tile"))))
-        met = met.filter(F.size("asked") > 0).withColumn("asked", F.transform("asked", lambda a: a.dropFields("tiles")))
-        found = met.select("index", "size", "docs", "machines", "units", "asked").mapInArrow(_best(k), f"q bigint, index {own}, doc_id {doc}, distance double")
+        sent = now.select("q", bucket, F.struct("tile", "limit").alias("visit")).groupBy("q", "bucket").agg(F.collect_list("visit").alias("tiles")).join(asked, "q")
+        met = dealt.groupBy("bucket", "block").cogroup(sent.groupBy("bucket", "block"))
+        found = met.applyInArrow(_best(k), f"q bigint, index {own}, doc_id {doc}, distance double")
         every = found if best is None else best.drop("rank").unionByName(found)
         best = keep(every.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k), "knn-best")
         seen, look = seen + look, look * 8
@@ -271,7 +325,7 @@ def knn(
         last = best.filter(F.col("rank") == k).select(F.col("q").alias("_q"), F.col("index").alias("_index"), F.col("distance").alias("_distance"), F.col("doc_id").alias("_doc"))
         open_ = left.filter(F.col("turn") > seen).join(last, (F.col("q") == F.col("_q")) & F.col("index").eqNullSafe(F.col("_index")), "left")
         better = F.col("_q").isNull() | (F.col("bound") < F.col("_distance")) | ((F.col("bound") <= F.col("_distance") + SLACK) & (F.col("first") < F.col("_doc")))
-        left = keep(open_.filter(better).select(*plan.columns), "knn-left")
+        left = keep(open_.filter(better).select(*plan.columns[:-1], F.col("_distance").alias("limit")), "knn-left")
         if left.isEmpty():
             break
     if visits is not None:

@@ -1,6 +1,7 @@
 """Retrieval operators on literal inputs."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from opsloom.functions import text as tx
@@ -326,3 +327,52 @@ def test_long_texts_reach_the_scorer_whole_and_few_at_a_time(spark):
     cut = ra.cross_score(some, picky, chars=10)
     assert cut.columns == ["id", "query", "content", "lexical", "rerank_score"]
     assert {r.id: (r.rerank_score, None if r.content is None else len(r.content)) for r in cut.collect()} == {0: (12.0, 15000), 5: (2.0, None), 7: (2.0, 0)}
+
+
+def test_tiles_let_out_only_what_can_be_among_the_best():
+    """A tile meets all queries of a block at once; nothing beyond a query's limit leaves it, ties go by document."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    units = rng.normal(size=(300, 8))
+    units[7] = units[3] = units[250]
+    units /= np.linalg.norm(units, axis=1)[:, None]
+    docs = rng.permutation(300)
+    machines = [f"m{i % 3}" for i in range(300)]
+    tiles = pa.table({"tile": [5], "index": ["a"], "size": pa.array([8], pa.int32()), "docs": [docs.tolist()], "machines": [machines], "units": pa.array([units.tobytes()], pa.binary())})
+    own = [units[3].tolist(), *rng.normal(size=(40, 8)).tolist(), [0.0] * 8, [1.0]]
+    q = list(range(len(own)))
+    limit = [None if i % 2 else 0.3 for i in q[:-2]] + [None, 0.5]
+    machine = ["m1" if i % 5 == 4 else None for i in q]
+    asked = pa.table({"q": q, "vector": pa.array(own, pa.list_(pa.float64())), "machine": pa.array(machine, pa.string()), "tiles": pa.array([[{"tile": 5, "limit": x}] for x in limit], pa.list_(pa.struct([("tile", pa.int64()), ("limit", pa.float64())])))})
+    got = {}
+    for r in nn._best(4)(tiles, asked).to_pylist():
+        got.setdefault(r["q"], []).append((r["doc_id"], round(r["distance"], 9)))
+    for i in q:
+        v = np.array(own[i])
+        odd = len(v) != 8 or not v.any()
+        x = np.ones(300) if odd else 1 - units @ (v / np.linalg.norm(v))
+        all_ = sorted((round(float(x[j]), 9), int(docs[j])) for j in range(300) if machine[i] in (None, machines[j]))[:4]
+        want = [(d, e) for e, d in all_ if limit[i] is None or e <= limit[i]]
+        assert sorted(got.get(i, [])) == sorted(want), i
+
+
+@pytest.mark.parametrize("held", [0, nn.BLOCK_BYTES])
+def test_knn_blocks_of_any_size_agree(spark, monkeypatch, held):
+    """Blocks of three queries, and all queries as one block: as many equal vectors as never fit among the best."""
+    monkeypatch.setattr(nn, "BLOCK_BYTES", held)
+    assert nn.block_of(3, 20, 8) == (20 if held else 3) and nn.block_of(3, 10**9, 8) < 10**9
+    rng = np.random.default_rng(4)
+    v = rng.normal(size=(200, 8))
+    v[50:120] = v[50]
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    c = rows(spark, "doc_id int, index string, embedding array<double>", *[(i, "ab"[i % 2], v[i].tolist()) for i in range(200)])
+    q = rows(spark, "query_id int, embedding array<double>", *[(i, v[i * 10].tolist()) for i in range(20)])
+    got = {}
+    for r in nn.knn(q, c, 5, pivots=4, block_queries=3, tile_bytes=800, first_look=1).collect():
+        got.setdefault((r.query_id, r["index"]), []).append((r.rank, r.doc_id))
+    for i in range(20):
+        for j, name in enumerate("ab"):
+            x = 1 - (v * v[i * 10]).sum(axis=1)
+            want = sorted(range(j, 200, 2), key=lambda d: (x[d], d))[:5]
+            assert [d for _, d in sorted(got[(i, name)])] == want
