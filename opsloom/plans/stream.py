@@ -6,6 +6,7 @@ Sinks and checkpoints go to new folders below the shared checkpoint folder.
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 from itertools import groupby
 
 from pyspark.sql import DataFrame, SparkSession
@@ -38,8 +39,8 @@ def commands(spark: SparkSession, sf: str) -> DataFrame:
     return v.derive_commands(ev).withColumn("ts", F.timestamp_seconds("sec"))
 
 
-def _write_files(rows: DataFrame, root: str, folder: str, part: str, name: str) -> None:
-    """A file for each machine, its lines in order, written under another name (``part``) first.
+def _write_files(rows: DataFrame, root: str, folder: str, part: str, name: str, shards: int = 1) -> None:
+    """A file for each machine, its lines in order, written under another name (``part``) first; with ``folder`` in a folder of its own, below one of ``shards``.
 
     Executors write the files where they belong: with one file a machine, a writer that has its driver move each file into its place takes longer for that than for all else.
     """
@@ -50,11 +51,11 @@ def _write_files(rows: DataFrame, root: str, folder: str, part: str, name: str)
 
         system, base = (fs.FileSystem.from_uri(root)) if "://" in root or root.startswith("file:") else (fs.LocalFileSystem(), root)
         system.create_dir(base, recursive=True)
-        now, f, n = None, None, 0
+        now, f, n, below = None, None, 0, ""
 
         def path(own: str) -> str:
             key = "__HIVE_DEFAULT_PARTITION__" if now is None else now
-            return "/".join(x for x in (base, folder.format(key), own.format(key)) if x)
+            return "/".join(x for x in (base, below, folder.format(key), own.format(key)) if x)
 
         def done():
             if f is not None:
@@ -62,13 +63,15 @@ def _write_files(rows: DataFrame, root: str, folder: str, part: str, name: str)
                 system.move(path(part), path(name))
 
         for batch in batches:
-            machines, lines = batch["machine"].to_pylist(), batch["line"].to_pylist()
+            machines, lines, shard = (batch[c].to_pylist() for c in ("machine", "line", "shard"))
             n += len(lines)
             for machine, run in groupby(range(len(lines)), key=machines.__getitem__):
                 if f is None or machine != now:
                     done()
                     now = machine
                     if folder:
+                        run = list(run)
+                        below = str(shard[run[0]])
                         system.create_dir(path(""), recursive=False)
                     f = system.open_output_stream(path(part))
                 if has := [lines[i] for i in run if lines[i] is not None]:
@@ -76,16 +79,25 @@ def _write_files(rows: DataFrame, root: str, folder: str, part: str, name: str)
         done()
         yield pa.RecordBatch.from_pydict({"n": pa.array([n], pa.int64())})
 
-    rows.select("machine", "line", "seq").repartition("machine").sortWithinPartitions("machine", "seq").mapInArrow(of, "n bigint").agg(F.sum("n")).collect()
+    for n in range(shards if folder else 0):  # also where there are no rows
+        path = rows.sparkSession._jvm.org.apache.hadoop.fs.Path(f"{root}/{n}")
+        path.getFileSystem(rows.sparkSession._jsc.hadoopConfiguration()).mkdirs(path)
+    shard = F.pmod(F.xxhash64("machine"), F.lit(shards)).cast("int").alias("shard")
+    rows.select("machine", "line", "seq").repartition("machine").sortWithinPartitions("machine", "seq").select("machine", "line", shard).mapInArrow(of, "n bigint").agg(F.sum("n")).collect()
+
+
+#: Machines whose files one stream follows: its driver lists them all and remembers them.
+FOLLOWED = 45_000
 
 
 def stream_history(spark, sf):
-    """Shell history files, one folder per machine, written from the commands and read as a stream."""
+    """Shell history files, one folder per machine, written from the commands and read as a stream; of more machines than one stream follows, as several."""
     c = v.commands(spark, sf)
-    root = f"{_folder(spark)}/history"
+    base = _folder(spark)
+    shards = -(-max(1, c.agg(F.approx_count_distinct("machine")).first()[0]) // FOLLOWED)
     line = F.concat(F.lit(": "), F.col("sec").cast("string"), F.lit(":0;"), "command")
-    _write_files(c.select("machine", line.alias("line"), "seq"), root, "machine={}", "_part", "history")
-    out = drain(st.read_history(spark, root).drop("file"))
+    _write_files(c.select("machine", line.alias("line"), "seq"), f"{base}/history", "machine={}", "_part", "history", shards)
+    out = reduce(DataFrame.unionByName, [drain(st.read_history(spark, f"{base}/history/{n}").drop("file")) for n in range(shards)])
     return out.groupBy("machine").agg(F.count(F.lit(1)).alias("n"), F.max(F.unix_timestamp("ts")).alias("last_sec"), F.count_distinct("command").alias("n_distinct"))
 
 

@@ -187,9 +187,23 @@ def test_many_history_folders_are_one_batch(spark, tmp_path):
 
     rows = spark.range(2400).select((F.col("id") % 1200).alias("machine"), F.concat(F.lit(": "), (F.lit(1700000000) + F.col("id")).cast("string"), F.lit(":0;ls "), (F.col("id") % 7).cast("string")).alias("line"), F.col("id").alias("seq"))
     stream._write_files(rows, f"file://{tmp_path}/h", "machine={}", "_part", "history")
-    assert (tmp_path / "h" / "machine=5" / "history").read_text() == ": 1700000005:0;ls 5\n: 1700001205:0;ls 1\n"
+    assert (tmp_path / "h" / "0" / "machine=5" / "history").read_text() == ": 1700000005:0;ls 5\n: 1700001205:0;ls 1\n"
     assert sorted(x.name for x in (tmp_path / "h").rglob("*") if x.is_file()) == ["history"] * 1200
     query = st.run_available(st.read_history(spark, str(tmp_path / "h")), str(tmp_path / "out"), str(tmp_path / "cp"))
     assert [p["numInputRows"] for p in query.recentProgress if p["numInputRows"]] == [2400]
     got = spark.read.parquet(str(tmp_path / "out"))
     assert got.count() == 2400 and got.filter("machine = 'machine=5'").orderBy("ts").select("command").collect() == [("ls 5",), ("ls 1",)]
+
+
+def test_histories_of_more_machines_than_a_stream_follows(spark, tmp_path, monkeypatch):
+    """Several streams, each with a part of the folders, give what one gives."""
+    from opsloom.plans import stream
+
+    one = stream.stream_history(spark, "/root/testdata/sf0.001").collect()
+    followed = []
+    monkeypatch.setattr(stream, "FOLLOWED", 4)
+    monkeypatch.setattr(st, "read_history", lambda spark, path, read=st.read_history: followed.append(path) or read(spark, path))
+    assert sorted(one) == sorted(stream.stream_history(spark, "/root/testdata/sf0.001").collect()) and len(one) == 15
+    assert len(followed) >= 3
+    spark.read.parquet("/root/testdata/sf0.001/events.parquet").limit(0).write.parquet(str(tmp_path / "events.parquet"))
+    assert stream.stream_history(spark, str(tmp_path)).collect() == []
