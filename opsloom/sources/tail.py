@@ -26,8 +26,8 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from opsloom.functions import commands as cx
 
 LINES = "file string, epoch string, replay boolean, place bigint, line string, before bigint, size bigint"
-#: Bytes of one task, and bytes of a read while a line end is looked for; opening a file counts as much as reading STEP bytes.
-PIECE, STEP = 8 << 20, 64 << 10
+#: Bytes of one task, bytes of a read while a line end is looked for, and bytes whose reading counts as much as opening a file.
+PIECE, STEP, OPEN = 8 << 20, 64 << 10, 32 << 10
 #: A first line is told by so many of its bytes.
 HEAD = 4096
 #: Up to so many bytes a file is one value of state, and such files share so many keys.
@@ -57,7 +57,7 @@ def _tasks(ranges: list[Range], most: int = PIECE) -> list[Task]:
     """Neighbouring ranges together, so that many small files are few tasks."""
     out, size = [], most
     for r in ranges:
-        own = STEP + r.end - r.start
+        own = OPEN + r.end - r.start
         if size + own > most:
             out.append(Task([]))
             size = 0
@@ -221,29 +221,31 @@ class _New(StatefulProcessor):
                     before = own.get(digest := bytes(digest))
                     if before is None or place < before[0]:  # the first of equal lines, in whatever order the pieces come
                         own[digest] = (place, line)
-        out = []
+        out, of = [], self._large if key[0] else self._small
+        known = self.seen.exists() if key[0] else self.small.exists()
         for file in again.keys() | fresh.keys():
-            new = (self._large if key[0] else self._small)(file, again.get(file), fresh.get(file, {}))
-            out += [(file, *row) for row in new]
+            out += [(file, *row) for row in of(file, again.get(file), fresh.get(file, {}), known)]
         if out:
             yield pd.DataFrame(out, columns=["file", "place", "command"])
 
-    def _small(self, file: str, told: dict | None, fresh: dict) -> list:
-        held = b"".join(told) if told is not None else (self.small.getValue((file,)) or (b"",))[0]
+    def _small(self, file: str, told: dict | None, fresh: dict, known: bool) -> list:
+        held = b"".join(told) if told is not None else ((known and self.small.getValue((file,))) or (b"",))[0]
         had = {held[i : i + DIGEST] for i in range(0, len(held), DIGEST)}
         new = {d: row for d, row in fresh.items() if d not in had}
         if (new or told) and (all_ := bytes(held) + b"".join(new)):
             self.small.updateValue((file,), (all_,))
-        elif told is not None:
+        elif told is not None and known:
             self.small.removeKey((file,))
         return list(new.values())
 
-    def _large(self, file: str, told: dict | None, fresh: dict) -> list:
+    def _large(self, file: str, told: dict | None, fresh: dict, known: bool) -> list:
         if told is not None:
-            self.seen.clear()
+            if known:
+                self.seen.clear()
             for digest, place in told.items():
                 self.seen.updateValue((digest,), (place,))
-        new = [(d, row) for d, row in fresh.items() if not self.seen.containsKey((d,))]
+            known = bool(told)
+        new = [(d, row) for d, row in fresh.items() if not (known and self.seen.containsKey((d,)))]
         for digest, row in new:
             self.seen.updateValue((digest,), (row[0],))
         return [row for _, row in new]
